@@ -24,49 +24,46 @@ WINDOW, MIN_LITERALS, MIN_WINDOWS = 8, 4, 6
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 #: Units of measure and currency.
 UNITS = "mm cm m km kg g mg lb lbs oz km/h mph ml l cl ft inch inches feet miles mile meters metres seconds minutes hours days weeks months years percent dollars euros cents pounds usd eur gbp hz khz mhz ghz kb mb gb tb".split()
-PUNCTUATION = ".,;:!?\"'()[]{}«»„“”‘’…"
+PUNCTUATION = r"[.,;:!?\"'()\[\]{}«»„“”‘’…]+"
 
 
 def template(text: Column) -> Column:
-    """The tokens of a text, lower-case and without punctuation; placeholders are a type's mark and the value."""
-    t = F.translate(F.coalesce(text, F.lit("")), NUMBER + NAME + UNIT, "")
-    t = F.regexp_replace(t, r"(?<=[^\s.!?:…] )(\p{Lu}\p{Ll})", NAME + "$1")
-    t = F.regexp_replace(t, rf"(?<!\S)[^\s\d]*\d\S*", NUMBER + "$0")
-    t = F.regexp_replace(t, NUMBER + r"(\S*)" + NAME, NUMBER + "$1")
-    tokens = F.array_remove(F.split(F.trim(F.lower(F.translate(t, PUNCTUATION, ""))), r"\s+"), "")
-    return F.transform(tokens, lambda x: F.when(x.isin(UNITS), F.concat(F.lit(UNIT), x)).otherwise(x))
+    """The tokens of a text, lower-case and without punctuation; numbers and names are marked, with their values."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x01-\x03]+", "")
+    t = F.regexp_replace(t, r"([^\s.!?:…] )(\p{Lu}\p{Ll})", "$1" + NAME + "$2")
+    numbers = F.regexp_replace(F.regexp_replace(t, r"(?<!\S)[^\s\d]*\d\S*", NUMBER + "$0"), NUMBER + r"(\S*)" + NAME, NUMBER + "$1")
+    t = F.when(text.rlike("[0-9]"), numbers).otherwise(t)
+    return F.array_remove(F.split(F.trim(F.lower(F.regexp_replace(t, PUNCTUATION, ""))), r"\s+"), "")
 
 
 def kind(token: Column) -> Column:
-    """A placeholder's mark, or else the token."""
-    return F.when(token < "\x04", F.substring(token, 1, 1)).otherwise(token)
+    """The type's mark for placeholders, or else the token."""
+    return F.when(token < "\x04", F.substring(token, 1, 1)).when(token.isin(UNITS), UNIT).otherwise(token)
 
 
-def windows(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, pos, window (hash) for each WINDOW tokens of the array column `tokens`, hashes doubled 1, 2, 4, 8."""
-    rows = given(rows.where(F.size("tokens") >= WINDOW), [*keep, "tokens"], h=F.transform("tokens", lambda x: F.xxhash64(kind(x))))
-    for step in (1, 2, 4):
-        n = F.size("h") - step
-        rows = given(rows, [*keep, "tokens"], h=F.zip_with(F.slice("h", 1, n), F.slice("h", step + 1, n), lambda a, b: F.xxhash64(a, b)))
-    return rows.select(*keep, "tokens", F.posexplode("h").alias("pos", "window"))
+def windows(rows: DataFrame, keep: list[str], text: Column) -> DataFrame:
+    """keep, tokens, pos, window (hash) for each WINDOW tokens of a text."""
+    rows = given(rows, keep, tokens=template(text)).where(F.size("tokens") >= WINDOW)
+    rows = given(rows, [*keep, "tokens"], h=F.transform("tokens", lambda x: F.xxhash64(kind(x))))
+    of = F.transform("h", lambda x, i: F.xxhash64(x, *[F.get("h", i + j) for j in range(1, WINDOW)]))
+    return rows.select(*keep, "tokens", F.posexplode(F.slice(of, 1, F.size("h") - (WINDOW - 1))).alias("pos", "window"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
     """Rows (doc id, item id, n_windows, n_item_windows, n_slots) of documents that hold an item or a variant of it."""
-    items = benchmark.select(F.col(item_col).alias("item"), template(F.col(item_text)).alias("tokens"))
-    theirs = windows(items, ["item"])
+    theirs = windows(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")), ["item"], F.col("text"))
     cut = F.slice("tokens", F.col("pos") + 1, WINDOW)
-    literal = F.size(F.filter("item_tokens", lambda x: x >= "\x04"))
+    literal = F.size(F.filter("item_tokens", lambda x: (x >= "\x04") & ~x.isin(UNITS)))
     theirs = theirs.select("item", F.col("pos").alias("item_pos"), "window", cut.alias("item_tokens"), (F.size("tokens") - (WINDOW - 1)).alias("n_item_windows")).where(literal >= MIN_LITERALS)
     if theirs.count() <= max_broadcast:
         theirs = F.broadcast(theirs)
-    ours = windows(docs.select(F.col(id_col).alias("doc"), template(F.col(text_col)).alias("tokens")), ["doc"])
+    ours = windows(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), ["doc"], F.col("text"))
     pairs = F.arrays_zip(F.col("item_tokens").alias("a"), cut.alias("b"))
     met = ours.join(theirs, "window").select("doc", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "n_item_windows", pairs.alias("pairs"))
     met = met.where(F.forall("pairs", lambda x: kind(x["a"]) == kind(x["b"])))
-    slots = F.filter("pairs", lambda x: x["a"] < "\x04")
+    slots = F.filter("pairs", lambda x: (x["a"] < "\x04") | x["a"].isin(UNITS))
     aligned = met.groupBy("doc", "item", "shift").agg(
-        F.countDistinct("item_pos").alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"),
+        F.size(F.collect_set("item_pos")).alias("n_windows"), F.max("n_item_windows").alias("n_item_windows"),
         F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"),
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["a"])))
