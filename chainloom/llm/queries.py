@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .packing import op3_packing
+from .pii import op4_pii
 from .quality_model import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .token_files import op2_token_files
+from .warc import op8_warc
 
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op5_decontaminate": op5_decontaminate,
     "op7_quality_rules": op7_quality_rules,
+    "op8_warc": op8_warc,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
