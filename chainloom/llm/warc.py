@@ -170,7 +170,7 @@ def read_records(files: DataFrame, path: str) -> DataFrame:
                     yield batch(held)
 
     schema = "kind string, record_id string, origin string, number int, total long, page_id long, refers_to long, digest string, declared long, block binary"
-    return files.repartition(F.col("name")).mapInArrow(rows, schema)
+    return files.repartition(max(1, files.count())).mapInArrow(rows, schema)
 
 
 def reassembled(records: DataFrame) -> DataFrame:
