@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
+from .html_text import op6_html_text
 from .packing import op3_packing
 from .pii import op4_pii
 from .quality_model import op10_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
     "op5_decontaminate": op5_decontaminate,
+    "op6_html_text": op6_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
     "op10_quality_classifier": op10_quality_classifier,
