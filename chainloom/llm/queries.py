@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .html_text import op6_html_text
+from .jaccard_join import op9_jaccard_join
 from .packing import op3_packing
 from .pii import op4_pii
 from .quality_model import op10_quality_classifier
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_quality_rules": op7_quality_rules,
     "op8_warc": op8_warc,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
