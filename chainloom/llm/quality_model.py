@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,6 +140,17 @@ def scored(stats: DataFrame, forest: Forest) -> DataFrame:
     return stats.mapInArrow(rows, f"{fields}, score double")
 
 
+def accepted(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows whose text scores at least threshold; columns and their order stay, nothing is shuffled."""
+
+    @F.pandas_udf("boolean")
+    def good(texts):
+        x = np.array([statistics(t) for t in texts], float).reshape(len(texts), N_STATISTICS)
+        return pd.Series(forest.score(x) >= threshold)
+
+    return docs.where(good(text_col))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = written(with_statistics(read(spark, sf_dir, "documents")))
     forest = train(stats, read(spark, sf_dir, "labels"))

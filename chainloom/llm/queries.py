@@ -9,10 +9,12 @@ from .packing import op3_packing
 from .pii import op4_pii
 from .quality_model import op10_quality_classifier
 from .quality_rules import op7_quality_rules
+from .substring_dedup import op1_substring_dedup
 from .token_files import op2_token_files
 from .warc import op8_warc
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_files": op2_token_files,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
