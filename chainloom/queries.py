@@ -2,5 +2,408 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainloom.functions import hexes
+from chainloom.operators import blocks as nesting
+from chainloom.operators import integrity, latest, normalize, tokens
+from chainloom.plans import chainview as view
+from chainloom.plans.query_spec import QuerySpec, answer, search
+from chainloom.sources import staging
+from chainloom.streaming.publish import materialised, messages, opened, replacement
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+LOW, HIGH = 100, 900
+NOW = F.lit("2001-06-01 00:00:00").cast("timestamp_ntz")
+
+
+def query(sql: str | None):
+    """Register a query under its name, with its SQL over the views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = view.VIEWS + sql
+        return f
+
+    return add
+
+
+def day(df: DataFrame, column: str = "block_timestamp") -> DataFrame:
+    """Times as date texts, which every engine writes alike."""
+    return df.withColumn(column, F.col(column).cast("date").cast("string"))
+
+
+def views(f):
+    """f(blocks, transactions, logs) as a query."""
+
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(view.blocks(spark, sf_dir), view.transactions(spark, sf_dir), view.logs(spark, sf_dir))
+
+    return run
+
+
+# Reads
+
+
+@query(f"SELECT block_number, hash, parent_hash, miner, transaction_count FROM blocks WHERE block_number BETWEEN {LOW} AND {HIGH}")
+@views
+def scan_range(blocks, transactions, logs):
+    return integrity.in_range(blocks, LOW, HIGH).select("block_number", "hash", "parent_hash", "miner", "transaction_count")
+
+
+@query("SELECT block_number, transaction_index, hash, value FROM transactions WHERE block_number IN (7, 77, 150, 777, 1200)")
+@views
+def scan_in(blocks, transactions, logs):
+    return transactions.where(F.col("block_number").isin(sorted({777, 7, 77, 150, 1200, 7}))).select("block_number", "transaction_index", "hash", "value")
+
+
+@query(f"SELECT n.block_number, b.hash, b.parent_hash FROM (SELECT unnest(range({LOW}, {HIGH} + 1)) AS block_number) n LEFT JOIN blocks b USING (block_number)")
+@views
+def headers_dense(blocks, transactions, logs):
+    return integrity.dense(blocks.select("chain_id", "block_number", "hash", "parent_hash"), LOW, HIGH, 1).select("block_number", "hash", "parent_hash")
+
+
+@query("SELECT chain_id, max(block_number) AS max_block FROM blocks GROUP BY chain_id HAVING count(*) > 0")
+@views
+def max_block(blocks, transactions, logs):
+    return blocks.groupBy("chain_id").agg(F.max("block_number").alias("max_block"), F.count("*").alias("n")).where("n > 0").drop("n")
+
+
+@query("SELECT coalesce(max(block_number), 0) AS max_block FROM blocks WHERE block_timestamp <= TIMESTAMP '2001-06-01' - INTERVAL 1 DAY")
+@views
+def block_days_ago(blocks, transactions, logs):
+    return blocks.where(F.col("block_timestamp") <= NOW - F.expr("INTERVAL 1 DAY")).agg(F.coalesce(F.max("block_number"), F.lit(0)).cast("bigint").alias("max_block"))
+
+
+@query("SELECT block_number, transaction_index, hash, from_address, to_address, value FROM transactions")
+@views
+def final_tx(blocks, transactions, logs):
+    return transactions.select("block_number", "transaction_index", "hash", "from_address", "to_address", "value")
+
+
+@query("SELECT chain_id, block_number, tx_count FROM tx_counts")
+@views
+def tx_counts(blocks, transactions, logs):
+    return integrity.tx_counts(transactions)
+
+
+@query("SELECT chain_id, block_number, log_count, max_log_index FROM log_counts")
+@views
+def log_counts(blocks, transactions, logs):
+    return integrity.log_counts(logs)
+
+
+# Integrity
+
+
+@query("SELECT * FROM tx_mismatches")
+@views
+def tx_mismatch(blocks, transactions, logs):
+    return integrity.tx_mismatches(blocks, transactions)
+
+
+@query("SELECT * FROM log_mismatches")
+@views
+def log_mismatch(blocks, transactions, logs):
+    return integrity.log_mismatches(blocks, logs)
+
+
+@query("SELECT chain_id, min(block_number) AS tx_start, max(block_number) AS tx_end FROM tx_mismatches GROUP BY chain_id")
+@views
+def mismatch_range(blocks, transactions, logs):
+    return integrity.span(integrity.tx_mismatches(blocks, transactions), "tx")
+
+
+@query(
+    """SELECT CAST(1 AS BIGINT) AS chain_id, s.a AS hash_start, coalesce((SELECT min(block_number) FROM pairs, s WHERE fits AND block_number BETWEEN 151 AND 300 AND block_number > s.a), (SELECT max(block_number) FROM blocks WHERE block_number BETWEEN 150 AND 300)) AS hash_end
+FROM (SELECT min(block_number) - 1 AS a FROM pairs WHERE NOT fits AND block_number BETWEEN 151 AND 300) s""".replace("FROM pairs, s WHERE", "FROM pairs, (SELECT min(block_number) - 1 AS a FROM pairs WHERE NOT fits AND block_number BETWEEN 151 AND 300) s WHERE")
+)
+@views
+def parent_hash_breaks(blocks, transactions, logs):
+    return integrity.breaks(integrity.in_range(blocks, 150, 300))
+
+
+@query("SELECT chain_id, block_number FROM blocks WHERE block_number > (SELECT min(block_number) FROM blocks) AND block_number - 1 NOT IN (SELECT block_number FROM blocks)")
+@views
+def contiguity(blocks, transactions, logs):
+    return integrity.gaps(blocks)
+
+
+@query(
+    """, hole AS (SELECT min(n) AS a, max(n) AS b FROM (SELECT unnest(range(150, 251)) AS n) WHERE n NOT IN (SELECT block_number FROM blocks)),
+bad AS (SELECT min(block_number) - 1 AS a FROM pairs WHERE NOT fits AND block_number BETWEEN 151 AND 250),
+fine AS (SELECT min(block_number) AS b FROM pairs, bad WHERE fits AND block_number BETWEEN 151 AND 250 AND block_number > bad.a),
+last AS (SELECT max(block_number) AS b FROM blocks WHERE block_number BETWEEN 150 AND 250),
+tx AS (SELECT min(block_number) AS a, max(block_number) AS b FROM tx_mismatches WHERE block_number BETWEEN 150 AND 250),
+lg AS (SELECT min(block_number) AS a, max(block_number) AS b FROM log_mismatches WHERE block_number BETWEEN 150 AND 250),
+plan AS (SELECT coalesce(least(hole.a, bad.a, tx.a, lg.a), -1) AS start_block, coalesce(greatest(hole.b, CASE WHEN bad.a IS NOT NULL THEN coalesce(fine.b, last.b) END, tx.b, lg.b), -1) AS end_block, coalesce(last.b, 149) AS last_header FROM hole, bad, fine, last, tx, lg)
+SELECT CAST(1 AS BIGINT) AS chain_id, *, CASE WHEN end_block >= 0 THEN end_block ELSE last_header END AS last_valid FROM plan"""
+)
+@views
+def reorg_plan(blocks, transactions, logs):
+    return integrity.reorg_plan(blocks, transactions, logs, 150, 250, 1)
+
+
+@query(
+    """SELECT b.block_number, b.transaction_count = coalesce(t.tx_count, 0) AND length(logs_bloom) >= 2 AND (regexp_matches(logs_bloom, '^0x0*$') OR coalesce(l.log_count, 0) > 0) AS valid
+FROM blocks b LEFT JOIN tx_counts t USING (chain_id, block_number) LEFT JOIN log_counts l USING (chain_id, block_number)"""
+)
+@views
+def block_validation(blocks, transactions, logs):
+    return integrity.validated(blocks, transactions, logs).select("block_number", "valid")
+
+
+@query("SELECT block_number, NOT regexp_matches(logs_bloom, '^0x0*$') AS bloom_set FROM blocks WHERE logs_bloom <> ''")
+@views
+def bloom_nonzero(blocks, transactions, logs):
+    return blocks.where("logs_bloom <> ''").select("block_number", hexes.bloom_set(F.col("logs_bloom")).alias("bloom_set"))
+
+
+# Blocks
+
+
+@query(
+    f"""SELECT b.block_number, coalesce(t.n, 0) AS n_transactions, coalesce(t.v, 0) AS total_value, coalesce(l.log_count, 0) AS n_logs
+FROM blocks b LEFT JOIN (SELECT block_number, count(*) AS n, CAST(sum(value) AS BIGINT) AS v FROM transactions GROUP BY 1) t USING (block_number) LEFT JOIN log_counts l USING (block_number) WHERE b.block_number BETWEEN {LOW} AND {HIGH}"""
+)
+@views
+def assemble_blocks(blocks, transactions, logs):
+    rows = nesting.assembled(*(integrity.in_range(x, LOW, HIGH) for x in (blocks,)), transactions=integrity.in_range(transactions, LOW, HIGH), logs=integrity.in_range(logs, LOW, HIGH))
+    total = F.aggregate("transactions", F.lit(0).cast("bigint"), lambda s, t: s + t["value"])
+    return rows.select("block_number", F.size("transactions").cast("bigint").alias("n_transactions"), total.alias("total_value"), F.size("logs").cast("bigint").alias("n_logs"))
+
+
+def _nested(blocks, transactions, logs, low=LOW, high=200):
+    return nesting.assembled(integrity.in_range(blocks, low, high), transactions=integrity.in_range(transactions, low, high), logs=integrity.in_range(logs, low, high))
+
+
+@query("SELECT block_number, transaction_index, hash, from_address, to_address, value, gas, data FROM transactions WHERE block_number BETWEEN 100 AND 200 AND block_number IN (SELECT block_number FROM blocks)")
+@views
+def staging_roundtrip(blocks, transactions, logs):
+    nested = _nested(blocks, transactions, logs)
+    child = lambda k: nested.schema[k].dataType.elementType
+    back = staging.decoded(staging.encoded(nested), nested.schema["block"].dataType, transactions=child("transactions"), logs=child("logs"))
+    return nesting.exploded(back, "transactions").select("block_number", "transaction_index", "hash", "from_address", "to_address", "value", "gas", "data")
+
+
+@query("SELECT block_number, log_index, address, topic_0, topic_1, data, 0 AS is_deleted FROM logs WHERE block_number BETWEEN 100 AND 200 AND block_number IN (SELECT block_number FROM blocks)")
+@views
+def message_roundtrip(blocks, transactions, logs):
+    nested = _nested(blocks, transactions, logs)
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    rows = materialised(opened(messages(nested, at, compress_bytes=4096), nested.schema), "logs")
+    return rows.select("block_number", "log_index", "address", "topic_0", "topic_1", "data", F.col("is_deleted").cast("int").alias("is_deleted"))
+
+
+@query("SELECT block_number, CASE WHEN d = 1 THEN miner ELSE 'n' || miner END AS miner, d AS is_deleted, d = 1 AS is_tombstone FROM blocks, (SELECT unnest([0, 1]) AS d) WHERE block_number BETWEEN 100 AND 200")
+@views
+def delete_insert_union(blocks, transactions, logs):
+    old = integrity.in_range(blocks, LOW, 200)
+    new = old.withColumn("miner", F.concat(F.lit("n"), "miner"))
+    rows = latest.delete_insert(old, new, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return rows.select("block_number", "miner", F.col("is_deleted").cast("int").alias("is_deleted"), (F.col("op_seq") == 0).alias("is_tombstone"))
+
+
+@query("SELECT block_number, 'n' || miner AS miner FROM blocks WHERE block_number BETWEEN 100 AND 200")
+@views
+def replaced_blocks(blocks, transactions, logs):
+    """A replacement as messages, opened, materialised and read as its latest versions."""
+    old = nesting.assembled(integrity.in_range(blocks, LOW, 200))
+    new = old.withColumn("block", F.col("block").withField("miner", F.concat(F.lit("n"), "block.miner")))
+    rows = materialised(opened(replacement(old, new, F.lit("2024-01-01 00:00:00").cast("timestamp"), compress_bytes=None), old.schema), "blocks")
+    return latest.latest(rows, ["chain_id", "block_number"]).select("block_number", "miner")
+
+
+@query("SELECT block_number, CASE WHEN block_number % 3 = 0 THEN CASE WHEN block_number % 2 = 0 THEN 'again' END ELSE hash END AS result, CASE WHEN block_number % 6 = 3 THEN 'still' END AS error FROM blocks")
+@views
+def retry_merge(blocks, transactions, logs):
+    n = F.col("block_number")
+    first = blocks.select("block_number", F.when(n % 3 != 0, F.col("hash")).alias("result"), F.when(n % 3 == 0, "failed").alias("error"))
+    again = first.where("error is not null").select("block_number", F.when(n % 2 == 0, "again").alias("result"), F.when(n % 2 != 0, "still").alias("error"))
+    return latest.retried(first, again, "block_number")
+
+
+@query("SELECT block_number // 100 AS chunk, count(*) AS n, min(block_number) AS low, max(block_number) AS high FROM blocks GROUP BY 1")
+@views
+def chunks(blocks, transactions, logs):
+    return latest.chunked(blocks, "block_number", 100).groupBy("chunk").agg(F.count("*").alias("n"), F.min("block_number").alias("low"), F.max("block_number").alias("high"))
+
+
+@query("SELECT block_number, transaction_index, hash FROM transactions WHERE block_number >= 1000")
+@views
+def cursor_skip(blocks, transactions, logs):
+    return integrity.in_range(transactions, 1000, None).select("block_number", "transaction_index", "hash")
+
+
+@query("SELECT t.block_number, string_agg(hash, ',' ORDER BY transaction_index) AS hashes FROM transactions t WHERE block_number BETWEEN 100 AND 900 AND from_address <> 's3' GROUP BY 1")
+@views
+def tx_hash_join(blocks, transactions, logs):
+    """Blocks that hold only hashes, joined to the transactions that were found, in their order."""
+    asked = integrity.in_range(transactions, LOW, HIGH)
+    lists = asked.groupBy("block_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("transaction_index", "hash"))), lambda x: x["hash"]).alias("hashes"))
+    known = transactions.where("from_address <> 's3'").select("hash")
+    rows = lists.select("block_number", F.posexplode("hashes").alias("pos", "hash")).join(known, "hash")
+    return rows.groupBy("block_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]), ",").alias("hashes"))
+
+
+@query("SELECT 'c/blocks_' || (100 * k) || '_' || (100 * k + 99) || '.parquet' AS path, 100 * k AS start_block, 100 * k + 99 AS end_block FROM (SELECT DISTINCT block_number // 100 AS k FROM blocks) WHERE 100 * k + 99 > 450")
+@views
+def file_prune(blocks, transactions, logs):
+    k = F.floor(F.col("block_number") / 100).cast("bigint") * 100
+    names = blocks.select(F.concat(F.lit("c/blocks_"), k.cast("string"), F.lit("_"), (k + 99).cast("string"), F.lit(".parquet")).alias("path")).distinct()
+    return staging.surviving(staging.ranges(names.unionAll(names.select(F.lit("c/other.parquet").alias("path")).distinct())), 450).select("path", "start_block", "end_block")
+
+
+@query("SELECT greatest(coalesce(max(end_block) + 1, 120), 120) AS next_block FROM (SELECT DISTINCT 100 * (block_number // 100) + 99 AS end_block FROM blocks) WHERE end_block BETWEEN 120 AND 1250")
+@views
+def resume_block(blocks, transactions, logs):
+    files = blocks.select((100 * F.floor(F.col("block_number") / 100) + 99).cast("bigint").alias("end_block")).distinct()
+    return staging.resume(files, 120, 1250)
+
+
+# The query contract
+
+
+@query("SELECT block_number, log_index, address, topic_1, data FROM logs WHERE address = 'click' AND topic_1 = 'u7' ORDER BY block_number, log_index LIMIT 50")
+@views
+def filter_eq(blocks, transactions, logs):
+    found = answer(logs, "logs", QuerySpec(filters={"address": "click", "topic_1": "u7"}, limit=50))
+    return found.data.select("block_number", "log_index", "address", "topic_1", "data")
+
+
+@query("SELECT from_address, count(*) AS count, CAST(sum(value) AS BIGINT) AS total_value, count(DISTINCT to_address) AS unique_to, CAST(sum(CASE WHEN value > 5000000 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM transactions GROUP BY 1 ORDER BY total_value DESC, from_address LIMIT 20")
+@views
+def group_agg(blocks, transactions, logs):
+    spec = QuerySpec(group_by=["from_address"], sort_by="total_value", sort_order="desc", limit=20, aggregates=["COUNT(*) AS count", "SUM(value) AS total_value", "COUNT(DISTINCT to_address) AS unique_to", "SUM(CASE WHEN value > 5000000 THEN 1 ELSE 0 END) AS large"])
+    return answer(transactions, "transactions", spec).aggregations
+
+
+@query("SELECT block_number, transaction_index, hash, value FROM transactions ORDER BY value DESC, block_number, transaction_index LIMIT 25 OFFSET 50")
+@views
+def sort_page(blocks, transactions, logs):
+    return answer(transactions, "transactions", QuerySpec(sort_by="value", sort_order="desc", page=2, limit=25)).data.select("block_number", "transaction_index", "hash", "value")
+
+
+@query("SELECT count(*) AS total_items, CAST(ceil(count(*) / 25) AS BIGINT) AS total_pages FROM transactions")
+@views
+def page_meta(blocks, transactions, logs):
+    return answer(transactions, "transactions", QuerySpec(limit=25)).meta
+
+
+@query("SELECT block_number, transaction_index, hash FROM transactions WHERE from_address = 's7' OR to_address = 's7'")
+@views
+def wallet_tx(blocks, transactions, logs):
+    return tokens.of_wallet(transactions, "s7").select("block_number", "transaction_index", "hash")
+
+
+@query("SELECT block_number, transaction_index, hash, to_address, substr(data, 1, 10) AS function_selector FROM transactions WHERE to_address = 'p77' AND substr(data, 1, 10) = '0x' || substr(md5('77'), 1, 8)")
+def tx_selector(spark, sf_dir):
+    import hashlib
+
+    rows = view.transactions(spark, sf_dir).withColumn("function_selector", hexes.selector(F.col("data")))
+    chosen = "0x" + hashlib.md5(b"77").hexdigest()[:8]
+    return rows.where((F.col("to_address") == "p77") & (F.col("function_selector") == chosen)).select("block_number", "transaction_index", "hash", "to_address", "function_selector")
+
+
+@query("SELECT block_number, log_index, topic_1, data FROM logs WHERE address = 'purchase' AND topic_0 = md5('purchase')")
+@views
+def events_by_contract_sig(blocks, transactions, logs):
+    return logs.where((F.col("address") == "purchase") & (F.col("topic_0") == F.md5(F.lit("purchase")))).select("block_number", "log_index", "topic_1", "data")
+
+
+@query("SELECT 'block' AS type, block_number, hash FROM blocks WHERE block_number = 321")
+@views
+def search_block(blocks, transactions, logs):
+    return search("321", blocks, transactions, logs)
+
+
+# Tokens
+
+
+@query("SELECT token_type, token_address, from_address, to_address, block_number, log_index, token_id, amount FROM transfers WHERE token_type IN ('erc20', 'erc721') AND (from_address = 'u7' OR to_address = 'u7') AND block_number BETWEEN 10 AND 1000")
+def transfers(spark, sf_dir):
+    rows = integrity.in_range(view.transfers(spark, sf_dir), 10, 1000).where(F.col("token_type").isin("erc20", "erc721"))
+    return tokens.of_wallet(rows, "u7").select("token_type", "token_address", "from_address", "to_address", "block_number", "log_index", "token_id", "amount")
+
+
+@query("SELECT * FROM balances WHERE balance <> 0")
+def balances(spark, sf_dir):
+    return tokens.balances(view.transfers(spark, sf_dir), hide_zero=True)
+
+
+@query("SELECT owner, token_id, balance, token_type FROM balances WHERE address = 'purchase' AND balance <> 0")
+def holders(spark, sf_dir):
+    return tokens.holders(balances(spark, sf_dir), "purchase")
+
+
+@query("SELECT token_type, token_id, count(DISTINCT owner) AS n_owners FROM balances WHERE address = 'signup' AND balance <> 0 GROUP BY ALL")
+def token_ids(spark, sf_dir):
+    return tokens.token_ids(balances(spark, sf_dir), "signup")
+
+
+# Functions
+
+
+@query("SELECT o_orderkey, CAST(o_custkey * 1000003 AS BIGINT) AS number, CAST(o_custkey AS BIGINT) AS indexed FROM orders")
+def hex_to_u64(spark, sf_dir):
+    rows = view.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("0x"), F.hex(F.col("o_custkey") * 1000003)).alias("a"), F.concat(F.lit("0x"), F.hex("o_custkey")).alias("b"))
+    return rows.select("o_orderkey", hexes.to_u64(F.col("a")).cast("bigint").alias("number"), hexes.to_index(F.col("b")).alias("indexed"))
+
+
+@query("SELECT o_custkey, lpad(lower(printf('%x', CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT))), 64, '0') AS total FROM orders GROUP BY 1")
+def u256_sum(spark, sf_dir):
+    rows = view.table(spark, sf_dir, "orders").select("o_custkey", hexes.u256_of(F.round(F.col("o_totalprice") * 100)).alias("v"))
+    sums = rows.groupBy("o_custkey").agg(*[s.alias(f"l{k}") for k, s in enumerate(hexes.sum_u256(F.col("v")))])
+    return sums.select("o_custkey", hexes.carried([F.col(f"l{k}") for k in range(hexes.LIMBS)]).alias("total"))
+
+
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS amount, '0x' || lpad(printf('%x', event_id), 40, '0') AS wallet FROM events")
+def abi_words(spark, sf_dir):
+    rows = view.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("0x"), hexes.u256_of(F.col("user_id")), hexes.u256_of(F.col("event_id"))).alias("data"))
+    return rows.select("event_id", hexes.abi_static(hexes.abi_word(F.col("data"), 0), "uint256").alias("amount"), hexes.abi_static(hexes.abi_word(F.col("data"), 1), "address").alias("wallet"))
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as raw payloads of blocks; every third transaction has no receipt."""
+    hexed = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
+    t = view.transactions(spark, sf_dir)
+    n, k = F.col("block_number"), F.col("transaction_index")
+    tx = F.struct(F.col("hash"), hexed(n).alias("blockNumber"), hexed(k).alias("transactionIndex"), F.col("from_address").alias("from"), F.col("to_address").alias("to"), hexed(F.col("value")).alias("value"), hexed(F.col("gas")).alias("gas"), F.col("data").alias("input"), F.lit("0x2").alias("type"))
+    log = F.struct(F.col("hash").alias("transactionHash"), hexed(k).alias("transactionIndex"), hexed(k * 2).alias("logIndex"), F.col("to_address").alias("address"), F.array(F.md5("from_address"), F.col("from_address")).alias("topics"), F.lit("0x").alias("data"))
+    receipt = F.when(k % 3 != 0, F.struct(F.col("hash").alias("transactionHash"), hexed(F.col("gas") * 2).alias("gasUsed"), F.lit("0x1").alias("status"), F.array(log).alias("logs")))
+    rows = t.groupBy("block_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("transaction_index", tx.alias("x")))), lambda v: v["x"]).alias("transactions"), F.collect_list(receipt).alias("receipts"))
+    block = F.struct(hexed(n).alias("number"), F.md5(n.cast("string")).alias("hash"), F.lit("0x5f5e100").alias("timestamp"), F.lit("0x").alias("logsBloom"), F.col("transactions"))
+    return rows.select(F.lit(1).cast("bigint").alias("chain_id"), "block_number", F.to_json(block).alias("block"), F.to_json("receipts").alias("receipts"), F.lit(None).cast("string").alias("logs"), F.lit(None).cast("string").alias("traces"), F.lit(None).cast("string").alias("error"))
+
+
+@query("SELECT block_number, transaction_index, hash, from_address, to_address, lpad(printf('%x', value), 64, '0') AS value, substr(data, 1, 10) AS function_selector, CASE WHEN transaction_index % 3 <> 0 THEN gas * 2 END AS gas_used, CASE WHEN transaction_index % 3 <> 0 THEN 1 END AS status FROM transactions")
+def normalize_transactions(spark, sf_dir):
+    rows = normalize.transactions(_raw(spark, sf_dir))
+    return rows.select("block_number", "transaction_index", "hash", "from_address", "to_address", "value", "function_selector", F.col("gas_used").cast("bigint").alias("gas_used"), F.col("status").cast("int").alias("status"))
+
+
+@query("SELECT block_number, transaction_index, 2 * transaction_index AS log_index, to_address AS address, md5(from_address) AS topic_0, from_address AS topic_1, '' AS topic_2 FROM transactions WHERE transaction_index % 3 <> 0")
+def normalize_logs(spark, sf_dir):
+    return normalize.logs(_raw(spark, sf_dir)).select("block_number", "transaction_index", "log_index", "address", "topic_0", "topic_1", "topic_2")
+
+
+@query("SELECT block_number, md5(CAST(block_number AS VARCHAR)) AS hash, count(*) AS transaction_count FROM transactions GROUP BY block_number")
+def normalize_blocks(spark, sf_dir):
+    return normalize.blocks(_raw(spark, sf_dir)).select("block_number", "hash", "transaction_count")
+
+
+@query(None)
+def computed_blooms(spark, sf_dir):
+    """Blooms of the logs' hex topics; keccak has no SQL form, the tests have a brute-force version."""
+    from chainloom.functions.keccak import block_blooms
+
+    hexed = lambda c: F.concat(F.lit("0x"), F.md5(c))
+    rows = view.logs(spark, sf_dir).select("chain_id", "block_number", hexed(F.col("address")).alias("address"), F.concat(F.lit("0x"), "topic_0").alias("topic_0"), hexed(F.col("topic_1")).alias("topic_1"), F.lit("").alias("topic_2"), F.lit("").alias("topic_3"))
+    return block_blooms(rows)
