@@ -5,7 +5,8 @@ ordered by a global order: hash, with the most frequent n-grams of the whole cor
 Two sets that reach the threshold share an n-gram of their prefixes; such a bucket isn't turned into all its pairs:
 
 1. Every member is paired with the bucket's least member. Size and a parity sketch (whose Hamming distance never exceeds
-   the sets' difference) drop pairs that can't link; the rest are verified, and components of the links are formed.
+   the sets' difference) drop pairs that can't link. Of each member's pairs the one with the least partner is verified,
+   components of the links are formed, and of the other pairs those between components are verified.
 2. Only pairs of a bucket that lie in different components remain. The same bounds are part of the join's condition, and
    what passes is verified too. So copies and near copies of a text, however many, cost a number of pairs in proportion
    to their number, and no link between different components is lost.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,58 +148,72 @@ def walk(one: np.ndarray, others: list[tuple[object, np.ndarray]], percent: int)
                 yield key
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold. sets: id, grams (little-endian sorted bytes)."""
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the threshold. texts: id, packed (compressed text, several times smaller than its n-grams)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, owner, own = [], None, None
+        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        block, owner, own, held = [], None, None, {}
+
+        def set_of(packed: bytes) -> np.ndarray:
+            return grams(unpack.decompress(packed).translate(LOWER).split(), n, hashes)
 
         def found():
-            one = np.frombuffer(own, "<u8")
-            links = list(walk(one, [(k, np.frombuffer(g, "<u8")) for k, g in block], percent))
+            links = list(walk(own, block, percent))
             return pa.record_batch([pa.array([owner] * len(links), pa.int64()), pa.array(links, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                a, mine = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                if block and (a != owner or mine != own or len(block) >= BLOCK):
+                a = batch.column(0)[i].as_py()
+                if block and (a != owner or len(block) >= BLOCK):
                     yield found()
                     block = []
-                owner, own = a, mine
-                block.append((batch.column(1)[i].as_py(), batch.column(3)[i].as_py()))
+                if a != owner:
+                    if a not in held:
+                        held = held if len(held) < 64 else {}
+                        held[a] = set_of(batch.column(2)[i].as_py())
+                    owner, own = a, held[a]
+                block.append((batch.column(1)[i].as_py(), set_of(batch.column(3)[i].as_py())))
         if block:
             yield found()
 
-    theirs = pairs.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("theirs")), "b")
-    both = theirs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("mine")), "a")
+    theirs = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("theirs")), "b")
+    both = theirs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("mine")), "a")
     return both.select("a", "b", "mine", "theirs").mapInArrow(rows, "a long, b long")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """id and grams of the documents in ids (a written table of distinct ids), from their texts.
+def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and compressed text of the documents in ids (a written table of distinct ids), one row an id.
 
     Up to BROADCAST_IDS counted ids are broadcast, so texts aren't shuffled; beyond, both sides are shuffled by id.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        press = zstandard.ZstdCompressor(3)
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([grams(lower_words(t.as_py()), n, hashes).astype("<u8").tobytes() for t in b.column(1)], pa.binary())], names=["id", "grams"])
+            yield pa.record_batch([b.column(0), pa.array([press.compress(utf8(t.as_py())) for t in b.column(1)], pa.binary())], names=["id", "packed"])
 
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return written(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(rows, "id long, grams binary"))
+    return written(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(rows, "id long, packed binary"))
 
 
 def links_among(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The verified pairs, a written table."""
     pairs = written(pairs)
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    return written(verified(pairs, sets_of(docs, ids, n), percent))
+    return written(verified(pairs, packed_texts(docs, ids), n, percent).distinct())
+
+
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends aren't in one component yet."""
+    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, the least id that links lead to, and n_links, those verified to its representative."""
+    """Per row: id, n_shingles, component_id, the least id that links lead to, and n_links, the verified links of its representative."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hot = frequent(docs, n).toArrow().column("gram").to_numpy().view(np.uint64)[::-1].copy()
     table = written(sketches(docs, n, percent, hot))
@@ -214,18 +230,21 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id
 
     star = met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     star = star.alias("p").join(of.alias("y"), F.col("p.b") == F.col("y.id")).join(of.alias("x"), (F.col("p.a") == F.col("x.id")) & can_link("x", "y", percent)).select("a", "b")
-    first = links_among(docs, star, n, percent)
-    groups = written(components(first))
+    star = written(star)
+    links = links_among(docs, star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n, percent)
+    groups = written(components(links))
+    links = links.union(links_among(docs, apart(star, groups), n, percent))
+    groups = written(components(links))
 
     rest = met.where("n > 2 and id <> low").join(groups, F.col("id") == F.col("node"), "left").select("gram", "id", F.coalesce("component", "id").alias("component"))
     spread = rest.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("gram", "c0")
     rest = written(rest.join(spread, "gram").join(of, "id"))
     pair = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & can_link("x", "y", percent)
     late = rest.alias("x").join(rest.alias("y"), pair).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    second = links_among(docs, late, n, percent)
-    links = first.union(second)
-    if second.limit(1).count():
-        groups = written(components(first.union(second)))
+    last = links_among(docs, late, n, percent)
+    if last.limit(1).count():
+        links = links.union(last)
+        groups = written(components(links))
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
 
     out = table.select("id", "size").join(F.broadcast(copies) if few else copies, "id", "left").withColumn("own", F.coalesce("rep", "id"))
