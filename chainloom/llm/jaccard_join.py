@@ -7,8 +7,9 @@ Two sets that reach the threshold share an n-gram of their prefixes; such a buck
 1. Every member is paired with the bucket's least member. Size and a parity sketch (whose Hamming distance never exceeds
    the sets' difference) drop pairs that can't link. Of each member's pairs the one with the least partner is verified,
    components of the links are formed, and of the other pairs those between components are verified.
-2. Only pairs of a bucket that lie in different components remain. The same bounds are part of the join's condition, and
-   what passes is verified too. So copies and near copies of a text, however many, cost a number of pairs in proportion
+2. Only pairs of a bucket that lie in different components remain. The same bounds are part of the join's condition;
+   pairs are counted by the n-grams their prefixes share, those with too few for a link are dropped (a pair of which one
+   is a bucket's least member has been decided before), and what passes is verified too. So copies and near copies of a text, however many, cost a number of pairs in proportion
    to their number, and no link between different components is lost.
 
 Verification puts the sets to be compared with one set into a prefix tree (sorted sequences with the lengths they share)
@@ -117,6 +118,15 @@ def can_link(x: str, y: str, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart * (100 + percent) <= (a + b) * (100 - percent))
 
 
+def can_reach(percent: int) -> Column:
+    """Whether n_shared n-grams in both prefixes leave room for a link of sets of `small` and `large` n-grams.
+
+    What isn't in both prefixes lies behind the prefix that ends first, and so is at most what follows it.
+    """
+    behind = F.ceil(F.col("large") * percent / 100) - 1
+    return (F.col("n_shared") + behind) * (100 + percent) >= (F.col("small") + F.col("large")) * percent
+
+
 def walk(one: np.ndarray, others: list[tuple[object, np.ndarray]], percent: int) -> Iterator[object]:
     """Keys of the sorted sets `others` that link with `one`.
 
@@ -240,7 +250,8 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id
     spread = rest.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("gram", "c0")
     rest = written(rest.join(spread, "gram").join(of, "id"))
     pair = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & can_link("x", "y", percent)
-    late = rest.alias("x").join(rest.alias("y"), pair).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    ids = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.size", "y.size").alias("small"), F.greatest("x.size", "y.size").alias("large")]
+    late = rest.alias("x").join(rest.alias("y"), pair).groupBy(*ids).agg(F.count("*").alias("n_shared")).where(can_reach(percent)).select("a", "b").distinct()
     last = links_among(docs, late, n, percent)
     if last.limit(1).count():
         links = links.union(last)
