@@ -1,0 +1,345 @@
+"""Each operator against a plain version, over a whole table and over rows with nulls, ties, long and empty texts."""
+
+import hashlib
+import random
+from collections import defaultdict
+
+import brute
+import numpy as np
+import public_tokenizers
+import pytest
+from chainloom.llm import components, decontaminate, html_text, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_files, warc
+from chainloom.llm.common import shared_dir, written
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+r = random.Random(5)
+PASSAGE = " ".join(f"w{k}" for k in range(60))
+LONG = " ".join(f"{r.choice('abcdefgh')}{r.randint(0, 400)}" for _ in range(20_000))
+EDGE = [
+    (1, PASSAGE + " end of one."), (2, None), (3, ""), (4, " \t\n "), (5, "start of five: " + PASSAGE), (6, PASSAGE + " end of one."), (7, "one two"), (8, LONG), (9, LONG + " " + PASSAGE),
+    (10, "One TWO"), (11, "a b c d e f g h i j k l m n o p " * 8), (12, "Écrit à bob.12@mail.example.com, +1 (555) 010-4477 ou 10.0.0.300 et 10.1.2.3.\nTel 4111 1111 1111 1111"),
+    (13, "it's 5's x <|endoftext|> \U0001f600 \x1c y　z"), (14, LONG.replace("a1 ", "A1 ")),
+]
+
+
+@pytest.fixture(scope="session")
+def edge(spark):
+    """Edge rows with null and clashing columns; one partition a few rows."""
+    rows = [(d, t, None, None, 5, "x", 3.5, [1]) for d, t in EDGE]
+    return written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, size double, words array<int>").repartition(3))
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def plain(docs):
+    return [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="session")
+def empty(edge):
+    return edge.limit(0)
+
+
+def by_id(df, *columns, key="doc_id"):
+    rows = df.select(key, *columns).collect()
+    assert len({x[0] for x in rows}) == len(rows)
+    return {x[0]: tuple(x)[1:] for x in rows}
+
+
+def each(docs, plain, edge):
+    return ((docs, plain), (edge, EDGE))
+
+
+def test_substring_dedup(docs, plain, edge, empty):
+    for df, rows in each(docs, plain, edge):
+        got = by_id(substring_dedup.deduplicated(df).withColumn("h", F.sha2("kept_text", 256)), "n_words", "n_removed", "h")
+        assert got == brute.substring_dedup(rows)
+    assert substring_dedup.deduplicated(empty).count() == 0
+
+
+def test_substring_dedup_hot_anchors_and_reference(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    rows = [(d, " ".join(r.choice(["x", "y"]) if r.random() < 0.02 else w for w in PASSAGE.split())) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(substring_dedup.deduplicated(df).withColumn("h", F.sha2("kept_text", 256)), "n_words", "n_removed", "h") == brute.substring_dedup(rows)
+    got = by_id(substring_dedup.without(df, spark.createDataFrame([(PASSAGE,), (None,)], "text string")), "n_removed")
+    grams = {tuple(PASSAGE.split()[i : i + 13]) for i in range(48)}
+    for d, text in rows:
+        w = text.split()
+        assert got[d][0] == len({k for i in range(len(w) - 12) if tuple(w[i : i + 13]) in grams for k in range(i, i + 13)})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=30), min_size=1, max_size=5), st.lists(st.sampled_from("abcd"), max_size=30))
+def test_suffix_automaton(owned, text):
+    a = substring_dedup.SuffixAutomaton()
+    for owner, seq in enumerate(owned):
+        a.add(seq, owner)
+    want = []
+    for i in range(len(text) - 2):
+        w = text[i : i + 3]
+        want.append(min((o for o, s in enumerate(owned) if any(s[j : j + 3] == w for j in range(len(s) - 2))), default=None))
+    assert a.close().owners(text, 3) == want
+
+
+def test_token_files(spark, docs, plain, edge, empty):
+    for df, rows in each(docs, plain, edge):
+        path = shared_dir(spark)
+        manifest = token_files.write_tokens(df, path, public_tokenizers.path("word_bpe_49k.json"), 1)
+        start, want = 0, {}
+        for d, text in sorted(rows):
+            ids = brute.token_ids(text, "word_bpe_49k.json", 1)
+            want[d] = (start, len(ids), brute.crc(ids))
+            start += len(ids)
+        assert by_id(token_files.read_documents(manifest, path), "start", "n_tokens", "ids_crc32") == want
+        part = manifest.first()
+        ids, mask = token_files.PartReader(path, part["name"]).sequence(0)
+        assert len(ids) == token_files.SEQ_LEN == len(mask) and mask.sum() == min(part.n_tokens, token_files.SEQ_LEN)
+    path = shared_dir(spark)
+    assert token_files.read_documents(token_files.write_tokens(empty, path, public_tokenizers.path("word_bpe_49k.json"), 1), path).count() == 0
+
+
+def test_packing(docs, plain, edge, empty):
+    for df, rows in each(docs, plain, edge):
+        got = packing.pack(written(packing.cut(df, public_tokenizers.path("byte_bpe_50k.json"), 2))).collect()
+        pieces, bins, total = defaultdict(list), defaultdict(list), 0
+        for x in got:
+            pieces[x.doc_id].append(x)
+            bins[x.sequence_id].append(x)
+        for d, text in rows:
+            ids = brute.token_ids(text, "byte_bpe_50k.json", 2)
+            total += len(ids)
+            own = sorted(pieces[d], key=lambda x: x.piece)
+            assert [x.piece for x in own] == list(range(len(own))) and sum(x.length for x in own) == len(ids)
+            assert all(x.ids_crc32 == brute.crc(ids[x.start : x.start + x.length]) for x in own) and (len(ids) > 1024 or len(own) == 1)
+        for b in bins.values():
+            at = 0
+            for x in sorted(b, key=lambda x: x.offset):
+                assert x.offset == at
+                at += x.length
+            assert at <= 1024
+        assert len(bins) <= total / 1024 * 1.02 + 2
+    assert packing.pack(written(packing.cut(empty, public_tokenizers.path("byte_bpe_50k.json"), 2))).count() == 0
+
+
+def test_open_bins_close_the_fullest():
+    bins = packing.OpenBins(10, 2)
+    assert [bins.place(n) for n in (6, 7, 5)] == [(0, 0), (1, 0), (2, 0)]
+    assert bins.place(3) == (0, 6) and bins.place(5) == (2, 5)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab9.@-+ ()%_\n1305", max_size=60))
+def test_base_patterns(text):
+    assert pii.base_spans(text) == brute.base_pii(text)
+
+
+def test_pii(docs, plain, edge, empty):
+    for df, rows in each(docs, plain, edge):
+        got = by_id(pii.find_pii(df), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+        for d, text in rows:
+            base = brute.base_pii(text)
+            joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+            assert got[d][:5] == (*(sum(k == x for k, _, _ in base) for x in pii.KINDS), hashlib.sha256(joined.encode()).hexdigest())
+            assert {f"{k}:{s}:{e}" for k, s, e in base} <= set(got[d][5].split(","))
+    assert pii.find_pii(empty).count() == 0
+    good = total = found = 0
+    for text, spans in pii.examples(300, seed=99):
+        mine = set(pii.found_spans(text, pii.model())[1])
+        good, total, found = good + len(mine & set(spans)), total + len(spans), found + len(mine)
+    assert good / total > 0.9 and good / found > 0.85
+    masked = by_id(pii.masked(edge), "text")
+    assert "bob.12@" not in masked[12][0] and masked[2] == (None,)
+
+
+def brute_regions(region, weights):
+    """The best segmentation by trying all."""
+    scores, n = region.scores(weights), len(region.tokens)
+
+    def best(i):
+        if i == n:
+            return 0.0
+        return max([best(i + 1), *(float(scores[k].max()) + best(j) for k, (a, j) in enumerate(region.spans) if a == i)])
+
+    return best(0)
+
+
+def test_segmentation_is_best():
+    w = np.random.default_rng(3).normal(0, 1, (pii.N_WEIGHTS, len(pii.LABELS) - 1))
+    for text in ("call +1 555 010 22 now", "id 5 6 @b 7.", "none", ""):
+        region = pii.Region(text, 0, len(text))
+        at = {(region.tokens[i][1], region.tokens[j - 1][2]): k for k, (i, j) in enumerate(region.spans)}
+        got = sum(float(region.scores(w)[at[s, e], pii.LABELS.index(kind) - 1]) for kind, s, e in region.best(w))
+        assert got == pytest.approx(brute_regions(region, w))
+
+
+def test_decontaminate(spark, docs, edge, empty):
+    item = "Tom bought 12 apples and 7 pears at the market near his house for 30 dollars on a sunny day in spring"
+    other = "the quick brown foxes of the northern hills never jump over lazy dogs because they prefer to sleep all day"
+    bench = spark.createDataFrame([(1, item), (2, other), (3, None), (4, "too short")], "item_id long, text string")
+    rows = [
+        (1, "Some words first. " + item + " and more after it."), (2, item.replace("12", "45").replace("7", "9").replace("30", "88")), (3, other.upper().lower()),
+        (4, "Nothing of that kind is here, only a text about 12 apples and 7 pears."), (5, None), (6, ""), (7, item), (7, item),
+    ]
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (2, 1), (3, 2), (7, 1)]
+    far = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, max_broadcast=0).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, far)) == sorted(map(tuple, found))
+    assert decontaminate.contaminated(edge, bench).count() == 0 and decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(edge, bench.limit(0)).count() == 0
+    real = spark.read.parquet(f"{SF}/benchmark.parquet")
+    texts = {x.item_id: x.text for x in real.collect()}
+    hits = set(map(tuple, decontaminate.contaminated(docs, real).select("doc_id", "item_id").collect()))
+    for x in docs.collect():
+        for k, t in texts.items():
+            if t and len(t.split()) >= 13 and t in (x.text or ""):
+                assert (x.doc_id, k) in hits
+
+
+def test_slots_must_agree(spark):
+    item = spark.createDataFrame([(1, "give 5 coins to the old man and then 5 more coins to the other old man at the gate")], "item_id long, text string")
+    texts = ["give 8 coins to the old man and then 8 more coins to the other old man at the gate", "give 8 coins to the old man and then 9 more coins to the other old man at the gate"]
+    got = decontaminate.contaminated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), item).select("doc_id").collect()
+    assert [x.doc_id for x in got] == [0]
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        (None, None), ("", ""), ("<p>a<p>b", "a\n\nb"), ("<ul><li>x<li>y<ol start=3><li>z</ol></ul>", "- x\n- y\n  3. z"), ("a<script>no()</script><b hidden>no</b> c", "a c"),
+        ("<table><tr><th>n<td>long one<tr><td>longer<td>2</table>", "n       long one\nlonger  2"), ("<pre>a\n  b</pre>", "a\n  b"), ("1 < 2 &amp; 3<br>x", "1 < 2 & 3\nx"), ("<div style='display:none'>no</div><div>yes</div>", "yes"),
+        ("<div>" * 400 + "deep" + "</div>" * 400, "deep"),
+    ],
+)
+def test_html(source, text):
+    assert html_text.visible_text(source) == text
+
+
+def test_html_table(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = by_id(html_text.extracted(pages), "text", key="page_id")
+    assert len(got) == pages.count() and all(t for t, in got.values())
+    assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+def test_quality_rules(docs, plain, edge, empty):
+    for df, rows in each(docs, plain, edge):
+        got = by_id(quality_rules.rate_lines(df), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+        for d, text in rows:
+            want = brute.quality(text)
+            assert got[d][:6] == want and not (want[5] and got[d][6])
+    assert quality_rules.rate_lines(empty).count() == 0
+
+
+def test_warc(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
+    big = "".join(f"<p>{k}</p>" for k in range(9000))
+    more = spark.createDataFrame([(10_001, None, None), (10_002, "u", ""), (10_003, "a b", big), (10_004, "u", big), (10_005, "u", "tiny"), (10_006, "u", "tiny")], "page_id long, url string, html string")
+    pages = written(pages.union(more))
+    path = shared_dir(spark)
+    got = by_id(warc.read_archives(warc.write_archives(pages, path), path), "payload_bytes", "payload_digest", "record_type", "refers_to", key="page_id")
+    rows = [(x.page_id, (x.html or "").encode()) for x in pages.collect()]
+    last = {}
+    for k, p in rows:
+        last[p] = max(k, last.get(p, k))
+    for k, p in rows:
+        revisit = len(p) >= 1000 and last[p] != k
+        assert got[k] == (len(p), hashlib.sha1(p).hexdigest(), "revisit" if revisit else "response", last[p] if revisit else None)
+    records = warc.read_records(warc.write_archives(more.where("page_id = 10003"), path), path)
+    assert records.where("kind = 'continuation'").count() > 3
+    broken = warc.reassembled(records.where("coalesce(number, 0) <> 2")).collect()
+    assert [x.payload for x in broken] == [None]
+    empty = shared_dir(spark)
+    assert warc.read_archives(warc.write_archives(more.limit(0), empty), empty).count() == 0
+
+
+def near(seed):
+    q = random.Random(seed)
+    base = [[f"v{q.randint(0, 30)}" for _ in range(q.randint(3, 120))] for _ in range(6)]
+    rows = []
+    for d in range(70):
+        w = list(q.choice(base))
+        for _ in range(q.choice([0, 0, 1, 1, 2, 5])):
+            w[q.randrange(len(w))] = f"n{q.randint(0, 5)}"
+        rows.append((d, " ".join(w)))
+    return rows
+
+
+def test_jaccard(spark, docs, plain, edge, empty):
+    for df, rows in each(docs, plain, edge):
+        assert by_id(jaccard_join.linked(df), "n_shingles", "component_id") == brute.jaccard(rows)
+    assert jaccard_join.linked(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_random(spark, seed):
+    rows = near(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_id(jaccard_join.linked(df), "n_shingles", "component_id") == brute.jaccard(rows)
+    assert by_id(jaccard_join.linked(df, 5, 80), "n_shingles", "component_id") == brute.jaccard(rows, 5, 80)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=2, max_size=8))
+def test_prefix_tree(sets):
+    one, *others = [np.array(sorted(s), np.uint64) for s in sets]
+    want = {k for k, s in enumerate(others) if 100 * len(np.intersect1d(one, s)) >= 85 * len(np.union1d(one, s))}
+    assert set(jaccard_join.walk(one, list(enumerate(others)), 85)) == want
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(0, 60) if k % 20 != 19] + [(100, k) for k in range(101, 140)] + [(7, 7)]
+    got = by_id(components.components(spark.createDataFrame(edges, "a long, b long")), "component", key="node")
+    assert got == {k: (k - k % 20,) for k in range(60)} | {k: (100,) for k in range(100, 140)}
+
+
+def test_quality_model(spark, docs, edge):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    big = written(quality_model.with_statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    forest = quality_model.train(big, known)
+    rows = quality_model.scored(big, forest).join(known, "doc_id").where(quality_model.held_out()).select("score", "quality").collect()
+    good, bad = ([x.score for x in rows if x.quality == q] for q in (1, 0))
+    auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+    assert auc > 0.9
+    scores = by_id(quality_model.scored(quality_model.with_statistics(edge), forest), "score")
+    assert len(scores) == len(EDGE) and all(0 <= s <= 1 for s, in scores.values()) and scores[2] == scores[3]
+    assert quality_model.train(big, labels.limit(0)).score(np.zeros((1, quality_model.N_STATISTICS)))[0] == pytest.approx(0.5)
+    x = np.array(big.limit(20).toPandas()["stats"].tolist())
+    for row, s in zip(x, forest.score(x)):
+        total = forest.start
+        for f, t, leaf in zip(forest.feature, forest.threshold, forest.leaf):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + (row[f[node]] > t[node])
+            total += leaf[node - len(f)]
+        assert s == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_pipeline(spark, docs):
+    """Each stage against its plain version on its own input."""
+    import corpus_pipeline as p
+
+    stages = dict(p.STAGES)
+    assert list(stages) == ["quality", "near_duplicates", "benchmark_passages", "personal_data", "packing"]
+    now = docs
+    for name, stage in p.STAGES:
+        out = written(stage(spark, now, SF))
+        rows = [(x.doc_id, x.text) for x in now.collect()]
+        ids = {x.doc_id for x in out.select("doc_id").collect()}
+        if name != "packing":
+            assert out.columns == docs.columns
+        if name == "near_duplicates":
+            assert ids == {d for d, (_, c) in brute.jaccard(rows, 5, 80).items() if c == d}
+        if name == "benchmark_passages":
+            hits = {x.doc_id for x in decontaminate.contaminated(now, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+            assert ids == {d for d, _ in rows} - hits
+        if name in ("personal_data", "packing"):
+            assert ids == {d for d, _ in rows}
+        now = out
