@@ -77,7 +77,7 @@ def publish_files(spark: SparkSession, source: str, sink: str, checkpoint: str,
         finally:
             rows.unpersist()
 
-    files = spark.readStream.schema(STAGED).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+    files = spark.readStream.schema(STAGED).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
