@@ -19,7 +19,7 @@ from chainloom.streaming.publish import materialised, messages, opened, replacem
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 LOW, HIGH = 100, 900
-NOW = F.lit("2001-06-01 00:00:00").cast("timestamp_ntz")
+NOW = "2001-06-01 00:00:00"
 
 
 def query(sql: str | None):
@@ -79,7 +79,7 @@ def max_block(blocks, transactions, logs):
 @query("SELECT coalesce(max(block_number), 0) AS max_block FROM blocks WHERE block_timestamp <= TIMESTAMP '2001-06-01' - INTERVAL 1 DAY")
 @views
 def block_days_ago(blocks, transactions, logs):
-    return blocks.where(F.col("block_timestamp") <= NOW - F.expr("INTERVAL 1 DAY")).agg(F.coalesce(F.max("block_number"), F.lit(0)).cast("bigint").alias("max_block"))
+    return blocks.where(F.col("block_timestamp") <= F.lit(NOW).cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")).agg(F.coalesce(F.max("block_number"), F.lit(0)).cast("bigint").alias("max_block"))
 
 
 @query("SELECT block_number, transaction_index, hash, from_address, to_address, value FROM transactions")
