@@ -264,4 +264,4 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(read(spark, sf_dir, "documents"))
+    return linked(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

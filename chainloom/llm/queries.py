@@ -1,10 +1,11 @@
-"""The queries of this subpackage, by name."""
+"""The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .html_text import op6_html_text
 from .jaccard_join import op9_jaccard_join
+from .oracle import ORACLE_SQL
 from .packing import op3_packing
 from .pii import op4_pii
 from .quality_model import op10_quality_classifier
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
