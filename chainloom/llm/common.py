@@ -71,6 +71,48 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: 64-bit values of bytes, the base of the polynomial over a word's bytes and its inverse.
+BYTE_VALUES = np.random.default_rng(2026).integers(0, 1 << 64, 256, np.uint64)
+BASE = 0x9E3779B97F4A7C15
+IS_SPACE = np.isin(np.arange(256), [*SPACES.encode()])
+HASHED_BYTES = 1 << 20
+_separator = re.compile(SPACE.encode())
+_powers = {x: np.ones(1, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd base, kept for further texts."""
+    if len(_powers[base]) < n:
+        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        _powers[base] = np.cumprod(steps)
+    return _powers[base][:n]
+
+
+def text_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of a text, without making the words: differences of running sums over its bytes.
+
+    Longer texts than HASHED_BYTES go by parts that end at a separator; a word's hash doesn't depend on its place.
+    """
+    if not text:
+        return np.zeros(0, np.uint64)
+    if len(text) > HASHED_BYTES:
+        ends = [0]
+        while ends[-1] < len(text):
+            cut = _separator.search(text, ends[-1] + HASHED_BYTES // 2)
+            ends.append(cut.end() if cut else len(text))
+        if len(ends) > 2:
+            return np.concatenate([text_hashes(text[a:b]) for a, b in zip(ends, ends[1:])])
+    b = np.frombuffer(text, np.uint8)
+    space = np.concatenate([[True], IS_SPACE[b], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[b] * powers(BASE, len(b)), out=sums[1:])
+    out = (sums[ends] - sums[starts]) * powers(pow(BASE, -1, 1 << 64), len(b))[starts]
+    return out ^ (out >> np.uint64(32))
+
+
 def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     """A 64-bit hash of each k consecutive items."""
     n = len(hashes) - k + 1

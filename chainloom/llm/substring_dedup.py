@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, read, runs, utf8, written
+from .common import read, runs, text_hashes, utf8, written
 
 MIN_WORDS, ANCHOR, HOT = 13, 5, 2000
 BROADCAST_IDS, COMBINED, REFERENCE_WORDS, SHARD_WORDS = 1_000_000, 100_000, 2_000_000, 50_000
@@ -127,11 +127,10 @@ def spread(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                keys, at = anchors(hashes.of(utf8(text.as_py()).split()))
+                keys, at = anchors(text_hashes(utf8(text.as_py())))
                 if len(at):
                     found.append(np.unique(keys[at]))
                     owners.append(np.full(len(found[-1]), doc_id, np.int64))
@@ -144,7 +143,7 @@ def _segments(docs: DataFrame) -> DataFrame:
     """key, sh (hash of the segment), id, th, pos and seg, for docs with packed text and lists of shared anchors."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
         names = ["key", "sh", "id", "th", "pos", "seg"]
         types = [pa.int64()] * 5 + [pa.binary()]
         signed = lambda b: xxhash.xxh3_64_intdigest(b) - (1 << 63)
@@ -152,8 +151,9 @@ def _segments(docs: DataFrame) -> DataFrame:
             out = []
             for i in range(b.num_rows):
                 doc_id, th, packed, shared, hot = (c[i].as_py() for c in b.columns)
-                words = unpack.decompress(packed).split()
-                keys, at = anchors(hashes.of(words))
+                text = unpack.decompress(packed)
+                words = text.split()
+                keys, at = anchors(text_hashes(text))
                 known = np.isin(keys[at], np.array(shared, np.int64).view(np.uint64))
                 busy = np.isin(keys[at], np.array(hot, np.int64).view(np.uint64))
                 cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []

@@ -19,3 +19,17 @@ def test_oracle(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(want.fetchall())
+
+
+def test_text_hashes():
+    from chainloom.llm.common import text_hashes
+
+    texts = [b"", b" ", b"\n\n", b"a", b" a  b\ta\x0bab ba \xc3\xa9 ", b"x" * 200_000 + b" a", b"a\x1cb a b", b"ab cd " * 300_000, b"y" * 1_500_000]
+    seen = {}
+    for text in texts:
+        words = text.split()
+        found = text_hashes(text)
+        assert len(found) == len(words)
+        for word, h in zip(words, found.tolist()):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
