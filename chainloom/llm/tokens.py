@@ -55,7 +55,7 @@ class Encoder:
 
     def chunk(self, text: str) -> bytes:
         if not self.lowers:
-            return self.piece(text) if text[1:].isalpha() else b"".join(map(self.piece, self.pattern.findall(text)))
+            return self.piece(text) if (text[1:] if text[0] == " " else text).isalpha() else b"".join(map(self.piece, self.pattern.findall(text)))
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)

@@ -8,11 +8,12 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from chainloom.llm import components, decontaminate, html_text, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_files, warc
+from chainloom.llm import components, decontaminate, html_text, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_files, tokens, warc
 from chainloom.llm.common import shared_dir, written
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
 r = random.Random(5)
@@ -129,6 +130,13 @@ def test_packing(docs, plain, edge, empty):
     assert packing.pack(written(packing.cut(empty, public_tokenizers.path("byte_bpe_50k.json"), 2))).count() == 0
 
 
+@pytest.mark.parametrize("text", ["'start", "x\n'msg 'same\t'more", "'s", "'tis\n\n'llama 'd'dog", "1abc\n(abc\n-é\n'é 've", "\x1c'start"])
+def test_lines_that_open_with_an_apostrophe(text):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert tokens.Encoder(path).encode(text).tolist() == want
+
+
 def test_open_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 5)] == [(0, 0), (1, 0), (2, 0)]
