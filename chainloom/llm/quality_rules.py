@@ -28,20 +28,29 @@ def repeated_words(w: Column, h: Column) -> Column:
     """How many words lie in 3-word windows found twice or more. w: words, h: their hashes (columns of the row).
 
     Windows are sorted as one long each, hash above position, so that equal ones are neighbours: n log n for any text.
-    Neighbours of equal hash count only if their words are equal.
+    Neighbours of equal hash count only if their words are equal. Where neighbours of equal hash have other words, or
+    positions don't fit, windows are sorted again by hash and words, which keeps equal ones neighbours whatever the hash.
     """
     n = F.size(w)
     at = lambda a, i: F.get(a, i)
     low = F.lit((1 << POSITION_BITS) - 1)
     keys = F.when(
-        n >= 3,
+        (n >= 3) & (n <= 1 << POSITION_BITS),
         F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.xxhash64(at(h, i), at(h, i + 1), at(h, i + 2)), POSITION_BITS).bitwiseOR(i.cast("long")))),
     )
 
-    def same(a: Column, b: Column) -> Column:
+    def near(a: Column, b: Column) -> Column:
+        return F.shiftright(a, POSITION_BITS) == F.shiftright(b, POSITION_BITS)
+
+    def equal(a: Column, b: Column) -> Column:
         p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
-        near = F.shiftright(a, POSITION_BITS) == F.shiftright(b, POSITION_BITS)
-        return near & (at(w, p) == at(w, q)) & (at(w, p + 1) == at(w, q + 1)) & (at(w, p + 2) == at(w, q + 2))
+        return (at(w, p) == at(w, q)) & (at(w, p + 1) == at(w, q + 1)) & (at(w, p + 2) == at(w, q + 2))
+
+    def same(a: Column, b: Column) -> Column:
+        return near(a, b) & equal(a, b)
+
+    def mixed(k: Column) -> Column:
+        return F.exists(F.sequence(F.lit(0), F.size(k) - 1), lambda j: near(at(k, j), at(k, j + 1)) & ~equal(at(k, j), at(k, j + 1)))
 
     def count(k: Column) -> Column:
         m = F.size(k)
@@ -49,11 +58,27 @@ def repeated_words(w: Column, h: Column) -> Column:
         starts = F.sort_array(F.transform(hit, lambda j: at(k, j).bitwiseAND(low)))
         return F.transform(F.array(starts), covered)[0]
 
+    def window(i: Column) -> Column:
+        parts = [at(w, i + j).alias(f"w{j}") for j in range(3)]
+        return F.struct(F.xxhash64(at(h, i), at(h, i + 1), at(h, i + 2)).alias("h"), *parts, i.cast("long").alias("pos"))
+
+    def counted_by_words(k: Column) -> Column:
+        same = lambda a, b: (a["h"] == b["h"]) & (a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"])
+        hit = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda j: F.coalesce(same(at(k, j), at(k, j + 1)), F.lit(False)) | F.coalesce((j > 0) & same(at(k, j), at(k, F.greatest(j - 1, F.lit(0)))), F.lit(False)))
+        starts = F.sort_array(F.transform(hit, lambda j: at(k, j)["pos"]))
+        return F.transform(F.array(starts), covered)[0]
+
+    def by_words() -> Column:
+        found = F.array(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window)))
+        return F.transform(found, counted_by_words)[0]
+
     def covered(p: Column) -> Column:
         ahead = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(F.lit(3).cast("long"), b - a))
         return F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(ahead, F.lit(3).cast("long"), lambda s, x: s + x))
 
-    return F.coalesce(F.transform(F.array(keys), count)[0], F.lit(0).cast("long"))
+    found = F.transform(F.array(keys), lambda k: F.when(mixed(k), by_words()).otherwise(count(k)))[0]
+    found = F.when(n > 1 << POSITION_BITS, by_words()).otherwise(found)
+    return F.coalesce(found, F.lit(0).cast("long"))
 
 
 def line_passes(line: Column) -> Column:

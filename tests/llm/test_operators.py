@@ -245,6 +245,16 @@ def test_quality_rules(docs, plain, edge, empty):
     assert quality_rules.rate_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [61, 3])
+def test_repeated_words_with_colliding_hashes(spark, monkeypatch, bits):
+    """3 bits of hash, so that other windows lie between equal ones; then positions that don't fit."""
+    monkeypatch.setattr(quality_rules, "POSITION_BITS", bits)
+    q = random.Random(7)
+    rows = [(d, " ".join(f"w{q.randint(0, 5)}" for _ in range(n))) for d, n in enumerate([0, 1, 2, 3, 7, 8, 9, 40, 80, 80, 200])] + [(11, None)]
+    got = by_id(quality_rules.rate_lines(spark.createDataFrame(rows, "doc_id long, text string")), "n_repeat_words")
+    assert got == {d: (brute.quality(text)[4],) for d, text in rows}
+
+
 def test_warc(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     big = "".join(f"<p>{k}</p>" for k in range(9000))
