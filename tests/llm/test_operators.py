@@ -217,6 +217,21 @@ def test_slots_must_agree(spark):
     assert [x.doc_id for x in got] == [0]
 
 
+@pytest.mark.parametrize("max_broadcast", [2_000_000, 0])
+def test_copies_of_dense_and_short_items(spark, max_broadcast):
+    dense, short, embedded, numbers = "Compute the mean of 3, 5, 8, 12, 15, 21, 34 and 55.", "What is the capital of France?", "Explain why the sky is blue on a clear day", "3 5 8 12 15 21 34 55 89 144"
+    bench = spark.createDataFrame([(1, dense), (2, short), (3, embedded), (4, numbers), (5, None), (6, " ... "), (7, "Bo Ann went out to see the old mill with Tom")], "item_id long, text string")
+    rows = [
+        (1, dense), (2, "the task is Compute the mean of 3, 5, 8, 12, 15, 21, 34 and 55. Go"), (3, "Compute the mean of 4, 6, 9, 13, 16, 22, 35 and 56."), (4, "Compute the mean of 3, 5, 8, 12, 15, 21."),
+        (5, "Quiz: what is the capital of France"), (6, "What is the capital of Spain?"), (7, "and they asked Explain why the sky is blue on a clear day please"), (8, "Explain why the sky is red on a clear day"),
+        (9, "seen 3 5 8 12 15 21 34 55 89 144 there"), (10, "seen 3 5 8 12 15 21 34 55 89 145 there"), (11, "Compute the mean of 4, 4, 9, 13, 16, 22, 35 and 56 and 4."), (12, None), (13, ""), (14, "so Bo Ann went out to see the old mill with Tom"),
+        (15, "Compute the mean of 3, 5, 8, 12, 15, 21, 34 and fifty."),
+    ]
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, max_broadcast=max_broadcast)
+    assert sorted((x.doc_id, x.item_id) for x in got.collect()) == [(1, 1), (2, 1), (3, 1), (5, 2), (7, 3), (9, 4), (11, 1), (14, 7)]
+    assert all(1 <= x.n_windows <= x.n_item_windows for x in got.collect())
+
+
 @pytest.mark.parametrize(
     ("source", "text"),
     [
