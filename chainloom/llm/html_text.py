@@ -1,6 +1,6 @@
 """Visible text of HTML pages by layout-aware rendering.
 
-A small tree builder (implied end tags, void and raw-text elements) feeds a renderer with visibility rules, block
+A small tree builder (implied end tags and rows, void and raw-text elements, content moved out of tables) feeds a renderer with visibility rules, block
 spacing, list markers, preformatted text and tables whose cells are aligned in columns. Each page is a row of its own:
 nothing is shuffled.
 
@@ -40,6 +40,10 @@ IMPLIED = {
     "option": (("option",), ("select", "optgroup")), "optgroup": (("option", "optgroup"), ("select",)),
     "rt": (("rt", "rp"), ("ruby",)), "rp": (("rt", "rp"), ("ruby",)), "body": (("head",), ("html",)),
 }
+#: Elements whose content is rows or cells only; what else stands there moves before the table, as in browsers.
+ROWED = frozenset("table thead tbody tfoot tr colgroup".split())
+#: Parts of a table, and the open elements that each stands in.
+PARTS = dict.fromkeys(("td", "th"), ROWED - {"colgroup"}) | {"tr": ROWED - {"tr", "colgroup"}, "col": frozenset(("table", "colgroup"))} | dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), frozenset(("table",)))
 TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?]))")
 HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -65,7 +69,36 @@ class Node:
             return False
         style = self.get("style") if "style" in self.attributes.lower() else None
         names = self.attributes.lower()
-        return bool(style and HIDES.search(style)) or ("hidden" in names and (self.get("hidden") is not None or (self.tag == "input" and (self.get("type") or "").lower() == "hidden"))) or ("aria-hidden" in names and self.get("aria-hidden") == "true")
+        return bool(style and HIDES.search(style)) or ("hidden" in names and (self.get("hidden") is not None or (self.tag == "input" and (self.get("type") or "").lower() == "hidden")))
+
+
+def table_of(stack: list[Node]) -> int:
+    """Where the table stands whose rows or cells come next; 0 if the innermost element isn't of that kind."""
+    return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table"), 0) if stack[-1].tag in ROWED else 0
+
+
+def add(stack: list[Node], x: Node | str) -> None:
+    """Put x into the innermost element, or before the table if it can't stand among rows or cells."""
+    moves = x.strip() if isinstance(x, str) else x.tag not in PARTS and not x.hidden()
+    k = table_of(stack) if moves else 0
+    if k:
+        stack[k - 1].children.insert(-1, x)
+    else:
+        stack[-1].children.append(x)
+
+
+def to_table(stack: list[Node], tag: str) -> None:
+    """End what a part of a table can't stand in, up to its row, section or table; a cell outside a row gets one."""
+    k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in ROWED or stack[k].tag in ("td", "th", "caption")), 0)
+    while k and stack[k].tag in ROWED and stack[k].tag not in PARTS[tag]:
+        k -= 1
+    if not k or stack[k].tag not in ROWED:
+        return
+    del stack[k + 1 :]
+    if tag in ("td", "th") and stack[k].tag != "tr" and len(stack) < DEPTH:
+        row = Node("tr")
+        stack[k].children.append(row)
+        stack.append(row)
 
 
 def tree(source: str) -> Node:
@@ -75,10 +108,10 @@ def tree(source: str) -> Node:
     while at < size:
         m = TAG.search(source, at)
         if m is None:
-            stack[-1].children.append(html.unescape(source[at:]))
+            add(stack, html.unescape(source[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(source[at : m.start()]))
+            add(stack, html.unescape(source[at : m.start()]))
         at = m.end()
         if m[1]:
             end = source.find("-->", at)
@@ -115,9 +148,14 @@ def tree(source: str) -> Node:
                     cut = k
             if cut is not None:
                 del stack[cut:]
+        among_rows = table_of(stack)
+        if tag in PARTS:
+            to_table(stack, tag)
+        elif tag == "table" and among_rows:
+            del stack[among_rows:]
         node = Node(tag, m[4])
-        stack[-1].children.append(node)
-        if tag in VOID or m[4].endswith("/") and tag in ("svg", "math"):
+        add(stack, node)
+        if tag in VOID or m[4].endswith("/") and tag in ("svg", "math") or tag == "form" and among_rows:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)

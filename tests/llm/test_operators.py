@@ -244,6 +244,27 @@ def test_html(source, text):
     assert html_text.visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<table><tbody><td>A</table>", "A"), ("<table><td>A<td>B<tr><td>C</table>", "A  B\nC"), ("<table><tr><form><td>x</td></form></tr></table>y", "x\n\ny"),
+        ("<table>a<tr>b<td>c</table>", "ab\n\nc"), ("<table><tbody><tr><div>x</div><td>y</table>", "x\n\ny"), ("<table><tr><div>x<td>y<p>z</table>", "x\n\ny z"), ("p<table><tbody>q<tr><td>r</td>s</tr>t</tbody>u</table>v", "pqstu\n\nr\n\nv"),
+        ("<table><tr><td><table><tr>i<td>j</table>k</table>", "i j k"), ("<table><colgroup>a<col><tr><td>b</table>", "a\n\nb"), ("<table><tr><td>a<table><td>b</table></table>", "a b"), ("<table><tr><caption>c</caption><td>d</table>", "c\nd"),
+        ("<table><tr><td>a</td><table><tr><td>b</table>", "a\n\nb"), ("<tr><td>a<td>b", "a b"), ("<div><b aria-hidden=true>x</b> y</div>", "x y"), ("<b hidden aria-hidden=true>x</b>y", "y"), ("<table><tr><script>n</script><b hidden>n</b><td>a</table>", "a"),
+    ],
+)
+def test_html_out_of_place_in_tables(source, text):
+    assert html_text.visible_text(source) == text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("<table> </table> <tr> </tr> <td> </td> <tbody> </tbody> <div> </div> <form> </form> <p> <li> <caption> <col> <colgroup> <b> word word".split()), max_size=25))
+def test_html_keeps_every_word(parts):
+    words = [f"w{k}" if x == "word" else x for k, x in enumerate(parts)]
+    got = html_text.visible_text(" ".join(words))
+    assert all(x in got.split() for x in words if x[0] == "w")
+
+
 def test_html_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = by_id(html_text.extracted(pages), "text", key="page_id")
