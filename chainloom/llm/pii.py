@@ -2,13 +2,14 @@
 
 Tokens of a region are segmented into entities of at most MAX_TOKENS tokens and other tokens. A candidate segment is
 scored by features of the whole span (shape, digits, checksum, letter mix, randomness, the words before it), label by
-label; bounded-entity dynamic programming finds the best segmentation, boundaries and types together. A segment without
-a digit or @ can be no entity, so only regions around such characters are decoded; that loses nothing. Weights are
+label; bounded-entity dynamic programming finds the best segmentation, boundaries and types together. A segment has
+a digit or @, or is the token after a cue word of secrets (`password=correcthorse`), so only regions around such characters
+and words are decoded; other segments are never candidates. Weights are
 fitted by conditional likelihood on generated sentences (`examples`), deterministic and the same on every machine.
 
 Base spans always stay; the field's spans are added where they overlap none. Null text counts as empty: no spans.
-Repeated rows are each judged alone; other columns are ignored. Regions are cut at REGION characters of one token run,
-and tokens of over MAX_CHARS characters are other tokens, so the work is linear in the text.
+Repeated rows are each judged alone; other columns are ignored. Regions reach to white space and don't overlap; a token
+of any length is a candidate, segments of several tokens have at most MAX_CHARS characters, so the work is linear in the text.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import read
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS, "secret", "id"]
-MAX_TOKENS, MAX_CHARS, REGION, N_WEIGHTS, N_FEATURES = 7, 120, 160, 4096, 16
+MAX_TOKENS, MAX_CHARS, REGION, N_WEIGHTS, N_FEATURES = 9, 120, 160, 4096, 16
 LOCAL = "".join(map(chr, range(128)))
 LOCAL = "".join(c for c in LOCAL if c.isalnum() or c in "._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -48,6 +49,14 @@ CUES = {
     "card": "card visa mastercard credit".split(),
 }
 CUE_OF = {w: k for k, ws in CUES.items() for w in ws}
+#: What a region stands around.
+HINT = re.compile(rf"[0-9@]|(?<![^\W_])(?:{'|'.join(CUES['secret'])})(?![^\W_])", re.I)
+MARKS = "=:\"'({["
+
+
+def cue_of(word: str) -> str | None:
+    """The kind that a lower-case word, or its last part, announces."""
+    return CUE_OF.get(word) or CUE_OF.get(word.rpartition("_")[2])
 
 
 def luhn(digits: str) -> bool:
@@ -99,8 +108,8 @@ def features(tokens: list[tuple[str, int, int]], i: int, j: int, text: str) -> l
     form = shape(span)
     tally = [span.count(c) for c in set(span)]
     spread = -sum(n / len(span) * math.log2(n / len(span)) for n in tally)
-    before = [t[0].lower() for t in tokens[max(0, i - 5) : i] if t[0] not in "=:\"'({["][-2:]
-    cue = next((CUE_OF[w] for w in reversed(before) if w in CUE_OF), "none")
+    before = [t[0].lower() for t in tokens[max(0, i - 5) : i] if t[0] not in MARKS][-2:]
+    cue = next((c for w in reversed(before) if (c := cue_of(w))), "none")
     sign = next((t[0] for t in reversed(tokens[max(0, i - 2) : i]) if t[0] in "=:"), "")
     n = len(digits)
     mixed = min(6, len(form) // 3)
@@ -120,15 +129,19 @@ class Region:
         self.text = text
         self.tokens = [(m[0], m.start(), m.end()) for m in TOKEN.finditer(text, low, high)]
         n = len(self.tokens)
-        hot = [bool(TRIGGER.search(t)) and len(t) <= MAX_CHARS for t, _, _ in self.tokens]
-        self.spans = []
+        hot = [bool(TRIGGER.search(t)) for t, _, _ in self.tokens]
+        self.spans, cued = [], False
         for i in range(n):
+            word = self.tokens[i][0]
+            if cued and not hot[i] and word[0].isalnum():
+                self.spans.append((i, i + 1))
+            cued = cue_of(word.lower()) == "secret" or cued and word in MARKS
             if not (hot[i] or self.tokens[i][0] in "(+"):
                 continue
             for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
                 if j > i + 1 and "\n" in text[self.tokens[j - 2][2] : self.tokens[j - 1][1]]:
                     break
-                if hot[j - 1] and self.tokens[j - 1][2] - self.tokens[i][1] <= MAX_CHARS:
+                if hot[j - 1] and (j == i + 1 or self.tokens[j - 1][2] - self.tokens[i][1] <= MAX_CHARS):
                     self.spans.append((i, j))
         self.active = np.array([features(self.tokens, i, j, text) for i, j in self.spans], np.int64).reshape(-1, N_FEATURES)
 
@@ -201,21 +214,29 @@ def examples(n: int = 3000, seed: int = 11) -> list[tuple[str, list[tuple[str, i
         d = r.choice("0123456789") + digits(14)
         return next(d + c for c in digits(1) + "01" if not luhn(d + c))
 
+    def long() -> str:
+        """Web tokens and long keys."""
+        chars = upper + upper.lower() + "0189"
+        return r.choice([f"eyJ{some(chars, 33)}.eyJ{some(chars, r.randint(60, 600))}.{some(chars, 43)}", some("0123456789abcdef", r.choice([128, 256])), some(chars + "_-", r.randint(130, 900)) + "7"])
+
+    fours = lambda v: " ".join(v[i : i + 4] for i in range(0, len(v), 4))
     forms = {
         "email": lambda: f"{word()}.{digits(2)}@{r.choice(['mail', 'post'])}{digits(1)}.example.{r.choice(['com', 'org', 'net'])}" if r.random() < 0.6 else f"{some('abcdefgh', 5)}{digits(2)}@{some('xyzuvw', 5)}.de",
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
         "card": lambda: card(r.choice(["", " ", "-"])),
         "phone": lambda: r.choice([f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{r.randint(30, 49)} {digits(3)} {digits(7)}", f"{digits(3)}-{digits(3)}-{digits(4)}"]),
-        "secret": lambda: r.choice([some("0123456789abcdef", r.choice([18, 32, 40])), "AKIA" + some(upper, 16), "ghp_" + some(upper + "abcdefgh0189", 36), "sk_live_" + some("abcdefgh0189ABC", 24)]),
-        "id": lambda: r.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", f"DE{digits(20)}", f"GB{digits(2)}ABCD{digits(14)}"]),
+        "secret": lambda: r.choice([some("0123456789abcdef", r.choice([18, 32, 40])), "AKIA" + some(upper, 16), "ghp_" + some(upper + "abcdefgh0189", 36), "sk_live_" + some("abcdefgh0189ABC", 24)]) if r.random() < 0.7 else long(),
+        "passphrase": lambda: some("abcdefghijklmnoprstuw", r.randint(7, 16)),
+        "id": lambda: r.choice([f"{digits(3)}-{digits(2)}-{digits(4)}", f"DE{digits(20)}", f"GB{digits(2)}ABCD{digits(14)}", fours(f"DE{digits(20)}"), fours(f"MT{digits(2)}MALT{digits(23)}"), fours(f"NO{digits(13)}")]),
     }
-    lead = {"secret": ["password=", 'token = "', "api_key: ", "secret ", "", ""], "phone": ["call ", "phone: ", "", ""], "id": ["SSN ", "ssn: ", "IBAN ", "passport "]}
+    lead = {"secret": ["password=", 'token = "', "api_key: ", "secret ", "Authorization: Bearer ", "", ""], "passphrase": ["password=", 'passwd = "', "pwd: ", "secret=", "password: "], "phone": ["call ", "phone: ", "", ""], "id": ["SSN ", "ssn: ", "IBAN ", "passport "]}
     plain = [
         lambda: str(r.randint(1900, 2030)), lambda: f"version {r.randint(1, 9)}.{r.randint(0, 9)}", lambda: f"Version {r.randint(1, 3)}.0.", lambda: f"{r.randint(1, 999)},{digits(3)}",
         lambda: f"{r.randint(1, 9999)}", lambda: f"${r.randint(1, 99)}.{digits(2)}", lambda: f"{r.randint(1, 12)}/{r.randint(1, 28)}/{r.randint(1990, 2024)}", lambda: f"20{digits(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}",
         lambda: f"{r.randint(0, 23)}:{digits(2)}", lambda: f"item {digits(6)}", lambda: f"@{word()}", lambda: f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"{r.randint(2, 90)}%", lambda: f"page {digits(2)}",
         lambda: no_card(), lambda: no_card(), lambda: no_card(),
         lambda: f"{digits(3)} {digits(2)} {digits(3)}", lambda: f"{word()}{r.randint(2, 9)}", lambda: f"MP{r.randint(3, 4)}", lambda: f"{r.randint(10, 400)}km", lambda: f"#{digits(5)}", lambda: f"{digits(9)}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(5)}",
+        *[lambda: f"{r.choice(CUES['secret'])} {word()}"] * 4,
     ]
     out = []
     for _ in range(n):
@@ -228,7 +249,7 @@ def examples(n: int = 3000, seed: int = 11) -> list[tuple[str, list[tuple[str, i
                 kind = r.choice(list(forms))
                 opening = r.choice(lead.get(kind, [""]))
                 value = forms[kind]()
-                spans.append((kind, len(text) + len(opening), len(text) + len(opening) + len(value)))
+                spans.append(("secret" if kind == "passphrase" else kind, len(text) + len(opening), len(text) + len(opening) + len(value)))
                 text += opening + value + ('"' if opening.endswith('"') else "")
             text += r.choice([".", ",", "", ""]) + " " + " ".join(word() for _ in range(r.randint(1, 4)))
         out.append((text, spans))
@@ -262,15 +283,21 @@ def model() -> np.ndarray:
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around triggers, REGION / 4 characters either side, to the nearest white space."""
+    """Stretches around triggers and cue words, REGION / 4 characters either side, to the nearest white space; none overlap."""
     reach, low, high = REGION // 4, None, 0
-    for m in TRIGGER.finditer(text):
+    for m in HINT.finditer(text):
+        if low is not None and m.end() + reach <= high:
+            continue
         a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        while a > high and not text[a - 1].isspace():
+            a -= 1
         if low is None or a > high:
             if low is not None:
                 yield low, high
             low = a
-        high = b
+        high = max(high, b)
+        while high < len(text) and not text[high].isspace():
+            high += 1
     if low is not None:
         yield low, high
 
@@ -281,10 +308,6 @@ def found_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
     taken = sorted((s, e) for _, s, e in base)
     added = []
     for low, high in regions(text):
-        while low and not text[low - 1].isspace() and low > high - 4096:
-            low -= 1
-        while high < len(text) and not text[high].isspace() and high < low + 4096:
-            high += 1
         for span in Region(text, low, high).best(weights):
             if not any(s < span[2] and span[1] < e for s, e in taken if s <= high and e >= low):
                 added.append(span)
@@ -318,7 +341,7 @@ def masked(docs: DataFrame, weights: np.ndarray | None = None, text_col: str = "
     @F.pandas_udf("string")
     def mask(texts):
         def one(text):
-            if text is None or not TRIGGER.search(text):
+            if text is None or not HINT.search(text):
                 return text
             out, at = [], 0
             for kind, s, e in sorted(found_spans(text, weights)[1], key=lambda x: (x[1], -x[2])):

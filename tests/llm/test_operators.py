@@ -167,6 +167,32 @@ def test_pii(docs, plain, edge, empty):
     assert "bob.12@" not in masked[12][0] and masked[2] == (None,)
 
 
+def test_pii_of_any_length(spark):
+    q = random.Random(3)
+    some = lambda n: "".join(q.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    jwt, key, huge, iban = f"eyJ{some(33)}.eyJ{some(400)}.{some(43)}", some(200), some(6000), "MT84 MALT 0110 0001 2345 1234 5678 901"
+    for value, text in (
+        (jwt, f"Authorization: Bearer {jwt} was sent"), (key, f"the api_key: {key} is old"), (huge, f"with token={huge} here"), (iban, f"pay to IBAN {iban} by then"),
+        ("correcthorse", "log in with password=correcthorse now"), ("correcthorse", 'set db_password: "correcthorse" there'),
+    ):
+        s = text.index(value)
+        assert (s, s + len(value)) in {x[1:] for x in pii.found_spans(text, pii.model())[1]}, text[:60]
+    assert pii.found_spans("the secret garden has access to the key points of a token gesture", pii.model())[1] == []
+    masked = pii.masked(spark.createDataFrame([(1, "use password=correcthorse please")], "doc_id long, text string")).first().text
+    assert masked == "use password=<secret> please"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="a1@ \n", max_size=400))
+def test_pii_regions_reach_white_space_and_are_apart(text):
+    last = 0
+    for low, high in pii.regions(text):
+        assert last <= low < high and (low == 0 or text[low - 1].isspace()) and (high == len(text) or text[high].isspace())
+        last = high
+    covered = {k for low, high in pii.regions(text) for k in range(low, high)}
+    assert covered >= {k for k, c in enumerate(text) if c in "1@"}
+
+
 def brute_regions(region, weights):
     """The best segmentation by trying all."""
     scores, n = region.scores(weights), len(region.tokens)
