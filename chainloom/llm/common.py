@@ -19,10 +19,12 @@ SPACES = " \t\n\x0b\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors see.
 
-    Only where the session names none (tests on one machine) a local temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a local temporary folder is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         base = getattr(spark, "_chainloom_scratch", None)
         if base is None:
             base = spark._chainloom_scratch = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -36,6 +38,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that may be broadcast; such rows hold a few numbers or a digest, about 250 bytes each in a hash table.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, a written table of narrow rows, to be joined: broadcast if it has at most BROADCAST_ROWS counted rows.
+
+    Beyond that it is shuffled. Being read from files it has no grouping of its own, so the other side is a plain shuffle
+    and adaptive execution can split a frequent key of it; a join with an aggregate on the same key can't be split.
+    """
+    if df.count() <= BROADCAST_ROWS:
+        return F.broadcast(df)
+    return df.hint("merge")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

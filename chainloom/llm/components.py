@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-Each round is two grouped minima with partial sums and joins back by node, so a node with very many neighbours is never
-gathered; edges turn into stars around each component's least node within a number of rounds that grows with the
+Each round is two grouped minima with partial sums and joins back by node. The minima are written first, so the edges are
+a plain shuffle that adaptive execution splits where a node has very many neighbours, or minima are broadcast up to a counted bound; edges turn into stars around each component's least node within a number of rounds that grows with the
 logarithm of the diameter. Rounds are written tables in the shared folder. The driver sees two sums a round.
 """
 
@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded, written
 
 
 def _pull(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with m, the least of u and its neighbours."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
-    return edges.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("least")))
+    return edges.join(bounded(least), "u").select("u", "v", F.least("u", "least").alias("m"))
 
 
 def _sums(edges: DataFrame) -> tuple:
@@ -24,13 +24,13 @@ def _sums(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and component (its least node) of every node that has an edge. Null ends are left out."""
+    """node and component (its least node) of every node that has an edge, a written table. Null ends are left out."""
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while (sums := _sums(now)) != before and sums[0]:
         before = sums
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _pull(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(_pull(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         small = _pull(large)
         now = written(small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").where("u <> v").distinct())
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    return written(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct()))

@@ -1,20 +1,25 @@
-"""Exact n-gram Jaccard join with connected components, by prefix filter and prefix-tree verification.
+"""Exact n-gram Jaccard join with connected components, by prefix-tree joins.
 
-A document's set is its distinct hashed n-grams (64 bits). Equal sets become one representative, the least id. Sets are
-ordered by a global order: hash, with the most frequent n-grams of the whole corpus last, so prefixes are rare n-grams.
-Two sets that reach the threshold share an n-gram of their prefixes; such a bucket isn't turned into all its pairs:
+A document's set is its distinct hashed n-grams. Equal sets become one representative, the least id. Sets are ordered by
+one global order: the most frequent n-grams of the corpus first, the others by hash. A tree stores sets in that order as
+paths; a join walks it once with all probes, so that the overlaps with a stretch that several sets share are counted
+once, and leaves a subtree when what remains of its sets and of the probes can't make up for what was missed.
 
-1. Every member is paired with the bucket's least member. Size and a parity sketch (whose Hamming distance never exceeds
-   the sets' difference) drop pairs that can't link. Of each member's pairs the one with the least partner is verified,
-   components of the links are formed, and of the other pairs those between components are verified.
-2. Only pairs of a bucket that lie in different components remain. The same bounds are part of the join's condition;
-   pairs are counted by the n-grams their prefixes share, those with too few for a link are dropped (a pair of which one
-   is a bucket's least member has been decided before), and what passes is verified too. So copies and near copies of a text, however many, cost a number of pairs in proportion
-   to their number, and no link between different components is lost.
+Sets that reach the threshold share an n-gram of their last, rarest ones (the prefix filter, read from the rare end), so
+they meet in that n-gram's bucket. A bucket isn't turned into all its pairs:
 
-Verification puts the sets to be compared with one set into a prefix tree (sorted sequences with the lengths they share)
-and walks it once: overlaps are carried along shared prefixes, and a branch ends when the n-grams missed exceed what any
-remaining length can make up for.
+1. Every member meets the bucket's least member. Size and a parity sketch (whose Hamming distance never exceeds the sets'
+   difference) drop pairs that can't link. The owner of such pairs walks the tree of its members' sets: first for the
+   least owner of each member, then, after components of these links, for pairs between components.
+2. Of buckets that still hold several components, the rare ends are put into a tree and joined with themselves, with the
+   bound on what lies behind them; pairs of two components that pass it are verified by a tree of whole sets as before.
+   Large buckets are dealt in blocks, the members of their largest component apart, since those needn't meet each other.
+3. `n_links` counts the links of a representative exactly: members of a component are joined with themselves, in blocks,
+   and only counts leave a task. This takes comparisons in proportion to the square of a component's different sets (an
+   answer of that size isn't avoidable by components alone); leave it out with count_links=False.
+
+So copies and near copies of a text, however many, cost a number of candidate pairs in proportion to their number, no
+link is lost, and no group is held by one task beyond a block.
 
 Null or empty texts and texts without words have an empty set and link with nothing. Fewer words than n: the whole
 sequence is one n-gram. Rows that repeat an id are one node. Null ids get a null component. Extra columns are ignored.
@@ -22,7 +27,8 @@ sequence is one n-gram. Rows that repeat an id are one node. Null ids get a null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,20 +37,35 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, read, runs, utf8, written
+from .common import LOWER, WordHashes, bounded, read, runs, utf8, written
 from .components import components
 
 HOT_ROWS, HOT_LIMIT, CHUNK = 64, 100_000, 1_500_000
 SKETCH = 8  # longs
-BROADCAST_IDS = 1_000_000
-BLOCK = 512
+#: Rows and n-grams of a block, members that an owner meets in one task, and members of a bucket whose sketches are compared before its tree is made.
+BLOCK, BLOCK_GRAMS, SLICE, FEW = 1024, 400_000, 4096, 128
+PACKED = "id long, packed binary"
 
 
 def grams(words: list[bytes], n: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct n-grams of a word sequence."""
+    """The distinct n-grams of a word sequence, sorted; the highest bit is set, so that ranks of frequent ones stay below."""
     if not words:
         return np.zeros(0, np.uint64)
-    return np.unique(runs(hashes.of(words), min(n, len(words))))
+    return np.unique(runs(hashes.of(words), min(n, len(words))) | np.uint64(1 << 63))
+
+
+class Order:
+    """The global order: frequent n-grams become their rank (0 is the most frequent), others stay and come after them."""
+
+    def __init__(self, hot: np.ndarray):
+        self.rank = np.argsort(hot).astype(np.uint64)
+        self.known = hot[self.rank.astype(np.int64)]
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        if not len(s) or not len(self.known):
+            return s
+        k = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
+        return np.sort(np.where(self.known[k] == s, self.rank[k], s))
 
 
 def lower_words(text: str | None) -> list[bytes]:
@@ -52,7 +73,7 @@ def lower_words(text: str | None) -> list[bytes]:
 
 
 def frequent(docs: DataFrame, n: int) -> DataFrame:
-    """Frequent n-grams of all documents, at most HOT_LIMIT: gram, n_docs. Only the order of n-grams rests on it.
+    """Frequent n-grams of all documents, the most frequent first, at most HOT_LIMIT: gram, n_docs. Only the order of n-grams rests on it.
 
     Tasks count within chunks of about CHUNK n-grams and report those of 4 or more.
     """
@@ -80,34 +101,29 @@ def frequent(docs: DataFrame, n: int) -> DataFrame:
 
 
 def prefix_length(size: int, percent: int) -> int:
-    return size - -(-percent * size // 100) + 1
+    """How many of the rarest n-grams a set is found by; none if no other set can reach the threshold with it."""
+    return 0 if 100 * size < percent * (size + 1) else size - -(-percent * size // 100) + 1
 
 
-def sketches(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """id, size, digest, s0 .. s7 (parity sketch) and prefix of every document. hot: frequent n-grams, rarest first."""
-    at = np.argsort(hot)
-    known = hot[at]
+def sketches(docs: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
+    """id, size, digest, s0 .. s7 (parity sketch) and rare (the rarest n-grams, the rarest first) of every document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sizes, digests, bits, prefixes = [], [], [], []
+            sizes, digests, bits, ends = [], [], [], [np.zeros(0, np.int64)]
             for text in b.column(1):
                 s = grams(lower_words(text.as_py()), n, hashes)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bits.append(np.packbits(np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64))
-                if len(s) and len(known):
-                    k = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    common = known[k] == s
-                    s = np.concatenate([s[~common], s[common][np.argsort(at[k[common]])]])
-                prefixes.append(s[: prefix_length(len(s), percent)].view(np.int64) if len(s) else s.view(np.int64))
+                k = prefix_length(len(s), percent)
+                ends.append(order.of(s)[::-1][:k].view(np.int64))
             bits = np.array(bits, np.int64).reshape(-1, SKETCH)
-            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bits[:, j].copy()) for j in range(SKETCH)), lists], names=["id", "size", "digest", *(f"s{j}" for j in range(SKETCH)), "prefix"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(e) for e in ends]).astype(np.int32)), pa.array(np.concatenate(ends)))
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bits[:, j].copy()) for j in range(SKETCH)), lists], names=["id", "size", "digest", *(f"s{j}" for j in range(SKETCH)), "rare"])
 
-    return docs.select("id", "text").mapInArrow(rows, "id long, size long, digest binary, " + "".join(f"s{j} long, " for j in range(SKETCH)) + "prefix array<long>")
+    return docs.select("id", "text").mapInArrow(rows, "id long, size long, digest binary, " + "".join(f"s{j} long, " for j in range(SKETCH)) + "rare array<long>")
 
 
 def can_link(x: str, y: str, percent: int) -> Column:
@@ -118,150 +134,317 @@ def can_link(x: str, y: str, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent) & (apart * (100 + percent) <= (a + b) * (100 - percent))
 
 
-def can_reach(percent: int) -> Column:
-    """Whether n_shared n-grams in both prefixes leave room for a link of sets of `small` and `large` n-grams.
-
-    What isn't in both prefixes lies behind the prefix that ends first, and so is at most what follows it.
-    """
-    behind = F.ceil(F.col("large") * percent / 100) - 1
-    return (F.col("n_shared") + behind) * (100 + percent) >= (F.col("small") + F.col("large")) * percent
+class PrefixTree:
+    """Sorted sequences as a tree of compressed paths: a node is a run of neighbours and the stretch that all of them share."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
+        self.sets = [sets[k] for k in self.order]
+        self.lengths = np.array([len(s) for s in self.sets], np.int64)
+        self.shared = np.array([self._common(a, b) for a, b in zip(self.sets, self.sets[1:])], np.int64)
+
+    @staticmethod
+    def _common(a: np.ndarray, b: np.ndarray) -> int:
+        n = min(len(a), len(b))
+        differ = np.flatnonzero(a[:n] != b[:n])
+        return int(differ[0]) if len(differ) else n
+
+    def join(self, probes: list[np.ndarray], possible: Callable, links: Callable) -> Iterator[tuple[int, np.ndarray]]:
+        """(stored set, probes that link with it), by place.
+
+        possible(stored, depth, overlap, left): which probes can still link with one of the stored sets, after their first
+        `depth` items; overlap is what a probe shares with these, left what it has beyond them.
+        links(k, overlap): which probes link with the k-th stored set. Both get arrays with a value a probe.
+        """
+        sizes = np.array([len(p) for p in probes], np.int64)
+        items, rank = np.unique(np.concatenate([np.zeros(0, np.uint64), *probes]), return_inverse=True)
+        owner = np.repeat(np.arange(len(probes)), sizes)
+        placed = owner * len(items) + rank  # ascending, as probes are sorted
+        who = owner[np.argsort(rank, kind="stable")]
+        first = np.searchsorted(np.sort(rank), np.arange(len(items) + 1))
+        begins = np.cumsum(sizes) - sizes
+        stack = [(0, len(self.sets), 0, np.zeros(len(probes), np.int64))] if self.sets and probes else []
+        while stack:
+            low, high, depth, overlap = stack.pop()
+            end = int(self.shared[low : high - 1].min()) if high - low > 1 else int(self.lengths[low])
+            left = sizes
+            if end > depth:
+                stretch = self.sets[low][depth:end]
+                at = np.searchsorted(items, stretch)
+                at = at[items[np.minimum(at, len(items) - 1)] == stretch] if len(items) else at[:0]
+                n = first[at + 1] - first[at]
+                hits = who[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                overlap = overlap + np.bincount(hits, minlength=len(probes))
+            if end:
+                passed = np.searchsorted(items, self.sets[low][end - 1], "right")
+                left = sizes - (np.searchsorted(placed, np.arange(len(probes)) * len(items) + passed) - begins)
+            alive = possible(self.order[low:high], end, overlap, left)
+            if not alive.any():
+                continue
+            overlap = np.where(alive, overlap, -(1 << 40))  # stays impossible below
+            while low < high and self.lengths[low] == end:  # sets that end here come first
+                found = np.flatnonzero(links(self.order[low], overlap))
+                if len(found):
+                    yield self.order[low], found
+                low += 1
+            if low < high:
+                cuts = [low, *(low + 1 + np.flatnonzero(self.shared[low : high - 1] == end)), high]
+                stack += [(int(a), int(b), end, overlap) for a, b in zip(cuts, cuts[1:])]
+
+
+def tree_links(stored: list[np.ndarray], probes: list[np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(stored set, probes whose Jaccard similarity with it reaches percent)."""
+    sizes, sides = np.array([len(s) for s in stored], np.int64), np.array([len(p) for p in probes], np.int64)
+
+    def possible(members, depth, overlap, left):
+        """The best size of a subtree's set is the one that takes all that the probe has left, or the nearest to it."""
+        size = np.clip(depth + left, sizes[members].min(), sizes[members].max())
+        return (overlap + np.minimum(size - depth, left)) * (100 + percent) >= percent * (sides + size)
+
+    def links(k, overlap):
+        return 100 * overlap >= percent * (sizes[k] + sides - overlap)
+
+    return PrefixTree(stored).join(probes, possible, links)
+
+
+def keyed(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, Iterator[tuple]]]:
+    """Rows by their first n_keys columns, which come together."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns)))
+    return groupby(rows, lambda r: r[:n_keys])
+
+
+def emitted(rows: Iterator[tuple], names: list[str], size: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows of longs as batches."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=names)
+            held = []
+    if held:
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=names)
+
+
+def dealt(rows: DataFrame, keys: list[str], order: list[str] = ()) -> DataFrame:
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, *order)
 
 
-def walk(one: np.ndarray, others: list[tuple[object, np.ndarray]], percent: int) -> Iterator[object]:
-    """Keys of the sorted sets `others` that link with `one`.
+def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and compressed text of the documents in ids (a written table of distinct ids), a written table.
 
-    The tree's branches are sorted sequences and the length each shares with the one before. missed[d] counts those of the
-    first d n-grams that `one` lacks; no set with more than `most` of them can link.
+    Up to a counted bound ids are broadcast, so texts aren't shuffled; beyond, both sides are shuffled by id.
     """
-    longest = max((len(s) for _, s in others), default=0)
-    most = (100 * longest - percent * len(one)) / (100 + percent)
-    last, missed, ended = np.zeros(0, np.uint64), np.zeros(1, np.int64), None
-    for key, s in sorted(others, key=lambda x: x[1].astype(">u8").tobytes()):
-        m = min(len(last), len(s))
-        differ = np.flatnonzero(last[:m] != s[:m])
-        shared = int(differ[0]) if len(differ) else m
-        if ended is not None and shared >= ended:
-            continue  # the branch was cut above this set
-        shared = min(shared, len(missed) - 1)
-        parts, ended = [missed[: shared + 1]], None
-        for k in range(shared, len(s), 128):
-            tail = s[k : k + 128]
-            at = np.minimum(np.searchsorted(one, tail), len(one) - 1)
-            parts.append(parts[-1][-1] + np.cumsum(one[at] != tail))
-            if parts[-1][-1] > most:
-                ended = k + int(np.argmax(parts[-1] > most)) + 1
-                break
-        last, missed = s, np.concatenate(parts)
-        if ended is None:
-            both = len(s) - int(missed[-1])
-            if 100 * both >= percent * (len(one) + len(s) - both):
-                yield key
-
-
-def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the threshold. texts: id, packed (compressed text, several times smaller than its n-grams)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
-        block, owner, own, held = [], None, None, {}
+        press = zstandard.ZstdCompressor(3)
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([press.compress(utf8(t.as_py())) for t in b.column(1)], pa.binary())], names=["id", "packed"])
 
-        def set_of(packed: bytes) -> np.ndarray:
-            return grams(unpack.decompress(packed).translate(LOWER).split(), n, hashes)
+    return written(docs.join(bounded(ids), "id", "left_semi").select("id", "text").mapInArrow(rows, PACKED))
 
-        def found():
-            links = list(walk(own, block, percent))
-            return pa.record_batch([pa.array([owner] * len(links), pa.int64()), pa.array(links, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a = batch.column(0)[i].as_py()
-                if block and (a != owner or len(block) >= BLOCK):
-                    yield found()
-                    block = []
-                if a != owner:
-                    if a not in held:
-                        held = held if len(held) < 64 else {}
-                        held[a] = set_of(batch.column(2)[i].as_py())
-                    owner, own = a, held[a]
-                block.append((batch.column(1)[i].as_py(), set_of(batch.column(3)[i].as_py())))
-        if block:
-            yield found()
-
-    theirs = pairs.join(texts.select(F.col("id").alias("b"), F.col("packed").alias("theirs")), "b")
-    both = theirs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("mine")), "a")
-    return both.select("a", "b", "mine", "theirs").mapInArrow(rows, "a long, b long")
 
+def set_reader(n: int, order: Order) -> Callable[[bytes], np.ndarray]:
+    """The ordered set of a compressed text."""
+    hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
+    return lambda packed: order.of(grams(unpack.decompress(packed).translate(LOWER).split(), n, hashes))
 
-def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and compressed text of the documents in ids (a written table of distinct ids), one row an id.
 
-    Up to BROADCAST_IDS counted ids are broadcast, so texts aren't shuffled; beyond, both sides are shuffled by id.
+def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, a written table.
+
+    The members of an owner a are dealt in slices by a counted number; its own text goes to each slice once.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(3)
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([press.compress(utf8(t.as_py())) for t in b.column(1)], pa.binary())], names=["id", "packed"])
-
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return written(docs.join(ids, "id", "left_semi").select("id", "text").mapInArrow(rows, "id long, packed binary"))
+        set_of = set_reader(n, order)
 
+        def found():
+            for (a, _), members in keyed(batches, 2):
+                own, held, size = [], [], 0
+
+                def links():
+                    return sorted({(a, held[k][0]) for k, _ in tree_links([s for _, s in held], own, percent)})
+
+                for _, _, b, packed in members:  # the owner's rows come first
+                    s = set_of(packed)
+                    if b is None:
+                        own.append(s)
+                        continue
+                    held.append((b, s))
+                    size += len(s)
+                    if size > BLOCK_GRAMS or len(held) >= BLOCK:
+                        yield from links()
+                        held, size = [], 0
+                if held:
+                    yield from links()
+
+        return emitted(found(), ["a", "b"])
 
-def links_among(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The verified pairs, a written table."""
     pairs = written(pairs)
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    return written(verified(pairs, packed_texts(docs, ids), n, percent).distinct())
+    owners = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).alias("slices")))
+    texts = packed_texts(docs, written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+    of = lambda side: texts.select(F.col("id").alias(side), "packed")
+    theirs = pairs.join(of("b"), "b").join(bounded(owners), "a").select("a", F.expr("pmod(xxhash64(b), slices)").alias("slice"), "b", "packed")
+    mine = owners.join(of("a"), "a").select("a", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"), F.lit(None).cast("long").alias("b"), "packed")
+    return written(dealt(theirs.union(mine), ["a", "slice"], ["b"]).mapInArrow(rows, "a long, b long"))
 
 
 def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends aren't in one component yet."""
-    of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    of = lambda side: bounded(groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")))
     joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id, the least id that links lead to, and n_links, the verified links of its representative."""
+def met_ends(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of two components that meet in a bucket and may link, by a tree of each bucket's rare ends.
+
+    rest: gram, id, component. sets: id, size, sketch and rare end of every node. Ends are read from the bucket's n-gram
+    on: in the bucket of the first n-gram that a pair shares its count is whole; elsewhere it is less, which only keeps the
+    pair from being found there. So of buckets with the same members only the one of the rarest n-gram is needed.
+    """
+
+    def sketched(members: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sizes, components and sketches."""
+        return np.array([m[3] for m in members], np.int64), np.array([m[4] for m in members], np.int64), np.array([m[5 : 5 + SKETCH] for m in members], np.int64).view(np.uint64).reshape(-1, SKETCH)
+
+    def near(x: tuple, y: tuple) -> np.ndarray:
+        """Whether sets may link by component, size and sketch; x and y are arrays that broadcast."""
+        differ = np.bitwise_count(x[2] ^ y[2]).sum(-1)
+        return (x[1] != y[1]) & (100 * np.minimum(x[0], y[0]) >= percent * np.maximum(x[0], y[0])) & (differ * (100 + percent) <= (x[0] + y[0]) * (100 - percent))
+
+    def candidates(members: list[tuple]) -> Iterator[tuple[int, int]]:
+        members.sort(key=lambda m: m[3])
+        close = [100 * x[3] >= percent * y[3] for x, y in zip(members, members[1:])]
+        members = [m for m, before, after in zip(members, [False, *close], [*close, False]) if before or after]
+        stored, probes = [m for m in members if m[0]], [m for m in members if m[1]]
+        if not stored or not probes:
+            return
+        mine, theirs = sketched(stored), sketched(probes)
+        if len(members) <= FEW:  # leave out those that no other may link with
+            table = near((mine[0][:, None], mine[1][:, None], mine[2][:, None, :]), theirs)
+            if not table.any():
+                return
+            rows, columns = np.flatnonzero(table.any(1)), np.flatnonzero(table.any(0))
+            stored, probes = [stored[k] for k in rows], [probes[k] for k in columns]
+            mine, theirs = tuple(v[rows] for v in mine), tuple(v[columns] for v in theirs)
+        ends = lambda ms: [~np.array(m[-1], np.int64).view(np.uint64) for m in ms]
+        size, sides, ids = mine[0], theirs[0], np.array([m[2] for m in probes], np.int64)
+        tails = np.array([len(m[-1]) for m in stored], np.int64)
+        behind = lambda s: -(-percent * s // 100) - 1
+
+        def reaches(shared, least, most):
+            """What isn't in both ends lies behind the end that stops first, and so is at most what follows it."""
+            return (shared + 1 + behind(np.maximum(most, sides))) * (100 + percent) >= (least + sides) * percent
+
+        def possible(places, depth, overlap, left):
+            return reaches(overlap + np.minimum(tails[places].max() - depth, left), size[places].min(), size[places].max())
+
+        def links(k, overlap):
+            return near(tuple(v[k] for v in mine), theirs) & reaches(overlap, size[k], size[k])
+
+        for k, found in PrefixTree(ends(stored)).join(ends(probes), possible, links):
+            for b in ids[found].tolist():
+                a = stored[k][2]
+                yield (a, b) if a < b else (b, a)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (pair for _, members in keyed(batches, 3) for pair in sorted(set(candidates([m[3:] for m in members]))))
+        return emitted(found, ["a", "b"])
+
+    hashes = [F.xxhash64("id"), F.xxhash64("id", F.lit(1))]
+    counts = rest.groupBy("gram", "component").agg(F.count("*").alias("k"), *[F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(hashes)])
+    counts = counts.groupBy("gram").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)])
+    rarest = F.col("gram").bitwiseXOR(F.lit(-(1 << 63)))  # the order of the n-grams as unsigned numbers
+    counts = counts.where("parts > 1").groupBy("n", "x0", "x1", "main", "most").agg(F.max_by("gram", rarest).alias("gram"))
+    counts = written(counts.select("gram", "main", F.expr(f"if(n <= {BLOCK}, 1, ceil((n - most) / {BLOCK}))").alias("others"), F.expr(f"if(n <= {BLOCK}, 0, ceil(most / {BLOCK}))").alias("mains")))
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    placed = rest.join(counts.hint("merge"), "gram").join(sets, "id").withColumn("tail", F.expr("slice(rare, array_position(rare, gram) + 1, size(rare))"))
+    placed = placed.withColumn("i", F.expr("if(mains > 0 and component = main, others + pmod(xxhash64(id), mains), pmod(xxhash64(id), others))"))
+    placed = placed.withColumn("j", F.explode(F.expr("sequence(0L, if(i < others, others + mains, others) - 1)")))
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    placed = placed.select("gram", low.alias("low"), high.alias("high"), (F.col("i") == low).alias("stored"), (F.col("i") == high).alias("probe"), "id", "size", "component", *sketch, "tail")
+    return dealt(placed, ["gram", "low", "high"]).mapInArrow(rows, "a long, b long").distinct()
+
+
+def link_counts(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
+    """id and n_links, the number of other sets that a node of groups (node, component) links with, a written table.
+
+    A component is cut into blocks by its counted n-grams; each two blocks meet in a task. sizes: id, size.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        set_of = set_reader(n, order)
+
+        def found():
+            for (_, low, high), members in keyed(batches, 3):
+                sides: dict[int, list] = {low: [], high: []}
+                for _, _, _, block, node, packed in members:
+                    sides[block].append((node, set_of(packed)))
+                links = set()
+                stored, probes = sides[low], sides[high]
+                for k, near in tree_links([s for _, s in stored], [s for _, s in probes], percent):
+                    a = stored[k][0]
+                    links.update((a, b) if a < b else (b, a) for b in (probes[p][0] for p in near) if a != b)
+                tally: dict[int, int] = {}
+                for pair in links:
+                    for x in pair:
+                        tally[x] = tally.get(x, 0) + 1
+                yield from tally.items()
+
+        return emitted(found(), ["id", "n_links"])
+
+    nodes = written(sizes.join(bounded(groups.withColumnRenamed("node", "id")), "id"))
+    blocks = F.greatest(F.ceil(F.sum("size") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK)).alias("blocks")
+    blocks = written(nodes.groupBy("component").agg(blocks))
+    texts = packed_texts(docs, written(nodes.select("id").distinct()))
+    placed = nodes.select("id", "component").distinct().join(bounded(blocks), "component").withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
+    placed = placed.join(texts, "id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    placed = placed.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "packed")
+    return written(dealt(placed, ["component", "low", "high"]).mapInArrow(rows, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links")))
+
+
+def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """Per row: id, n_shingles and component_id, the least id that links lead to; with count_links also n_links, how many other sets link with its set."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    hot = frequent(docs, n).toArrow().column("gram").to_numpy().view(np.uint64)[::-1].copy()
-    table = written(sketches(docs, n, percent, hot))
-    firsts = table.where("size > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n_rows"))
-    several = firsts.where("n_rows > 1")
-    copies = written(table.where("size > 0").select("id", "size", "digest").join(several, "digest").where("id <> rep").select("id", "rep").distinct())
-    few = copies.count() <= BROADCAST_IDS
-    own = table.where("size > 0 and id is not null").join(F.broadcast(copies) if few else copies, "id", "left_anti")
-    of = own.select("id", "size", *(f"s{j}" for j in range(SKETCH))).dropDuplicates(["id", "size", "s0"])
-
-    tokens = own.select(F.explode("prefix").alias("gram"), "id")
-    buckets = tokens.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high")
-    met = written(tokens.join(buckets, "gram").select("gram", "id", "low", "n"))
+    order = Order(frequent(docs, n).toArrow().column("gram").to_numpy().view(np.uint64))
+    table = written(sketches(docs, n, percent, order))
+    sketch = [f"s{k}" for k in range(SKETCH)]
+    sets = table.where("size > 0 and id is not null")
+    several = written(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("digest", "rep"))
+    copies = written(sets.select("id", "digest").join(bounded(several), "digest").where("id <> rep").select("id", "rep").distinct())
+    own = sets.join(bounded(copies), "id", "left_anti")
+    of = own.select("id", "size", *sketch).dropDuplicates(["id", "size", "s0"])
+
+    tokens = own.select(F.explode("rare").alias("gram"), "id")
+    buckets = written(tokens.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("gram", "low", "n"))
+    met = written(tokens.join(buckets.hint("merge"), "gram").select("gram", "id", "low", "n"))
 
     star = met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.alias("p").join(of.alias("y"), F.col("p.b") == F.col("y.id")).join(of.alias("x"), (F.col("p.a") == F.col("x.id")) & can_link("x", "y", percent)).select("a", "b")
+    star = star.alias("p").join(of.alias("y"), F.col("p.b") == F.col("y.id")).join(of.alias("x"), (F.col("p.a") == F.col("x.id")) & can_link("x", "y", percent)).select("a", "b").distinct()
     star = written(star)
-    links = links_among(docs, star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n, percent)
-    groups = written(components(links))
-    links = links.union(links_among(docs, apart(star, groups), n, percent))
-    groups = written(components(links))
-
-    rest = met.where("n > 2 and id <> low").join(groups, F.col("id") == F.col("node"), "left").select("gram", "id", F.coalesce("component", "id").alias("component"))
-    spread = rest.groupBy("gram").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("gram", "c0")
-    rest = written(rest.join(spread, "gram").join(of, "id"))
-    pair = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") < F.col("y.component")) & can_link("x", "y", percent)
-    ids = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.least("x.size", "y.size").alias("small"), F.greatest("x.size", "y.size").alias("large")]
-    late = rest.alias("x").join(rest.alias("y"), pair).groupBy(*ids).agg(F.count("*").alias("n_shared")).where(can_reach(percent)).select("a", "b").distinct()
-    last = links_among(docs, late, n, percent)
+    links = verified(docs, star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n, percent, order)
+    groups = components(links)
+    more = verified(docs, apart(star, groups), n, percent, order)
+    if more.limit(1).count():
+        links = links.union(more)
+        groups = components(links)
+
+    rest = met.where("n > 2 and id <> low").join(bounded(groups), F.col("id") == F.col("node"), "left").select("gram", "id", F.coalesce("component", "id").alias("component"))
+    last = verified(docs, met_ends(written(rest), own.select("id", "size", *sketch, "rare"), percent), n, percent, order)
     if last.limit(1).count():
-        links = links.union(last)
-        groups = written(components(links))
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
+        groups = components(links.union(last))
 
-    out = table.select("id", "size").join(F.broadcast(copies) if few else copies, "id", "left").withColumn("own", F.coalesce("rep", "id"))
-    out = out.join(groups.withColumnRenamed("node", "own"), "own", "left").join(degree.withColumnRenamed("id", "own"), "own", "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "own").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = table.select("id", "size").join(bounded(copies), "id", "left").withColumn("own", F.coalesce("rep", "id"))
+    out = out.join(bounded(groups), F.col("own") == F.col("node"), "left")
+    columns = [F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "own").alias("component_id")]
+    if count_links:
+        counted = link_counts(docs, groups, of.select("id", "size"), n, percent, order).withColumnRenamed("id", "counted")
+        out = out.join(bounded(counted), F.col("own") == F.col("counted"), "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(*columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return linked(read(spark, sf_dir, "documents"), count_links=True)

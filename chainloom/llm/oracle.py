@@ -88,11 +88,15 @@ sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
 links AS (SELECT p.a, p.b FROM pairs p JOIN sizes x ON p.a = x.doc_id JOIN sizes y ON p.b = y.doc_id WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
 edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+classes AS (SELECT doc_id, md5(string_agg(shingle, ' ' ORDER BY shingle)) AS class FROM grams GROUP BY doc_id),
+degrees AS (
+  SELECT e.a, count(DISTINCT y.class) AS n FROM edges e JOIN classes x ON e.a = x.doc_id JOIN classes y ON e.b = y.doc_id
+  WHERE x.class <> y.class GROUP BY e.a),
 reached AS (
   SELECT doc_id, doc_id AS other FROM documents
   UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a)
-SELECT r.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.other) AS component_id
-FROM reached r LEFT JOIN sizes s ON r.doc_id = s.doc_id GROUP BY r.doc_id
+SELECT r.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.other) AS component_id, coalesce(max(d.n), 0) AS n_links
+FROM reached r LEFT JOIN sizes s ON r.doc_id = s.doc_id LEFT JOIN degrees d ON r.doc_id = d.a GROUP BY r.doc_id
 """
 
 ORACLE_SQL = {"op1_substring_dedup": OP1, "op7_quality_rules": OP7, "op8_warc": OP8, "op9_jaccard_join": OP9}

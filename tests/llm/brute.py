@@ -71,7 +71,7 @@ def quality(text):
 
 
 def jaccard(docs, n=4, percent=85):
-    """{doc_id: (n_shingles, component_id)}"""
+    """{doc_id: (n_shingles, component_id, number of other sets that its set links with)}"""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
     for d, text in docs:
@@ -85,10 +85,14 @@ def jaccard(docs, n=4, percent=85):
         return x
 
     ids = sorted(d for d in sets if sets[d])
+    near = defaultdict(set)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
             if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 up[y] = x
-    return {d: (len(s), root(d)) for d, s in sets.items()}
+                if sets[a] != sets[b]:
+                    near[a].add(frozenset(sets[b]))
+                    near[b].add(frozenset(sets[a]))
+    return {d: (len(s), root(d), len(near[d])) for d, s in sets.items()}

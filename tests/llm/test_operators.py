@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
-from chainloom.llm import components, decontaminate, html_text, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_files, tokens, warc
+from chainloom.llm import common, components, decontaminate, html_text, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_files, tokens, warc
 from chainloom.llm.common import shared_dir, written
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -353,24 +353,41 @@ def near(seed):
 
 def test_jaccard(spark, docs, plain, edge, empty):
     for df, rows in each(docs, plain, edge):
-        assert by_id(jaccard_join.linked(df), "n_shingles", "component_id") == brute.jaccard(rows)
-    assert jaccard_join.linked(empty).count() == 0
-
-
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_random(spark, seed):
+        assert by_id(jaccard_join.linked(df, count_links=True), "n_shingles", "component_id", "n_links") == brute.jaccard(rows)
+    assert jaccard_join.linked(empty, count_links=True).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, None), (2, 3)])
+def test_jaccard_random(spark, monkeypatch, seed, block):
+    """With small blocks, buckets and components are dealt to several tasks."""
+    if block:
+        for name in ("BLOCK", "SLICE"):
+            monkeypatch.setattr(jaccard_join, name, block)
+        monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 150)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rows = near(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_id(jaccard_join.linked(df), "n_shingles", "component_id") == brute.jaccard(rows)
-    assert by_id(jaccard_join.linked(df, 5, 80), "n_shingles", "component_id") == brute.jaccard(rows, 5, 80)
+    for n, percent in ((4, 85), (5, 80)):
+        got = by_id(jaccard_join.linked(df, n, percent, count_links=True), "n_shingles", "component_id", "n_links")
+        assert got == brute.jaccard(rows, n, percent)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=2, max_size=8))
-def test_prefix_tree(sets):
-    one, *others = [np.array(sorted(s), np.uint64) for s in sets]
-    want = {k for k, s in enumerate(others) if 100 * len(np.intersect1d(one, s)) >= 85 * len(np.union1d(one, s))}
-    assert set(jaccard_join.walk(one, list(enumerate(others)), 85)) == want
+def test_jaccard_repeated_and_null_ids(spark):
+    text = " ".join(f"x{k}" for k in range(40))
+    rows = [(1, text), (1, text), (None, text), (2, text + " end"), (3, "a b c d e"), (3, text + " fin"), (None, None), (4, "a b c d e"), (5, "a b c d e f")]
+    got = sorted(jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), count_links=True).collect(), key=str)
+    assert {(x.doc_id, x.component_id) for x in got} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (None, None)} and len(got) == len(rows)
+
+
+SETS = st.lists(st.sets(st.integers(0, 40), min_size=1), max_size=8)
+
+
+@settings(max_examples=150, deadline=None)
+@given(SETS, SETS, st.sampled_from([60, 85]))
+def test_prefix_tree(stored, probes, percent):
+    stored, probes = ([np.array(sorted(s), np.uint64) for s in sets] for sets in (stored, probes))
+    want = {(i, j) for i, s in enumerate(stored) for j, p in enumerate(probes) if 100 * len(np.intersect1d(s, p)) >= percent * len(np.union1d(s, p))}
+    assert {(i, int(j)) for i, found in jaccard_join.tree_links(stored, probes, percent) for j in found} == want
 
 
 def test_components(spark):
@@ -416,7 +433,7 @@ def test_pipeline(spark, docs):
         if name != "packing":
             assert out.columns == docs.columns
         if name == "near_duplicates":
-            assert ids == {d for d, (_, c) in brute.jaccard(rows, 5, 80).items() if c == d}
+            assert ids == {d for d, (_, c, _) in brute.jaccard(rows, 5, 80).items() if c == d}
         if name == "benchmark_passages":
             hits = {x.doc_id for x in decontaminate.contaminated(now, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
             assert ids == {d for d, _ in rows} - hits
