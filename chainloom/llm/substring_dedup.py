@@ -16,6 +16,9 @@ are brought to the text instead of being broadcast everywhere:
    text instead, so no shard or key grows with the corpus.
 4. What the automaton says of each window (least id) is joined back to the segments' places, and to the texts.
 
+What is counted or grouped is written before rows are joined with it, so that adaptive execution can split a frequent
+digest or anchor; only ids and digests are ever broadcast, up to a counted bound.
+
 Windows are judged on the input. Null or empty texts and texts of under MIN_WORDS words lose nothing. Rows of one id
 with equal texts are one document; with unequal texts they don't make each other's spans repeat. Null ids are kept whole.
 """
@@ -31,10 +34,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, runs, text_hashes, utf8, written
+from .common import bounded, read, runs, text_hashes, utf8, written
 
 MIN_WORDS, ANCHOR, HOT = 13, 5, 2000
-BROADCAST_IDS, COMBINED, REFERENCE_WORDS, SHARD_WORDS = 1_000_000, 100_000, 2_000_000, 50_000
+COMBINED, REFERENCE_WORDS, SHARD_WORDS = 100_000, 2_000_000, 50_000
 
 
 class SuffixAutomaton:
@@ -120,8 +123,8 @@ def anchors(hashes: np.ndarray, n: int = MIN_WORDS, k: int = ANCHOR) -> tuple[np
 
 
 def spread(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with an id in ids (a written table), and the others. Up to BROADCAST_IDS counted ids are broadcast."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """docs with an id in ids (a written table), and the others."""
+    ids = bounded(ids)
     return docs.join(ids, "id", "left_semi"), docs.join(ids, "id", "left_anti")
 
 
@@ -278,17 +281,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: id, n_words, n_removed and kept_text, with the corpus as its own reference."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = rows.select("id", F.md5(F.encode("text", "utf-8")).alias("digest")).where("id is not null")
-    firsts = named.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    copies = written(named.join(firsts, "digest").where("id <> first").select("id", F.expr("conv(left(digest, 15), 16, 10)").cast("long").alias("th")).distinct())
+    firsts = written(named.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
+    copies = written(named.join(bounded(firsts), "digest").where("id <> first").select("id", F.expr("conv(left(digest, 15), 16, 10)").cast("long").alias("th")).distinct())
 
     th = F.expr("conv(left(md5(encode(text, 'utf-8')), 15), 16, 10)").cast("long")
     keyed = rows.where("id is not null").withColumn("th", th)
-    known = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    known = bounded(copies)
     own = keyed.join(known, ["id", "th"], "left_anti")
 
     anchor = _anchor_rows(own)
-    shared = anchor.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    lists = written(anchor.join(shared, "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot")))
+    shared = written(anchor.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    lists = written(anchor.join(shared.hint("merge"), "anchor").groupBy("id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot")))
 
     @F.pandas_udf("binary")
     def pack(texts):
@@ -296,7 +299,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return texts.map(lambda x: press.compress(x.encode("utf-8", "replace")))
 
     texts, _ = spread(own, lists.select("id"))
-    segments = written(_segments(texts.select("id", "th", pack("text").alias("packed")).join(lists, "id")))
+    segments = written(_segments(texts.select("id", "th", pack("text").alias("packed")).join(lists.hint("merge"), "id")))
     parts = max(1, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shards = _combined(segments).repartition(parts, "key").sortWithinPartitions("key")
     judged = _judged(shards)
@@ -309,12 +312,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = places.join(judged, ["key", "sh"]).select("id", "th", starts.alias("starts")).where(F.size("starts") > 0)
     gone = written(gone.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")))
 
-    changed, same = spread(own, gone.select("id").distinct())
+    changed, same = spread(own, written(gone.select("id").distinct()))
     whole = keyed.join(known, ["id", "th"], "left_semi")
     none = F.lit(None).cast("array<long>")
     nulls = rows.where("id is null")
     parts = [
-        changed.join(gone, ["id", "th"], "left").select("id", "text", "starts", F.lit(False).alias("whole")),
+        changed.join(gone.hint("merge"), ["id", "th"], "left").select("id", "text", "starts", F.lit(False).alias("whole")),
         same.select("id", "text", none.alias("starts"), F.lit(False).alias("whole")),
         whole.select("id", "text", none.alias("starts"), F.lit(True).alias("whole")),
         nulls.select("id", "text", none.alias("starts"), F.lit(False).alias("whole")),
