@@ -10,7 +10,10 @@ segments are missing, doubled unequally or of another total length is reported w
 segments of one record, so they are bounded by one record's size.
 
 Null html: empty payload. Equal payloads below the bound are all responses. Null or repeated ids: each row is a record;
-of rows with the same payload and id, one is the response. Empty table: no archives, no rows.
+rows with a null id, and all that repeat a payload's largest id, are responses. Empty table: no archives, no rows.
+
+A response that others revisit is named by its id and digest, and WARC-Refers-To names it; where several rows repeat that
+id and payload the name would not be unique, so they get names of their own and revisits state the page's id only.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, written
+from .common import BROADCAST_ROWS, read, shared_dir, written
 
 MIN_REVISIT, SEGMENT, CHUNK = 1000, 16_384, 4096
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -75,14 +78,21 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return gzip.compress(f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r\n", 1, mtime=0)
 
 
-def records(page_id, uri: str | None, payload: bytes, sha1: str, refers_to, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page: a response in as many segments as it takes, or a revisit."""
-    name = f"<urn:chainloom:{page_id}:{uuid.uuid4().hex}>"
+def name_of(page_id, key: str) -> str:
+    return f"<urn:chainloom:{page_id}:{key}>"
+
+
+def records(page_id, uri: str | None, payload: bytes | None, n_bytes: int, sha1: str, refers_to, named: bool, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page: a response in as many segments as it takes, or a revisit, which has no payload.
+
+    named: whether the response of this payload is named by its id and digest.
+    """
+    name = name_of(page_id, sha1 if named and refers_to is None else uuid.uuid4().hex)
     uri = "".join((uri or "about:blank").split())
     common = [("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{sha1}"), ("X-Page-Id", page_id)]
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-        yield record([("WARC-Type", "revisit"), *common, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:chainloom:{refers_to}>"), ("X-Payload-Bytes", len(payload))], block)
+        yield record([("WARC-Type", "revisit"), *common, ("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", name_of(refers_to, sha1) if named else None), ("X-Refers-To-Page", refers_to), ("X-Payload-Bytes", n_bytes)], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment:
@@ -98,15 +108,27 @@ def records(page_id, uri: str | None, payload: bytes, sha1: str, refers_to, segm
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, segment: int = SEGMENT) -> DataFrame:
     """Write pages below path (a URI all executors see); returns the names of the files, a written table.
 
-    Only digests are grouped, with partial sums before the shuffle; a payload that a third of the pages share is one row
-    of the groups, and the join back is by row, which Spark splits where a digest is frequent.
+    Only digests are grouped, with partial sums before the shuffle, and only those of repeated payloads are joined back:
+    broadcast up to a counted bound, so that no payload moves. Beyond it ids and digests alone are joined with them, which
+    adaptive execution splits where a digest is frequent, and payloads are dealt by id and digest to leave out revisits.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
-    rows = rows.withColumn("sha1", digest("payload"))
-    groups = rows.where(F.length("payload") >= min_revisit).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
-    repeated = groups.where("n > 1").select("sha1", "first")
-    rows = rows.join(repeated, "sha1", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
+    rows = rows.withColumn("sha1", digest("payload")).withColumn("n_bytes", F.length("payload").cast("long"))
+    groups = rows.where((F.col("n_bytes") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("sha1", "page_id").agg(F.count("*").alias("n"))
+    groups = groups.groupBy("sha1").agg(F.max(F.struct("page_id", "n")).alias("top"), F.count("*").alias("ids"))
+    repeated = written(groups.where("ids > 1").select("sha1", F.col("top.page_id").alias("first"), (F.col("top.n") == 1).alias("named")))
+    refers_to = F.when(F.col("page_id") != F.col("first"), F.col("first"))
+    columns = ["page_id", "uri", "payload", "n_bytes", "sha1", "refers_to", "named"]
+    if repeated.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(repeated), "sha1", "left").withColumn("refers_to", refers_to)
+    else:
+        known = rows.drop("payload").join(repeated.hint("merge"), "sha1").withColumn("refers_to", refers_to)
+        again = written(known.where("refers_to is not null"))
+        firsts = repeated.where("named").select("sha1", F.col("first").alias("page_id"), "named")
+        left = rows.join(again.select("sha1", "page_id").distinct().hint("merge"), ["sha1", "page_id"], "left_anti").join(firsts.hint("merge"), ["sha1", "page_id"], "left")
+        rows = left.withColumn("refers_to", F.lit(None).cast("long")).select(columns).union(again.withColumn("payload", F.lit(None).cast("binary")).select(columns))
+    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).withColumn("named", F.coalesce("named", F.lit(False)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(path)
@@ -114,15 +136,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
         name, out = f"{uuid.uuid4().hex}.warc.gz", None
         for b in batches:
             for i in range(b.num_rows):
-                page_id, uri, payload, sha1, refers_to = (c[i].as_py() for c in b.columns)
+                row = [c[i].as_py() for c in b.columns]
                 out = out or files.open_output_stream(f"{base}/{name}", compression=None)
-                for r in records(page_id, uri, payload, sha1, refers_to, segment):
+                for r in records(*row, segment):
                     out.write(r)
         if out:
             out.close()
             yield pa.record_batch([pa.array([name])], names=["name"])
 
-    return written(rows.select("page_id", "uri", "payload", "sha1", "refers_to").mapInArrow(write, "name string"))
+    return written(rows.select(columns).mapInArrow(write, "name string"))
 
 
 def parsed(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -160,8 +182,7 @@ def read_records(files: DataFrame, path: str) -> DataFrame:
                 held, size = [], 0
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for h, block in parsed(stream):
-                        refers = h.get("WARC-Refers-To", "").rpartition(":")[2].rstrip(">") or None
-                        held.append((h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Segment-Origin-ID"), number(h.get("WARC-Segment-Number")), number(h.get("WARC-Segment-Total-Length")), number(h.get("X-Page-Id")), number(refers), h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, number(h.get("X-Payload-Bytes")), block))
+                        held.append((h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Segment-Origin-ID"), number(h.get("WARC-Segment-Number")), number(h.get("WARC-Segment-Total-Length")), number(h.get("X-Page-Id")), number(h.get("X-Refers-To-Page")), h.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, number(h.get("X-Payload-Bytes")), block))
                         size += len(block)
                         if size > 8 << 20:
                             yield batch(held)
