@@ -1,12 +1,14 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics of all whole texts are computed in one pass and written as a narrow table. The model is fitted in numpy on a
-bounded sample of labelled rows (`max_rows`, in the order of a hash of the id; rows held out are never read), as trees
-over quantile bins. The fitted trees are flattened into arrays; scoring walks all rows of an Arrow batch through a tree
-at once. Labels, lang, source and doc_id are no inputs.
-
-Null text counts as empty and is scored as every other text. A repeated label row counts each time; null labels are left
-out; with one class or no labels the score is the class share, or 0.5. Extra columns are ignored.
+The model is fitted in numpy on a bounded sample of labelled rows (`max_rows`, in the order of a hash of the id; rows held
+out are never read), as trees over quantile bins. The sample's labels are chosen first and broadcast, so statistics of the
+sample's texts are all that is computed for it. The fitted trees are flattened into arrays; one pass over all whole texts
+computes their statistics and walks all rows of an Arrow batch through a tree at once. Nothing is shuffled but labels.
+Labels, lang, source and doc_id are no inputs.
+
+Null text counts as empty and is scored as every other text. A repeated label or document row counts each time, within
+the bound; null labels and ids are left out; with one class or no labels the score is the class share, or 0.5. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -120,24 +122,27 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id") -> Forest:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Forest:
     """Fit on at most max_rows labelled rows that aren't held out."""
-    known = labels.select(id_col, F.col("quality").cast("double").alias("__y")).where(F.col("__y").isNotNull() & ~held_out(id_col))
-    sample = stats.select(id_col, "stats").join(known, id_col).orderBy(F.xxhash64(id_col), id_col, "__y").limit(max_rows).select("stats", "__y").toArrow()
+    known = labels.select(id_col, F.col("quality").cast("double").alias("__y")).where(F.col("__y").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    order = [F.xxhash64(id_col), id_col, "__y"]
+    chosen = written(known.orderBy(*order).limit(max_rows))
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    sample = with_statistics(rows, id_col, text_col, ["__y"]).orderBy(*order, F.col("stats").cast("string")).limit(max_rows).select("stats", "__y").toArrow()
     x = np.array(sample.column("stats").to_pylist(), float).reshape(-1, N_STATISTICS)
     return fit(x, np.array(sample.column("__y").to_pylist(), float))
 
 
-def scored(stats: DataFrame, forest: Forest) -> DataFrame:
-    """The rows with `score` in place of `stats` (the last column)."""
+def scored(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and score of each row."""
+    kept = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column("stats").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, N_STATISTICS)
-            yield pa.record_batch([*b.columns[:-1], pa.array(forest.score(x))], names=[*b.schema.names[:-1], "score"])
+            x = np.array([statistics(t.as_py()) for t in b.column(1)], float).reshape(b.num_rows, N_STATISTICS)
+            yield pa.record_batch([b.column(0), pa.array(forest.score(x))], names=[id_col, "score"])
 
-    fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in stats.schema.fields[:-1])
-    return stats.mapInArrow(rows, f"{fields}, score double")
+    return kept.mapInArrow(rows, f"`{id_col}` {kept.schema[id_col].dataType.simpleString()}, score double")
 
 
 def accepted(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -152,6 +157,6 @@ def accepted(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = written(with_statistics(read(spark, sf_dir, "documents")))
-    forest = train(stats, read(spark, sf_dir, "labels"))
-    return scored(stats, forest).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    docs = read(spark, sf_dir, "documents")
+    forest = train(docs, read(spark, sf_dir, "labels"))
+    return scored(docs, forest).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
