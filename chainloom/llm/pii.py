@@ -18,8 +18,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +102,12 @@ def shape(span: str) -> str:
     return "".join(out)
 
 
+@lru_cache(1 << 16)
+def weight_of(feature: str) -> int:
+    """The place of a feature's weights."""
+    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=2).digest(), "little") % N_WEIGHTS
+
+
 def features(tokens: list[tuple[str, int, int]], i: int, j: int, text: str) -> list[int]:
     """Hashed features of the span of tokens i .. j - 1 and of what stands before it."""
     span = text[tokens[i][1] : tokens[j - 1][2]]
@@ -119,7 +127,7 @@ def features(tokens: list[tuple[str, int, int]], i: int, j: int, text: str) -> l
         f"d{'@' in span}{'.' in span.partition('@')[2]}", f"v{16 <= n <= 19 and luhn(digits)}{letters > 0}", f"p{'+' in span[:1]}{8 <= n <= 15}{letters > 0}",
         f"h{len(span) >= 16}{letters > 0}{n > 0}{all(c in '0123456789abcdef' for c in span)}", f"q{len(span) >= 16}{span[:4] if span[:4].isupper() else ''}",
     ]
-    return [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=2).digest(), "little") % N_WEIGHTS for x in named]
+    return [*map(weight_of, named)]
 
 
 class Region:
@@ -305,11 +313,12 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
 def found_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
     """Base spans, and all spans (base and the field's), each by kind as listed, then start."""
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
+    starts, ends = zip(*sorted((s, e) for _, s, e in base)) if base else ((), ())
+    reach = [0, *accumulate(ends, max)]  # the furthest end of the first k base spans
     added = []
     for low, high in regions(text):
         for span in Region(text, low, high).best(weights):
-            if not any(s < span[2] and span[1] < e for s, e in taken if s <= high and e >= low):
+            if reach[bisect_left(starts, span[2])] <= span[1]:
                 added.append(span)
     return base, sorted({*base, *added}, key=lambda x: (LABELS.index(x[0]), x[1], x[2]))
 
