@@ -4,7 +4,8 @@ A part file is an Arrow IPC file whose batches hold two fixed-size-list columns,
 that fit the vocabulary) and `mask` (true for real tokens): the stream of all its documents' ids, cut every seq_len
 tokens, only the last sequence being padded. Any sequence is found by arithmetic and read without a copy. Beside it an
 index file lists doc_id, start in the part, n_tokens. Documents are range-partitioned, so parts are in ascending doc_id
-order; what stands before a part is a sum over a manifest with one row a part.
+order; what stands before a part is a sum over a manifest with one row a part. The number of parts
+follows from the counted bytes of the texts.
 
 A task writes files under names of its own and reports them as its result, so those of lost or doubled attempts are
 never read. Null text: no ids but the end id. Equal doc_ids: in the order of their texts. Empty table: no files, no rows.
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import read, shared_dir, written
 from .tokens import encoder
 
-SEQ_LEN, BATCH = 1024, 256
+SEQ_LEN, BATCH, PART_BYTES = 1024, 256, 256 << 20
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -97,12 +99,14 @@ class PartReader:
             self._at, self._ids = k, self.data.get_batch(k).column(0).values.to_numpy(zero_copy_only=True)
         return self._ids
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The i-th sequence's ids and mask."""
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The i-th sequence's ids and mask, both views of the file; the mask stays packed, a bit a token."""
         k, j = divmod(i, BATCH)
-        batch = self.data.get_batch(k)
-        bits = batch.column(1)[j].values
-        return self._batch(k)[j * self.seq_len : (j + 1) * self.seq_len], bits.to_numpy(zero_copy_only=False)
+        return self._batch(k)[j * self.seq_len : (j + 1) * self.seq_len], self.data.get_batch(k).column(1)[j].values
+
+    def n_real(self) -> int:
+        """How many tokens the masks mark, which all documents together must have."""
+        return sum(pc.sum(self.data.get_batch(k).column(1).values).as_py() for k in range(self.data.num_record_batches))
 
     def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
         """Views of the ids start .. start + n, a batch at a time."""
@@ -135,7 +139,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             row = {"part": TaskContext.get().partitionId()} | out.close()
             yield pa.RecordBatch.from_pylist([row], pa.schema([("part", pa.int64()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = written(rows.mapInArrow(write, "part long, name string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -147,15 +154,17 @@ def read_documents(manifest: DataFrame, path: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part, held = PartReader(path, name), []
+                part, held, total = PartReader(path, name), [], 0
                 for doc_id, start, n in part.documents():
-                    crc = 0
+                    crc, total = 0, total + n
                     for view in part.tokens(start, n):
                         crc = zlib.crc32(view.astype("<u4").tobytes(), crc)
                     held.append((doc_id, base + start, n, crc))
                     if len(held) >= 10_000:
                         yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                         held = []
+                if total != part.n_real():
+                    raise ValueError(f"{name}: documents have {total} tokens, masks {part.n_real()}")
                 if held:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*held)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
