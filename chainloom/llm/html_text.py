@@ -1,31 +1,34 @@
 """Visible text of HTML pages by layout-aware rendering.
 
-A small tree builder (implied end tags and rows, void and raw-text elements, content moved out of tables) feeds a renderer with visibility rules, block
-spacing, list markers, preformatted text and tables whose cells are aligned in columns. Each page is a row of its own:
-nothing is shuffled.
-
-Null html: null text (n_chars 0). Empty html: empty text. Broken markup never raises: a stray "<" is text, unclosed
-elements close with their parent. Depth is bounded by DEPTH: deeper elements are flattened into their parent, with all
-their text. Repeated rows are each rendered; other columns are ignored.
+A small tree builder (implied end tags and rows, void and raw-text elements, content moved out of tables) feeds a renderer
+with visibility rules (display, visibility and its overrides, hidden, closed details), block spacing, list markers,
+preformatted text and tables whose cells are aligned in columns, with column and row spans. Each page is a row of its
+own: nothing is shuffled.
+
+Null html: null text (n_chars 0). Empty html: empty text. Broken markup never raises: a "<" that opens no tag, or a tag
+without an end, is text; unclosed elements close with their parent. Elements may be nested to any depth, and the work is
+linear in the page: open elements are found by tag, rendering keeps its own stack, and indents and alignment stop at
+INDENT levels and PAD characters. Repeated rows are each rendered; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
 
-DEPTH = 150
+#: Levels of lists that are indented, characters of a column and of a row that cells are aligned by, columns of a cell.
+INDENT, PAD, ROW_PAD, SPANS = 24, 60, 400, 1000
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
-HIDDEN = frozenset("script style head title meta link noscript template iframe noframes object svg math audio video canvas select datalist dialog base param source track area map".split())
+HIDDEN = frozenset("script style head title meta link noscript template iframe noframes object svg math audio video canvas select datalist base param source track area map".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 CLOSES_P = BLOCKS - frozenset("body html dd dt li legend summary".split())
@@ -44,128 +47,161 @@ IMPLIED = {
 ROWED = frozenset("table thead tbody tfoot tr colgroup".split())
 #: Parts of a table, and the open elements that each stands in.
 PARTS = dict.fromkeys(("td", "th"), ROWED - {"colgroup"}) | {"tr": ROWED - {"tr", "colgroup"}, "col": frozenset(("table", "colgroup"))} | dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), frozenset(("table",)))
-TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?]))")
-HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+OPENS = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|([!?]))")
+TAG_END = re.compile("[>\"']")
+DISPLAY_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE_RUN = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "source", "children", "_attributes")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, source: str = ""):
+        self.tag, self.source, self.children, self._attributes = tag, source, [], None
 
     def get(self, name: str) -> str | None:
-        for m in ATTRIBUTE.finditer(self.attributes):
-            if m[1].lower() == name:
-                return next((html.unescape(v) for v in m.groups()[1:] if v is not None), "")
-        return None
+        """An attribute; of repeated ones the first counts."""
+        if not self.source:
+            return None
+        if self._attributes is None:
+            self._attributes = {}
+            for m in ATTRIBUTE.finditer(self.source):
+                self._attributes.setdefault(m[1].lower(), next((html.unescape(v) for v in m.groups()[1:] if v is not None), ""))
+        return self._attributes.get(name)
 
     def hidden(self) -> bool:
+        """Whether neither the element nor anything in it is rendered."""
         if self.tag in HIDDEN:
             return True
-        if not self.attributes:
-            return False
-        style = self.get("style") if "style" in self.attributes.lower() else None
-        names = self.attributes.lower()
-        return bool(style and HIDES.search(style)) or ("hidden" in names and (self.get("hidden") is not None or (self.tag == "input" and (self.get("type") or "").lower() == "hidden")))
+        if self.tag == "dialog" and self.get("open") is None:
+            return True
+        return bool(self.source) and (self.get("hidden") is not None or bool(DISPLAY_NONE.search(self.get("style") or "")))
 
+    def shown(self, inherited: bool) -> bool:
+        """Whether its own text can be seen; visibility is inherited until an element states it."""
+        stated = VISIBILITY.findall(self.get("style") or "") if self.source else []
+        return stated[-1].lower() not in ("hidden", "collapse") if stated and stated[-1].lower() not in ("inherit", "unset") else inherited
 
-def table_of(stack: list[Node]) -> int:
-    """Where the table stands whose rows or cells come next; 0 if the innermost element isn't of that kind."""
-    return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "table"), 0) if stack[-1].tag in ROWED else 0
 
+class Open:
+    """The open elements, with the places of each tag, so that none is searched for."""
 
-def add(stack: list[Node], x: Node | str) -> None:
-    """Put x into the innermost element, or before the table if it can't stand among rows or cells."""
-    moves = x.strip() if isinstance(x, str) else x.tag not in PARTS and not x.hidden()
-    k = table_of(stack) if moves else 0
-    if k:
-        stack[k - 1].children.insert(-1, x)
-    else:
-        stack[-1].children.append(x)
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
 
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
 
-def to_table(stack: list[Node], tag: str) -> None:
-    """End what a part of a table can't stand in, up to its row, section or table; a cell outside a row gets one."""
-    k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in ROWED or stack[k].tag in ("td", "th", "caption")), 0)
-    while k and stack[k].tag in ROWED and stack[k].tag not in PARTS[tag]:
-        k -= 1
-    if not k or stack[k].tag not in ROWED:
-        return
-    del stack[k + 1 :]
-    if tag in ("td", "th") and stack[k].tag != "tr" and len(stack) < DEPTH:
-        row = Node("tr")
-        stack[k].children.append(row)
-        stack.append(row)
+    def cut(self, k: int) -> None:
+        """Close the k-th element and all in it."""
+        while len(self.stack) > k:
+            self.places[self.stack.pop().tag].pop()
+
+    def last(self, *tags: str) -> int:
+        """The innermost place of any of the tags; 0 if none is open."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def first_after(self, k: int, *tags: str) -> int:
+        """The outermost place beyond k of any of the tags; 0 if there is none."""
+        found = [at[i] for t in tags if (at := self.places.get(t)) and (i := bisect_right(at, k)) < len(at)]
+        return min(found, default=0)
+
+    def table(self) -> int:
+        """Where the table stands whose rows or cells come next; 0 if the innermost element isn't of that kind."""
+        return self.last("table") if self.stack[-1].tag in ROWED else 0
+
+    def add(self, x: Node | str) -> None:
+        """Put x into the innermost element, or before the table if it can't stand among rows or cells."""
+        moves = x.strip() if isinstance(x, str) else x.tag not in PARTS and not x.hidden()
+        k = self.table() if moves else 0
+        if k:
+            self.stack[k - 1].children.insert(-1, x)
+        else:
+            self.stack[-1].children.append(x)
+
+    def to_table(self, tag: str) -> None:
+        """End what a part of a table can't stand in, up to its row, section or table; a cell outside a row gets one."""
+        k = self.last(*ROWED, "td", "th", "caption")
+        while k and self.stack[k].tag in ROWED and self.stack[k].tag not in PARTS[tag]:
+            k -= 1
+        if not k or self.stack[k].tag not in ROWED:
+            return
+        self.cut(k + 1)
+        if tag in ("td", "th") and self.stack[k].tag != "tr":
+            row = Node("tr")
+            self.stack[k].children.append(row)
+            self.push(row)
+
+
+def tag_end(source: str, at: int) -> int:
+    """Where the ">" of a tag stands, -1 if nowhere. Quoted values may hold one; a quote that never closes is a character."""
+    while m := TAG_END.search(source, at):
+        if m[0] == ">":
+            return m.start()
+        close = source.find(m[0], m.end())
+        at = m.end() if close < 0 else close + 1
+    return -1
 
 
 def tree(source: str) -> Node:
     """The element tree of a page."""
     root = Node("html")
-    stack, at, size = [root], 0, len(source)
+    opened, at, size = Open(root), 0, len(source)
     while at < size:
-        m = TAG.search(source, at)
+        m = OPENS.search(source, at)
         if m is None:
-            add(stack, html.unescape(source[at:]))
+            opened.add(html.unescape(source[at:]))
             break
         if m.start() > at:
-            add(stack, html.unescape(source[at : m.start()]))
+            opened.add(html.unescape(source[at : m.start()]))
         at = m.end()
-        if m[1]:
-            end = source.find("-->", at)
-            at = size if end < 0 else end + 3
+        if m[1] or m[4]:
+            mark = "-->" if m[1] else ">"
+            end = source.find(mark, at)
+            at = size if end < 0 else end + len(mark)
             continue
-        if m[5]:
-            end = source.find(">", at)
-            at = size if end < 0 else end + 1
-            continue
-        tag = m[3].lower()
+        end = tag_end(source, at)
+        if end < 0:
+            opened.add(html.unescape(source[m.start() :]))
+            break
+        tag, attributes, at = m[3].lower(), source[at:end], end + 1
         if m[2]:
-            names = [n.tag for n in stack]
-            if tag in names[1:]:
-                k = len(names) - 1 - names[::-1].index(tag)
-                if not (tag not in ("table", "html", "body") and "table" in names[k + 1 :]):
-                    del stack[k:]
+            k = opened.last(tag)
+            if k:
+                if tag in ("table", "html", "body") or opened.last("table") < k:
+                    opened.cut(k)
             elif tag == "p":
-                stack[-1].children.append(Node("p"))
+                opened.stack[-1].children.append(Node("p"))
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("td", "th", "li", "div", "table", "button"):
-                    break
+            k = opened.last("p")
+            if k > opened.last("td", "th", "li", "div", "table", "button"):
+                opened.cut(k)
         if tag in IMPLIED:
             ends, stops = IMPLIED[tag]
-            cut = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stops:
-                    break
-                if stack[k].tag in ends:
-                    cut = k
-            if cut is not None:
-                del stack[cut:]
-        among_rows = table_of(stack)
+            k = opened.first_after(opened.last(*stops), *ends)
+            if k:
+                opened.cut(k)
+        among_rows = opened.table()
         if tag in PARTS:
-            to_table(stack, tag)
+            opened.to_table(tag)
         elif tag == "table" and among_rows:
-            del stack[among_rows:]
-        node = Node(tag, m[4])
-        add(stack, node)
-        if tag in VOID or m[4].endswith("/") and tag in ("svg", "math") or tag == "form" and among_rows:
+            opened.cut(among_rows)
+        node = Node(tag, attributes)
+        opened.add(node)
+        if tag in VOID or attributes.endswith("/") and tag in ("svg", "math") or tag == "form" and among_rows:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
+            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             stop = end.start() if end else size
             node.children.append(source[at:stop] if tag in ("script", "style") else html.unescape(source[at:stop]))
             close = source.find(">", stop) if end else -1
             at = size if close < 0 else close + 1
             continue
-        if len(stack) < DEPTH:
-            stack.append(node)
+        opened.push(node)
     return root
 
 
@@ -174,32 +210,33 @@ class Page:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []
         self.gap = 0
 
     def text(self, s: str) -> None:
         s = SPACE_RUN.sub(" ", s)
-        if not self.line or self.line.endswith((" ", "\n")):
+        if not self.parts or self.parts[-1].endswith((" ", "\n")):
             s = s.lstrip(" ")
         if s:
-            self.line += s
+            self.parts.append(s)
 
     def literal(self, s: str) -> None:
         *full, last = s.replace("\r\n", "\n").split("\n")
         for x in full:
-            self.line += x
+            self.parts.append(x)
             self.end(True)
-        self.line += last
+        if last:
+            self.parts.append(last)
 
     def end(self, always: bool = False) -> None:
         """End the line, if it has anything or always."""
-        line = self.line.rstrip()
+        line = "".join(self.parts).rstrip()
         if line or always:
             if self.lines and self.gap and line:
                 self.lines += [""] * self.gap
             self.gap = 0 if line else self.gap
             self.lines.append(line)
-        self.line = ""
+        self.parts = []
 
     def block(self, spaced: bool) -> None:
         self.end()
@@ -210,108 +247,174 @@ class Page:
         self.end()
         return "\n".join(self.lines).strip("\n")
 
+    def flat(self) -> str:
+        """All on one line."""
+        return " ".join(x.strip() for x in self.done().split("\n") if x.strip())
 
-def plain(node: Node) -> str:
-    """A table cell's text on one line."""
-    page = Page()
-    render(node, page, [])
-    return " ".join(x.strip() for x in page.done().split("\n") if x.strip())
+
+class List:
+    """An open list: its parent, level, whether it is numbered, and the next number."""
+
+    def __init__(self, node: Node, parent: List | None):
+        start = node.get("start") or ""
+        self.level, self.numbered = parent.level + 1 if parent else 0, node.tag == "ol"
+        self.next = int(start) if start.lstrip("-").isdecimal() and len(start) < 10 else 1
+
+    def marker(self) -> str:
+        number, self.next = self.next, self.next + 1
+        return "  " * min(self.level, INDENT) + (f"{number}. " if self.numbered else "- ")
+
+
+def run(first: Iterator) -> None:
+    """Run a generator and those it yields, each to its end, without recursion."""
+    stack = [first]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
 
 
-def rows_of(table: Node) -> Iterator[list[Node]]:
+def span_of(cell: Node, name: str, most: int) -> int:
+    n = cell.get(name) or ""
+    return min(int(n), most) if n.isdecimal() and len(n) < 10 and (int(n) or name == "rowspan") else 1
+
+
+def sections(table: Node) -> Iterator[list[Node]]:
+    """The rows of each section; rows that stand in the table itself are a section."""
+    own: list[Node] = []
     for x in table.children:
         if isinstance(x, Node) and not x.hidden():
             if x.tag == "tr":
-                yield [c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not c.hidden()]
+                own.append(x)
             elif x.tag in ("thead", "tbody", "tfoot"):
-                yield from rows_of(x)
+                if own:
+                    yield own
+                    own = []
+                yield [r for r in x.children if isinstance(r, Node) and r.tag == "tr" and not r.hidden()]
+    if own:
+        yield own
 
 
-def render_table(table: Node, page: Page, lists: list) -> None:
+def render_table(table: Node, page: Page, lists: List | None, shown: bool) -> Iterator:
+    """Caption and what stands outside cells first, then the rows; a cell that spans columns or rows keeps them free."""
     for x in table.children:
         if isinstance(x, Node) and x.tag == "caption" and not x.hidden():
-            page.text(plain(x))
-            page.end()
-        elif isinstance(x, str) and x.strip():
-            page.text(x)
+            inside = Page()
+            yield render(x, inside, None, x.shown(shown))
+            page.text(inside.flat())
             page.end()
-        elif isinstance(x, Node) and not x.hidden() and x.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col"):
-            render_child(x, page, lists)
+        elif isinstance(x, str):
+            if x.strip() and shown:
+                page.text(x)
+                page.end()
+        elif not x.hidden() and x.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup", "col"):
+            yield render_child(x, page, lists, shown)
             page.end()
-    rows = []
-    for cells in rows_of(table):
-        row: list[str] = []
-        for c in cells:
-            span = c.get("colspan") if c.attributes else None
-            row += [plain(c), *[""] * (min(int(span), 100) - 1 if span and span.isdigit() and int(span) > 1 else 0)]
-        if any(row):
-            rows.append(row)
-    widths = [max((len(r[k]) for r in rows if k < len(r)), default=0) for k in range(max(map(len, rows), default=0))]
-    for row in rows:
-        page.literal("  ".join(v.ljust(w) for v, w in zip(row, widths)).rstrip())
+    rows: list[dict[int, str]] = []
+    for section in sections(table):
+        taken: dict[int, int] = {}  # column: rows of this section that a cell above still spans
+        for n, row in enumerate(section):
+            taken = {c: k for c, k in taken.items() if k > n}
+            cells, column = {}, 0
+            for cell in row.children:
+                if isinstance(cell, str) or cell.tag not in ("td", "th") or cell.hidden():
+                    continue
+                while column in taken:
+                    column += 1
+                inside = Page()
+                yield render(cell, inside, None, cell.shown(row.shown(shown)))
+                if text := inside.flat():
+                    cells[column] = text
+                wide, high = span_of(cell, "colspan", SPANS), span_of(cell, "rowspan", len(section) - n)
+                if high != 1:
+                    taken |= dict.fromkeys(range(column, column + wide), n + high if high else len(section))
+                column += wide
+            if cells:
+                rows.append(cells)
+    widths: dict[int, int] = {}
+    for cells in rows:
+        for c, text in cells.items():
+            widths[c] = max(widths.get(c, 0), min(len(text), PAD))
+    offsets, at = {}, 0
+    for c in sorted(widths):
+        offsets[c] = min(at, ROW_PAD)
+        at += widths[c] + 2
+    for cells in rows:
+        parts, length = [], 0
+        for c, text in cells.items():
+            gap = max(offsets[c] - length, 2 if parts else 0)
+            parts += [" " * gap, text]
+            length += gap + len(text)
+        page.literal("".join(parts))
         page.end()
 
 
-def render_child(x: Node, page: Page, lists: list) -> None:
+def every_text(node: Node, shown: bool) -> Iterator[str]:
+    stack = [(x, shown) for x in reversed(node.children)]
+    while stack:
+        x, seen = stack.pop()
+        if isinstance(x, str):
+            if seen:
+                yield x
+        elif x.tag == "br":
+            yield "\n"
+        elif not x.hidden():
+            stack += [(y, x.shown(seen)) for y in reversed(x.children)]
+
+
+def render_child(x: Node, page: Page, lists: List | None, shown: bool) -> Iterator:
     if x.hidden():
         return
-    tag = x.tag
+    tag, shown = x.tag, x.shown(shown)
     if tag == "br":
         page.end(True)
     elif tag == "hr":
         page.block(False)
-    elif tag == "img" or tag == "input":
-        pass
     elif tag == "table":
         page.block(True)
-        render_table(x, page, lists)
+        yield render_table(x, page, lists, shown)
         page.block(True)
     elif tag == "pre":
         page.block(True)
-        page.literal("".join(every_text(x)).strip("\n"))
+        page.literal("".join(every_text(x, shown)).strip("\n"))
         page.block(True)
     elif tag in ("ul", "ol", "menu"):
         page.block(not lists)
-        start = x.get("start") if x.attributes else None
-        render(x, page, [*lists, [tag, int(start) if start and start.lstrip("-").isdigit() and len(start) < 10 else 1]])
+        yield render(x, page, List(x, lists), shown)
         page.block(not lists)
     elif tag == "li":
         page.end()
-        indent = "  " * max(0, len(lists) - 1)
-        marker = "- "
-        if lists and lists[-1][0] == "ol":
-            marker, lists[-1][1] = f"{lists[-1][1]}. ", lists[-1][1] + 1
-        page.line = indent + marker
-        render(x, page, lists)
-        if page.line == indent + marker:
-            page.line = ""
+        marker = lists.marker() if lists else "- "
+        page.parts = [marker]
+        yield render(x, page, lists, shown)
+        if page.parts == [marker]:
+            page.parts = []
         page.end()
+    elif tag == "details" and x.get("open") is None:
+        page.block(False)
+        summary = next((c for c in x.children if isinstance(c, Node) and c.tag == "summary"), None)
+        if summary:
+            yield render_child(summary, page, lists, shown)
+        page.block(False)
     elif tag in BLOCKS:
         page.block(tag in SPACED)
-        render(x, page, lists)
+        yield render(x, page, lists, shown)
         page.block(tag in SPACED)
     else:
-        render(x, page, lists)
+        yield render(x, page, lists, shown)
         if tag in ("td", "th"):
             page.text(" ")
 
 
-def every_text(node: Node) -> Iterator[str]:
-    for x in node.children:
-        if isinstance(x, str):
-            yield x
-        elif x.tag == "br":
-            yield "\n"
-        elif not x.hidden():
-            yield from every_text(x)
-
-
-def render(node: Node, page: Page, lists: list) -> None:
+def render(node: Node, page: Page, lists: List | None, shown: bool) -> Iterator:
     for x in node.children:
         if isinstance(x, str):
-            page.text(x)
+            if shown:
+                page.text(x)
         else:
-            render_child(x, page, lists)
+            yield render_child(x, page, lists, shown)
 
 
 def visible_text(source: str | None) -> str | None:
@@ -319,7 +422,7 @@ def visible_text(source: str | None) -> str | None:
     if source is None:
         return None
     page = Page()
-    render(tree(source), page, [])
+    run(render(tree(source), page, None, True))
     return page.done()
 
 
