@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 import brute
@@ -102,7 +103,7 @@ def test_token_files(spark, docs, plain, edge, empty):
         assert by_id(token_files.read_documents(manifest, path), "start", "n_tokens", "ids_crc32") == want
         part = manifest.first()
         ids, mask = token_files.PartReader(path, part["name"]).sequence(0)
-        assert len(ids) == token_files.SEQ_LEN == len(mask) and mask.sum() == min(part.n_tokens, token_files.SEQ_LEN)
+        assert len(ids) == token_files.SEQ_LEN == len(mask) and not ids.flags.owndata and mask.true_count == min(part.n_tokens, token_files.SEQ_LEN)
     path = shared_dir(spark)
     assert token_files.read_documents(token_files.write_tokens(empty, path, public_tokenizers.path("word_bpe_49k.json"), 1), path).count() == 0
 
@@ -283,6 +284,34 @@ def test_html_out_of_place_in_tables(source, text):
     assert html_text.visible_text(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<div>" * 3000 + "<ol><li>x</ol><p hidden>SECRET" + "</div>" * 3000, "1. x"), ("<table><td>" * 2000 + "x", "x"),
+        ("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no", "yes"), ("<div style='visibility:hidden'><table><td>a<td style='visibility:visible'>b</table></div>", "b"),
+        ("<details><summary>more</summary>no</details>x<details open><summary>s</summary>yes</details>", "more\nx\ns\nyes"), ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><tr><td>a<td rowspan=0>b<tr><td>c<td>d</table>", "a  b\nc     d"), ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a     b\nc  d  e"),
+        ("<table><tr><td colspan=99999999>a<td>b</table>", "a  b"), ("<a x <a x", "<a x <a x"), ("<a x='>b", "b"), ('<a x=">" y>b', "b"), ("a < b <3", "a < b <3"), ("<b style='color:red;display:none'>n</b>y", "y"),
+        ("<span data-style='display:none'>y</span>", "y"), ("<div style='nodisplay:none'>y</div>", "y"),
+    ],
+)
+def test_html_depth_visibility_and_spans(source, text):
+    assert html_text.visible_text(source) == text
+    assert html_text.visible_text("<ul><li>x" * 60).split("\n")[-1] == "  " * html_text.INDENT + "- x"
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a x " * 200_000, "<a \"'" * 170_000, "<div>" * 200_000, "<b><table>" + "<div>" * 90_000 + "</b>" * 130_000, "<ul><li>x" * 110_000, "<table><tr><td>" * 60_000, "<p>x</i> " * 110_000, "<tr><td colspan=1000 rowspan=9>x" * 30_000, "<table>" + "<tr><td>" + "y" * 500_000 + "<td>z" + "<tr><td>x<td>z" * 30_000, "<i>x</i>" * 120_000],
+    ids=range(10),
+)
+def test_html_is_linear(source):
+    """A megabyte of any of these takes seconds; what is quadratic takes minutes."""
+    began = time.process_time()
+    html_text.visible_text(source)
+    assert time.process_time() - began < 20
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("<table> </table> <tr> </tr> <td> </td> <tbody> </tbody> <div> </div> <form> </form> <p> <li> <caption> <col> <colgroup> <b> word word".split()), max_size=25))
 def test_html_keeps_every_word(parts):
@@ -339,6 +368,60 @@ def test_warc(spark):
     assert warc.read_archives(warc.write_archives(more.limit(0), empty), empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_warc_repeated_and_null_ids(spark, monkeypatch, limit):
+    """Each row is a record; revisits name a record that is there, or none."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+    a, b, c = "a" * 1500, "b" * 40_000, "c" * 2000
+    given_ = [(1, a), (2, a), (2, a), (None, a), (3, b), (4, b), (4, b), (5, b), (None, c), (None, c), (6, c), (7, "s"), (7, "s"), (None, None)]
+    df = spark.createDataFrame([(k, "u", h, "x", 1.5, 3) for k, h in given_], "page_id long, url string, html string, sha1 string, payload double, kind int")
+    path = shared_dir(spark)
+    files = warc.write_archives(df, path)
+    got = sorted(map(str, (tuple(x)[:2] + tuple(x)[3:] for x in warc.read_archives(files, path).collect())))
+    last = {a: 2, b: 5, c: 6}
+    want = []
+    for k, h in given_:
+        again = h in last and k is not None and k != last[h]
+        want.append(str((k, len(h or ""), "revisit" if again else "response", last[h] if again else None)))
+    assert got == sorted(want)
+    names, refers = set(), []
+    for row in files.collect():
+        files_, base = warc.pafs.FileSystem.from_uri(path)
+        with files_.open_input_stream(f"{base}/{row.name}", compression=None) as stream:
+            for h, _ in warc.parsed(stream):
+                assert h["WARC-Record-ID"] not in names
+                names.add(h["WARC-Record-ID"])
+                refers += [h["WARC-Refers-To"]] if "WARC-Refers-To" in h else []
+    assert len(refers) == 3 and set(refers) <= names  # 3 and both of 4 name the response of 5; that of 2 is there twice
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Every operator gives each row its result."""
+    long = " ".join(f"w{k}" for k in range(70))
+    rows = [(1, long), (1, long), (None, long), (2, "so " + long), (2, "so " + long), (2, "other text of two"), (3, None), (3, None), (None, None), (4, "mail a.b@example.org now " * 400)]
+    df = spark.createDataFrame([(*x, 1.0, "k", [1]) for x in rows], "doc_id long, text string, id double, key string, words array<int>")
+    count = lambda values: sorted(map(str, values))
+    got = substring_dedup.deduplicated(df).collect()
+    gone = {(2, "so " + long): 70}
+    assert count((x.doc_id, x.n_words, x.n_removed) for x in got) == count((d, len((t or "").split()), gone.get((d, t), 0)) for d, t in rows)
+    path = shared_dir(spark)
+    files = token_files.read_documents(token_files.write_tokens(df, path, public_tokenizers.path("word_bpe_49k.json"), 1), path).collect()
+    ids = [(d, brute.token_ids(t, "word_bpe_49k.json", 1)) for d, t in rows]
+    assert count((x.doc_id, x.n_tokens, x.ids_crc32) for x in files) == count((d, len(i), brute.crc(i)) for d, i in ids)
+    pieces = packing.pack(written(packing.cut(df, public_tokenizers.path("byte_bpe_50k.json"), 2))).collect()
+    assert sum(x.length for x in pieces) == sum(len(brute.token_ids(t, "byte_bpe_50k.json", 2)) for _, t in rows)
+    assert count((x.doc_id, x.n_email) for x in pii.find_pii(df).collect()) == count((d, len(brute.base_pii(t))) for d, t in rows)
+    assert count((x.doc_id, x.n_words) for x in quality_rules.rate_lines(df).collect()) == count((d, len((t or "").split())) for d, t in rows)
+    labels = spark.createDataFrame([(d, d % 2) for d in (1, 1, 2, 4)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    assert count(x.doc_id for x in quality_model.scored(df, quality_model.train(df, labels)).collect()) == count(d for d, _ in rows)
+
+
+def test_pii_is_linear():
+    began = time.process_time()
+    base, spans = pii.found_spans("10.0.0.1 " * 30_000, pii.model())
+    assert len(base) == 30_000 and time.process_time() - began < 60
+
+
 def near(seed):
     q = random.Random(seed)
     base = [[f"v{q.randint(0, 30)}" for _ in range(q.randint(3, 120))] for _ in range(6)]
@@ -398,17 +481,18 @@ def test_components(spark):
 
 def test_quality_model(spark, docs, edge):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    big = written(quality_model.with_statistics(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     forest = quality_model.train(big, known)
     rows = quality_model.scored(big, forest).join(known, "doc_id").where(quality_model.held_out()).select("score", "quality").collect()
     good, bad = ([x.score for x in rows if x.quality == q] for q in (1, 0))
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
     assert auc > 0.9
-    scores = by_id(quality_model.scored(quality_model.with_statistics(edge), forest), "score")
+    scores = by_id(quality_model.scored(edge, forest), "score")
     assert len(scores) == len(EDGE) and all(0 <= s <= 1 for s, in scores.values()) and scores[2] == scores[3]
     assert quality_model.train(big, labels.limit(0)).score(np.zeros((1, quality_model.N_STATISTICS)))[0] == pytest.approx(0.5)
-    x = np.array(big.limit(20).toPandas()["stats"].tolist())
+    assert quality_model.train(big, known, max_rows=50).feature.shape == forest.feature.shape
+    x = np.array([quality_model.statistics(t.text) for t in big.limit(20).collect()])
     for row, s in zip(x, forest.score(x)):
         total = forest.start
         for f, t, leaf in zip(forest.feature, forest.threshold, forest.leaf):
