@@ -1,8 +1,9 @@
 """A corpus in five stages: quality, near duplicates, benchmark passages, personal data, packing.
 
 Each stage works on all that the one before kept, takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-return the columns of documents. ORACLE_SQL is None: the classifier and the field of the fourth stage have no SQL form,
-so the tests compare run() with brute-force versions.
+return the columns of documents. Rows with null texts go through every stage as empty ones; rows that repeat a doc_id stay
+or go together; null doc_ids stay in the stages that drop by id. ORACLE_SQL is None: the classifier and the field of the
+fourth stage have no SQL form; tests/llm compares each stage with a plain version on its own input, and run() with all of them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.llm import decontaminate, jaccard_join, packing, pii, quality_model
-from chainloom.llm.common import read, written
+from chainloom.llm.common import bounded, read, written
 from chainloom.ship import ship
 
 SHINGLE, SIMILARITY = 5, 80
@@ -20,14 +21,12 @@ SHINGLE, SIMILARITY = 5, 80
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id isn't in ids; up to a counted bound ids are broadcast and texts stay where they are."""
-    ids = written(ids.distinct())
-    return docs.join(F.broadcast(ids) if ids.count() <= jaccard_join.BROADCAST_IDS else ids, "doc_id", "left_anti")
+    return docs.join(bounded(written(ids.distinct())), "doc_id", "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    stats = written(quality_model.with_statistics(docs))
-    return quality_model.accepted(docs, quality_model.train(stats, read(spark, sf_dir, "labels")))
+    return quality_model.accepted(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
