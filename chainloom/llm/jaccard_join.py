@@ -11,9 +11,9 @@ they meet in that n-gram's bucket. A bucket isn't turned into all its pairs:
 1. Every member meets the bucket's least member. Size and a parity sketch (whose Hamming distance never exceeds the sets'
    difference) drop pairs that can't link. The owner of such pairs walks the tree of its members' sets: first for the
    least owner of each member, then, after components of these links, for pairs between components.
-2. Of buckets that still hold several components, the rare ends are put into a tree and joined with themselves, with the
-   bound on what lies behind them; pairs of two components that pass it are verified by a tree of whole sets as before.
-   Large buckets are dealt in blocks, the members of their largest component apart, since those needn't meet each other.
+2. In buckets that still hold several components, members are compared by size and sketch, in blocks; members of a
+   bucket's largest component needn't meet each other and are dealt apart. Pairs are counted by the n-grams that their
+   rare ends share, and those with enough for a link are verified by trees as before.
 3. `n_links` counts the links of a representative exactly: members of a component are joined with themselves, in blocks,
    and only counts leave a task. This takes comparisons in proportion to the square of a component's different sets (an
    answer of that size isn't avoidable by components alone); leave it out with count_links=False.
@@ -42,8 +42,8 @@ from .components import components
 
 HOT_ROWS, HOT_LIMIT, CHUNK = 64, 100_000, 1_500_000
 SKETCH = 8  # longs
-#: Rows and n-grams of a block, members that an owner meets in one task, and members of a bucket whose sketches are compared before its tree is made.
-BLOCK, BLOCK_GRAMS, SLICE, FEW = 1024, 400_000, 4096, 128
+#: Rows and n-grams of a block, and members that an owner meets in one task.
+BLOCK, BLOCK_GRAMS, SLICE = 1024, 400_000, 4096
 PACKED = "id long, packed binary"
 
 
@@ -297,75 +297,61 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def met_ends(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of two components that meet in a bucket and may link, by a tree of each bucket's rare ends.
+def can_reach(percent: int) -> Column:
+    """Whether n_shared n-grams in both rare ends leave room for a link of sets of `small` and `large` n-grams.
 
-    rest: gram, id, component. sets: id, size, sketch and rare end of every node. Ends are read from the bucket's n-gram
-    on: in the bucket of the first n-gram that a pair shares its count is whole; elsewhere it is less, which only keeps the
-    pair from being found there. So of buckets with the same members only the one of the rarest n-gram is needed.
+    What isn't in both ends lies behind the end that stops first, and so is at most what follows it.
     """
+    behind = F.ceil(F.col("large") * percent / 100) - 1
+    return (F.col("n_shared") + behind) * (100 + percent) >= (F.col("small") + F.col("large")) * percent
 
-    def sketched(members: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sizes, components and sketches."""
-        return np.array([m[3] for m in members], np.int64), np.array([m[4] for m in members], np.int64), np.array([m[5 : 5 + SKETCH] for m in members], np.int64).view(np.uint64).reshape(-1, SKETCH)
+
+def met(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of two components that meet in buckets and may link by size, sketch and the n-grams their ends share.
+
+    rest: gram, id, component. sets: id, size and sketch of every node. Buckets of the same members are one, with a weight.
+    Members of a bucket are compared in blocks; only pairs that pass leave a task, with the weight of their bucket.
+    """
 
     def near(x: tuple, y: tuple) -> np.ndarray:
-        """Whether sets may link by component, size and sketch; x and y are arrays that broadcast."""
-        differ = np.bitwise_count(x[2] ^ y[2]).sum(-1)
-        return (x[1] != y[1]) & (100 * np.minimum(x[0], y[0]) >= percent * np.maximum(x[0], y[0])) & (differ * (100 + percent) <= (x[0] + y[0]) * (100 - percent))
+        """The table of members that may link: of other components, near in size and sketch."""
+        (size, component, bits), (sides, groups, others) = x, y
+        size, component = size[:, None], component[:, None]
+        differ = sum(np.bitwise_count(bits[:, k, None] ^ others[:, k]).astype(np.int64) for k in range(SKETCH))
+        return (component != groups) & (100 * np.minimum(size, sides) >= percent * np.maximum(size, sides)) & (differ * (100 + percent) <= (size + sides) * (100 - percent))
 
-    def candidates(members: list[tuple]) -> Iterator[tuple[int, int]]:
+    def pairs(weight: int, members: list[tuple]) -> Iterator[tuple]:
         members.sort(key=lambda m: m[3])
         close = [100 * x[3] >= percent * y[3] for x, y in zip(members, members[1:])]
         members = [m for m, before, after in zip(members, [False, *close], [*close, False]) if before or after]
         stored, probes = [m for m in members if m[0]], [m for m in members if m[1]]
         if not stored or not probes:
             return
-        mine, theirs = sketched(stored), sketched(probes)
-        if len(members) <= FEW:  # leave out those that no other may link with
-            table = near((mine[0][:, None], mine[1][:, None], mine[2][:, None, :]), theirs)
-            if not table.any():
-                return
-            rows, columns = np.flatnonzero(table.any(1)), np.flatnonzero(table.any(0))
-            stored, probes = [stored[k] for k in rows], [probes[k] for k in columns]
-            mine, theirs = tuple(v[rows] for v in mine), tuple(v[columns] for v in theirs)
-        ends = lambda ms: [~np.array(m[-1], np.int64).view(np.uint64) for m in ms]
-        size, sides, ids = mine[0], theirs[0], np.array([m[2] for m in probes], np.int64)
-        tails = np.array([len(m[-1]) for m in stored], np.int64)
-        behind = lambda s: -(-percent * s // 100) - 1
-
-        def reaches(shared, least, most):
-            """What isn't in both ends lies behind the end that stops first, and so is at most what follows it."""
-            return (shared + 1 + behind(np.maximum(most, sides))) * (100 + percent) >= (least + sides) * percent
-
-        def possible(places, depth, overlap, left):
-            return reaches(overlap + np.minimum(tails[places].max() - depth, left), size[places].min(), size[places].max())
-
-        def links(k, overlap):
-            return near(tuple(v[k] for v in mine), theirs) & reaches(overlap, size[k], size[k])
-
-        for k, found in PrefixTree(ends(stored)).join(ends(probes), possible, links):
-            for b in ids[found].tolist():
-                a = stored[k][2]
-                yield (a, b) if a < b else (b, a)
+        of = lambda ms: (np.array([m[3] for m in ms]), np.array([m[4] for m in ms]), np.array([m[5:] for m in ms], np.int64).view(np.uint64))
+        found = {}
+        for i, j in np.argwhere(near(of(stored), of(probes))).tolist():
+            (_, _, a, small, *_), (_, _, b, large, *_) = stored[i], probes[j]
+            found[min(a, b), max(a, b)] = (min(small, large), max(small, large))
+        for (a, b), (small, large) in found.items():
+            yield a, b, small, large, weight
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (pair for _, members in keyed(batches, 3) for pair in sorted(set(candidates([m[3:] for m in members]))))
-        return emitted(found, ["a", "b"])
+        found = (pair for (_, _, _, weight), members in keyed(batches, 4) for pair in pairs(weight, [m[4:] for m in members]))
+        return emitted(found, ["a", "b", "small", "large", "weight"])
 
     hashes = [F.xxhash64("id"), F.xxhash64("id", F.lit(1))]
     counts = rest.groupBy("gram", "component").agg(F.count("*").alias("k"), *[F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(hashes)])
     counts = counts.groupBy("gram").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)])
-    rarest = F.col("gram").bitwiseXOR(F.lit(-(1 << 63)))  # the order of the n-grams as unsigned numbers
-    counts = counts.where("parts > 1").groupBy("n", "x0", "x1", "main", "most").agg(F.max_by("gram", rarest).alias("gram"))
-    counts = written(counts.select("gram", "main", F.expr(f"if(n <= {BLOCK}, 1, ceil((n - most) / {BLOCK}))").alias("others"), F.expr(f"if(n <= {BLOCK}, 0, ceil(most / {BLOCK}))").alias("mains")))
+    counts = counts.where("parts > 1").groupBy("n", "x0", "x1", "main", "most").agg(F.min("gram").alias("gram"), F.count("*").alias("weight"))
+    counts = written(counts.select("gram", "weight", "main", F.expr(f"if(n <= {BLOCK}, 1, ceil((n - most) / {BLOCK}))").alias("others"), F.expr(f"if(n <= {BLOCK}, 0, ceil(most / {BLOCK}))").alias("mains")))
     sketch = [f"s{k}" for k in range(SKETCH)]
-    placed = rest.join(counts.hint("merge"), "gram").join(sets, "id").withColumn("tail", F.expr("slice(rare, array_position(rare, gram) + 1, size(rare))"))
+    placed = rest.join(counts.hint("merge"), "gram").join(sets, "id")
     placed = placed.withColumn("i", F.expr("if(mains > 0 and component = main, others + pmod(xxhash64(id), mains), pmod(xxhash64(id), others))"))
     placed = placed.withColumn("j", F.explode(F.expr("sequence(0L, if(i < others, others + mains, others) - 1)")))
     low, high = F.least("i", "j"), F.greatest("i", "j")
-    placed = placed.select("gram", low.alias("low"), high.alias("high"), (F.col("i") == low).alias("stored"), (F.col("i") == high).alias("probe"), "id", "size", "component", *sketch, "tail")
-    return dealt(placed, ["gram", "low", "high"]).mapInArrow(rows, "a long, b long").distinct()
+    placed = placed.select("gram", low.alias("low"), high.alias("high"), "weight", (F.col("i") == low).alias("stored"), (F.col("i") == high).alias("probe"), "id", "size", "component", *sketch)
+    found = dealt(placed, ["gram", "low", "high"]).mapInArrow(rows, "a long, b long, small long, large long, weight long")
+    return found.groupBy("a", "b", "small", "large").agg(F.sum("weight").alias("n_shared")).where(can_reach(percent)).select("a", "b").distinct()
 
 
 def link_counts(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
@@ -419,9 +405,9 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id
 
     tokens = own.select(F.explode("rare").alias("gram"), "id")
     buckets = written(tokens.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("gram", "low", "n"))
-    met = written(tokens.join(buckets.hint("merge"), "gram").select("gram", "id", "low", "n"))
+    places = written(tokens.join(buckets.hint("merge"), "gram").select("gram", "id", "low", "n"))
 
-    star = met.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    star = places.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     star = star.alias("p").join(of.alias("y"), F.col("p.b") == F.col("y.id")).join(of.alias("x"), (F.col("p.a") == F.col("x.id")) & can_link("x", "y", percent)).select("a", "b").distinct()
     star = written(star)
     links = verified(docs, star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n, percent, order)
@@ -431,8 +417,8 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id
         links = links.union(more)
         groups = components(links)
 
-    rest = met.where("n > 2 and id <> low").join(bounded(groups), F.col("id") == F.col("node"), "left").select("gram", "id", F.coalesce("component", "id").alias("component"))
-    last = verified(docs, met_ends(written(rest), own.select("id", "size", *sketch, "rare"), percent), n, percent, order)
+    rest = places.where("n > 2 and id <> low").join(bounded(groups), F.col("id") == F.col("node"), "left").select("gram", "id", F.coalesce("component", "id").alias("component"))
+    last = verified(docs, met(written(rest), of, percent), n, percent, order)
     if last.limit(1).count():
         groups = components(links.union(last))
 
