@@ -1,7 +1,7 @@
 """Raw payloads to the four tables.
 
 A raw row holds all payloads of one block, so a transaction meets its receipt within the row: nothing is shuffled.
-Missing text is "", missing numbers are 0; without a receipt its columns are null, with one its missing numbers are 0.
+Missing text and what is no text is "", missing numbers are 0; without a receipt its columns are null, with one its missing numbers are 0.
 Raw rows with an error or without a block give no rows.
 """
 
@@ -14,19 +14,26 @@ from pyspark.sql import types as T
 from chainloom import schemas
 from chainloom.functions.hexes import digits, selector, to_index, to_u64, to_u256, topic
 
-ACCESS_LIST = "array<struct<address:string,storageKeys:array<string>>>"
-AUTHORIZATIONS = "array<struct<address:string,chainId:string,nonce:string,r:string,s:string,v:string,yParity:string>>"
+#: A number or truth value of a key. Texts hold no bare quotes, so it can't stand inside one.
+BARE = r'("[A-Za-z0-9]+"\s*:\s*)(?:-?[0-9][-+.0-9eE]*|true|false)(?=\s*[,}])'
 
 
 def text(c: Column) -> Column:
-    return F.coalesce(c, F.lit(""))
+    """A text; "" where it is missing or the payload has an object or a list."""
+    return F.when(c.isNull() | c.rlike(r"^[\[{]"), "").otherwise(c)
+
+
+def texts_only(payload: Column) -> Column:
+    """A payload of texts in which bare numbers and truth values are "", as they are no quantities."""
+    return F.when(payload.rlike(BARE), F.regexp_replace(payload, BARE, '$1""')).otherwise(payload)
 
 
 def parsed(raw: DataFrame) -> DataFrame:
     """chain_id, b (block), receipts, logs and traces as structs; logs of receipts stand before a list of logs."""
     arrays = {"receipts": schemas.RAW_RECEIPT, "logs": schemas.RAW_LOG, "traces": schemas.RAW_TRACE}
     rows = raw.where("error is null and block is not null").select(
-        F.col("chain_id").cast("bigint").alias("chain_id"), F.from_json("block", schemas.RAW_BLOCK).alias("b"), *[F.from_json(k, T.ArrayType(v)).alias(k) for k, v in arrays.items()]
+        F.col("chain_id").cast("bigint").alias("chain_id"), F.from_json(texts_only(F.col("block")), schemas.RAW_BLOCK).alias("b"),
+        *[F.from_json(F.col(k) if k == "traces" else texts_only(F.col(k)), T.ArrayType(v)).alias(k) for k, v in arrays.items()],
     )
     rows = rows.where("b.number is not null")
     from_receipts = F.flatten(F.transform("receipts", lambda r: F.coalesce(r["logs"], F.array().cast(T.ArrayType(schemas.RAW_LOG)))))
@@ -66,7 +73,7 @@ def transactions(raw: DataFrame) -> DataFrame:
     columns |= {k: F.when(has, to_u64(bare[v])) for k, v in {"gas_used": "gasUsed", "cumulative_gas_used": "cumulativeGasUsed", "blob_gas_used": "blobGasUsed", "status": "status"}.items()}
     columns |= {k: F.when(has, to_u256(bare[v])) for k, v in {"effective_gas_price": "effectiveGasPrice", "blob_gas_price": "blobGasPrice"}.items()}
     columns |= {k: F.when(bare[v] != "", bare[v]) for k, v in {"contract_address": "contractAddress", "logs_bloom": "logsBloom"}.items()}
-    columns |= {k: F.to_json(F.from_json(t[v], kind)) for k, v, kind in (("access_list", "accessList", ACCESS_LIST), ("authorization_list", "authorizationList", AUTHORIZATIONS))}
+    columns |= {k: F.to_json(F.try_parse_json(t[v])) for k, v in (("access_list", "accessList"), ("authorization_list", "authorizationList"))}  # keys in order
     columns |= {
         "chain_id": F.col("chain_id"), "block_timestamp": F.col("block_timestamp"), "block_number": to_index(t["blockNumber"]), "transaction_index": to_index(t["transactionIndex"]),
         "nonce": to_u64(t["nonce"]), "gas": to_u64(t["gas"]), "transaction_type": (to_index(t["type"]) % 256), "function_selector": selector(text(t["input"])),

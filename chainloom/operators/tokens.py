@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.hexes import ZERO256, abi_word, carried, limbs
 from chainloom.functions.keccak import event_topic
+from chainloom.operators.integrity import in_range
 
 ZERO_ADDRESS = "0x" + "0" * 40
 KEY = ["token_type", "chain_id", "address", "token_id"]
@@ -76,6 +79,34 @@ def token_ids(balances: DataFrame, address: str) -> DataFrame:
     return balances.where(F.col("address") == address).groupBy("token_type", "token_id").agg(F.countDistinct("owner").alias("n_owners"))
 
 
+def of_types(balances: DataFrame, token_types: Sequence[str] = (), hide_zero: bool = False) -> DataFrame:
+    """Balances of token types (none given: all), without those of zero if asked for."""
+    rows = balances.where(F.col("token_type").isin(*token_types)) if token_types else balances
+    zero = ZERO256 if dict(balances.dtypes)["balance"] == "string" else 0
+    return rows.where(F.col("balance") != F.lit(zero)) if hide_zero else rows
+
+
+def filtered(
+    transfers: DataFrame, token_types: Sequence[str] = (), token_address: str | None = None, wallet: str | None = None, start_block: int | None = None, end_block: int | None = None,
+    start_time: str | None = None, end_time: str | None = None, token_ids: Sequence[object] = (), transaction_hash: str | None = None,
+) -> DataFrame:
+    """Transfers that pass all filters given; bounds are inclusive, times are ISO 8601 texts. Numbers, times and types reach the scan."""
+    rows = in_range(transfers, start_block, end_block)
+    time = rows.schema["block_timestamp"].dataType
+    for bound, sign in ((start_time, ">="), (end_time, "<=")):
+        if bound is not None:
+            at = F.to_timestamp_ntz(F.lit(bound.removesuffix("Z"))) if time.typeName() == "timestamp_ntz" else F.lit(bound).cast("timestamp")
+            rows = rows.where(F.col("block_timestamp") >= at if sign == ">=" else F.col("block_timestamp") <= at)
+    if token_types:
+        rows = rows.where(F.col("token_type").isin(*token_types))
+    if token_ids:
+        rows = rows.where(F.col("token_id").isin(*token_ids))
+    for name, value in (("token_address", token_address), ("transaction_hash", transaction_hash)):
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    return rows if wallet is None else of_wallet(rows, wallet)
+
+
 def of_wallet(df: DataFrame, wallet: str, sender: str = "from_address", receiver: str = "to_address") -> DataFrame:
     """Rows that go out of or come in to a wallet; what it sends to itself is there once."""
     return df.where((F.col(sender) == wallet) | (F.col(receiver) == wallet))

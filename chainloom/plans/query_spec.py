@@ -2,7 +2,7 @@
 
 Pages count from 0. A limit of 0 is the default. With aggregates or group_by the answer is in `aggregations` and `data`
 stays empty. Fields are checked against the entity's columns before a plan is built, and aggregates may only use the
-functions and columns listed here.
+functions and columns listed here. Decoding needs a signature, so it belongs to the routes that have one (plans.routes).
 """
 
 from __future__ import annotations
@@ -103,6 +103,8 @@ class Answer:
 def answer(df: DataFrame, entity: str, spec: QuerySpec) -> Answer:
     """df (all versions of the entity, or its latest) as asked for; the order is made total by the entity's own order."""
     validate(entity, spec.group_by, spec.sort_by, spec.aggregates)
+    if spec.decode:
+        raise FieldError(f"'{entity}' can only be decoded by a signature")
     if spec.force_consistent_data and entity in KEYS and "is_deleted" in df.columns:
         df = latest(df, KEYS[entity])
     for name, value in spec.filters.items():
@@ -114,12 +116,33 @@ def answer(df: DataFrame, entity: str, spec: QuerySpec) -> Answer:
     if grouped:
         aggregates = [F.expr(allowed(entity, a)) for a in spec.aggregates]
         df = df.groupBy(*spec.group_by).agg(*aggregates) if aggregates else df.select(*spec.group_by).distinct()
-    total = df.agg(F.count("*").alias("total_items")).withColumn("total_pages", F.ceil(F.col("total_items") / spec.limit))
     ties = spec.group_by if grouped else [c for c in ORDER[entity] if c in df.columns]
+    found = paged(df, spec, ties)
+    return Answer(None, found.data, found.meta) if grouped else found
+
+
+def paged(df: DataFrame, spec: QuerySpec, ties: Sequence[str]) -> Answer:
+    """A page of df in the order asked for, which `ties` make total; top-k by partial orders, never a whole sort in one task."""
+    if spec.sort_by and spec.sort_by not in df.columns:
+        raise FieldError(f"invalid sort_by field '{spec.sort_by}'")
+    total = df.agg(F.count("*").alias("total_items")).withColumn("total_pages", F.ceil(F.col("total_items") / spec.limit))
     direction = F.desc if spec.sort_order.lower() == "desc" else F.asc
     order = [*([direction(spec.sort_by)] if spec.sort_by else []), *[F.asc(c) for c in ties if c != spec.sort_by]]
     page = (df.orderBy(*order) if order else df).offset(spec.page * spec.limit).limit(spec.limit)
-    return Answer(None if grouped else page, page if grouped else None, total)
+    return Answer(page, None, total)
+
+
+def envelope(found: Answer, spec: QuerySpec, chain_id: int) -> dict:
+    """The response of a page: meta, and data or aggregations as lists of rows. Only the page's rows and one count are fetched."""
+    total = found.meta.first()
+    rows = found.data if found.data is not None else found.aggregations
+    meta = {"chain_id": chain_id, "page": spec.page, "limit": spec.limit, "total_items": total.total_items, "total_pages": total.total_pages}
+    return {"meta": meta, "data" if found.data is not None else "aggregations": [r.asDict(True) for r in rows.collect()]}
+
+
+def error(code: int, message: str, support_id: str = "") -> dict:
+    """The response of a request that failed."""
+    return {"code": code, "message": message, "support_id": support_id}
 
 
 def kind_of(text: str) -> str:

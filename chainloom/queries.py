@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainloom.functions import hexes
+from chainloom.functions import abi, hexes
+from chainloom.functions.keccak import call_selector, event_topic
 from chainloom.operators import blocks as nesting
 from chainloom.operators import integrity, latest, normalize, tokens
 from chainloom.plans import chainview as view
+from chainloom.plans import routes
 from chainloom.plans.query_spec import QuerySpec, answer, search
+from chainloom.scratch import shared_dir
 from chainloom.sources import staging
 from chainloom.streaming.publish import materialised, messages, opened, replacement
 
@@ -122,12 +126,12 @@ def mismatch_range(blocks, transactions, logs):
 
 
 @query(
-    """SELECT CAST(1 AS BIGINT) AS chain_id, s.a AS hash_start, coalesce((SELECT min(block_number) FROM pairs, s WHERE fits AND block_number BETWEEN 151 AND 300 AND block_number > s.a), (SELECT max(block_number) FROM blocks WHERE block_number BETWEEN 150 AND 300)) AS hash_end
-FROM (SELECT min(block_number) - 1 AS a FROM pairs WHERE NOT fits AND block_number BETWEEN 151 AND 300) s""".replace("FROM pairs, s WHERE", "FROM pairs, (SELECT min(block_number) - 1 AS a FROM pairs WHERE NOT fits AND block_number BETWEEN 151 AND 300) s WHERE")
+    """, s AS (SELECT min(block_number) - 1 AS a FROM pairs WHERE NOT fits)
+SELECT CAST(1 AS BIGINT) AS chain_id, s.a AS hash_start, coalesce((SELECT min(block_number) FROM pairs, s WHERE fits AND block_number > s.a), (SELECT max(block_number) FROM blocks)) AS hash_end FROM s"""
 )
 @views
 def parent_hash_breaks(blocks, transactions, logs):
-    return integrity.breaks(integrity.in_range(blocks, 150, 300))
+    return integrity.breaks(blocks)
 
 
 @query("SELECT chain_id, block_number FROM blocks WHERE block_number > (SELECT min(block_number) FROM blocks) AND block_number - 1 NOT IN (SELECT block_number FROM blocks)")
@@ -170,54 +174,59 @@ def bloom_nonzero(blocks, transactions, logs):
 
 
 @query(
-    f"""SELECT b.block_number, coalesce(t.n, 0) AS n_transactions, coalesce(t.v, 0) AS total_value, coalesce(l.log_count, 0) AS n_logs
-FROM blocks b LEFT JOIN (SELECT block_number, count(*) AS n, CAST(sum(value) AS BIGINT) AS v FROM transactions GROUP BY 1) t USING (block_number) LEFT JOIN log_counts l USING (block_number) WHERE b.block_number BETWEEN {LOW} AND {HIGH}"""
+    """SELECT b.block_number, coalesce(t.n, 0) AS n_transactions, coalesce(t.v, 0) AS total_value, coalesce(l.log_count, 0) AS n_logs
+FROM blocks b LEFT JOIN (SELECT block_number, count(*) AS n, CAST(sum(value) AS BIGINT) AS v FROM transactions GROUP BY 1) t USING (block_number) LEFT JOIN log_counts l USING (block_number)"""
 )
 @views
 def assemble_blocks(blocks, transactions, logs):
-    rows = nesting.assembled(*(integrity.in_range(x, LOW, HIGH) for x in (blocks,)), transactions=integrity.in_range(transactions, LOW, HIGH), logs=integrity.in_range(logs, LOW, HIGH))
+    rows = nesting.assembled(blocks, transactions=transactions, logs=logs)
     total = F.aggregate("transactions", F.lit(0).cast("bigint"), lambda s, t: s + t["value"])
     return rows.select("block_number", F.size("transactions").cast("bigint").alias("n_transactions"), total.alias("total_value"), F.size("logs").cast("bigint").alias("n_logs"))
 
 
-def _nested(blocks, transactions, logs, low=LOW, high=200):
-    return nesting.assembled(integrity.in_range(blocks, low, high), transactions=integrity.in_range(transactions, low, high), logs=integrity.in_range(logs, low, high))
+AT = "2024-01-01 00:00:00"
 
 
-@query("SELECT block_number, transaction_index, hash, from_address, to_address, value, gas, data FROM transactions WHERE block_number BETWEEN 100 AND 200 AND block_number IN (SELECT block_number FROM blocks)")
+@query("SELECT block_number, transaction_index, hash, from_address, to_address, value, gas, data FROM transactions WHERE block_number IN (SELECT block_number FROM blocks)")
 @views
 def staging_roundtrip(blocks, transactions, logs):
-    nested = _nested(blocks, transactions, logs)
+    """All blocks as staged files, and their transactions read back."""
+    nested = nesting.assembled(blocks, transactions=transactions, logs=logs)
     child = lambda k: nested.schema[k].dataType.elementType
-    back = staging.decoded(staging.encoded(nested), nested.schema["block"].dataType, transactions=child("transactions"), logs=child("logs"))
+    path = shared_dir(blocks.sparkSession)
+    staging.write(staging.encoded(nested), path)
+    back = staging.decoded(staging.scan(blocks.sparkSession, path), nested.schema["block"].dataType, transactions=child("transactions"), logs=child("logs"))
     return nesting.exploded(back, "transactions").select("block_number", "transaction_index", "hash", "from_address", "to_address", "value", "gas", "data")
 
 
-@query("SELECT block_number, log_index, address, topic_0, topic_1, data, 0 AS is_deleted FROM logs WHERE block_number BETWEEN 100 AND 200 AND block_number IN (SELECT block_number FROM blocks)")
+@query("SELECT block_number, log_index, address, topic_0, topic_1, data, 0 AS is_deleted FROM logs WHERE block_number IN (SELECT block_number FROM blocks)")
 @views
 def message_roundtrip(blocks, transactions, logs):
-    nested = _nested(blocks, transactions, logs)
-    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    rows = materialised(opened(messages(nested, at, compress_bytes=4096), nested.schema), "logs")
+    """All blocks as written messages, opened again."""
+    nested = nesting.assembled(blocks, transactions=transactions, logs=logs)
+    path = shared_dir(blocks.sparkSession)
+    messages(nested, F.lit(AT).cast("timestamp"), compress_bytes=4096).write.parquet(path)
+    rows = materialised(opened(blocks.sparkSession.read.parquet(path), nested.schema), "logs")
     return rows.select("block_number", "log_index", "address", "topic_0", "topic_1", "data", F.col("is_deleted").cast("int").alias("is_deleted"))
 
 
-@query("SELECT block_number, CASE WHEN d = 1 THEN miner ELSE 'n' || miner END AS miner, d AS is_deleted, d = 1 AS is_tombstone FROM blocks, (SELECT unnest([0, 1]) AS d) WHERE block_number BETWEEN 100 AND 200")
+@query("SELECT block_number, CASE WHEN d = 1 THEN miner ELSE 'n' || miner END AS miner, d AS is_deleted, d = 1 AS is_tombstone FROM blocks, (SELECT unnest([0, 1]) AS d)")
 @views
 def delete_insert_union(blocks, transactions, logs):
-    old = integrity.in_range(blocks, LOW, 200)
-    new = old.withColumn("miner", F.concat(F.lit("n"), "miner"))
-    rows = latest.delete_insert(old, new, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    new = blocks.withColumn("miner", F.concat(F.lit("n"), "miner"))
+    rows = latest.delete_insert(blocks, new, F.lit(AT).cast("timestamp"))
     return rows.select("block_number", "miner", F.col("is_deleted").cast("int").alias("is_deleted"), (F.col("op_seq") == 0).alias("is_tombstone"))
 
 
-@query("SELECT block_number, 'n' || miner AS miner FROM blocks WHERE block_number BETWEEN 100 AND 200")
+@query("SELECT block_number, 'n' || miner AS miner FROM blocks")
 @views
 def replaced_blocks(blocks, transactions, logs):
-    """A replacement as messages, opened, materialised and read as its latest versions."""
-    old = nesting.assembled(integrity.in_range(blocks, LOW, 200))
+    """A replacement of all blocks as written messages, opened, materialised and read as its latest versions."""
+    old = nesting.assembled(blocks)
     new = old.withColumn("block", F.col("block").withField("miner", F.concat(F.lit("n"), "block.miner")))
-    rows = materialised(opened(replacement(old, new, F.lit("2024-01-01 00:00:00").cast("timestamp"), compress_bytes=None), old.schema), "blocks")
+    path = shared_dir(blocks.sparkSession)
+    replacement(old, new, F.lit(AT).cast("timestamp"), compress_bytes=None).write.parquet(path)
+    rows = materialised(opened(blocks.sparkSession.read.parquet(path), old.schema), "blocks")
     return latest.latest(rows, ["chain_id", "block_number"]).select("block_number", "miner")
 
 
@@ -242,12 +251,11 @@ def cursor_skip(blocks, transactions, logs):
     return integrity.in_range(transactions, 1000, None).select("block_number", "transaction_index", "hash")
 
 
-@query("SELECT t.block_number, string_agg(hash, ',' ORDER BY transaction_index) AS hashes FROM transactions t WHERE block_number BETWEEN 100 AND 900 AND from_address <> 's3' GROUP BY 1")
+@query("SELECT t.block_number, string_agg(hash, ',' ORDER BY transaction_index) AS hashes FROM transactions t WHERE from_address <> 's3' GROUP BY 1")
 @views
 def tx_hash_join(blocks, transactions, logs):
     """Blocks that hold only hashes, joined to the transactions that were found, in their order."""
-    asked = integrity.in_range(transactions, LOW, HIGH)
-    lists = asked.groupBy("block_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("transaction_index", "hash"))), lambda x: x["hash"]).alias("hashes"))
+    lists = transactions.groupBy("block_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("transaction_index", "hash"))), lambda x: x["hash"]).alias("hashes"))
     known = transactions.where("from_address <> 's3'").select("hash")
     rows = lists.select("block_number", F.posexplode("hashes").alias("pos", "hash")).join(known, "hash")
     return rows.groupBy("block_number").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]), ",").alias("hashes"))
@@ -305,8 +313,6 @@ def wallet_tx(blocks, transactions, logs):
 
 @query("SELECT block_number, transaction_index, hash, to_address, substr(data, 1, 10) AS function_selector FROM transactions WHERE to_address = 'p77' AND substr(data, 1, 10) = '0x' || substr(md5('77'), 1, 8)")
 def tx_selector(spark, sf_dir):
-    import hashlib
-
     rows = view.transactions(spark, sf_dir).withColumn("function_selector", hexes.selector(F.col("data")))
     chosen = "0x" + hashlib.md5(b"77").hexdigest()[:8]
     return rows.where((F.col("to_address") == "p77") & (F.col("function_selector") == chosen)).select("block_number", "transaction_index", "hash", "to_address", "function_selector")
@@ -324,13 +330,107 @@ def search_block(blocks, transactions, logs):
     return search("321", blocks, transactions, logs)
 
 
+@query("SELECT CASE WHEN k = 0 THEN 'block' ELSE 'transaction' END AS type, block_number, hash FROM (SELECT 0 AS k, block_number, hash FROM h_blocks UNION ALL SELECT 1, block_number, hash FROM h_transactions) WHERE hash = '0x' || md5('104:6') || md5('104:6')".replace("h_blocks", "(SELECT block_number, '0x' || hash || hash AS hash FROM blocks)").replace("h_transactions", "(SELECT block_number, '0x' || hash || hash AS hash FROM transactions)"))
+@views
+def search_hash(blocks, transactions, logs):
+    return search(_hash("104:6"), *_hexed(blocks, transactions, logs))
+
+
+@query("SELECT 'event_signature' AS type, block_number, transaction_hash AS hash FROM logs WHERE address = 'click'")
+@views
+def search_topic(blocks, transactions, logs):
+    """A hash that is the first topic of logs."""
+    return search(_hash("click"), *_hexed(blocks, transactions, logs))
+
+
+@query("SELECT 'function_signature' AS type, block_number, '0x' || hash || hash AS hash FROM transactions WHERE substr(data, 1, 10) = '0x' || substr(md5('77'), 1, 8)")
+@views
+def search_selector(blocks, transactions, logs):
+    return search("0x" + hashlib.md5(b"77").hexdigest()[:8], *_hexed(blocks, transactions, logs))
+
+
+@query("SELECT type, block_number, '0x' || hash || hash AS hash FROM transactions, (SELECT unnest(['contract', 'address']) AS type) WHERE CASE type WHEN 'contract' THEN block_number % 50 = 0 AND from_address = 's7' ELSE from_address = 's7' OR to_address = 's7' END")
+@views
+def search_address(blocks, transactions, logs):
+    return search(_address("s7"), *_hexed(blocks, transactions, logs))
+
+
+def _hash(text: str) -> str:
+    return "0x" + 2 * hashlib.md5(text.encode()).hexdigest()
+
+
+def _address(text: str) -> str:
+    return "0x" + hashlib.md5(text.encode()).hexdigest() + "0" * 8
+
+
+def _hexed(blocks, transactions, logs):
+    """The views with hashes and addresses as long as a chain's."""
+    address = lambda c: F.concat(F.lit("0x"), F.md5(c), F.lit("0" * 8))
+    twice = lambda c: F.concat(F.lit("0x"), c, c)
+    made = F.when(F.col("block_number") % 50 == 0, F.col("from_address"))
+    transactions = transactions.withColumns({"contract_address": address(made), "from_address": address(F.col("from_address")), "to_address": address(F.col("to_address")), "hash": twice(F.col("hash")), "function_selector": hexes.selector(F.col("data"))})
+    return blocks.withColumn("hash", twice(F.col("hash"))), transactions, logs.withColumn("topic_0", twice(F.col("topic_0")))
+
+
+# Decoding
+
+TRANSFER = "Transfer(address indexed from, address indexed to, uint256 value)"
+
+
+def _events(logs):
+    """Logs as transfer events of hex words."""
+    padded = lambda c: F.concat(F.lit("0x"), F.repeat(F.lit("0"), 32), F.md5(c))
+    return logs.withColumns({"topic_0": F.when(F.col("log_index") % 2 == 0, event_topic("Transfer(address,address,uint256)")).otherwise("0x"), "topic_2": padded(F.col("address")), "topic_1": padded(F.col("topic_1")), "data": F.concat(F.lit("0x"), hexes.u256_of(F.col("user_id")))})
+
+
+@query("SELECT block_number, log_index, 'Transfer' AS name, 'Transfer(address,address,uint256)' AS signature, '0x' || repeat('0', 8) || md5(topic_1) AS sender, '0x' || repeat('0', 8) || md5(address) AS receiver, CAST(user_id AS VARCHAR) AS value FROM logs WHERE log_index % 2 = 0")
+@views
+def decoded_events(blocks, transactions, logs):
+    rows = abi.event(_events(logs), TRANSFER)
+    indexed = F.col("decoded.indexed_params")
+    return rows.select("block_number", "log_index", "decoded.name", "decoded.signature", indexed["from"].alias("sender"), indexed["to"].alias("receiver"), F.col("decoded.non_indexed_params")["value"].alias("value"))
+
+
+@query("SELECT block_number, log_index, CAST(user_id AS VARCHAR) AS value FROM logs WHERE log_index % 2 = 0 AND address = 'click' ORDER BY block_number DESC, log_index LIMIT 20 OFFSET 20")
+@views
+def decoded_page(blocks, transactions, logs):
+    """The second page of a contract's events, decoded."""
+    found = routes.events_of(_events(logs), QuerySpec(decode=True, page=1, limit=20, sort_by="block_number", sort_order="desc"), "click", TRANSFER)
+    return found.data.select("block_number", "log_index", F.col("decoded.non_indexed_params")["value"].alias("value"))
+
+
+@query("SELECT block_number, transaction_index, CAST(value AS VARCHAR) AS amount, from_address || to_address AS memo, '[\"' || gas || '\",\"' || transaction_index || '\"]' AS items FROM transactions WHERE from_address = 's7' OR to_address = 's7'")
+@views
+def wallet_decoded(blocks, transactions, logs):
+    """Calls with a number, a text and a list among a wallet's transactions, decoded."""
+    word = hexes.u256_of
+    memo = F.concat("from_address", "to_address")
+    text = F.rpad(F.lower(F.hex(F.encode(memo, "utf-8"))), 64, "0")
+    head = F.concat(word(F.col("value")), word(F.lit(96)), word(F.lit(160)), word(F.length(memo)), text, word(F.lit(2)), word(F.col("gas")), word(F.col("transaction_index")))
+    rows = tokens.of_wallet(transactions, "s7").withColumn("data", F.concat(F.lit(call_selector("pay(uint256,string,uint8[])")), head))
+    inputs = F.col("decoded.inputs")
+    return abi.call(rows, "pay(uint amount, string memo, uint8[] items)").select("block_number", "transaction_index", *[inputs[k].alias(k) for k in ("amount", "memo", "items")])
+
+
 # Tokens
 
 
 @query("SELECT token_type, token_address, from_address, to_address, block_number, log_index, token_id, amount FROM transfers WHERE token_type IN ('erc20', 'erc721') AND (from_address = 'u7' OR to_address = 'u7') AND block_number BETWEEN 10 AND 1000")
 def transfers(spark, sf_dir):
-    rows = integrity.in_range(view.transfers(spark, sf_dir), 10, 1000).where(F.col("token_type").isin("erc20", "erc721"))
-    return tokens.of_wallet(rows, "u7").select("token_type", "token_address", "from_address", "to_address", "block_number", "log_index", "token_id", "amount")
+    rows = tokens.filtered(view.transfers(spark, sf_dir), ["erc20", "erc721"], wallet="u7", start_block=10, end_block=1000)
+    return rows.select("token_type", "token_address", "from_address", "to_address", "block_number", "log_index", "token_id", "amount")
+
+
+@query("SELECT token_type, token_id, transaction_hash, block_number, log_index, amount FROM transfers WHERE token_type = 'erc721' AND token_address = 'view' AND token_id IN (1, 2, 3, 5, 8) AND block_timestamp BETWEEN TIMESTAMP '2024-01-01 06:00:00' AND TIMESTAMP '2024-01-20 00:00:00'")
+def transfers_filtered(spark, sf_dir):
+    rows = tokens.filtered(view.transfers(spark, sf_dir), ["erc721"], "view", start_time="2024-01-01T06:00:00Z", end_time="2024-01-20T00:00:00Z", token_ids=[1, 2, 3, 5, 8])
+    return rows.select("token_type", "token_id", "transaction_hash", "block_number", "log_index", "amount")
+
+
+@query("SELECT owner, token_id, balance, token_type FROM balances WHERE address = 'view' AND balance <> 0 AND token_type = 'erc721' ORDER BY balance DESC, owner, token_id LIMIT 30 OFFSET 30")
+def holders_page(spark, sf_dir):
+    rows = tokens.balances(view.transfers(spark, sf_dir))
+    return routes.holders(rows, QuerySpec(sort_by="balance", sort_order="desc", page=1, limit=30), "view", ["erc721"]).data
 
 
 @query("SELECT * FROM balances WHERE balance <> 0")
@@ -378,9 +478,11 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = F.struct(F.col("hash"), hexed(n).alias("blockNumber"), hexed(k).alias("transactionIndex"), F.col("from_address").alias("from"), F.col("to_address").alias("to"), hexed(F.col("value")).alias("value"), hexed(F.col("gas")).alias("gas"), F.col("data").alias("input"), F.lit("0x2").alias("type"))
     log = F.struct(F.col("hash").alias("transactionHash"), hexed(k).alias("transactionIndex"), hexed(k * 2).alias("logIndex"), F.col("to_address").alias("address"), F.array(F.md5("from_address"), F.col("from_address")).alias("topics"), F.lit("0x").alias("data"))
     receipt = F.when(k % 3 != 0, F.struct(F.col("hash").alias("transactionHash"), hexed(F.col("gas") * 2).alias("gasUsed"), F.lit("0x1").alias("status"), F.array(log).alias("logs")))
-    rows = t.groupBy("block_number").agg(F.transform(F.sort_array(F.collect_list(F.struct("transaction_index", tx.alias("x")))), lambda v: v["x"]).alias("transactions"), F.collect_list(receipt).alias("receipts"))
+    action = F.struct(F.lit("call").alias("callType"), F.col("from_address").alias("from"), F.col("to_address").alias("to"), hexed(F.col("gas")).alias("gas"), hexed(F.col("value")).alias("value"), F.col("data").alias("input"))
+    trace = F.struct(action.alias("action"), F.struct(hexed(F.col("gas") * 2).alias("gasUsed"), F.lit("0x").alias("output")).alias("result"), F.col("hash").alias("transactionHash"), k.alias("transactionPosition"), F.lit(0).alias("subtraces"), F.array(k, k + 1).alias("traceAddress"), F.lit("call").alias("type"))
+    rows = t.groupBy("block_number").agg(F.collect_list(trace).alias("traces"), F.transform(F.sort_array(F.collect_list(F.struct("transaction_index", tx.alias("x")))), lambda v: v["x"]).alias("transactions"), F.collect_list(receipt).alias("receipts"))
     block = F.struct(hexed(n).alias("number"), F.md5(n.cast("string")).alias("hash"), F.lit("0x5f5e100").alias("timestamp"), F.lit("0x").alias("logsBloom"), F.col("transactions"))
-    return rows.select(F.lit(1).cast("bigint").alias("chain_id"), "block_number", F.to_json(block).alias("block"), F.to_json("receipts").alias("receipts"), F.lit(None).cast("string").alias("logs"), F.lit(None).cast("string").alias("traces"), F.lit(None).cast("string").alias("error"))
+    return rows.select(F.lit(1).cast("bigint").alias("chain_id"), "block_number", F.to_json(block).alias("block"), F.to_json("receipts").alias("receipts"), F.lit(None).cast("string").alias("logs"), F.to_json("traces").alias("traces"), F.lit(None).cast("string").alias("error"))
 
 
 @query("SELECT block_number, transaction_index, hash, from_address, to_address, lpad(printf('%x', value), 64, '0') AS value, substr(data, 1, 10) AS function_selector, CASE WHEN transaction_index % 3 <> 0 THEN gas * 2 END AS gas_used, CASE WHEN transaction_index % 3 <> 0 THEN 1 END AS status FROM transactions")
@@ -399,6 +501,12 @@ def normalize_blocks(spark, sf_dir):
     return normalize.blocks(_raw(spark, sf_dir)).select("block_number", "hash", "transaction_count")
 
 
+@query("SELECT block_number, transaction_index, hash AS transaction_hash, transaction_index || ',' || (transaction_index + 1) AS trace_address, from_address, to_address, gas, 2 * gas AS gas_used, lpad(printf('%x', value), 64, '0') AS value, data AS input FROM transactions")
+def normalize_traces(spark, sf_dir):
+    rows = normalize.traces(_raw(spark, sf_dir))
+    return rows.select("block_number", "transaction_index", "transaction_hash", F.concat_ws(",", F.col("trace_address").cast("array<string>")).alias("trace_address"), "from_address", "to_address", F.col("gas").cast("bigint").alias("gas"), F.col("gas_used").cast("bigint").alias("gas_used"), "value", "input")
+
+
 @query(None)
 def computed_blooms(spark, sf_dir):
     """Blooms of the logs' hex topics; keccak has no SQL form, the tests have a brute-force version."""

@@ -6,7 +6,8 @@
 A partition is a stretch of `blocks_per_call` numbers; the calls of a kind go out as one batch. Rows are keyed by number,
 so their order doesn't matter. An error of a call is the error of its row, an error of a whole batch that of all its
 rows; failed numbers are asked again up to `retries` times, then the row says what failed (or the task fails with
-fail_on_error). As a stream the offset is the next number, `lag` behind the head, at most max_blocks_per_trigger a time.
+fail_on_error). bodies=false asks for headers with hashes of transactions only, and for nothing else; by_hash() then
+finds the transactions. As a stream the offset is the next number, `lag` behind the head, at most max_blocks_per_trigger a time.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from __future__ import annotations
 import json
 import time
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from chainloom.schemas import RAW
@@ -24,9 +28,9 @@ from chainloom.schemas import RAW
 METHODS = {"block": "eth_getBlockByNumber", "receipts": "eth_getBlockReceipts", "logs": "eth_getLogs", "traces": "trace_block"}
 
 
-def calls(kind: str, numbers: list[int]) -> list[dict]:
+def calls(kind: str, numbers: list[int], bodies: bool = True) -> list[dict]:
     """The calls of a kind, one a number, with the number as identifier."""
-    params = {"block": lambda h: [h, True], "receipts": lambda h: [h], "logs": lambda h: [{"fromBlock": h, "toBlock": h}], "traces": lambda h: [h]}[kind]
+    params = {"block": lambda h: [h, bodies], "receipts": lambda h: [h], "logs": lambda h: [{"fromBlock": h, "toBlock": h}], "traces": lambda h: [h]}[kind]
     return [{"jsonrpc": "2.0", "id": n, "method": METHODS[kind], "params": params(hex(n))} for n in numbers]
 
 
@@ -46,12 +50,13 @@ class Settings:
     fail_on_error: bool
     receipts: bool
     traces: bool
+    bodies: bool = True
     kinds: tuple[str, ...] = ()
 
     @classmethod
     def of(cls, options) -> Settings:
         flag = lambda k, d: str(options.get(k, d)).lower() == "true"
-        return cls(options["url"], int(options.get("chain_id", 0)), int(options.get("blocks_per_call", 10)), int(options.get("retries", 3)), float(options.get("timeout", 30)), flag("fail_on_error", "false"), flag("receipts", "true"), flag("traces", "true"))
+        return cls(options["url"], int(options.get("chain_id", 0)), int(options.get("blocks_per_call", 10)), int(options.get("retries", 3)), float(options.get("timeout", 30)), flag("fail_on_error", "false"), flag("receipts", "true"), flag("traces", "true"), flag("bodies", "true"))
 
     def one(self, method: str, params: list) -> object:
         reply = post(self.url, {"jsonrpc": "2.0", "id": 1, "method": method, "params": params}, self.timeout)
@@ -74,11 +79,14 @@ class Settings:
 
         if not serves("block"):
             raise RuntimeError(f"{METHODS['block']} isn't served")
+        self.chain_id = self.chain_id or int(self.one("eth_chainId", []), 16)
+        if not self.bodies:
+            self.kinds = ("block",)
+            return self
         second = "receipts" if self.receipts and serves("receipts") else "logs"
         if second == "logs" and not serves("logs"):
             raise RuntimeError("neither receipts nor logs are served")
         self.kinds = ("block", second, *(["traces"] if self.traces and serves("traces") else []))
-        self.chain_id = self.chain_id or int(self.one("eth_chainId", []), 16)
         return self
 
     def fetch(self, numbers: list[int]) -> dict[int, dict[str, object]]:
@@ -86,7 +94,7 @@ class Settings:
         found: dict[int, dict[str, object]] = {n: {} for n in numbers}
         for kind in self.kinds:
             try:
-                replies = {r.get("id"): r for r in post(self.url, calls(kind, numbers), self.timeout)}
+                replies = {r.get("id"): r for r in post(self.url, calls(kind, numbers, self.bodies), self.timeout)}
             except (OSError, ValueError, AttributeError) as e:
                 replies = {n: {"error": f"{type(e).__name__}: {e}"} for n in numbers}
             for n in numbers:
@@ -111,6 +119,67 @@ class Settings:
             yield self.chain_id, n, text.get("block"), text.get("receipts"), text.get("logs"), text.get("traces"), found[n].get("error")
 
 
+def looked_up(keys: DataFrame, column: str, options: dict[str, str], method: str, params: Callable[[str], list], size: int = 100) -> DataFrame:
+    """keys with `result` (JSON text, null if the endpoint has none) and `error`: one call a distinct key, `size` a batch.
+
+    The distinct keys of a DataFrame are asked for by its tasks; failed ones are asked again up to `retries` times.
+    """
+    settings = Settings.of(options)
+
+    def ask(wanted: list[str]) -> dict[str, tuple[str | None, str | None]]:
+        body = [{"jsonrpc": "2.0", "id": i, "method": method, "params": params(k)} for i, k in enumerate(wanted)]
+        try:
+            replies = {r.get("id"): r for r in post(settings.url, body, settings.timeout)}
+        except (OSError, ValueError, AttributeError) as e:
+            return dict.fromkeys(wanted, (None, f"{type(e).__name__}: {e}"))
+        of = lambda r: (None, f"{method}: {r['error']}") if "error" in r else (None if r.get("result") is None else json.dumps(r["result"], separators=(",", ":")), None)
+        return {k: of(replies.get(i, {"error": "no reply"})) for i, k in enumerate(wanted)}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted = b.column(0).to_pylist()
+            for a in range(0, len(wanted), size):
+                part = wanted[a : a + size]
+                found = ask(part)
+                for k in range(1, settings.retries + 1):
+                    if not (failed := [x for x in part if found[x][1]]):
+                        break
+                    time.sleep(0.1 * k)
+                    found |= ask(failed)
+                if settings.fail_on_error and (failed := [x for x in part if found[x][1]]):
+                    raise RuntimeError(f"{failed[0]}: {found[failed[0]][1]}")
+                yield pa.record_batch([pa.array(part, pa.string()), pa.array([found[x][0] for x in part], pa.string()), pa.array([found[x][1] for x in part], pa.string())], names=[column, "result", "error"])
+
+    distinct = keys.select(F.col(column).cast("string").alias(column)).where(F.col(column).isNotNull()).distinct()
+    return distinct.mapInArrow(rows, f"`{column}` string, result string, error string")
+
+
+def by_hash(hashes: DataFrame, options: dict[str, str], column: str = "hash") -> DataFrame:
+    """Transactions by hash: `result` is the payload, without receipt or time of the block."""
+    return looked_up(hashes, column, options, "eth_getTransactionByHash", lambda h: [h])
+
+
+def has_code(addresses: DataFrame, options: dict[str, str], column: str = "address") -> DataFrame:
+    """Whether an address is a contract's: column and has_code, null where the endpoint failed."""
+    found = looked_up(addresses, column, options, "eth_getCode", lambda a: [a, "latest"])
+    bare = F.regexp_replace("result", '"', "")
+    return found.select(column, F.when(F.col("error").isNull(), F.coalesce(~bare.isin("0x", ""), F.lit(False))).alias("has_code"))
+
+
+def filled(headers: DataFrame, options: dict[str, str]) -> DataFrame:
+    """Raw rows of headers (bodies=false) with the transactions that are found by hash, in the order of the header's hashes.
+
+    Hashes that the endpoint doesn't know are left out. A block is put together from its own transactions only.
+    """
+    hashes = headers.where("block is not null").select("chain_id", "block_number", F.posexplode(F.from_json(F.get_json_object("block", "$.transactions"), "array<string>")).alias("pos", "hash"))
+    found = by_hash(hashes, options).where("result is not null").select("hash", "result")
+    lists = hashes.join(found, "hash").groupBy("chain_id", "block_number").agg(F.array_sort(F.collect_list(F.struct("pos", "result"))).alias("items"))
+    body = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("items", F.array().cast("array<struct<pos:int,result:string>>")), lambda x: x["result"]), ","), F.lit("]"))
+    joined = headers.join(lists, ["chain_id", "block_number"], "left")
+    own = F.regexp_replace("block", r'"transactions"\s*:\s*\[[^\]]*\]', "\x00")
+    return joined.withColumn("block", F.when(F.col("block").isNotNull(), F.replace(own, F.lit("\x00"), F.concat(F.lit('"transactions":'), body)))).drop("items")
+
+
 @dataclass
 class Stretch(InputPartition):
     low: int

@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from chainloom.operators.integrity import contiguous
+from chainloom.operators.blocks import assembled
+from chainloom.operators.integrity import contiguous, reorg_plan
 from chainloom.operators.latest import latest
 from chainloom.schemas import STAGED
 from chainloom.sources.staging import decoded
 
-from .publish import materialised, messages
+from .publish import materialised, messages, replacement
 
 CURSOR = "chain_id bigint, name string, value bigint, version bigint"
 WINDOW = 100
@@ -111,3 +112,76 @@ def requested(spark: SparkSession, numbers: list[int], cursor: int, skip_check:
     rows = rows if skip_check else rows.where(F.col("block_number") > cursor)
     order = F.row_number().over(Window.orderBy("block_number")) - 1
     return rows.withColumn("batch", F.floor(order / size).cast("bigint"))
+
+
+def last_valid(cursors: Cursors, blocks: DataFrame, chain_id: int, now: str | None = None) -> int:
+    """The cursor of checked blocks; where there is none yet, the last block that is a day old."""
+    at = cursors.get(chain_id, "last_valid")
+    if at > 0:
+        return at
+    time = blocks.schema["block_timestamp"].dataType.simpleString()
+    day_ago = (F.lit(now) if now else F.current_timestamp()).cast(time) - F.expr("INTERVAL 1 DAY")
+    return blocks.where((F.col("chain_id") == chain_id) & (F.col("block_timestamp") <= day_ago)).agg(F.max("block_number")).first()[0] or 0
+
+
+def stored(tables: dict[str, DataFrame], chain_id: int, numbers: DataFrame) -> DataFrame:
+    """The stored blocks of some numbers (block_number), assembled with their children."""
+    own = {k: df.where(F.col("chain_id") == chain_id).join(numbers.select("block_number").distinct(), "block_number", "left_semi") for k, df in tables.items()}
+    return assembled(own.pop("blocks"), **own)
+
+
+def replaced(tables: dict[str, DataFrame], new: DataFrame, chain_id: int, numbers: DataFrame, sink: str, at: Column) -> None:
+    """Write the replacement of some numbers: tombstones of what is stored, and new blocks, in one write below sink."""
+    old = stored(tables, chain_id, numbers)
+    children = [c for c in ("transactions", "logs", "traces") if c in old.columns and c in new.columns]
+    columns = ["chain_id", "block_number", "block", *children]
+    replacement(old.select(columns), new.select(columns), at).write.mode("overwrite").parquet(sink)
+
+
+def reorganise(
+    tables: dict[str, DataFrame], cursors: Cursors, chain_id: int, fetch: Callable[[int, int], DataFrame], sink: str, at: Column | None = None, lag: int = 500, size: int = WINDOW, now: str | None = None
+) -> tuple[int, int] | None:
+    """Check the next window of stored blocks and replace what is wrong; the range that was replaced, or None.
+
+    fetch(start, end) gives new assembled blocks. The cursor moves after the write, so a run that failed is done again
+    and overwrites what it wrote: a range has its own folder.
+    """
+    blocks = tables["blocks"]
+    greatest = blocks.where(F.col("chain_id") == chain_id).agg(F.max("block_number")).first()[0]
+    window = reorg_window(last_valid(cursors, blocks, chain_id, now), greatest or 0, lag, size)
+    if window is None:
+        return None
+    plan = reorg_plan(blocks, tables["transactions"], tables["logs"], *window, chain_id).first()
+    span = None
+    if plan.end_block >= 0:
+        span = (plan.start_block, plan.end_block)
+        numbers = blocks.sparkSession.range(span[0], span[1] + 1).withColumnRenamed("id", "block_number")
+        replaced(tables, fetch(*span), chain_id, numbers, f"{sink}/range={span[0]}_{span[1]}", F.current_timestamp() if at is None else at)
+    cursors.set(chain_id, "last_valid", plan.last_valid)
+    return span
+
+
+def repair(
+    tables: dict[str, DataFrame], cursors: Cursors, chain_id: int, numbers: list[int], fetch: Callable[[list[int]], DataFrame], sink: str, at: Column | None = None, skip_check: bool = False, size: int = 10
+) -> int:
+    """Replace asked-for blocks in batches, and say how many batches there were.
+
+    Numbers up to the cursor "repaired" have been done and are skipped. Each batch fetches, writes and then moves the cursor;
+    with skip_check all are done and the cursor stays. fetch(numbers) gives new assembled blocks; one that it doesn't have
+    fails the batch before anything is written.
+    """
+    spark = cursors.spark
+    rows = requested(spark, numbers, cursors.get(chain_id, "repaired"), skip_check, size)
+    batches: dict[int, list[int]] = {}
+    for r in rows.orderBy("block_number").collect():  # a request's own list
+        batches.setdefault(r.batch, []).append(r.block_number)
+    for batch in batches.values():
+        new = fetch(batch)
+        found = {r.block_number for r in new.select("block_number").collect()}
+        if missing := sorted(set(batch) - found):
+            raise OrderError(f"blocks {missing} weren't fetched")
+        asked = spark.createDataFrame([(n,) for n in batch], "block_number bigint")
+        replaced(tables, new, chain_id, asked, f"{sink}/range={batch[0]}_{batch[-1]}", F.current_timestamp() if at is None else at)
+        if not skip_check:
+            cursors.set(chain_id, "repaired", batch[-1])
+    return len(batches)

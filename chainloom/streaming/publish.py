@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +49,29 @@ def messages(nested: DataFrame, at: Column, is_reorg: bool = False, compress_byt
     return rows.select(F.concat(F.lit(f"{TOPIC}."), F.col("chain_id").cast("string")).alias("topic"), F.lit(0).alias("partition"), F.encode(key, "utf-8").alias("key"), value.alias("value"), headers.alias("headers"))
 
 
+def wanted(nested: DataFrame, senders: Sequence[str] = (), receivers: Sequence[str] = (), addresses: Sequence[str] = (), topics: Sequence[str] = ()) -> DataFrame:
+    """Assembled blocks with only the transactions from senders or to receivers and the logs of addresses and first topics.
+
+    Lists that are empty filter nothing; hex texts are compared without case. Blocks stay, if with nothing in them.
+    """
+    among = lambda c, values: F.lower(c).isin(*[v.lower() for v in values])
+    if senders or receivers:
+        sides = [(k, v) for k, v in (("from_address", senders), ("to_address", receivers)) if v]
+        nested = nested.withColumn("transactions", F.filter("transactions", lambda t: reduce(lambda a, b: a | b, [among(t[k], v) for k, v in sides])))
+    if addresses or topics:
+        parts = [(k, v) for k, v in (("address", addresses), ("topic_0", topics)) if v]
+        nested = nested.withColumn("logs", F.filter("logs", lambda x: reduce(lambda a, b: a & b, [among(x[k], v) for k, v in parts])))
+    return nested
+
+
+def measured(nested: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """nested, and what an action on it will have seen: blocks, transactions, logs, first_block and last_block."""
+    seen = Observation(name)
+    size = lambda c: F.sum(F.size(c)) if c in nested.columns else F.lit(0)
+    kinds = [size(c).cast("bigint").alias(c) for c in ("transactions", "logs")]
+    return nested.observe(seen, F.count("*").alias("blocks"), *kinds, F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block")), seen
+
+
 def replacement(old: DataFrame, new: DataFrame, at: Column, **options) -> DataFrame:
     """Records of a replaced range: tombstones of the old blocks, and the new ones, whose version is later."""
     return messages(delete_insert(old, new, at), at, is_reorg=True, **options)

@@ -7,26 +7,24 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from chainloom import schemas
-from chainloom.functions import hexes, keccak
+from chainloom.functions import abi, hexes, keccak
 from chainloom.operators import integrity, latest, normalize, tokens
-from chainloom.plans.query_spec import FieldError, QuerySpec, aliases, allowed, answer, kind_of, parse, validate
+from chainloom.plans import routes
+from chainloom.plans.query_spec import FieldError, QuerySpec, aliases, allowed, answer, envelope, kind_of, parse, validate
 from chainloom.sources import rpc, staging
-from chainloom.streaming import jobs
+from chainloom.streaming import jobs, publish
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-AGGREGATES = ["SUM(value) AS total_value", "COUNT(*) AS count"]
-
-
 @pytest.mark.parametrize(
     ("entity", "group_by", "sort_by", "aggregates", "error"),
     [
-        ("blocks", ["block_number", "hash"], "block_timestamp", [], None), ("transactions", ["from_address", "to_address"], "value", [], None), ("logs", ["address", "topic_0"], "block_number", [], None),
-        ("transfers", ["token_address", "from_address"], "amount", [], None), ("balances", ["owner", "token_id"], "balance", [], None), ("transactions", ["from_address"], "total_value", AGGREGATES, None),
-        ("invalid_entity", ["field"], "field", [], "unknown entity: invalid_entity"), ("blocks", ["invalid_field"], "block_number", [], "invalid group_by field 'invalid_field' for entity 'blocks'"),
-        ("transactions", ["hash"], "invalid_field", [], "invalid sort_by field 'invalid_field' for entity 'transactions'"), ("logs", ["address"], "invalid_alias", ["COUNT(*) AS count"], "invalid sort_by field 'invalid_alias' for entity 'logs'"),
-        ("blocks", ["block_number"], "", [], None), ("transactions", [], "hash", [], None),
+        ("blocks", ["miner"], "gas_used", [], None), ("logs", ["topic_3", "log_index"], "", [], None), ("traces", [], "subtraces", [], None), ("balances", ["token_type"], "n", ["count(*) as n"], None),
+        ("transfers", ["to_address"], "most", ["max(amount) AS most", "min(amount) AS least"], None),
+        # fixed values: the texts of errors
+        ("receipts", [], "", [], "unknown entity: receipts"), ("traces", ["output", "colour"], "", [], "invalid group_by field 'colour' for entity 'traces'"),
+        ("balances", ["owner"], "hash", [], "invalid sort_by field 'hash' for entity 'balances'"), ("blocks", ["miner"], "m", ["count(*) AS n"], "invalid sort_by field 'm' for entity 'blocks'"),
     ],
 )
 def test_fields(entity, group_by, sort_by, aggregates, error):
@@ -40,9 +38,7 @@ def test_fields(entity, group_by, sort_by, aggregates, error):
 @pytest.mark.parametrize(
     ("given_", "names"),
     [
-        (["COUNT(*) AS count", "SUM(value) AS total_value"], ["count", "total_value"]), (["AVG(amount) as avg_amount", "MAX(price) As max_price"], ["avg_amount", "max_price"]), (["COUNT(*)", "SUM(value)"], []),
-        (["COUNT(*) AS count", "SUM(value)", "AVG(price) as avg_price"], ["count", "avg_price"]), ([], []),
-        (["COUNT(DISTINCT address) AS unique_addresses", "SUM(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS positive_transactions"], ["unique_addresses", "positive_transactions"]),
+        ([], []), (["sum(gas)"], []), (["sum(gas) as  g", "min(nonce) AS n1"], ["g", "n1"]), (["sum(cast(gas AS bigint)) aS total"], ["total"]), (["count(distinct to_address) AS n", "max(gas)"], ["n"]),
     ],
 )
 def test_aliases(given_, names):
@@ -62,6 +58,28 @@ def test_parameters():
     assert [kind_of(x) for x in ("12", "0x" + "a" * 64, "0x" + "a" * 40, "0xa9059cbb", "zz")] == ["block", "hash", "address", "selector", "none"]
 
 
+def test_decoding_needs_a_signature(spark):
+    logs = spark.createDataFrame([(1, 1, 0, "0xC", "0x1", "0x")], "chain_id long, block_number long, log_index int, address string, topic_0 string, data string")
+    for bad in (lambda: answer(logs, "logs", QuerySpec(decode=True)), lambda: routes.events_of(logs, QuerySpec(decode=True)), lambda: routes.events_of(logs, QuerySpec(decode=True), signature="0x1"), lambda: routes.events_of(logs, QuerySpec(), signature="f((uint256,bool) pair)")):
+        with pytest.raises(FieldError):
+            bad()
+    assert routes.events_of(logs, QuerySpec(), "0xc", "0x1").data.count() == 1 and routes.events_of(logs, QuerySpec(), "0xd", "0x1").data.count() == 0
+
+
+def test_abi_of_dynamic_types(spark):
+    word = lambda n: f"{n:064x}"
+    text = "größe".encode()
+    data = "0x" + word(96) + word(160) + word(7) + word(len(text)) + text.hex().ljust(64, "0") + word(3) + word(1) + word(2) + word(2**64)
+    rows = spark.createDataFrame([(1, data), (2, data[:-10]), (3, "0x"), (4, "0x" + word(2**40) + word(2**255) + word(7)), (5, None)], "id int, data string")
+    kinds = [("string", "s"), ("uint256[]", "v"), ("uint8", "n")]
+    got = {r.id: r.m for r in rows.select("id", abi.values(F.col("data"), kinds, 3).alias("m")).collect()}
+    assert got[1] == {"s": "größe", "v": json.dumps(["1", "2", "0x" + word(2**64)], separators=(",", ":")), "n": "7"}
+    assert got[2]["v"] is None and got[2]["s"] == "größe" and got[4] == {"s": None, "v": None, "n": "7"}
+    assert all(v is None for k in (3, 5) for v in got[k].values())
+    raw = spark.createDataFrame([("0x" + word(32) + word(3) + "abcdef".ljust(64, "0"),)], "data string").select(abi.values(F.col("data"), [("bytes", "b")], 3).alias("m")).first().m
+    assert raw == {"b": "0xabcdef"}
+
+
 def test_keccak_vectors():
     assert keccak.keccak256(b"").hex() == "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470"
     assert keccak.keccak256(b"\x80").hex() == "56e81f171bcc55a6ff8345e692c0f86e5b48e01b996cadc001622fb5e363b421"
@@ -177,6 +195,16 @@ def test_normalize(spark):
         assert make(raw).columns == schemas.default_columns(name)
 
 
+def test_what_is_no_text_is_empty(spark):
+    tx = {"hash": "0xt", "blockNumber": "0x5", "transactionIndex": "0x0", "from": 7, "to": {"a": 1}, "value": 12, "input": True, "accessList": [{"storageKeys": ["0x1"], "extra": {"b": 2, "a": "x:1,"}, "address": "0x2"}]}
+    block = {"number": "0x5", "hash": "0xh", "miner": -3.5e2, "extraData": 'say "n":5, or {"n":6}', "transactions": [tx]}
+    raw = spark.createDataFrame([(1, 5, json.dumps(block), "[]", None, None, None)], schemas.RAW)
+    b, t = normalize.blocks(raw).first(), normalize.transactions(raw).first()
+    assert (b.miner, b.extra_data, b.block_number) == ("", 'say "n":5, or {"n":6}', 5)
+    assert (t.from_address, t.to_address, t.value, t.data, t.hash) == ("", "", "0" * 64, "", "0xt")
+    assert t.access_list == '[{"address":"0x2","extra":{"a":"x:1,","b":""},"storageKeys":["0x1"]}]'
+
+
 def test_transfers(spark):
     pad = lambda a: "0x" + "0" * 24 + a * 40
     word = lambda n: f"{n:064x}"
@@ -206,6 +234,14 @@ class Endpoint(BaseHTTPRequestHandler):
             return {"id": call["id"], "error": {"code": -1, "message": "busy"}}
         if number == 9 and kind == "block":
             return {"id": call["id"], "error": {"code": -2, "message": "lost"}}
+        if method == "eth_getTransactionByHash":
+            found = {t["hash"]: t for n in range(13) for t in payload(n)["block"]["transactions"]}
+            return {"id": call["id"], "result": found.get(params[0])}
+        if method == "eth_getCode":
+            return {"id": call["id"], "result": "0x60" if params[0] == "0xC" else "0x"}
+        if kind == "block" and params[1] is False:
+            block = payload(number)["block"]
+            return {"id": call["id"], "result": block | {"transactions": [t["hash"] for t in block["transactions"]] + ["0xunknown"]}}
         return {"id": call["id"], "result": {"eth_blockNumber": hex(12), "eth_chainId": "0x5"}.get(method) or payload(number)[kind]}
 
     def do_POST(self):
@@ -235,6 +271,20 @@ def test_rpc(spark, endpoint):
     assert all(x.receipts and x.traces and x.logs is None for x in raw if x.block_number != 9)
 
 
+def test_headers_and_lookups(spark, endpoint):
+    spark.dataSource.register(rpc.ChainRpc)
+    headers = spark.read.format("chain_rpc").options(url=endpoint, start=1, end=4, bodies="false").load()
+    assert all(x.receipts is None and x.logs is None and json.loads(x.block)["transactions"][0].startswith("0xt") for x in headers.collect())
+    whole = normalize.transactions(rpc.filled(headers, {"url": endpoint}))
+    assert sorted((x.block_number, x.transaction_index, x.hash) for x in whole.collect()) == sorted((n, i, f"0x{k}{n}") for n in range(1, 5) for i, k in enumerate("tu"))
+    found = {x.hash: x.result for x in rpc.by_hash(spark.createDataFrame([("0xt3",), ("0xt3",), ("0xno",), (None,)], "hash string"), {"url": endpoint}).collect()}
+    assert json.loads(found["0xt3"])["value"] == hex(2**255) and found["0xno"] is None and len(found) == 2
+    code = {x.address: x.has_code for x in rpc.has_code(spark.createDataFrame([("0xC",), ("0xA",)], "address string"), {"url": endpoint}).collect()}
+    assert code == {"0xC": True, "0xA": False}
+    lost = rpc.by_hash(spark.createDataFrame([("0xt3",)], "hash string"), {"url": "http://127.0.0.1:1", "retries": "0"}).first()
+    assert lost.result is None and "Error" in lost.error
+
+
 def test_rpc_stream(spark, endpoint, tmp_path):
     seen = []
     query = jobs.poll(spark, {"url": endpoint, "start": "1", "lag": "5", "max_blocks_per_trigger": "4"}, lambda df, k: seen.append(sorted(x.block_number for x in df.collect())), str(tmp_path / "c"))
@@ -275,6 +325,51 @@ def test_staging_and_stream(spark, tmp_path):
     assert valid.where("valid").count() == 20 and integrity.contiguous(normalize.blocks(raw)).first().contiguous
 
 
+def test_repair_and_reorganisation(spark, tmp_path):
+    """Blocks 3 and 7 are wrong in the store: one has another hash, one lacks its transactions."""
+    from chainloom.operators.blocks import assembled
+
+    rows = [(5, n, *(json.dumps(payload(n)[k]) for k in ("block", "receipts")), None, json.dumps(payload(n)["traces"]), None) for n in range(1, 21)]
+    raw = spark.createDataFrame(rows, schemas.RAW)
+    right = {k: make(raw) for k, make in normalize.TABLES.items()}
+    bad = F.col("block_number")
+    kept = {k: right[k].where(bad != 7) for k in ("transactions", "logs", "traces")}
+    tables = kept | {"blocks": right["blocks"].withColumn("hash", F.when(bad == 3, "0xother").otherwise(F.col("hash")))}
+    asked = []
+
+    def fetch(start, end):
+        asked.append((start, end))
+        part = {k: integrity.in_range(df, start, end) for k, df in right.items()}
+        return assembled(part.pop("blocks"), **part)
+
+    cursors = jobs.Cursors(spark, str(tmp_path / "cursors"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    run = lambda store: jobs.reorganise(store, cursors, 5, fetch, str(tmp_path / "reorg"), at, lag=2, size=10, now="1970-01-02 00:00:00")
+    assert run(tables) == (3, 7) and asked == [(3, 7)] and cursors.get(5, "last_valid") == 7
+    records = spark.read.parquet(str(tmp_path / "reorg"))
+    opened_ = [publish.opened(records, fetch(3, 7).schema)]
+    latest_ = latest.latest(publish.materialised(opened_[0], "transactions"), ["chain_id", "block_number", "hash"])
+    assert sorted((x.block_number, x.hash) for x in latest_.collect()) == sorted((n, f"0x{k}{n}") for n in range(3, 8) for k in "tu")
+    assert {x.hash for x in latest.latest(publish.materialised(opened_[0], "blocks"), ["chain_id", "block_number"]).collect()} == {f"0xh{n}" for n in range(3, 8)}
+    assert run(right) is None and cursors.get(5, "last_valid") == 16
+    by_number = lambda numbers: fetch(min(numbers), max(numbers)).where(F.col("block_number").isin(numbers))
+    assert jobs.repair(tables, cursors, 5, [9, 4, 4, 12], by_number, str(tmp_path / "repair"), at, size=2) == 2 and cursors.get(5, "repaired") == 12
+    assert spark.read.parquet(str(tmp_path / "repair")).count() == 6
+    assert jobs.repair(tables, cursors, 5, [9, 12], by_number, str(tmp_path / "repair"), at) == 0
+    assert jobs.repair(tables, cursors, 5, [9], by_number, str(tmp_path / "again"), at, skip_check=True) == 1 and cursors.get(5, "repaired") == 12
+    with pytest.raises(jobs.OrderError):
+        jobs.repair(tables, cursors, 5, [19, 40], by_number, str(tmp_path / "lost"), at)
+    assert not (tmp_path / "lost").exists() and cursors.get(5, "repaired") == 12
+    nested = fetch(1, 20)
+    few = publish.wanted(nested, senders=["0xa"], addresses=["0xC"], topics=["0x9"])
+    assert few.agg(F.sum(F.size("transactions")), F.sum(F.size("logs"))).first()[:] == (20, 0)
+    watched, seen = publish.measured(nested, "written")
+    watched.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"blocks": 20, "transactions": 40, "logs": 20, "first_block": 1, "last_block": 20}
+    strict = integrity.validated(right["blocks"], right["transactions"], right["logs"], "strict")
+    assert strict.where("valid").count() == 0  # the payload's blooms aren't those of its logs
+
+
 @pytest.mark.parametrize(("memory", "mean", "now", "want"), [(32 << 20, 32 << 10, 100, 999), (32 << 20, 1 << 20, 30, 30), (32 << 20, 1 << 20, 100, 32), (1, 1 << 20, 50, 10), (1, 0, 50, 50)])
 def test_batch_size(memory, mean, now, want):
     assert staging.batch_size(memory, mean, now) == want
@@ -284,4 +379,6 @@ def test_answer(spark):
     rows = spark.createDataFrame([(1, k, "a" if k % 2 else "b", k, bool(k == 3)) for k in range(10)], "chain_id long, block_number long, address string, insert_timestamp long, is_deleted boolean").withColumns({"transaction_hash": F.lit("t"), "log_index": F.lit(0)})
     got = answer(rows, "logs", QuerySpec(filters={"address": "a"}, sort_by="block_number", sort_order="desc", limit=2, page=1, force_consistent_data=True))
     assert [x.block_number for x in got.data.collect()] == [5, 1] and tuple(got.meta.first()) == (4, 2)
+    page = envelope(got, QuerySpec(page=1, limit=2), 1)
+    assert page["meta"] == {"chain_id": 1, "page": 1, "limit": 2, "total_items": 4, "total_pages": 2} and [x["block_number"] for x in page["data"]] == [5, 1]
     assert {x.block_number for x in jobs.requested(spark, [5, 3, 3, 9], 4).collect()} == {5, 9}
