@@ -90,14 +90,14 @@ def bloom_bits(keccak):
 
 
 def block_blooms(logs: DataFrame) -> DataFrame:
-    """chain_id, block_number and logs_bloom computed from addresses and topics of the logs.
+    """chain_id, block_number and logs_bloom computed from addresses and topics of the logs; what isn't whole hex bytes sets no bit.
 
     Values of a block are made distinct before and after the hash join; a block has at most 2048 bits, so the group that
     forms its 512 digits is bounded whatever the number of logs.
     """
     keys = ["chain_id", "block_number"]
     values = logs.select(*keys, F.explode(F.array("address", "topic_0", "topic_1", "topic_2", "topic_3")).alias("value")).where("value <> ''").distinct()
-    bits = values.join(hashed(values, "value"), "value").select(*keys, F.explode(bloom_bits(F.col("keccak"))).alias("bit")).distinct()
+    bits = values.join(hashed(values, "value"), "value").where("keccak is not null").select(*keys, F.explode(bloom_bits(F.col("keccak"))).alias("bit")).distinct()
     nibble = bits.groupBy(*keys, (511 - F.floor(F.col("bit") / 4)).cast("int").alias("at")).agg(F.sum(F.expr("shiftleft(1, bit % 4)")).alias("v"))
     held = nibble.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("at", F.lower(F.hex("v"))))).alias("m"))
     all_digits = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.element_at("m", i), F.lit("0")))
