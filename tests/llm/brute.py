@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import regex
 from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -96,3 +97,69 @@ def jaccard(docs, n=4, percent=85):
                     near[a].add(frozenset(sets[b]))
                     near[b].add(frozenset(sets[a]))
     return {d: (len(s), root(d), len(near[d])) for d, s in sets.items()}
+
+
+UNITS = set("mm cm m km kg g mg lb lbs oz km/h mph ml l cl ft inch inches feet miles mile meters metres seconds minutes hours days weeks months years percent dollars euros cents pounds usd eur gbp hz khz mhz ghz kb mb gb tb".split())
+BLANK = "\x20\t\n\x0b\f\r"
+
+
+def template(text):
+    """(kind, value) of each token by the rules of templates; kinds are "#" numbers, "@" names, "u" units, or the word."""
+    text = re.sub("[\x01-\x03]", "", text or "")
+    out = []
+    for m in re.finditer(f"[^{BLANK}]+", text):
+        word, before = m[0], text[max(0, m.start() - 2) : m.start()]
+        named = len(before) == 2 and before[1] == " " and before[0] not in BLANK + ".!?:…" and regex.match(r"\p{Lu}\p{Ll}", word)
+        kind = "#" if re.search("[0-9]", word) else "@" if named else ""
+        value = re.sub(r"[.,;:!?\"'()\[\]{}«»„“”‘’…]+", "", word).lower()
+        if value or kind:
+            out.append((kind or ("u" if value in UNITS else value), value))
+    return out
+
+
+def contaminated(docs, items, window=8, literals=4, enough=6):
+    """{(doc row, item row): n_windows} by comparing every item with every place of every document."""
+    literal = lambda t: t[0] not in ("#", "@", "u")
+    out = {}
+    theirs = []
+    for item, text in items:
+        t = template(text)
+        rich = lambda ts, i, more=0: sum(map(literal, ts[i : i + window])) + more >= literals
+        places = range(len(t) - window + 1)
+        usable = sum(rich(t, i) for i in places)
+        scarce = usable < max(1, min(enough, len(t) - window + 1))
+        named = bool(t) and t[0][0] not in ("#", "@") and regex.match(r"[^\p{L}\p{N}]*\p{Lu}\p{Ll}", text)
+        forms = [t] + ([[("@", t[0][1]), *t[1:]]] if named else [])
+        cuts = [(i, f, i) for f, ts in enumerate(forms) for i in places if rich(ts, i, f and i == 0) and (scarce or not f or i == 0)]
+        theirs.append((item, t, forms, cuts, usable, scarce))
+    for d, text in docs:
+        mine = template(text)
+        at = defaultdict(list)
+        for i in range(len(mine) - window + 1):
+            at[tuple(k for k, _ in mine[i : i + window])].append(i)
+        for item, t, forms, cuts, usable, scarce in theirs:
+            met = defaultdict(set)
+            for i, f, _ in cuts:
+                for p in at[tuple(k for k, _ in forms[f][i : i + window])]:
+                    met[p - i, f if scarce else 0].add((i, f))
+            for (shift, f), found in met.items():
+                whole = [(0, len(t))] if scarce else [(i, i + window) for i, _ in found]
+                slots = set()
+                fits = True
+                for a, b in whole:
+                    ours = mine[shift + a : shift + b] if shift + a >= 0 else []
+                    form = forms[f] if scarce else None
+                    for k in range(b - a):
+                        x = form[a + k] if scarce else next((forms[g][a + k] for i, g in found if i == a), None)
+                        if k >= len(ours) or (scarce and ours[k][0] != x[0]):
+                            fits = False
+                            break
+                        if not literal(x):
+                            slots.add((x, ours[k]))
+                n = len({i for i, _ in found})
+                if fits and len(slots) == len({a for a, _ in slots}) and (scarce or n >= min(enough, usable)):
+                    out[d, item] = max(n, out.get((d, item), 0))
+            values = [v for _, v in t]
+            if scarce and t and any([v for _, v in mine[p : p + len(t)]] == values for p in range(len(mine))):
+                out[d, item] = max(usable, 1, out.get((d, item), 0))
+    return out
