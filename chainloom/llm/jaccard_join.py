@@ -42,8 +42,8 @@ from .components import components
 
 HOT_ROWS, HOT_LIMIT, CHUNK = 64, 100_000, 1_500_000
 SKETCH = 8  # longs
-#: Rows and n-grams of a block, and members that an owner meets in one task.
-BLOCK, BLOCK_GRAMS, SLICE = 1024, 400_000, 4096
+#: Sets and n-grams of a block of sets, members that an owner meets in one task, and members of a block of a bucket.
+BLOCK, BLOCK_GRAMS, SLICE, BUCKET = 1024, 400_000, 4096, 256
 PACKED = "id long, packed binary"
 
 
@@ -343,7 +343,7 @@ def met(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = rest.groupBy("gram", "component").agg(F.count("*").alias("k"), *[F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(hashes)])
     counts = counts.groupBy("gram").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)])
     counts = counts.where("parts > 1").groupBy("n", "x0", "x1", "main", "most").agg(F.min("gram").alias("gram"), F.count("*").alias("weight"))
-    counts = written(counts.select("gram", "weight", "main", F.expr(f"if(n <= {BLOCK}, 1, ceil((n - most) / {BLOCK}))").alias("others"), F.expr(f"if(n <= {BLOCK}, 0, ceil(most / {BLOCK}))").alias("mains")))
+    counts = written(counts.select("gram", "weight", "main", F.expr(f"if(n <= {BUCKET}, 1, ceil((n - most) / {BUCKET}))").alias("others"), F.expr(f"if(n <= {BUCKET}, 0, ceil(most / {BUCKET}))").alias("mains")))
     sketch = [f"s{k}" for k in range(SKETCH)]
     placed = rest.join(counts.hint("merge"), "gram").join(sets, "id")
     placed = placed.withColumn("i", F.expr("if(mains > 0 and component = main, others + pmod(xxhash64(id), mains), pmod(xxhash64(id), others))"))

@@ -45,18 +45,22 @@ class Encoder:
         self.limit, self.kept, self.pieces = limit, {}, {}
 
     def piece(self, text: str) -> bytes:
-        found = self.pieces.get(text)
+        """The ids of one pre-token. One that a whole part between spaces could be is kept with those."""
+        kept, key = (self.kept, text) if self.lowers else (self.kept, text[1:]) if text[0] == " " else (self.pieces, text)
+        found = kept.get(key)
         if found is None:
             letters = text if text.isascii() and text.isalpha() else "".join(map(self.letters.__getitem__, text.encode()))
             found = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
-            if len(self.pieces) < self.limit:
-                self.pieces[text] = found
+            if len(kept) < self.limit:
+                kept[key] = found
         return found
 
     def chunk(self, text: str) -> bytes:
         if not self.lowers:
             return self.piece(text) if (text[1:] if text[0] == " " else text).isalpha() else b"".join(map(self.piece, self.pattern.findall(text)))
         if not text.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in text):  # letters to one Unicode version and not to another
+                return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
             text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
         return self.piece(text) if text.isalpha() else b"".join(map(self.piece, self.pattern.findall(text)))

@@ -138,6 +138,19 @@ def test_lines_that_open_with_an_apostrophe(text):
     assert tokens.Encoder(path).encode(text).tolist() == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_library(name):
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    coder = tokens.Encoder(public_tokenizers.path(name), limit=300)
+
+    @settings(max_examples=1500, deadline=None)
+    @given(st.lists(st.sampled_from(["'", '"', "'s", "'that", "'re", "\n", "\t", " ", "  ", "\u3000", "\x1c", "word", "Word", "é", "Σας", "½", "7", "42", ".", "…", "don't", "<|endoftext|>", "\U0001f600", "ß", "_", "\xa0"]), max_size=14).map("".join) | st.text(max_size=30))
+    def check(text):
+        assert coder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+    check()
+
+
 def test_open_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 5)] == [(0, 0), (1, 0), (2, 0)]
@@ -462,7 +475,7 @@ def test_jaccard(spark, docs, plain, edge, empty):
 def test_jaccard_random(spark, monkeypatch, seed, block):
     """With small blocks, buckets and components are dealt to several tasks."""
     if block:
-        for name in ("BLOCK", "SLICE"):
+        for name in ("BLOCK", "SLICE", "BUCKET"):
             monkeypatch.setattr(jaccard_join, name, block)
         monkeypatch.setattr(jaccard_join, "BLOCK_GRAMS", 150)
         monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
