@@ -59,7 +59,7 @@ def given(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words, kept for up to `limit` words."""
 
-    def __init__(self, limit: int = 150_000):
+    def __init__(self, limit: int = 50_000):
         super().__init__()
         self.limit = limit
 

@@ -102,7 +102,7 @@ def shape(span: str) -> str:
     return "".join(out)
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def weight_of(feature: str) -> int:
     """The place of a feature's weights."""
     return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=2).digest(), "little") % N_WEIGHTS

@@ -31,7 +31,7 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.lowers = self.tokenizer.normalizer is not None
