@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(rows: Callable) -> Callable:
+    """rows, a function of mapInArrow, that gives freed memory back to the system when its task ends.
+
+    Python workers are kept for later tasks, so what the allocators hold back would add to what later stages take.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+                pool.release_unused()
+
+    return run
+
+
 #: Rows of a side that may be broadcast; such rows hold a few numbers or a digest, about 250 bytes each in a hash table.
 BROADCAST_ROWS = 500_000
 

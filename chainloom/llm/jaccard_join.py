@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bounded, read, runs, utf8, written
+from .common import LOWER, WordHashes, bounded, lean, read, runs, utf8, written
 from .components import components
 
 HOT_ROWS, HOT_LIMIT, CHUNK = 64, 100_000, 750_000
@@ -78,6 +78,7 @@ def frequent(docs: DataFrame, n: int) -> DataFrame:
     Tasks count within chunks of about CHUNK n-grams and report those of 4 or more.
     """
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
 
@@ -108,6 +109,7 @@ def prefix_length(size: int, percent: int) -> int:
 def sketches(docs: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
     """id, size, digest, s0 .. s7 (parity sketch) and rare (the rarest n-grams, the rarest first) of every document."""
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
@@ -236,6 +238,7 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     Up to a counted bound ids are broadcast, so texts aren't shuffled; beyond, both sides are shuffled by id.
     """
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(3)
         for b in batches:
@@ -256,6 +259,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, order: Ord
     The members of an owner a are dealt in slices by a counted number; its own text goes to each slice once.
     """
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_of = set_reader(n, order)
 
@@ -335,6 +339,7 @@ def met(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for (a, b), (small, large) in found.items():
             yield a, b, small, large, weight
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (pair for (_, _, _, weight), members in keyed(batches, 4) for pair in pairs(weight, [m[4:] for m in members]))
         return emitted(found, ["a", "b", "small", "large", "weight"])
@@ -360,6 +365,7 @@ def link_counts(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, pe
     A component is cut into blocks by its counted n-grams; each two blocks meet in a task. sizes: id, size.
     """
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_of = set_reader(n, order)
 

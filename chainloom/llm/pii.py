@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lean, read
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS, "secret", "id"]
@@ -328,6 +328,7 @@ def find_pii(docs: DataFrame, weights: np.ndarray | None = None, id_col: str = "
     weights = model() if weights is None else weights
     joined = lambda spans: ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, utf8, written
+from .common import lean, read, utf8, written
 
 MAX_ROWS, TREES, DEPTH, BINS, RATE, REGULAR, THRESHOLD = 20_000, 60, 4, 64, 0.15, 1.0, 0.3
 _LETTERS = np.zeros(256, bool)
@@ -58,6 +58,7 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id and `stats` (array of doubles) of each row, and further columns as they are."""
     kept = docs.select(F.col(id_col), *extra, F.col(text_col).alias("__text"))
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([statistics(x.as_py()) for x in b.column(b.num_columns - 1)], float).reshape(b.num_rows, N_STATISTICS)
@@ -137,6 +138,7 @@ def scored(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: st
     """id and score of each row."""
     kept = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array([statistics(t.as_py()) for t in b.column(1)], float).reshape(b.num_rows, N_STATISTICS)
