@@ -414,8 +414,8 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id
     places = written(tokens.join(buckets.hint("merge"), "gram").select("gram", "id", "low", "n"))
 
     star = places.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.alias("p").join(of.alias("y"), F.col("p.b") == F.col("y.id")).join(of.alias("x"), (F.col("p.a") == F.col("x.id")) & can_link("x", "y", percent)).select("a", "b").distinct()
-    star = written(star)
+    star = star.alias("p").join(of.alias("y"), F.col("p.b") == F.col("y.id")).join(of.alias("x"), (F.col("p.a") == F.col("x.id")) & can_link("x", "y", percent)).select("a", "b")
+    star = written(written(star).distinct())  # right after the join, distinct would keep frequent owners from being split
     links = verified(docs, star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n, percent, order)
     groups = components(links)
     more = verified(docs, apart(star, groups), n, percent, order)
