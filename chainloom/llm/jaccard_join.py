@@ -11,8 +11,9 @@ they meet in that n-gram's bucket. A bucket isn't turned into all its pairs:
 1. Every member meets the bucket's least member. Size and a parity sketch (whose Hamming distance never exceeds the sets'
    difference) drop pairs that can't link. The owner of such pairs walks the tree of its members' sets: first for the
    least owner of each member, then, after components of these links, for pairs between components.
-2. In buckets that still hold several components, members are compared by size and sketch, in blocks; members of a
-   bucket's largest component needn't meet each other and are dealt apart. Pairs are counted by the n-grams that their
+2. In buckets that still hold several components, members are compared by size and sketch, in blocks of size classes:
+   a class meets itself and the next one only, as sets further apart can't link. Members of a class's largest component
+   needn't meet each other and are dealt apart. Pairs are counted by the n-grams that their
    rare ends share, and those with enough for a link are verified by trees as before.
 3. `n_links` counts the links of a representative exactly: members of a component are joined with themselves, in blocks,
    and only counts leave a task. This takes comparisons in proportion to the square of a component's different sets (an
@@ -27,6 +28,7 @@ sequence is one n-gram. Rows that repeat an id are one node. Null ids get a null
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -106,26 +108,30 @@ def prefix_length(size: int, percent: int) -> int:
     return 0 if 100 * size < percent * (size + 1) else size - -(-percent * size // 100) + 1
 
 
-def sketches(docs: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
-    """id, size, digest, s0 .. s7 (parity sketch) and rare (the rarest n-grams, the rarest first) of every document."""
+def sketches(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """id, size, digest, s0 .. s7 (parity sketch) and keys of every document; keys makes a set's bucket keys, 64-bit integers."""
 
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sizes, digests, bits, ends = [], [], [], [np.zeros(0, np.int64)]
+            sizes, digests, bits, found = [], [], [], [np.zeros(0, np.int64)]
             for text in b.column(1):
                 s = grams(lower_words(text.as_py()), n, hashes)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 bits.append(np.packbits(np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64))
-                k = prefix_length(len(s), percent)
-                ends.append(order.of(s)[::-1][:k].view(np.int64))
+                found.append(keys(s).view(np.int64))
             bits = np.array(bits, np.int64).reshape(-1, SKETCH)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(e) for e in ends]).astype(np.int32)), pa.array(np.concatenate(ends)))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bits[:, j].copy()) for j in range(SKETCH)), lists], names=["id", "size", "digest", *(f"s{j}" for j in range(SKETCH)), "rare"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(e) for e in found]).astype(np.int32)), pa.array(np.concatenate(found)))
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bits[:, j].copy()) for j in range(SKETCH)), lists], names=["id", "size", "digest", *(f"s{j}" for j in range(SKETCH)), "keys"])
 
-    return docs.select("id", "text").mapInArrow(rows, "id long, size long, digest binary, " + "".join(f"s{j} long, " for j in range(SKETCH)) + "rare array<long>")
+    return docs.select("id", "text").mapInArrow(rows, "id long, size long, digest binary, " + "".join(f"s{j} long, " for j in range(SKETCH)) + "keys array<long>")
+
+
+def rare_ends(order: Order, percent: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The rarest n-grams of a set, the rarest first: linked sets share one of them."""
+    return lambda s: order.of(s)[::-1][: prefix_length(len(s), percent)]
 
 
 def can_link(x: str, y: str, percent: int) -> Column:
@@ -253,8 +259,8 @@ def set_reader(n: int, order: Order) -> Callable[[bytes], np.ndarray]:
     return lambda packed: order.of(grams(unpack.decompress(packed).translate(LOWER).split(), n, hashes))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
-    """The pairs (a, b) that reach the threshold, a written table.
+def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, order: Order, links_of: Callable = tree_links) -> DataFrame:
+    """The pairs (a, b) that reach the threshold by links_of (stored sets, probes, percent), a written table.
 
     The members of an owner a are dealt in slices by a counted number; its own text goes to each slice once.
     """
@@ -268,7 +274,7 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, order: Ord
                 own, held, size = [], [], 0
 
                 def links():
-                    return sorted({(a, held[k][0]) for k, _ in tree_links([s for _, s in held], own, percent)})
+                    return sorted({(a, held[k][0]) for k, _ in links_of([s for _, s in held], own, percent)})
 
                 for _, _, b, packed in members:  # the owner's rows come first
                     s = set_of(packed)
@@ -310,11 +316,38 @@ def can_reach(percent: int) -> Column:
     return (F.col("n_shared") + behind) * (100 + percent) >= (F.col("small") + F.col("large")) * percent
 
 
-def met(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of two components that meet in buckets and may link by size, sketch and the n-grams their ends share.
+def size_class(size: Column, percent: int) -> Column:
+    """Sets whose sizes don't forbid a link are in the same or in neighbouring classes."""
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
+    return F.floor(F.log(size) / width).cast("int")
+
+
+def cells(rest: DataFrame) -> DataFrame:
+    """How each bucket that still holds several components is cut up: a row for each of its size classes, a written table.
 
-    rest: gram, id, component. sets: id, size and sketch of every node. Buckets of the same members are one, with a weight.
-    Members of a bucket are compared in blocks; only pairs that pass leave a task, with the weight of their bucket.
+    gram, weight (buckets with the same members, which are one), class, main (the class's largest component), others and
+    mains (blocks of its members outside and inside of main), and the same of the classes beside it. A bucket of up to
+    BUCKET members isn't cut: whole.
+    """
+    hashes = [F.xxhash64("id"), F.xxhash64("id", F.lit(1))]
+    several = lambda c: F.bit_xor(c).alias(c)
+    found = rest.groupBy("gram", "class", "component").agg(F.count("*").alias("k"), *[F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(hashes)])
+    found = found.groupBy("gram", "class").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), several("x0"), several("x1"))
+    blocks = lambda c: F.ceil(c / BUCKET)
+    one = F.struct("class", "main", blocks(F.col("n") - F.col("most")).alias("others"), blocks(F.col("most")).alias("mains"))
+    found = found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), several("x0"), several("x1"), F.collect_list(one).alias("classes"))
+    found = found.where("low < high").groupBy("n", "x0", "x1").agg(F.min("gram").alias("gram"), F.count("*").alias("weight"), F.min_by("classes", "gram").alias("classes"))
+    beside = lambda step, name: F.expr(f"get(filter(classes, c -> c.class = own.class + {step}), 0)").alias(name)
+    found = found.select("gram", "weight", (F.col("n") <= BUCKET).alias("whole"), "classes", F.explode("classes").alias("own"))
+    return written(found.select("gram", "weight", "whole", F.col("own.class").alias("class"), F.struct("own.main", "own.others", "own.mains").alias("own"), beside(-1, "before"), beside(1, "after")))
+
+
+def met(rest: DataFrame, sets: DataFrame, percent: int, count_shared: bool = True) -> DataFrame:
+    """Pairs (a, b) of two components that meet in buckets and may link by size and sketch.
+
+    With count_shared also by the number of buckets that they share, which is that of n-grams in both rare ends.
+    rest: gram, id, class, component. sets: id, size and sketch of every node. Members of a bucket are compared in blocks
+    of neighbouring sizes; only pairs that pass leave a task, with the weight of their bucket.
     """
 
     def near(x: tuple, y: tuple) -> np.ndarray:
@@ -341,21 +374,26 @@ def met(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (pair for (_, _, _, weight), members in keyed(batches, 4) for pair in pairs(weight, [m[4:] for m in members]))
+        found = (pair for (*_, weight), members in keyed(batches, 6) for pair in pairs(weight, [m[6:] for m in members]))
         return emitted(found, ["a", "b", "small", "large", "weight"])
 
-    hashes = [F.xxhash64("id"), F.xxhash64("id", F.lit(1))]
-    counts = rest.groupBy("gram", "component").agg(F.count("*").alias("k"), *[F.bit_xor(h).alias(f"x{i}") for i, h in enumerate(hashes)])
-    counts = counts.groupBy("gram").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("parts"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)])
-    counts = counts.where("parts > 1").groupBy("n", "x0", "x1", "main", "most").agg(F.min("gram").alias("gram"), F.count("*").alias("weight"))
-    counts = written(counts.select("gram", "weight", "main", F.expr(f"if(n <= {BUCKET}, 1, ceil((n - most) / {BUCKET}))").alias("others"), F.expr(f"if(n <= {BUCKET}, 0, ceil(most / {BUCKET}))").alias("mains")))
     sketch = [f"s{k}" for k in range(SKETCH)]
-    placed = rest.join(counts.hint("merge"), "gram").join(sets, "id")
-    placed = placed.withColumn("i", F.expr("if(mains > 0 and component = main, others + pmod(xxhash64(id), mains), pmod(xxhash64(id), others))"))
-    placed = placed.withColumn("j", F.explode(F.expr("sequence(0L, if(i < others, others + mains, others) - 1)")))
-    low, high = F.least("i", "j"), F.greatest("i", "j")
-    placed = placed.select("gram", low.alias("low"), high.alias("high"), "weight", (F.col("i") == low).alias("stored"), (F.col("i") == high).alias("probe"), "id", "size", "component", *sketch)
-    found = dealt(placed, ["gram", "low", "high"]).mapInArrow(rows, "a long, b long, small long, large long, weight long")
+    placed = rest.join(cells(rest).hint("merge"), ["gram", "class"]).join(sets, "id")
+    placed = placed.withColumn("is_main", F.expr("component = own.main")).withColumn("i", F.expr("if(is_main, own.others + pmod(xxhash64(id), own.mains), pmod(xxhash64(id), own.others))"))
+    upto = "if({n} > 0, sequence(0L, {n} - 1), cast(array() as array<bigint>))".format
+    within = upto(n="(own.others + if(is_main, 0, own.mains))")
+    met_by = lambda side: upto(n=f"coalesce({side}.others + if(is_main and {side}.main = own.main, 0, {side}.mains), 0)")
+    cell = "named_struct('c', {0}, 'low', {1}, 'd', {2}, 'high', {3}, 'stored', {4}, 'probe', {5})".format
+    alone = cell("0", "0L", "0", "0L", "true", "true")
+    placed = placed.withColumn("cell", F.explode(F.expr(f"""if(whole, array({alone}), concat(
+        transform({within}, j -> {cell("class", "least(i, j)", "class", "greatest(i, j)", "i <= j", "i >= j")}),
+        transform({met_by("after")}, j -> {cell("class", "i", "class + 1", "j", "true", "false")}),
+        transform({met_by("before")}, j -> {cell("class - 1", "j", "class", "i", "false", "true")})))""")))
+    keys = ["gram", "c", "low", "d", "high"]
+    placed = placed.select("gram", *[f"cell.{k}" for k in keys[1:]], "weight", "cell.stored", "cell.probe", "id", "size", "component", *sketch)
+    found = dealt(placed, keys).mapInArrow(rows, "a long, b long, small long, large long, weight long")
+    if not count_shared:
+        return found.select("a", "b").distinct()
     return found.groupBy("a", "b", "small", "large").agg(F.sum("weight").alias("n_shared")).where(can_reach(percent)).select("a", "b").distinct()
 
 
@@ -397,42 +435,56 @@ def link_counts(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, pe
     return written(dealt(placed, ["component", "low", "high"]).mapInArrow(rows, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links")))
 
 
-def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
-    """Per row: id, n_shingles and component_id, the least id that links lead to; with count_links also n_links, how many other sets link with its set."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = Order(frequent(docs, n).toArrow().column("gram").to_numpy().view(np.uint64))
-    table = written(sketches(docs, n, percent, order))
-    sketch = [f"s{k}" for k in range(SKETCH)]
-    sets = table.where("size > 0 and id is not null")
+def same_sets(sets: DataFrame) -> DataFrame:
+    """id and rep of every row whose set is also that of a lesser id, the least, a written table."""
     several = written(sets.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("digest", "rep"))
-    copies = written(sets.select("id", "digest").join(bounded(several), "digest").where("id <> rep").select("id", "rep").distinct())
-    own = sets.join(bounded(copies), "id", "left_anti")
-    of = own.select("id", "size", *sketch).dropDuplicates(["id", "size", "s0"])
+    return written(sets.select("id", "digest").join(bounded(several), "digest").where("id <> rep").select("id", "rep").distinct())
+
+
+def grouped(docs: DataFrame, own: DataFrame, n: int, percent: int, order: Order, links_of: Callable = tree_links, count_shared: bool = True) -> DataFrame:
+    """node and component of every set that links with another one that it meets in a bucket, a written table.
 
-    tokens = own.select(F.explode("rare").alias("gram"), "id")
+    docs: id, text. own: id, size, sketch and keys of sets that differ. count_shared: as of `met`.
+    """
+    check = lambda pairs: verified(docs, pairs, n, percent, order, links_of)
+    of = own.select("id", "size", *[f"s{k}" for k in range(SKETCH)]).dropDuplicates(["id", "size", "s0"])
+    tokens = own.select(F.explode("keys").alias("gram"), "id", size_class(F.col("size"), percent).alias("class"))
     buckets = written(tokens.groupBy("gram").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("gram", "low", "n"))
-    places = written(tokens.join(buckets.hint("merge"), "gram").select("gram", "id", "low", "n"))
+    places = written(tokens.join(buckets.hint("merge"), "gram").select("gram", "id", "class", "low", "n"))
 
     star = places.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     star = star.alias("p").join(of.alias("y"), F.col("p.b") == F.col("y.id")).join(of.alias("x"), (F.col("p.a") == F.col("x.id")) & can_link("x", "y", percent)).select("a", "b")
     star = written(written(star).distinct())  # right after the join, distinct would keep frequent owners from being split
-    links = verified(docs, star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), n, percent, order)
+    links = check(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     groups = components(links)
-    more = verified(docs, apart(star, groups), n, percent, order)
+    more = check(apart(star, groups))
     if more.limit(1).count():
         links = links.union(more)
         groups = components(links)
 
-    rest = places.where("n > 2 and id <> low").join(bounded(groups), F.col("id") == F.col("node"), "left").select("gram", "id", F.coalesce("component", "id").alias("component"))
-    last = verified(docs, met(written(rest), of, percent), n, percent, order)
+    rest = places.where("n > 2 and id <> low").join(bounded(groups), F.col("id") == F.col("node"), "left").select("gram", "id", "class", F.coalesce("component", "id").alias("component"))
+    last = check(met(written(rest), of, percent, count_shared))
     if last.limit(1).count():
         groups = components(links.union(last))
+    return groups
+
+
+def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """Per row: id, n_shingles and component_id, the least id that links lead to; with count_links also n_links, how many other sets link with its set."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    order = Order(frequent(docs, n).toArrow().column("gram").to_numpy().view(np.uint64))
+    table = written(sketches(docs, n, rare_ends(order, percent)))
+    sets = table.where("size > 0 and id is not null")
+    copies = same_sets(sets)
+    own = sets.join(bounded(copies), "id", "left_anti")
+    groups = grouped(docs, own, n, percent, order)
 
     out = table.select("id", "size").join(bounded(copies), "id", "left").withColumn("own", F.coalesce("rep", "id"))
     out = out.join(bounded(groups), F.col("own") == F.col("node"), "left")
     columns = [F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "own").alias("component_id")]
     if count_links:
-        counted = link_counts(docs, groups, of.select("id", "size"), n, percent, order).withColumnRenamed("id", "counted")
+        sizes = own.select("id", "size").distinct()
+        counted = link_counts(docs, groups, sizes, n, percent, order).withColumnRenamed("id", "counted")
         out = out.join(bounded(counted), F.col("own") == F.col("counted"), "left")
         columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.select(*columns)

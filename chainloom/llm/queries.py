@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .decontaminate import op5_decontaminate
 from .html_text import op6_html_text
 from .jaccard_join import op9_jaccard_join
+from .near_duplicates import op13_near_duplicates
 from .oracle import ORACLE_SQL
 from .packing import op3_packing
 from .pii import op4_pii
@@ -12,6 +14,7 @@ from .quality_model import op10_quality_classifier
 from .quality_rules import op7_quality_rules
 from .substring_dedup import op1_substring_dedup
 from .token_files import op2_token_files
+from .vector_codes import op11_vector_codes
 from .warc import op8_warc
 
 QUERIES = {
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_alignment": op12_alignment,
+    "op13_near_duplicates": op13_near_duplicates,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

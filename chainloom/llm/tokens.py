@@ -29,15 +29,19 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False)."""
+    """ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False).
 
-    def __init__(self, path: str, limit: int = 400_000):
+    Without specials, strings of special tokens inside a text are plain text.
+    """
+
+    def __init__(self, path: str, limit: int = 400_000, specials: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not specials
         self.model = self.tokenizer.model
         self.lowers = self.tokenizer.normalizer is not None
         self.pattern = regex.compile(WORD_PATTERN if self.lowers else BYTE_PATTERN)
         self.chunks = regex.compile(f"[^{WHITE}]+" if self.lowers else f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if specials else []
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
         self.doubles = regex.compile(f"[{WHITE}][{WHITE}]|[{WHITE}]\\Z")
@@ -89,11 +93,12 @@ class Encoder:
         return np.frombuffer(b"".join(found), self.dtype)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, specials: bool = True) -> Encoder:
     """One encoder a process and vocabulary; Python workers serve many tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, specials)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, specials=specials)
+    return _encoders[key]

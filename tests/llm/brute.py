@@ -1,12 +1,14 @@
 """Plain versions of the operators, by definition, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
 
 import public_tokenizers
 import regex
+import sentencepiece
 from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,3 +165,86 @@ def contaminated(docs, items, window=8, literals=4, enough=6):
             if scarce and t and any([v for _, v in mine[p : p + len(t)]] == values for p in range(len(mine))):
                 out[d, item] = max(usable, 1, out.get((d, item), 0))
     return out
+
+
+def vector_codes(rows, n_parts=8, n_entries=16, rounds=6):
+    """([(vec_id, code, error, label_error)], codebooks_sha256) of rows (vec_id, vector, label) whose vectors are kept, by Python's integers."""
+    kept = [(d, [math.floor(4096 * x) for x in v], label) for d, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    width = len(kept[0][1]) // n_parts
+    part = lambda v, p: v[p * width : (p + 1) * width]
+    far = lambda x, y: sum((a - b) ** 2 for a, b in zip(x, y))
+    first = sorted(kept, key=lambda x: (x[0] is None, x[0], x[1]))[:n_entries]
+    books = [[part(v, p) for _, v, _ in first] for p in range(n_parts)]
+    nearest = lambda v, p: min((far(part(v, p), e), k) for k, e in enumerate(books[p]))
+    for _ in range(rounds):
+        owned = [[[] for _ in first] for _ in range(n_parts)]
+        for _, v, _ in kept:
+            for p in range(n_parts):
+                owned[p][nearest(v, p)[1]].append(part(v, p))
+        books = [[[sum(c) // len(vs) for c in zip(*vs)] if vs else e for vs, e in zip(owned[p], books[p])] for p in range(n_parts)]
+    out, sums = [], defaultdict(int)
+    for d, v, label in kept:
+        found = [nearest(v, p) for p in range(n_parts)]
+        out.append((d, "".join(f"{k:02x}" for _, k in found), sum(e for e, _ in found), label))
+        sums[label] += out[-1][2]
+    text = ",".join(str(x) for b in books for e in b for x in e)
+    return [(d, c, e, sums[label]) for d, c, e, label in out], hashlib.sha256(text.encode()).hexdigest()
+
+
+def token_bytes(text):
+    """(id, bytes) of each token of both sides, or None; byte-level letters by the library's own decoder table."""
+    if not text:
+        return None
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    s = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in own}
+    for b in range(256):
+        if b not in own:
+            letters[chr(256 + len(letters) - len(own))] = b
+    a = [(i, bytes(letters[c] for c in t.id_to_token(i))) for i in t.encode(" " + text, add_special_tokens=False).ids]
+    b = []
+    for i in s.encode(text):
+        p = s.id_to_piece(i)
+        b.append((i, bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()))
+    whole = (" " + text).encode()
+    return (a, b) if b"".join(x for _, x in a) == whole == b"".join(x for _, x in b) else None
+
+
+def alignment(docs):
+    """[(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, n_products)], by comparing the ranges of all tokens of a group."""
+    found, holders = [], defaultdict(int)
+    for d, text in docs:
+        sides = token_bytes(text)
+        links, groups = [], []
+        if sides:
+            spans = [[], []]
+            for side, out in zip(sides, spans):
+                at = 0
+                for i, x in side:
+                    out.append((i, at, at + len(x)))
+                    at += len(x)
+            ends = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+            low, x, y = 0, 0, 0
+            for e in ends:
+                u, v = x, y
+                while x < len(spans[0]) and spans[0][x][2] <= e:
+                    x += 1
+                while y < len(spans[1]) and spans[1][y][2] <= e:
+                    y += 1
+                groups.append((spans[0][u:x], spans[1][v:y]))
+                links += [(i, j) for i, s, t in spans[0][u:x] for j, p, q in spans[1][v:y] if max(s, p) < min(t, q)]
+        for pair in set(links):
+            holders[pair] += 1
+        found.append((d, sides, groups, links))
+    most = defaultdict(int)
+    for (a, _), n in holders.items():
+        most[a] = max(most[a], n)
+    out = []
+    for d, sides, groups, links in found:
+        text = ";".join(",".join(str(i) for i, _, _ in x) + "|" + ",".join(str(i) for i, _, _ in y) for x, y in groups)
+        digest = hashlib.sha256(text.encode()).hexdigest() if sides else ""
+        n_a, n_b = map(len, sides or ((), ()))
+        out.append((d, n_a, n_b, len(groups), len(links), sum(holders[p] == most[p[0]] for p in links), sum(holders[p] for p in links), digest, sum(len(x) * len(y) for x, y in groups)))
+    return out

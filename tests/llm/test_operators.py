@@ -11,54 +11,12 @@ import public_tokenizers
 import pytest
 from chainloom.llm import common, components, decontaminate, html_text, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_files, tokens, warc
 from chainloom.llm.common import shared_dir, written
+from edge_rows import EDGE, LONG, PASSAGE, SF, by_id, each, r
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-SF = "/root/testdata/sf0.001"
-r = random.Random(5)
-PASSAGE = " ".join(f"w{k}" for k in range(60))
-LONG = " ".join(f"{r.choice('abcdefgh')}{r.randint(0, 400)}" for _ in range(20_000))
-EDGE = [
-    (1, PASSAGE + " end of one."), (2, None), (3, ""), (4, " \t\n "), (5, "start of five: " + PASSAGE), (6, PASSAGE + " end of one."), (7, "one two"), (8, LONG), (9, LONG + " " + PASSAGE),
-    (10, "One TWO"), (11, "a b c d e f g h i j k l m n o p " * 8), (12, "Écrit à bob.12@mail.example.com, +1 (555) 010-4477 ou 10.0.0.300 et 10.1.2.3.\nTel 4111 1111 1111 1111"),
-    (13, "it's 5's x <|endoftext|> \U0001f600 \x1c y　z"), (14, LONG.replace("a1 ", "A1 ")),
-]
-
-
-@pytest.fixture(scope="session")
-def edge(spark):
-    """Edge rows with null and clashing columns; one partition a few rows."""
-    rows = [(d, t, None, None, 5, "x", 3.5, [1]) for d, t in EDGE]
-    return written(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, size double, words array<int>").repartition(3))
-
-
-@pytest.fixture(scope="session")
-def docs(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet")
-
-
-@pytest.fixture(scope="session")
-def plain(docs):
-    return [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
-
-
-@pytest.fixture(scope="session")
-def empty(edge):
-    return edge.limit(0)
-
-
-def by_id(df, *columns, key="doc_id"):
-    rows = df.select(key, *columns).collect()
-    assert len({x[0] for x in rows}) == len(rows)
-    return {x[0]: tuple(x)[1:] for x in rows}
-
-
-def each(docs, plain, edge):
-    return ((docs, plain), (edge, EDGE))
-
-
 def test_substring_dedup(docs, plain, edge, empty):
     for df, rows in each(docs, plain, edge):
         got = by_id(substring_dedup.deduplicated(df).withColumn("h", F.sha2("kept_text", 256)), "n_words", "n_removed", "h")
