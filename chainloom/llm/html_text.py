@@ -1,8 +1,8 @@
 """Visible text of HTML pages by layout-aware rendering.
 
 A small tree builder (implied end tags and rows, void and raw-text elements, content moved out of tables) feeds a renderer
-with visibility rules (display, visibility and its overrides, hidden, closed details), block spacing, list markers,
-preformatted text and tables whose cells are aligned in columns, with column and row spans. Each page is a row of its
+with visibility rules (display, visibility and its overrides, by own styles and by simple rules of style elements, hidden,
+closed details), the shown options of selects, text of svg and math, block spacing, list markers, preformatted text and tables whose cells are aligned in columns, with column and row spans. Each page is a row of its
 own: nothing is shuffled.
 
 Null html: null text (n_chars 0). Empty html: empty text. Broken markup never raises: a "<" that opens no tag, or a tag
@@ -28,7 +28,9 @@ INDENT, PAD, ROW_PAD, SPANS = 24, 60, 400, 1000
 #: Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp".split())
-HIDDEN = frozenset("script style head title meta link noscript template iframe noframes object svg math audio video canvas select datalist base param source track area map".split())
+HIDDEN = frozenset("script style head title meta link noscript template iframe noframes object audio video canvas datalist base param source track area map".split())
+#: Elements of svg and math that aren't rendered; their nodes are named apart.
+UNSEEN = frozenset("desc metadata defs symbol annotation annotation-xml clippath mask".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 CLOSES_P = BLOCKS - frozenset("body html dd dt li legend summary".split())
@@ -49,17 +51,20 @@ ROWED = frozenset("table thead tbody tfoot tr colgroup".split())
 PARTS = dict.fromkeys(("td", "th"), ROWED - {"colgroup"}) | {"tr": ROWED - {"tr", "colgroup"}, "col": frozenset(("table", "colgroup"))} | dict.fromkeys(("thead", "tbody", "tfoot", "caption", "colgroup"), frozenset(("table",)))
 OPENS = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|([!?]))")
 TAG_END = re.compile("[>\"']")
-DISPLAY_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)[^;!]*(!\s*important)?", re.I)
+COMMENT = re.compile(r"/\*.*?\*/", re.S)
+#: A rule of a style sheet, an at-rule's head, or a closing brace; and a selector of a tag, classes or an id alone.
+RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}|@[^{};]*([{;])|[{}]")
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE_RUN = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "source", "children", "_attributes")
+    __slots__ = ("tag", "source", "children", "_attributes", "_stated", "sheet")
 
     def __init__(self, tag: str, source: str = ""):
-        self.tag, self.source, self.children, self._attributes = tag, source, [], None
+        self.tag, self.source, self.children, self._attributes, self._stated, self.sheet = tag, source, [], None, None, None
 
     def get(self, name: str) -> str | None:
         """An attribute; of repeated ones the first counts."""
@@ -73,16 +78,72 @@ class Node:
 
     def hidden(self) -> bool:
         """Whether neither the element nor anything in it is rendered."""
-        if self.tag in HIDDEN:
+        if self.tag in HIDDEN or self.tag.startswith("unseen "):
             return True
         if self.tag == "dialog" and self.get("open") is None:
             return True
-        return bool(self.source) and (self.get("hidden") is not None or bool(DISPLAY_NONE.search(self.get("style") or "")))
+        display = self.stated("display")
+        return display == "none" or display is None and bool(self.source) and self.get("hidden") is not None
+
+    def stated(self, name: str) -> str | None:
+        """The value of display or visibility by its own style or the page's sheets: importance first, then the own style, then the last."""
+        if not self.source and self.sheet is None:
+            return None
+        if self._stated is None:
+            own = declared(self.get("style") or "") if self.source else {}
+            sheet = self.sheet or {}
+            first = {k: v for k, v in sheet.items() if v[0] and not own.get(k, (False,))[0]}  # only an important rule wins over the own style
+            self._stated = {k: v for k, (_, v) in (sheet | own | first).items()}
+        return self._stated.get(name)
 
     def shown(self, inherited: bool) -> bool:
         """Whether its own text can be seen; visibility is inherited until an element states it."""
-        stated = VISIBILITY.findall(self.get("style") or "") if self.source else []
-        return stated[-1].lower() not in ("hidden", "collapse") if stated and stated[-1].lower() not in ("inherit", "unset") else inherited
+        stated = self.stated("visibility")
+        return stated not in ("hidden", "collapse") if stated and stated not in ("inherit", "unset") else inherited
+
+
+def declared(style: str) -> dict[str, tuple[bool, str]]:
+    """What a style declares of display and visibility: (whether it is important, value); of several the last, important ones first."""
+    found: dict[str, tuple[bool, str]] = {}
+    for name, value, important in DECLARATION.findall(style):
+        if bool(important) or not found.get(name.lower(), (False,))[0]:
+            found[name.lower()] = (bool(important), value.lower())
+    return found
+
+
+class Sheet:
+    """Rules of a page's style elements on display and visibility, by selectors of a tag, classes or an id alone.
+
+    Rules in at-rules (media queries) and of other selectors aren't followed.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.rules: list[tuple[tuple, str, frozenset, frozenset, dict]] = []
+        depth = 0
+        for m in RULE.finditer(COMMENT.sub(" ", "\n".join(texts))):
+            if m[1] is None:
+                depth = depth + 1 if m[3] == "{" or m[0] == "{" else max(0, depth - 1) if m[0] == "}" else depth
+                continue
+            stated = declared(m[2]) if not depth else {}
+            for one in m[1].split(",") if stated else ():
+                s = SELECTOR.fullmatch(one.strip())
+                if s and s[0]:
+                    names = re.findall(r"[.#][\w-]+", s[2])
+                    ids, classes = ([x[1:] for x in names if x[0] == k] for k in "#.")
+                    tag = "" if s[1] in (None, "*") else s[1].lower()
+                    self.rules.append(((len(ids), len(classes), bool(tag)), tag, frozenset(ids), frozenset(classes), stated))
+        self.rules.sort(key=lambda r: r[0])
+
+    def apply(self, root: Node) -> None:
+        stack = [root]
+        while stack:
+            x = stack.pop()
+            stack += [y for y in x.children if isinstance(y, Node)]
+            classes, ids = frozenset((x.get("class") or "").split()), {x.get("id")}
+            for _, tag, wanted, own, stated in self.rules:
+                if tag in ("", x.tag) and wanted <= ids and own <= classes:
+                    x.sheet, x._stated = x.sheet or {}, None
+                    x.sheet |= {k: v for k, v in stated.items() if v[0] or not x.sheet.get(k, (False,))[0]}
 
 
 class Open:
@@ -149,7 +210,7 @@ def tag_end(source: str, at: int) -> int:
 def tree(source: str) -> Node:
     """The element tree of a page."""
     root = Node("html")
-    opened, at, size = Open(root), 0, len(source)
+    opened, at, size, styles = Open(root), 0, len(source), []
     while at < size:
         m = OPENS.search(source, at)
         if m is None:
@@ -168,6 +229,8 @@ def tree(source: str) -> Node:
             opened.add(html.unescape(source[m.start() :]))
             break
         tag, attributes, at = m[3].lower(), source[at:end], end + 1
+        if tag in UNSEEN and opened.last("svg", "math"):
+            tag = f"unseen {tag}"
         if m[2]:
             k = opened.last(tag)
             if k:
@@ -198,10 +261,14 @@ def tree(source: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             stop = end.start() if end else size
             node.children.append(source[at:stop] if tag in ("script", "style") else html.unescape(source[at:stop]))
+            if tag == "style":
+                styles.append(source[at:stop])
             close = source.find(">", stop) if end else -1
             at = size if close < 0 else close + 1
             continue
         opened.push(node)
+    if any("display" in s or "visibility" in s for s in map(str.lower, styles)) and (sheet := Sheet(styles)).rules:
+        sheet.apply(root)
     return root
 
 
@@ -260,8 +327,9 @@ class List:
         self.level, self.numbered = parent.level + 1 if parent else 0, node.tag == "ol"
         self.next = int(start) if start.lstrip("-").isdecimal() and len(start) < 10 else 1
 
-    def marker(self) -> str:
-        number, self.next = self.next, self.next + 1
+    def marker(self, value: str) -> str:
+        number = int(value) if value.lstrip("-").isdecimal() and len(value) < 10 else self.next
+        self.next = number + 1
         return "  " * min(self.level, INDENT) + (f"{number}. " if self.numbered else "- ")
 
 
@@ -364,6 +432,24 @@ def every_text(node: Node, shown: bool) -> Iterator[str]:
             stack += [(y, x.shown(seen)) for y in reversed(x.children)]
 
 
+def options(select: Node, listed: bool) -> list[str]:
+    """The labels of a select that can be seen: all of a list, else that of the last selected option, or of the first that isn't disabled."""
+    found, stack = [], list(reversed(select.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Node) and not x.hidden():
+            if x.tag == "option":
+                found.append(x)
+            elif x.tag == "optgroup" and listed and x.get("label"):
+                found.append(x)
+            stack += reversed(x.children) if x.tag != "option" else ()
+    label = lambda x: x.get("label") or " ".join("".join(every_text(x, True)).split())
+    if not listed:
+        chosen = [x for x in found if x.get("selected") is not None][-1:] or [x for x in found if x.get("disabled") is None][:1]
+        found = chosen
+    return [s for s in map(label, found) if s]
+
+
 def render_child(x: Node, page: Page, lists: List | None, shown: bool) -> Iterator:
     if x.hidden():
         return
@@ -386,7 +472,7 @@ def render_child(x: Node, page: Page, lists: List | None, shown: bool) -> Iterat
         page.block(not lists)
     elif tag == "li":
         page.end()
-        marker = lists.marker() if lists else "- "
+        marker = lists.marker(x.get("value") or "") if lists else "- "
         page.parts = [marker]
         yield render(x, page, lists, shown)
         if page.parts == [marker]:
@@ -398,13 +484,20 @@ def render_child(x: Node, page: Page, lists: List | None, shown: bool) -> Iterat
         if summary:
             yield render_child(summary, page, lists, shown)
         page.block(False)
+    elif tag == "select":
+        listed = x.get("multiple") is not None or (x.get("size") or "") not in ("", "0", "1")
+        for option in options(x, listed):
+            page.text(" " + option)
+            if listed:
+                page.end()
+        page.text(" ")
     elif tag in BLOCKS:
         page.block(tag in SPACED)
         yield render(x, page, lists, shown)
         page.block(tag in SPACED)
     else:
         yield render(x, page, lists, shown)
-        if tag in ("td", "th"):
+        if tag in ("td", "th", "text"):
             page.text(" ")
 
 

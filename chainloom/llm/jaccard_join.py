@@ -45,7 +45,7 @@ from .components import components
 HOT_ROWS, HOT_LIMIT, CHUNK = 64, 100_000, 750_000
 SKETCH = 8  # longs
 #: Sets and n-grams of a block of sets, members that an owner meets in one task, and members of a block of a bucket.
-BLOCK, BLOCK_GRAMS, SLICE, BUCKET = 1024, 400_000, 4096, 256
+BLOCK, BLOCK_GRAMS, SLICE, BUCKET = 1024, 400_000, 256, 256
 PACKED = "id long, packed binary"
 
 

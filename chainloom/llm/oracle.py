@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import MAX_REPEATED, MIN_KEPT, MIN_WORDS
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 TEXT = "coalesce(text, '')"
@@ -99,4 +100,53 @@ SELECT r.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.other) AS component_
 FROM reached r LEFT JOIN sizes s ON r.doc_id = s.doc_id LEFT JOIN degrees d ON r.doc_id = d.a GROUP BY r.doc_id
 """
 
-ORACLE_SQL = {"op1_substring_dedup": OP1, "op7_quality_rules": OP7, "op8_warc": OP8, "op9_jaccard_join": OP9}
+OP13 = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {WORDS.format(f"translate({TEXT}, '{UPPER}', '{LOWER}')")} AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts),
+shingles AS (
+  SELECT doc_id, n, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS shingle
+  FROM words),
+grams AS (SELECT DISTINCT doc_id, shingle FROM shingles WHERE pos <= greatest(1, n - 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM grams x JOIN grams y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT p.a, p.b FROM pairs p JOIN sizes x ON p.a = x.doc_id JOIN sizes y ON p.b = y.doc_id WHERE 100 * p.n >= 80 * (x.n + y.n - p.n)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION SELECT r.doc_id, e.b FROM reached r JOIN edges e ON r.other = e.a)
+SELECT r.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.other) AS component_id, min(r.other) = r.doc_id AS kept
+FROM reached r LEFT JOIN sizes s ON r.doc_id = s.doc_id GROUP BY r.doc_id
+"""
+
+
+def op11(rounds: int = ROUNDS, parts: int = PARTS, entries: int = ENTRIES, scale: int = SCALE) -> str:
+    """Rounds of Lloyd on 8 components a part, unrolled: the nearest entry of each part, then the floors of the means."""
+    far = "list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = f"SELECT p.vec_id, p.part, arg_min(b.entry, {far} * {entries} + b.entry) AS entry, min({far}) AS far FROM parts p JOIN {{}} b ON p.part = b.part GROUP BY p.vec_id, p.part"
+    steps = [f"""
+kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * {scale}) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (
+  SELECT vec_id, k AS part, v[k * len(v) // {parts} + 1 : (k + 1) * len(v) // {parts}] AS v FROM kept, (SELECT unnest(range({parts})) AS k)),
+book0 AS MATERIALIZED (
+  SELECT part, r - 1 AS entry, v FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS r FROM parts) WHERE r <= {entries})"""]
+    for k in range(rounds):
+        steps.append(f"""
+near{k} AS MATERIALIZED ({nearest.format(f"book{k}")}),
+means{k} AS (
+  SELECT part, entry, list(CAST(floor(total / n) AS BIGINT) ORDER BY place) AS v
+  FROM (SELECT part, entry, place, CAST(sum(x) AS DOUBLE) AS total, count(*) AS n
+    FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM parts JOIN near{k} USING (vec_id, part)) GROUP BY ALL) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m ON b.part = m.part AND b.entry = m.entry)""")
+    return f"""WITH {",".join(steps)},
+last AS MATERIALIZED ({nearest.format(f"book{rounds}")}),
+codes AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', l.entry), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error
+  FROM kept k JOIN last l ON k.vec_id = l.vec_id GROUP BY k.vec_id, k.label),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes, digest
+"""
+
+
+ORACLE_SQL = {"op1_substring_dedup": OP1, "op7_quality_rules": OP7, "op8_warc": OP8, "op9_jaccard_join": OP9, "op11_vector_codes": op11(), "op13_near_duplicates": OP13}

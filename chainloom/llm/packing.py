@@ -94,7 +94,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
                 yield pa.record_batch([*batch.columns, pa.array([first + b for b, _ in at], pa.int64()), pa.array([o for _, o in at], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"])
 
     groups = max(1, round(pieces.count() / group_rows))
-    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    dealt = pieces.repartition(groups, F.xxhash64("doc_id", "piece", "length", "ids_crc32")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(place, PIECES + ", sequence_id long, offset long")
 
 

@@ -85,7 +85,7 @@ def name_of(page_id, key: str) -> str:
 def records(page_id, uri: str | None, payload: bytes | None, n_bytes: int, sha1: str, refers_to, named: bool, segment: int = SEGMENT) -> Iterator[bytes]:
     """The records of one page: a response in as many segments as it takes, or a revisit, which has no payload.
 
-    named: whether the response of this payload is named by its id and digest.
+    named: whether the response of this payload is named by its id and digest, which only one row of a payload may be.
     """
     name = name_of(page_id, sha1 if named and refers_to is None else uuid.uuid4().hex)
     uri = "".join((uri or "about:blank").split())
@@ -127,8 +127,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", uri_col
         again = written(known.where("refers_to is not null"))
         firsts = repeated.where("named").select("sha1", F.col("first").alias("page_id"), "named")
         left = rows.join(again.select("sha1", "page_id").distinct().hint("merge"), ["sha1", "page_id"], "left_anti").join(firsts.hint("merge"), ["sha1", "page_id"], "left")
-        rows = left.withColumn("refers_to", F.lit(None).cast("long")).select(columns).union(again.withColumn("payload", F.lit(None).cast("binary")).select(columns))
-    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload"))).withColumn("named", F.coalesce("named", F.lit(False)))
+        rows = left.withColumn("refers_to", F.lit(None).cast("long")).withColumn("first", F.col("page_id")).select(*columns, "first").union(again.withColumn("payload", F.lit(None).cast("binary")).select(*columns, "first"))
+    rows = rows.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    rows = rows.withColumn("named", F.coalesce(F.col("named") & F.coalesce((F.col("page_id") == F.col("first")) | F.col("refers_to").isNotNull(), F.lit(False)), F.lit(False))).select(columns)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pafs.FileSystem.from_uri(path)

@@ -282,6 +282,11 @@ def test_html_out_of_place_in_tables(source, text):
         ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><tr><td>a<td rowspan=0>b<tr><td>c<td>d</table>", "a  b\nc     d"), ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a     b\nc  d  e"),
         ("<table><tr><td colspan=99999999>a<td>b</table>", "a  b"), ("<a x <a x", "<a x <a x"), ("<a x='>b", "b"), ('<a x=">" y>b', "b"), ("a < b <3", "a < b <3"), ("<b style='color:red;display:none'>n</b>y", "y"),
         ("<span data-style='display:none'>y</span>", "y"), ("<div style='nodisplay:none'>y</div>", "y"),
+        ("Let <math>x = 2<annotation>tex</annotation></math> be", "Let x = 2 be"), ("<svg><desc>no</desc><text>one</text><text>two</text></svg>after<desc>yes</desc>", "one two afteryes"),
+        ("a<select><option>x<option selected>y</select>b", "a y b"), ("<select><option disabled>x<option>y</select>", "y"), ("<select multiple><optgroup label=G><option>x<option label=L>y</select>", "G\nx\nL"),
+        ("<p style='display:none;display:block'>a</p><p hidden style='display:block'>b</p><p hidden>no</p>", "a\n\nb"), ("<p style='display:none!important;display:block'>no</p>c", "c"), ("<ol><li value=7>a<li>b</ol>", "7. a\n8. b"),
+        ("<style>/* {} */ .x, p.y {color:red; display:none} @media print {.z {display:none}} #k {visibility:hidden}</style><p class='w x'>no<p class=z>a<p class=y style='display:block'>b<p id=k>no <b style='visibility:visible'>c</b>", "a\n\nb\n\nc"),
+        ("<p class=h style='display:block'>no</p><style>.h {display: none !important}</style>ok", "ok"), ("<style>p {display:none} .s {display:block} div p {display:none}</style><p>no<p class=s>a<div><p class=s>b</div>", "a\n\nb"),
     ],
 )
 def test_html_depth_visibility_and_spans(source, text):
@@ -384,6 +389,23 @@ def test_warc_repeated_and_null_ids(spark, monkeypatch, limit):
     assert len(refers) == 3 and set(refers) <= names  # 3 and both of 4 name the response of 5; that of 2 is there twice
 
 
+@pytest.mark.parametrize("limit", [warc.BROADCAST_ROWS, 0])
+def test_warc_random(spark, monkeypatch, limit):
+    """Null, repeated and large payloads under null and repeated ids: a row for each, whatever way digests go."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", limit)
+    q = random.Random(11)
+    payloads = [c * n for c in "ab" for n in (10, 1500, warc.SEGMENT + 500, 3 * warc.SEGMENT)] + [None, ""]
+    given_ = [(q.choice([None, None, *range(12)]), q.choice(payloads)) for _ in range(90)] + [(None, payloads[2])] * 2 + [(50, payloads[2]), (51, payloads[2])]
+    path = shared_dir(spark)
+    files = warc.write_archives(spark.createDataFrame([(k, "u", h) for k, h in given_], "page_id long, url string, html string"), path)
+    last = {h: max((k for k, x in given_ if x == h and k is not None), default=None) for h in payloads if h and len(h) >= 1000}
+    want = []
+    for k, h in given_:
+        again = h in last and k is not None and k != last[h]
+        want.append((k, len(h or ""), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if again else "response", last[h] if again else None))
+    assert sorted(map(str, map(tuple, warc.read_archives(files, path).collect()))) == sorted(map(str, want))
+
+
 def test_repeated_rows_and_null_ids(spark):
     """Every operator gives each row its result."""
     long = " ".join(f"w{k}" for k in range(70))
