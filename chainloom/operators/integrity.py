@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.functions.hexes import EMPTY_BLOOM, bloom_set
+from chainloom.operators.latest import numbered
 
 CHAIN, NUMBER = "chain_id", "block_number"
 KEY = [CHAIN, NUMBER]
@@ -98,6 +99,32 @@ def gaps(blocks: DataFrame) -> DataFrame:
     return blocks.select(*KEY).join(before, KEY, "left_anti").join(F.broadcast(least), CHAIN).where(F.col(NUMBER) > F.col("__least")).select(*KEY)
 
 
+def islands(rows: DataFrame) -> DataFrame:
+    """The runs of consecutive numbers: chain_id, start_block, end_block. Repeats count once, nulls are left out.
+
+    A run starts where the number before isn't there and ends where the next one isn't, which two joins tell; the k-th start
+    belongs to the k-th end, in an order that no single task makes.
+    """
+    own = rows.select(*KEY).where(F.col(CHAIN).isNotNull() & F.col(NUMBER).isNotNull()).distinct()
+    side = lambda step: numbered(own.join(own.select(CHAIN, (F.col(NUMBER) + step).alias(NUMBER)), KEY, "left_anti"), *KEY)
+    starts, ends = side(1).withColumnRenamed(NUMBER, "start_block"), side(-1).select("position", F.col(NUMBER).alias("end_block"))
+    return starts.join(ends, "position").select(CHAIN, "start_block", "end_block")
+
+
+def doubtful(blocks: DataFrame, transactions: DataFrame, logs: DataFrame, start: int, end: int, chain_id: int) -> DataFrame:
+    """chain_id, block_number and reason of every block of start .. end that is missing, doesn't fit a neighbour, or whose transactions or logs don't match."""
+    blocks, transactions, logs = (in_range(df.where(F.col(CHAIN) == chain_id), start, end) for df in (blocks, transactions, logs))
+    headers = blocks.select(*KEY, "hash", "parent_hash")
+    apart = adjacent(headers).where("not fits").select(CHAIN, F.explode(F.array(F.col(NUMBER) - 1, F.col(NUMBER))).alias(NUMBER))
+    found = [(dense(headers, start, end, chain_id).where("hash is null"), "missing"), (apart, "parent"), (tx_mismatches(blocks, transactions), "transactions"), (log_mismatches(blocks, logs), "logs")]
+    return reduce(DataFrame.unionAll, [df.select(*KEY, F.lit(why).alias("reason")) for df, why in found]).distinct()
+
+
+def repair_ranges(blocks: DataFrame, transactions: DataFrame, logs: DataFrame, start: int, end: int, chain_id: int) -> DataFrame:
+    """The ranges to fetch again, each as short as can be: what stands between two wrong blocks and is right isn't in one."""
+    return islands(doubtful(blocks, transactions, logs, start, end, chain_id))
+
+
 def contiguous(blocks: DataFrame) -> DataFrame:
     """chain_id and whether its numbers have neither gaps nor repeats."""
     agg = blocks.groupBy(CHAIN).agg(F.min(NUMBER).alias("a"), F.max(NUMBER).alias("b"), F.count("*").alias("n"), F.sum((F.xxhash64(NUMBER) % 1_000_003)).alias("h"))

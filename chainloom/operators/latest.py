@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainloom.scratch import written
+
 DELETED, VERSION = "is_deleted", "insert_timestamp"
 
 
@@ -39,6 +41,22 @@ def retried(first: DataFrame, retry: DataFrame, key: str, value: str = "result",
     return joined.select(key, F.when(failed, F.col("__value")).otherwise(F.col(value)).alias(value), F.when(failed, F.col("__error")).otherwise(F.col(error)).alias(error))
 
 
+def numbered(df: DataFrame, *order: str, name: str = "position") -> DataFrame:
+    """df with its rows' places (from 0) in an order, without a window over the whole.
+
+    Rows are dealt in ranges and written; counts of the ranges, a row each, give where each begins, and places within a
+    range are counted in its own task. Rows that tie in the order have some order.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    rows = written(ranged)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # a row a range
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return rows.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__own")).cast("bigint")).drop("__part", "__own", "__before")
+
+
 def chunked(df: DataFrame, by: str, size: int) -> DataFrame:
-    """df with `chunk`, of `size` consecutive values of a dense number each; size 0 or less is one chunk."""
-    return df.withColumn("chunk", F.floor(F.col(by) / size).cast("bigint") if size > 0 else F.lit(0).cast("bigint"))
+    """df with `chunk`: `size` rows each in the order of `by`, but for the last; size 0 or less is one chunk."""
+    if size <= 0:
+        return df.withColumn("chunk", F.lit(0).cast("bigint"))
+    return numbered(df, by, name="__place").withColumn("chunk", F.floor(F.col("__place") / size).cast("bigint")).drop("__place")

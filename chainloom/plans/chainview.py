@@ -69,6 +69,38 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as many short chains of 256 numbers, with competing headers: a fifth of the numbers have a second one, whose
+    parent is one of either kind, and every 31st first one has a second one as its parent, which may not be there."""
+    key, m = F.col("o_orderkey"), F.col("o_custkey") % 10
+    of = lambda kind, k: F.md5(F.concat(F.lit(kind), k.cast("string")))
+    place = [F.floor(key / 256).cast("bigint").alias("chain_id"), (key % 256).cast("bigint").alias("block_number")]
+    orders = table(spark, sf_dir, "orders")
+    first = orders.select(*place, of("", key).alias("hash"), F.when(key % 31 == 0, of("f", key - 1)).otherwise(of("", key - 1)).alias("parent_hash"))
+    second = orders.where(m % 5 == 0).select(*place, of("f", key).alias("hash"), F.when(m == 0, of("f", key - 1)).otherwise(of("", key - 1)).alias("parent_hash"))
+    return first.unionAll(second)
+
+
+HEADERS = """WITH RECURSIVE headers AS (
+  SELECT CAST(o_orderkey // 256 AS BIGINT) AS chain_id, CAST(o_orderkey % 256 AS BIGINT) AS block_number, md5('' || o_orderkey) AS hash, CASE WHEN o_orderkey % 31 = 0 THEN md5('f' || (o_orderkey - 1)) ELSE md5('' || (o_orderkey - 1)) END AS parent_hash FROM orders
+  UNION ALL SELECT CAST(o_orderkey // 256 AS BIGINT), CAST(o_orderkey % 256 AS BIGINT), md5('f' || o_orderkey), CASE WHEN o_custkey % 10 = 0 THEN md5('f' || (o_orderkey - 1)) ELSE md5('' || (o_orderkey - 1)) END FROM orders WHERE o_custkey % 5 = 0
+), heads AS (
+  SELECT chain_id, hash FROM (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY block_number DESC, hash) AS place FROM headers) WHERE place = 1
+), chain AS (
+  SELECT h.* FROM headers h JOIN heads USING (chain_id, hash)
+  UNION ALL SELECT p.* FROM chain c JOIN headers p ON p.chain_id = c.chain_id AND p.hash = c.parent_hash AND p.block_number = c.block_number - 1
+), off AS (
+  SELECT * FROM headers WHERE (chain_id, hash) NOT IN (SELECT (chain_id, hash) FROM chain)
+), climb AS (
+  SELECT chain_id, block_number, hash, parent_hash AS up, block_number - 1 AS up_number FROM off
+  UNION ALL SELECT k.chain_id, k.block_number, k.hash, o.parent_hash, o.block_number - 1 FROM climb k JOIN off o ON o.chain_id = k.chain_id AND o.hash = k.up AND o.block_number = k.up_number
+), orphans AS (
+  SELECT o.chain_id, o.block_number, o.hash, f.ancestor, f.ancestor_hash FROM off o
+  LEFT JOIN (SELECT k.chain_id, k.hash, c.block_number AS ancestor, c.hash AS ancestor_hash FROM climb k JOIN chain c ON c.chain_id = k.chain_id AND c.hash = k.up AND c.block_number = k.up_number) f
+  ON o.chain_id = f.chain_id AND o.hash = f.hash
+)
+"""
+
 VIEWS = """WITH blocks AS (
   SELECT CAST(1 AS BIGINT) AS chain_id, o_orderkey AS block_number, md5(CAST(o_orderkey AS VARCHAR)) AS hash,
     CASE WHEN o_orderkey % 97 = 0 THEN md5(CAST(-o_orderkey - 7 AS VARCHAR)) ELSE md5(CAST(o_orderkey - 1 AS VARCHAR)) END AS parent_hash,

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from chainloom.functions import abi, hexes
 from chainloom.functions.keccak import call_selector, event_topic
 from chainloom.operators import blocks as nesting
-from chainloom.operators import integrity, latest, normalize, tokens
+from chainloom.operators import forks, integrity, latest, normalize, tokens
 from chainloom.plans import chainview as view
 from chainloom.plans import routes
 from chainloom.plans.query_spec import QuerySpec, answer, search
 from chainloom.scratch import shared_dir
-from chainloom.sources import staging
+from chainloom.sources import staged_sink, staging
 from chainloom.streaming.publish import materialised, messages, opened, replacement
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +32,7 @@ def query(sql: str | None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = view.VIEWS + sql
+            ORACLE_SQL[f.__name__] = sql if sql.startswith("WITH ") else view.VIEWS + sql
         return f
 
     return add
@@ -155,6 +155,43 @@ def reorg_plan(blocks, transactions, logs):
     return integrity.reorg_plan(blocks, transactions, logs, 150, 250, 1)
 
 
+@query(
+    """, doubtful AS (
+  SELECT n AS block_number FROM (SELECT unnest(range(100, 901)) AS n) WHERE n NOT IN (SELECT block_number FROM blocks)
+  UNION SELECT unnest([block_number - 1, block_number]) FROM pairs WHERE NOT fits AND block_number BETWEEN 101 AND 900
+  UNION SELECT block_number FROM tx_mismatches WHERE block_number BETWEEN 100 AND 900
+  UNION SELECT block_number FROM log_mismatches WHERE block_number BETWEEN 100 AND 900),
+islands AS (SELECT block_number, block_number - row_number() OVER (ORDER BY block_number) AS island FROM doubtful)
+SELECT CAST(1 AS BIGINT) AS chain_id, min(block_number) AS start_block, max(block_number) AS end_block FROM islands GROUP BY island"""
+)
+@views
+def repair_ranges(blocks, transactions, logs):
+    return integrity.repair_ranges(blocks, transactions, logs, LOW, HIGH, 1)
+
+
+@query(", islands AS (SELECT block_number, block_number - row_number() OVER (ORDER BY block_number) AS island FROM blocks)\nSELECT CAST(1 AS BIGINT) AS chain_id, min(block_number) AS start_block, max(block_number) AS end_block FROM islands GROUP BY island")
+@views
+def stored_ranges(blocks, transactions, logs):
+    return integrity.islands(blocks)
+
+
+@query(view.HEADERS + "SELECT chain_id, block_number, hash FROM chain")
+def fork_choice(spark, sf_dir):
+    return forks.canonical(view.headers(spark, sf_dir))
+
+
+@query(view.HEADERS + "SELECT * FROM orphans")
+def fork_orphans(spark, sf_dir):
+    headers = view.headers(spark, sf_dir)
+    return forks.orphans(headers, forks.canonical(headers))
+
+
+@query(view.HEADERS + "SELECT chain_id, ancestor, count(*) AS n_orphans, min(block_number) AS start_block, max(block_number) AS end_block FROM orphans GROUP BY chain_id, ancestor")
+def fork_branches(spark, sf_dir):
+    headers = view.headers(spark, sf_dir)
+    return forks.branches(forks.orphans(headers, forks.canonical(headers)))
+
+
 @query(
     """SELECT b.block_number, b.transaction_count = coalesce(t.tx_count, 0) AND length(logs_bloom) >= 2 AND (regexp_matches(logs_bloom, '^0x0*$') OR coalesce(l.log_count, 0) > 0) AS valid
 FROM blocks b LEFT JOIN tx_counts t USING (chain_id, block_number) LEFT JOIN log_counts l USING (chain_id, block_number)"""
@@ -194,11 +231,30 @@ def staging_roundtrip(blocks, transactions, logs):
     nested = nesting.assembled(blocks, transactions=transactions, logs=logs)
     child = lambda k: nested.schema[k].dataType.elementType
     path = shared_dir(blocks.sparkSession)
-    staging.write(staging.encoded(nested), path)
-    back = staging.decoded(staging.scan(blocks.sparkSession, path), nested.schema["block"].dataType, transactions=child("transactions"), logs=child("logs"))
+    staged_sink.write(staging.encoded(nested), path, gaps="allow")
+    back = staging.decoded(staged_sink.committed(blocks.sparkSession, path), nested.schema["block"].dataType, transactions=child("transactions"), logs=child("logs"))
     return nesting.exploded(back, "transactions").select("block_number", "transaction_index", "hash", "from_address", "to_address", "value", "gas", "data")
 
 
+@query("SELECT chain_id, block_number, hash AS block_hash FROM blocks WHERE block_number >= 450")
+@views
+def committed_from(blocks, transactions, logs):
+    """All blocks as committed files of small size, and those from a cursor on read from the files that can hold them."""
+    path = shared_dir(blocks.sparkSession)
+    files = staged_sink.write(staging.encoded(nesting.assembled(blocks)), path, gaps="allow", max_file_bytes=1 << 20)
+    return staged_sink.committed(blocks.sparkSession, path, 450, files).select("chain_id", "block_number", "block_hash")
+
+
+@query("SELECT chain_id, min(block_number) AS low, max(block_number) AS high, count(*) AS n_blocks FROM blocks GROUP BY chain_id")
+@views
+def staged_footers(blocks, transactions, logs):
+    """What the footers of staged files say they hold."""
+    path = shared_dir(blocks.sparkSession)
+    staged_sink.write(staging.encoded(nesting.assembled(blocks)), path, gaps="allow")
+    found = staged_sink.footers(staged_sink.listed(blocks.sparkSession, f"{path}/data", "*.parquet"))
+    return found.groupBy("chain_id").agg(F.min("start_block").alias("low"), F.max("end_block").alias("high"), F.sum("n_blocks").alias("n_blocks"))
+
+
 @query("SELECT block_number, log_index, address, topic_0, topic_1, data, 0 AS is_deleted FROM logs WHERE block_number IN (SELECT block_number FROM blocks)")
 @views
 def message_roundtrip(blocks, transactions, logs):
@@ -239,7 +295,7 @@ def retry_merge(blocks, transactions, logs):
     return latest.retried(first, again, "block_number")
 
 
-@query("SELECT block_number // 100 AS chunk, count(*) AS n, min(block_number) AS low, max(block_number) AS high FROM blocks GROUP BY 1")
+@query("SELECT chunk, count(*) AS n, min(block_number) AS low, max(block_number) AS high FROM (SELECT block_number, (row_number() OVER (ORDER BY block_number) - 1) // 100 AS chunk FROM blocks) GROUP BY 1")
 @views
 def chunks(blocks, transactions, logs):
     return latest.chunked(blocks, "block_number", 100).groupBy("chunk").agg(F.count("*").alias("n"), F.min("block_number").alias("low"), F.max("block_number").alias("high"))

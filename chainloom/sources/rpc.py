@@ -3,7 +3,10 @@
     spark.dataSource.register(ChainRpc)
     spark.read.format("chain_rpc").option("url", ...).option("start", 1).option("end", 999).load()
 
-A partition is a stretch of `blocks_per_call` numbers; the calls of a kind go out as one batch. Rows are keyed by number,
+Predicates on block_number and chain_id decide what is asked for: a filter on ten numbers makes calls for ten (the session
+needs spark.sql.python.filterPushdown.enabled, which `pushing` sets). A partition is a stretch of `blocks_per_task` numbers
+(by default those of one call); the calls of a kind go out as one batch of `blocks_per_call`. With memory_mb the number of
+blocks a call follows the bytes that the calls before it returned. Rows are keyed by number,
 so their order doesn't matter. An error of a call is the error of its row, an error of a whole batch that of all its
 rows; failed numbers are asked again up to `retries` times, then the row says what failed (or the task fails with
 fail_on_error). bodies=false asks for headers with hashes of transactions only, and for nothing else; by_hash() then
@@ -19,12 +22,14 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 from chainloom.schemas import RAW
+from chainloom.sources.staging import batch_size
 
+ARROW = pa.schema([(name, pa.int64() if kind == "bigint" else pa.string()) for name, kind in (c.split(" ") for c in RAW.split(", "))])
 METHODS = {"block": "eth_getBlockByNumber", "receipts": "eth_getBlockReceipts", "logs": "eth_getLogs", "traces": "trace_block"}
 
 
@@ -52,11 +57,12 @@ class Settings:
     traces: bool
     bodies: bool = True
     kinds: tuple[str, ...] = ()
+    memory: int = 0
 
     @classmethod
     def of(cls, options) -> Settings:
         flag = lambda k, d: str(options.get(k, d)).lower() == "true"
-        return cls(options["url"], int(options.get("chain_id", 0)), int(options.get("blocks_per_call", 10)), int(options.get("retries", 3)), float(options.get("timeout", 30)), flag("fail_on_error", "false"), flag("receipts", "true"), flag("traces", "true"), flag("bodies", "true"))
+        return cls(options["url"], int(options.get("chain_id", 0)), int(options.get("blocks_per_call", 10)), int(options.get("retries", 3)), float(options.get("timeout", 30)), flag("fail_on_error", "false"), flag("receipts", "true"), flag("traces", "true"), flag("bodies", "true"), memory=int(float(options.get("memory_mb", 0)) * (1 << 20)))
 
     def one(self, method: str, params: list) -> object:
         reply = post(self.url, {"jsonrpc": "2.0", "id": 1, "method": method, "params": params}, self.timeout)
@@ -118,6 +124,16 @@ class Settings:
             text = {k: json.dumps(v, separators=(",", ":")) for k, v in found[n].items() if k != "error"}
             yield self.chain_id, n, text.get("block"), text.get("receipts"), text.get("logs"), text.get("traces"), found[n].get("error")
 
+    def batches(self, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        """The rows of low .. high - 1, an Arrow batch a call; with a memory target the next call's size follows what came."""
+        size, schema = max(1, self.blocks_per_call), ARROW
+        while low < high:
+            rows = list(self.rows(list(range(low, min(low + size, high)))))
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            low += len(rows)
+            if self.memory:
+                size = batch_size(self.memory, sum(len(t or "") for row in rows for t in row[2:]) / len(rows), size)
+
 
 def looked_up(keys: DataFrame, column: str, options: dict[str, str], method: str, params: Callable[[str], list], size: int = 100) -> DataFrame:
     """keys with `result` (JSON text, null if the endpoint has none) and `error`: one call a distinct key, `size` a batch.
@@ -191,17 +207,52 @@ def stretches(start: int, end: int, size: int) -> list[Stretch]:
     return [Stretch(a, min(a + size, end)) for a in range(start, end, max(1, size))]
 
 
+def pushing(spark: SparkSession) -> None:
+    """Register the source and let its reader take predicates."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ChainRpc)
+
+
 class Reader(DataSourceReader):
     def __init__(self, options):
         self.settings = Settings.of(options).probed()
-        self.start = int(options.get("start", 0))
-        self.end = int(options["end"]) if "end" in options else self.settings.head()
+        self.low, self.high = int(options.get("start", 0)), (int(options["end"]) if "end" in options else self.settings.head()) + 1
+        self.per_task = int(options.get("blocks_per_task", self.settings.blocks_per_call))
+        self.only: set[int] | None = None
+
+    def pushFilters(self, filters: list[Filter]):
+        """Take predicates on the number and the chain; both are whole, so those needn't be evaluated again."""
+        for f in filters:
+            column, value = f.attribute, getattr(f, "value", None)
+            if isinstance(f, IsNotNull) and column in (("block_number",), ("chain_id",)):
+                continue
+            if column == ("chain_id",) and isinstance(f, (EqualTo, In)):
+                if self.settings.chain_id not in (value if isinstance(f, In) else [value]):
+                    self.only = set()
+            elif column == ("block_number",) and isinstance(f, (EqualTo, In)):
+                wanted = {v for v in (value if isinstance(f, In) else [value]) if v is not None}
+                self.only = wanted if self.only is None else self.only & wanted
+            elif column == ("block_number",) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, value + isinstance(f, GreaterThan))
+            elif column == ("block_number",) and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.high = min(self.high, value + isinstance(f, LessThanOrEqual))
+            else:
+                yield f
 
     def partitions(self):
-        return stretches(self.start, self.end + 1, self.settings.blocks_per_call)
+        if self.only is None:
+            found = stretches(self.low, self.high, self.per_task)
+        else:
+            found = []
+            for n in sorted(n for n in self.only if self.low <= n < self.high):
+                if found and found[-1].high == n and n - found[-1].low < self.per_task:
+                    found[-1].high = n + 1
+                else:
+                    found.append(Stretch(n, n + 1))
+        return found or [Stretch(0, 0)]
 
     def read(self, partition):
-        yield from self.settings.rows(list(range(partition.low, partition.high)))
+        yield from self.settings.batches(partition.low, partition.high)
 
 
 class StreamReader(DataSourceStreamReader):

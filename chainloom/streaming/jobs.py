@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chainloom.operators.blocks import assembled
 from chainloom.operators.integrity import contiguous, reorg_plan
-from chainloom.operators.latest import latest
+from chainloom.operators.latest import chunked, latest
 from chainloom.schemas import STAGED
 from chainloom.sources.staging import decoded
 
@@ -106,12 +106,9 @@ def reorg_window(last_valid: int, greatest: int, lag: int = 500, size: int = WIN
 
 def requested(spark: SparkSession, numbers: list[int], cursor: int, skip_check: bool = False, size: int = 10) -> DataFrame:
     """Distinct asked-for numbers above the cursor (all with skip_check), with the number of their batch."""
-    from pyspark.sql import Window
-
     rows = spark.createDataFrame([(n,) for n in numbers], "block_number bigint").distinct()  # a request's own list
     rows = rows if skip_check else rows.where(F.col("block_number") > cursor)
-    order = F.row_number().over(Window.orderBy("block_number")) - 1
-    return rows.withColumn("batch", F.floor(order / size).cast("bigint"))
+    return chunked(rows, "block_number", size).withColumnRenamed("chunk", "batch")
 
 
 def last_valid(cursors: Cursors, blocks: DataFrame, chain_id: int, now: str | None = None) -> int:
