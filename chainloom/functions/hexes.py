@@ -43,6 +43,17 @@ def u256_of(n: Column) -> Column:
     return F.lpad(F.lower(F.hex(n.cast("bigint"))), 64, "0")
 
 
+def u256_of_decimal(n: Column) -> Column:
+    """64 hex digits of a decimal of at least 0 and up to 38 digits."""
+    wide, step = n.cast("decimal(38,0)"), F.lit(1 << 32).cast("decimal(20,0)")
+    parts = []
+    for _ in range(4):
+        rest = (wide % step).cast("bigint")
+        parts.append(F.lpad(F.lower(F.hex(rest)), 8, "0"))
+        wide = ((wide - rest.cast("decimal(20,0)")) / step).cast("decimal(38,0)")
+    return F.concat(F.lit("0" * 32), *reversed(parts))
+
+
 def limbs(x: Column) -> list[Column]:
     """Eight 32-bit limbs as bigint, the most significant first."""
     return [F.conv(F.substring(x, 1 + 8 * k, 8), 16, 10).cast("bigint") for k in range(LIMBS)]
@@ -64,6 +75,37 @@ def carried(sums: list[Column]) -> Column:
     return F.when(done["carry"] == 0, done["out"])
 
 
+def decimal_text(x: Column) -> Column:
+    """The decimal digits of 64 hex digits: nine digits of base 10^9, each limb multiplied in."""
+    base, zeros = 10**9, F.array(*[F.lit(0).cast("bigint")] * 9)
+    empty = F.array().cast("array<bigint>")
+
+    def times(digits_: Column, limb: Column) -> Column:
+        start = F.struct(limb.alias("carry"), empty.alias("out"))
+        at = lambda s, d: d * F.lit(1 << 32) + s["carry"]
+        step = lambda s, d: F.struct(((at(s, d) - at(s, d) % base) / F.lit(base).cast("decimal(20,0)")).cast("bigint").alias("carry"), F.concat(s["out"], F.array(at(s, d) % base)).alias("out"))
+        return F.aggregate(digits_, start, step, lambda s: s["out"])
+
+    least_first = F.aggregate(F.array(*limbs(x)), zeros, times)
+    text = F.aggregate(least_first, F.lit(""), lambda s, d: F.concat(F.lpad(d.cast("string"), 9, "0"), s))
+    return F.when(x.isNotNull(), F.regexp_replace(text, "^0+(?=.)", ""))
+
+
+def of_literal(number: str) -> str | None:
+    """64 hex digits of a decimal or 0x literal; None if it isn't one of up to 256 bits."""
+    text = number.strip()
+    try:
+        value = int(text, 16) if text[:2].lower() == "0x" else int(text)
+    except ValueError:
+        return None
+    return f"{value:064x}" if 0 <= value < 1 << 256 else None
+
+
+def as_double(sums: list[Column]) -> Column:
+    """The sum of limb sums as a double."""
+    return sum((s.cast("double") * float(1 << 32 * (LIMBS - 1 - k)) for k, s in enumerate(sums)), F.lit(0.0))
+
+
 def selector(data: Column) -> Column:
     """The first ten characters of a call's input; shorter input has none."""
     return F.when(F.length(data) >= 10, F.substring(data, 1, 10)).otherwise("")

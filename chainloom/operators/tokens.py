@@ -56,6 +56,8 @@ def movements(transfers: DataFrame) -> DataFrame:
 def balances(transfers: DataFrame, hide_zero: bool = False) -> DataFrame:
     """owner's balance of each token. 256-bit hex amounts are summed by limbs; the zero address owns nothing.
 
+    hide_zero leaves out balances of zero; null ones, which say that more went out than came in, stay.
+
     Sums are partial before the exchange, so a wallet with a third of all transfers is a few rows of it.
     """
     rows = movements(transfers).where(F.col("owner") != ZERO_ADDRESS)
@@ -66,7 +68,7 @@ def balances(transfers: DataFrame, hide_zero: bool = False) -> DataFrame:
     else:
         found, zero = rows.groupBy(*KEY, "owner").agg(F.sum(F.col("amount") * F.col("way")).alias("balance")), F.lit(0)
     found = found.select("token_type", "chain_id", "owner", "address", "token_id", "balance")
-    return found.where(F.col("balance") != zero) if hide_zero else found
+    return found.where(F.col("balance").isNull() | (F.col("balance") != zero)) if hide_zero else found
 
 
 def holders(balances: DataFrame, address: str) -> DataFrame:

@@ -11,11 +11,12 @@ import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.functions.hexes import as_double, carried, decimal_text, of_literal, sum_u256
 from chainloom.operators.latest import latest
-from chainloom.schemas import ENTITIES, KEYS, ORDER
+from chainloom.schemas import ENTITIES, KEYS, ORDER, WIDE
 
 DEFAULT_LIMIT = 5
 FUNCTIONS = {"count", "sum", "avg", "min", "max", "approx_count_distinct", "coalesce", "abs", "round", "floor", "cast"}
@@ -91,6 +92,41 @@ def allowed(entity: str, aggregate: str) -> str:
     return f"{body} AS `{name}`" if name else body
 
 
+#: An aggregate of a single column, and a comparison of a column with a number, on either side.
+WHOLE = re.compile(r"\s*(sum|avg|min|max)\s*\(\s*([a-z_0-9]+)\s*\)\s*(?:as\s+([a-z_][a-z0-9_]*)\s*)?", re.I)
+COMPARED = re.compile(r"\b([a-z_][a-z0-9_]*)(\s*(?:<=|>=|<>|!=|=|<|>)\s*)(\d+)\b|\b(\d+)(\s*(?:<=|>=|<>|!=|=|<|>)\s*)([a-z_][a-z0-9_]*)\b", re.I)
+
+
+def measured(df: DataFrame, entity: str, aggregate: str) -> tuple[Column, str | None]:
+    """The column of an aggregate, and its name if it is a 256-bit number that is still to be written in decimal digits.
+
+    On columns of 64 hex digits sums, minima and maxima are exact, a mean is a double, and a column is compared with a
+    number by its digits; a sum beyond 256 bits is null. Other arithmetic on such columns is refused.
+    """
+    text = allowed(entity, aggregate)
+    wide = {c for c in WIDE.get(entity, ()) if c in df.columns and df.schema[c].dataType.simpleString() == "string"}
+    m = WHOLE.fullmatch(aggregate)
+    if m and m[2] in wide:
+        name, column = m[3] or aggregate.strip(), F.col(m[2])
+        kind = m[1].lower()
+        if kind == "avg":
+            return (as_double(sum_u256(column)) / F.count(column)).alias(name), None
+        return (carried(sum_u256(column)) if kind == "sum" else F.min(column) if kind == "min" else F.max(column)).alias(name), name
+
+    def digits(found: re.Match) -> str:
+        column, number = (found[1], found[3]) if found[1] else (found[6], found[4])
+        if column not in wide:
+            return found[0]
+        return f"{column}{found[2]}'{of_literal(number)}'" if found[1] else f"'{of_literal(number)}'{found[5]}{column}"
+
+    text = COMPARED.sub(digits, text)
+    outside = re.sub(r"(?i)\b[a-z_0-9]+\s*(?:<=|>=|<>|!=|=|<|>)\s*'[0-9a-f]{64}'|'[0-9a-f]{64}'\s*(?:<=|>=|<>|!=|=|<|>)\s*[a-z_0-9]+|\bcount\s*\(\s*(?:distinct\s+)?[a-z_0-9]+\s*\)", "", text)
+    for c in wide:
+        if re.search(rf"\b{c}\b", outside.partition(" AS `")[0]):
+            raise FieldError(f"arithmetic on the 256-bit field '{c}' isn't possible in: {aggregate}")
+    return F.expr(text), None
+
+
 @dataclass
 class Answer:
     """data or aggregations, and what all pages hold together (a DataFrame of one row: total_items, total_pages)."""
@@ -111,24 +147,31 @@ def answer(df: DataFrame, entity: str, spec: QuerySpec) -> Answer:
         if name not in ENTITIES[entity]:
             raise FieldError(f"invalid filter field '{name}' for entity '{entity}'")
         kind = df.schema[name].dataType
-        df = df.where(F.col(name) == F.lit(value).cast(kind))
+        wide = name in WIDE.get(entity, ()) and kind.simpleString() == "string"
+        digits = value if wide and re.fullmatch("[0-9a-f]{64}", value) else of_literal(value) if wide else None
+        df = df.where(F.lit(False) if wide and digits is None else F.col(name) == F.lit(digits if wide else value).cast(kind))
     grouped = bool(spec.group_by or spec.aggregates)
+    decimal: list[str] = []
     if grouped:
-        aggregates = [F.expr(allowed(entity, a)) for a in spec.aggregates]
-        df = df.groupBy(*spec.group_by).agg(*aggregates) if aggregates else df.select(*spec.group_by).distinct()
+        made = [measured(df, entity, a) for a in spec.aggregates]
+        decimal = [name for _, name in made if name]
+        df = df.groupBy(*spec.group_by).agg(*[c for c, _ in made]) if made else df.select(*spec.group_by).distinct()
     ties = spec.group_by if grouped else [c for c in ORDER[entity] if c in df.columns]
     found = paged(df, spec, ties)
-    return Answer(None, found.data, found.meta) if grouped else found
+    if not grouped:
+        return found
+    return Answer(None, found.data.withColumns({c: decimal_text(F.col(f"`{c}`")) for c in decimal}), found.meta)  # sorted by digits, written in decimal
 
 
 def paged(df: DataFrame, spec: QuerySpec, ties: Sequence[str]) -> Answer:
     """A page of df in the order asked for, which `ties` make total; top-k by partial orders, never a whole sort in one task."""
     if spec.sort_by and spec.sort_by not in df.columns:
         raise FieldError(f"invalid sort_by field '{spec.sort_by}'")
-    total = df.agg(F.count("*").alias("total_items")).withColumn("total_pages", F.ceil(F.col("total_items") / spec.limit))
+    limit = spec.limit if spec.limit > 0 else DEFAULT_LIMIT
+    total = df.agg(F.count("*").alias("total_items")).withColumn("total_pages", F.ceil(F.col("total_items") / limit))
     direction = F.desc if spec.sort_order.lower() == "desc" else F.asc
     order = [*([direction(spec.sort_by)] if spec.sort_by else []), *[F.asc(c) for c in ties if c != spec.sort_by]]
-    page = (df.orderBy(*order) if order else df).offset(spec.page * spec.limit).limit(spec.limit)
+    page = (df.orderBy(*order) if order else df).offset(spec.page * limit).limit(limit)
     return Answer(page, None, total)
 
 
@@ -136,7 +179,7 @@ def envelope(found: Answer, spec: QuerySpec, chain_id: int) -> dict:
     """The response of a page: meta, and data or aggregations as lists of rows. Only the page's rows and one count are fetched."""
     total = found.meta.first()
     rows = found.data if found.data is not None else found.aggregations
-    meta = {"chain_id": chain_id, "page": spec.page, "limit": spec.limit, "total_items": total.total_items, "total_pages": total.total_pages}
+    meta = {"chain_id": chain_id, "page": spec.page, "limit": spec.limit if spec.limit > 0 else DEFAULT_LIMIT, "total_items": total.total_items, "total_pages": total.total_pages}
     return {"meta": meta, "data" if found.data is not None else "aggregations": [r.asDict(True) for r in rows.collect()]}
 
 

@@ -349,6 +349,30 @@ def group_agg(blocks, transactions, logs):
     return answer(transactions, "transactions", spec).aggregations
 
 
+@query(
+    """, w AS (SELECT *, CAST(value AS HUGEINT) * 1000000000000000000 AS wide FROM transactions)
+SELECT from_address, CAST(sum(CAST(wide AS DECIMAL(38, 0))) AS VARCHAR) AS total_value, CAST(max(wide) AS VARCHAR) AS most, CAST(min(wide) AS VARCHAR) AS least,
+  CAST(sum(CASE WHEN wide > 5000000000000000000000000 THEN 1 ELSE 0 END) AS BIGINT) AS large, count(DISTINCT wide) AS n_values
+FROM w GROUP BY 1 ORDER BY sum(CAST(wide AS DECIMAL(38, 0))) DESC, from_address LIMIT 20"""
+)
+@views
+def group_agg_256(blocks, transactions, logs):
+    """Aggregates of 256-bit values as the library's tables hold them."""
+    low, high = F.lit(10**9).cast("decimal(20,0)"), F.lit(10**9).cast("decimal(20,0)")
+    wide = transactions.withColumn("value", hexes.u256_of_decimal(F.col("value").cast("decimal(19,0)") * low * high))
+    aggregates = ["SUM(value) AS total_value", "MAX(value) AS most", "MIN(value) AS least", "SUM(CASE WHEN value > 5000000000000000000000000 THEN 1 ELSE 0 END) AS large", "COUNT(DISTINCT value) AS n_values"]
+    return answer(wide, "transactions", QuerySpec(group_by=["from_address"], sort_by="total_value", sort_order="desc", limit=20, aggregates=aggregates)).aggregations
+
+
+@query("SELECT block_number, transaction_index, hash FROM transactions WHERE value > 0 AND value = (SELECT max(value) FROM transactions) ORDER BY 1, 2 LIMIT 5")
+@views
+def filter_256(blocks, transactions, logs):
+    """A decimal filter value on a column of 64 hex digits."""
+    most = transactions.agg(F.max("value")).first()[0]
+    wide = transactions.withColumn("value", hexes.u256_of(F.col("value")))
+    return answer(wide, "transactions", QuerySpec(filters={"value": str(most)}, limit=0)).data.select("block_number", "transaction_index", "hash")
+
+
 @query("SELECT block_number, transaction_index, hash, value FROM transactions ORDER BY value DESC, block_number, transaction_index LIMIT 25 OFFSET 50")
 @views
 def sort_page(blocks, transactions, logs):

@@ -46,6 +46,15 @@ ORDER: dict[str, list[str]] = {
     "balances": ["owner", "address", "token_id"],
 }
 
+#: 256-bit quantities of each entity, which its own tables hold as 64 hex digits.
+WIDE: dict[str, frozenset[str]] = {
+    "blocks": frozenset("difficulty total_difficulty gas_limit gas_used".split()),
+    "transactions": frozenset("value gas_price max_fee_per_gas max_priority_fee_per_gas max_fee_per_blob_gas effective_gas_price blob_gas_price".split()),
+    "traces": frozenset(("value",)),
+    "transfers": frozenset(("token_id", "amount")),
+    "balances": frozenset(("token_id", "balance")),
+}
+
 _DECIMAL = "size base_fee_per_gas nonce gas gas_used cumulative_gas_used blob_gas_used status"
 _BIGINT = "chain_id block_number transaction_count transaction_index log_index subtraces transaction_type"
 

@@ -3,8 +3,8 @@
     spark.dataSource.register(ChainRpc)
     spark.read.format("chain_rpc").option("url", ...).option("start", 1).option("end", 999).load()
 
-Predicates on block_number and chain_id decide what is asked for: a filter on ten numbers makes calls for ten (the session
-needs spark.sql.python.filterPushdown.enabled, which `pushing` sets). A partition is a stretch of `blocks_per_task` numbers
+Registered by `pushing`, predicates on block_number and chain_id decide what is asked for: a filter on ten numbers makes
+calls for ten. A partition is a stretch of `blocks_per_task` numbers
 (by default those of one call); the calls of a kind go out as one batch of `blocks_per_call`. With memory_mb the number of
 blocks a call follows the bytes that the calls before it returned. Rows are keyed by number,
 so their order doesn't matter. An error of a call is the error of its row, an error of a whole batch that of all its
@@ -207,12 +207,6 @@ def stretches(start: int, end: int, size: int) -> list[Stretch]:
     return [Stretch(a, min(a + size, end)) for a in range(start, end, max(1, size))]
 
 
-def pushing(spark: SparkSession) -> None:
-    """Register the source and let its reader take predicates."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(ChainRpc)
-
-
 class Reader(DataSourceReader):
     def __init__(self, options):
         self.settings = Settings.of(options).probed()
@@ -220,6 +214,25 @@ class Reader(DataSourceReader):
         self.per_task = int(options.get("blocks_per_task", self.settings.blocks_per_call))
         self.only: set[int] | None = None
 
+    def partitions(self):
+        if self.only is None:
+            found = stretches(self.low, self.high, self.per_task)
+        else:
+            found = []
+            for n in sorted(n for n in self.only if self.low <= n < self.high):
+                if found and found[-1].high == n and n - found[-1].low < self.per_task:
+                    found[-1].high = n + 1
+                else:
+                    found.append(Stretch(n, n + 1))
+        return found or [Stretch(0, 0)]
+
+    def read(self, partition):
+        yield from self.settings.batches(partition.low, partition.high)
+
+
+class PushedReader(Reader):
+    """A reader that takes predicates. Spark refuses one where pushing them is off, so it is a class of its own."""
+
     def pushFilters(self, filters: list[Filter]):
         """Take predicates on the number and the chain; both are whole, so those needn't be evaluated again."""
         for f in filters:
@@ -239,21 +252,6 @@ class Reader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self):
-        if self.only is None:
-            found = stretches(self.low, self.high, self.per_task)
-        else:
-            found = []
-            for n in sorted(n for n in self.only if self.low <= n < self.high):
-                if found and found[-1].high == n and n - found[-1].low < self.per_task:
-                    found[-1].high = n + 1
-                else:
-                    found.append(Stretch(n, n + 1))
-        return found or [Stretch(0, 0)]
-
-    def read(self, partition):
-        yield from self.settings.batches(partition.low, partition.high)
-
 
 class StreamReader(DataSourceStreamReader):
     def __init__(self, options):
@@ -293,3 +291,14 @@ class ChainRpc(DataSource):
 
     def streamReader(self, schema):
         return StreamReader(self.options)
+
+
+class PushedRpc(ChainRpc):
+    def reader(self, schema):
+        return PushedReader(self.options)
+
+
+def pushing(spark: SparkSession) -> None:
+    """Register the source in the form that takes predicates, and let Spark push them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PushedRpc)

@@ -382,3 +382,38 @@ def test_answer(spark):
     page = envelope(got, QuerySpec(page=1, limit=2), 1)
     assert page["meta"] == {"chain_id": 1, "page": 1, "limit": 2, "total_items": 4, "total_pages": 2} and [x["block_number"] for x in page["data"]] == [5, 1]
     assert {x.block_number for x in jobs.requested(spark, [5, 3, 3, 9], 4).collect()} == {5, 9}
+
+
+def test_answers_on_256_bits(spark):
+    """Sums, means, comparisons and filters on the library's own columns of 64 hex digits."""
+    values = [(1, "a", 5), (2, "a", 2**255), (3, "b", 7), (4, "b", 0), (5, "c", 2**256 - 1), (6, "c", 1)]
+    df = spark.createDataFrame([(1, n, 0, f"0x{n}", who, f"{v:064x}", f"{10 * v % 2**256:064x}") for n, who, v in values] + [(1, 7, 0, "0x7", "b", None, None)], "chain_id long, block_number long, transaction_index long, hash string, from_address string, value string, gas_price string")
+    spec = QuerySpec(group_by=["from_address"], sort_by="total", sort_order="desc", limit=0, aggregates=["SUM(value) AS total", "avg(value) as mean", "MIN(value) AS least", "max(value) AS most", "sum(CASE WHEN value >= 7 AND 0 < gas_price THEN 1 ELSE 0 END) AS n", "COUNT(DISTINCT value) AS k", "COUNT(*) AS rows"])
+    got = {r.from_address: tuple(r)[1:] for r in answer(df, "transactions", spec).aggregations.collect()}
+    assert got["a"] == (str(2**255 + 5), (2**255 + 5) / 2, "5", str(2**255), 0, 2, 2) and got["b"] == ("7", 3.5, "0", "7", 1, 2, 3)
+    assert got["c"][0] is None and got["c"][2:4] == ("1", str(2**256 - 1))  # beyond 256 bits
+    for value, n in (("5", 1), (hex(2**255), 2), ("0x5", 1), (f"{7:064x}", 3), ("-1", None), ("x", None), (str(2**256), None)):
+        found = [r.block_number for r in answer(df, "transactions", QuerySpec(filters={"value": value})).data.collect()]
+        assert found == ([n] if n else [])
+    for bad in ("sum(value * 2) AS x", "sum(CASE WHEN value > 1 THEN value ELSE 0 END) AS x"):
+        with pytest.raises(FieldError, match="256-bit"):
+            answer(df, "transactions", QuerySpec(aggregates=[bad]))
+    page = answer(df, "transactions", QuerySpec(limit=0))
+    assert page.data.count() == 5 and tuple(page.meta.first()) == (7, 2) and envelope(page, QuerySpec(limit=0), 1)["meta"]["limit"] == 5
+
+
+def test_decimal_digits(spark):
+    r = random.Random(9)
+    numbers = [0, 1, 10**9 - 1, 10**9, 2**32, 2**64, 10**77, 2**256 - 1, *[r.getrandbits(r.choice([8, 60, 100, 200, 256])) for _ in range(40)]]
+    got = spark.createDataFrame([(f"{n:064x}",) for n in numbers] + [(None,)], "x string").select(hexes.decimal_text(F.col("x"))).collect()
+    assert [x[0] for x in got] == [*map(str, numbers), None]
+    small = [0, 7, 2**32, 2**64 - 1, 10**37 + 3]
+    digits = spark.createDataFrame([(str(n),) for n in small], "x string").select(hexes.u256_of_decimal(F.col("x").cast("decimal(38,0)"))).collect()
+    assert [x[0] for x in digits] == [f"{n:064x}" for n in small]
+    assert hexes.of_literal("0x10") == f"{16:064x}" and hexes.of_literal("1e3") is None
+
+
+def test_balances_below_zero_stay(spark):
+    rows = [("erc20", 1, "0xT", "0xa", "0xb", f"{5:064x}", f"{0:064x}"), ("erc20", 1, "0xT", "0xb", "0xc", f"{5:064x}", f"{0:064x}")]
+    moved = spark.createDataFrame(rows, "token_type string, chain_id long, token_address string, from_address string, to_address string, amount string, token_id string")
+    assert {r.owner: r.balance and int(r.balance, 16) for r in tokens.balances(moved, hide_zero=True).collect()} == {"0xa": None, "0xc": 5}
