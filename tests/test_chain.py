@@ -60,7 +60,7 @@ def test_parameters():
 
 def test_decoding_needs_a_signature(spark):
     logs = spark.createDataFrame([(1, 1, 0, "0xC", "0x1", "0x")], "chain_id long, block_number long, log_index int, address string, topic_0 string, data string")
-    for bad in (lambda: answer(logs, "logs", QuerySpec(decode=True)), lambda: routes.events_of(logs, QuerySpec(decode=True)), lambda: routes.events_of(logs, QuerySpec(decode=True), signature="0x1"), lambda: routes.events_of(logs, QuerySpec(), signature="f((uint256,bool) pair)")):
+    for bad in (lambda: answer(logs, "logs", QuerySpec(decode=True)), lambda: routes.events_of(logs, QuerySpec(decode=True)), lambda: routes.events_of(logs, QuerySpec(decode=True), signature="0x1"), lambda: routes.events_of(logs, QuerySpec(), signature="f(uint7 pair)")):
         with pytest.raises(FieldError):
             bad()
     assert routes.events_of(logs, QuerySpec(), "0xc", "0x1").data.count() == 1 and routes.events_of(logs, QuerySpec(), "0xd", "0x1").data.count() == 0
