@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.functions import abi, hexes
-from chainloom.functions.keccak import call_selector, event_topic
+from chainloom.functions.keccak import block_blooms, call_selector, event_topic
 from chainloom.operators import blocks as nesting
-from chainloom.operators import forks, integrity, latest, normalize, tokens
+from chainloom.operators import bloom_index, current, forks, integrity, latest, normalize, tokens
 from chainloom.plans import chainview as view
-from chainloom.plans import routes
+from chainloom.plans import routes, search_index
 from chainloom.plans.query_spec import QuerySpec, answer, search
 from chainloom.scratch import shared_dir
 from chainloom.sources import staged_sink, staging
@@ -92,6 +92,15 @@ def final_tx(blocks, transactions, logs):
     return transactions.select("block_number", "transaction_index", "hash", "from_address", "to_address", "value")
 
 
+@query("SELECT block_number, transaction_index, hash, value FROM transactions")
+def current_tx(spark, sf_dir):
+    """The final transactions out of a kept table, into which their versions came in three batches of no order."""
+    path, rows = shared_dir(spark), view.tx_versions(spark, sf_dir)
+    for k in range(3):
+        current.merge(path, rows.where(F.crc32(F.col("from_address")) % 3 == k), view.TX_KEY, view.VERSION, buckets=16)
+    return current.read(spark, path).select("block_number", "transaction_index", "hash", "value")
+
+
 @query("SELECT chain_id, block_number, tx_count FROM tx_counts")
 @views
 def tx_counts(blocks, transactions, logs):
@@ -452,6 +461,26 @@ def _hexed(blocks, transactions, logs):
     return blocks.withColumn("hash", twice(F.col("hash"))), transactions, logs.withColumn("topic_0", twice(F.col("topic_0")))
 
 
+@query(
+    """, t AS (SELECT *, '0x' || hash || hash AS tx FROM transactions), b AS (SELECT *, '0x' || hash || hash AS h FROM blocks)
+    SELECT 'number' AS asked, 'block' AS type, block_number, h AS hash FROM b WHERE block_number = 321
+    UNION ALL SELECT 'hash', 'transaction', block_number, tx FROM t WHERE hash = md5('104:6')
+    UNION ALL SELECT 'hash', 'block', block_number, h FROM b WHERE hash = md5('104:6')
+    UNION ALL SELECT 'topic', 'event_signature', block_number, transaction_hash FROM logs WHERE address = 'click'
+    UNION ALL SELECT 'selector', 'function_signature', block_number, tx FROM t WHERE substr(data, 1, 10) = '0x' || substr(md5('77'), 1, 8)
+    UNION ALL SELECT 'address', 'contract', block_number, tx FROM t WHERE block_number % 50 = 0 AND from_address = 's7'
+    UNION ALL SELECT 'address', 'address', block_number, tx FROM t WHERE from_address = 's7' OR to_address = 's7'"""
+)
+@views
+def search_indexed(blocks, transactions, logs):
+    """All tables indexed, and a text of each kind looked up."""
+    spark, path = blocks.sparkSession, shared_dir(blocks.sparkSession)
+    search_index.add(path, search_index.entries(*_hexed(blocks, transactions, logs)), 1)
+    asked = {"number": "321", "hash": _hash("104:6"), "topic": _hash("click"), "selector": "0x" + hashlib.md5(b"77").hexdigest()[:8], "address": _address("s7")}
+    rows = [search_index.find(spark, path, text, 1).withColumn("asked", F.lit(name)).drop("chain_id") for name, text in asked.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # Decoding
 
 TRANSFER = "Transfer(address indexed from, address indexed to, uint256 value)"
@@ -492,6 +521,23 @@ def wallet_decoded(blocks, transactions, logs):
     return abi.call(rows, "pay(uint amount, string memo, uint8[] items)").select("block_number", "transaction_index", *[inputs[k].alias(k) for k in ("amount", "memo", "items")])
 
 
+@query(
+    """SELECT block_number, transaction_index, '[{"to":"0x' || md5(from_address) || '00000000","amounts":["' || gas || '"]},{"to":"0x' || md5(to_address) || '00000000","amounts":["' || transaction_index || '"]}]' AS orders,
+    '{"ok":"' || CASE WHEN gas % 2 = 1 THEN 'true' ELSE 'false' END || '","memo":"' || from_address || '"}' AS note, '[["' || value || '"],["' || block_number || '"]]' AS grid FROM transactions"""
+)
+@views
+def nested_calls(blocks, transactions, logs):
+    """Calls with a list of tuples that hold lists, a tuple with a text and a list of fixed lists, decoded."""
+    signature = "fill((address to, uint256[] amounts)[] orders, (bool ok, string memo) note, uint256[1][2] grid)"
+    word = hexes.u256_of
+    order = lambda who, n: F.concat(F.lit("0" * 24), F.md5(who), F.lit("0" * 8), word(F.lit(64)), word(F.lit(1)), word(n))
+    orders = F.concat(word(F.lit(2)), word(F.lit(64)), word(F.lit(192)), order("from_address", F.col("gas")), order("to_address", F.col("transaction_index")))
+    note = F.concat(word(F.col("gas") % 2), word(F.lit(64)), word(F.length("from_address")), F.rpad(F.lower(F.hex(F.encode("from_address", "utf-8"))), 64, "0"))
+    data = F.concat(F.lit(call_selector(abi.checked(signature)[0])), word(F.lit(128)), word(F.lit(480)), word(F.col("value")), word(F.col("block_number")), orders, note)
+    inputs = F.col("decoded.inputs")
+    return abi.call(transactions.withColumn("data", data), signature).select("block_number", "transaction_index", *[inputs[k].alias(k) for k in ("orders", "note", "grid")])
+
+
 # Tokens
 
 
@@ -587,11 +633,22 @@ def normalize_traces(spark, sf_dir):
     return rows.select("block_number", "transaction_index", "transaction_hash", F.concat_ws(",", F.col("trace_address").cast("array<string>")).alias("trace_address"), "from_address", "to_address", F.col("gas").cast("bigint").alias("gas"), F.col("gas_used").cast("bigint").alias("gas_used"), "value", "input")
 
 
+def _hex_logs(logs):
+    """Logs with hex values, as blooms take them."""
+    hexed = lambda c: F.concat(F.lit("0x"), F.md5(c))
+    return logs.select("chain_id", "block_number", "log_index", "data", hexed(F.col("address")).alias("address"), F.concat(F.lit("0x"), "topic_0").alias("topic_0"), hexed(F.col("topic_1")).alias("topic_1"), F.lit("").alias("topic_2"), F.lit("").alias("topic_3"))
+
+
+@query("SELECT block_number, log_index, data FROM logs WHERE address = 'purchase' AND topic_1 = 'u7'")
+def bloom_events(spark, sf_dir):
+    """All logs stored by spans with computed blooms, and a user's purchases read from the blocks that may hold them."""
+    rows, path = _hex_logs(view.logs(spark, sf_dir)), shared_dir(spark)
+    bloom_index.write(rows, block_blooms(rows), path, span=256)
+    hexed = lambda text: "0x" + hashlib.md5(text.encode()).hexdigest()
+    return bloom_index.events(spark, path, 1, address=hexed("purchase"), topic_1=hexed("u7")).select("block_number", "log_index", "data")
+
+
 @query(None)
 def computed_blooms(spark, sf_dir):
     """Blooms of the logs' hex topics; keccak has no SQL form, the tests have a brute-force version."""
-    from chainloom.functions.keccak import block_blooms
-
-    hexed = lambda c: F.concat(F.lit("0x"), F.md5(c))
-    rows = view.logs(spark, sf_dir).select("chain_id", "block_number", hexed(F.col("address")).alias("address"), F.concat(F.lit("0x"), "topic_0").alias("topic_0"), hexed(F.col("topic_1")).alias("topic_1"), F.lit("").alias("topic_2"), F.lit("").alias("topic_3"))
-    return block_blooms(rows)
+    return block_blooms(_hex_logs(view.logs(spark, sf_dir)))
