@@ -5,7 +5,7 @@ template. Windows of template tokens are hash-joined with those of the benchmark
 item and alignment (document position less item position); an alignment counts if it has enough windows and its slots
 are consistent, that is every value of the item stands for one value of the document.
 
-The benchmark's windows are broadcast only when their counted number is within `max_broadcast`; else both sides are
+The benchmark's rows are broadcast only when their summed bytes are within `max_broadcast`; else both sides are
 shuffled by window. Groups are (document, item, alignment), so no item or document, however common, is gathered.
 
 Only windows of MIN_LITERALS literal tokens or more are joined and counted. Items that have too few of them count if the
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import given, read
 
 WINDOW, MIN_LITERALS, MIN_WINDOWS = 8, 4, 6
+#: What a row of the benchmark and a token of it take in a hash table besides the token's text.
+ROW_BYTES, TOKEN_BYTES = 160, 16
 #: Typed placeholders, one control character each; texts lose these characters first.
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 #: Units of measure and currency.
@@ -90,6 +92,12 @@ def item_windows(items: DataFrame) -> DataFrame:
     )
 
 
+def table_bytes(tokens: str) -> Column:
+    """About what the rows of a group take in a hash table, 0 for none."""
+    of = F.aggregate(tokens, F.lit(ROW_BYTES).cast("long"), lambda s, x: s + F.octet_length(x) + TOKEN_BYTES)
+    return F.coalesce(F.sum(of), F.lit(0))
+
+
 def copies(docs: DataFrame, items: DataFrame, max_broadcast: int) -> DataFrame | None:
     """Rows (doc, item, n_windows, n_item_windows, n_slots) of documents that hold all tokens of a short or scarce item, in order.
 
@@ -99,11 +107,11 @@ def copies(docs: DataFrame, items: DataFrame, max_broadcast: int) -> DataFrame |
     slots = F.array_distinct(F.filter("tokens", lambda x: ~is_literal(x)))
     items = items.where("scarce").select("item", F.transform("tokens", literal).alias("item_tokens"), F.greatest(F.col("usable"), F.lit(1)).alias("n"), F.size(slots).alias("n_slots"))
     items = items.withColumn("length", F.least(F.size("item_tokens"), F.lit(WINDOW)))
-    counts = {x["length"]: x["count"] for x in items.groupBy("length").count().collect()}
-    if not counts:
+    sizes = {x["length"]: x["size"] for x in items.groupBy("length").agg(table_bytes("item_tokens").alias("size")).collect()}
+    if not sizes:
         return None
     heads = items.withColumn("key", F.xxhash64(F.slice("item_tokens", 1, WINDOW)))
-    if sum(counts.values()) <= max_broadcast:
+    if sum(sizes.values()) <= max_broadcast:
         heads = F.broadcast(heads)
     rows = given(docs, ["doc"], tokens=F.transform(template(F.col("text")), literal))
     none = F.array().cast("array<struct<pos:int,length:int,key:bigint>>")
@@ -112,19 +120,20 @@ def copies(docs: DataFrame, items: DataFrame, max_broadcast: int) -> DataFrame |
         at = lambda i: F.struct(i.alias("pos"), F.lit(k).alias("length"), F.xxhash64(F.slice("tokens", i + 1, k)).alias("key"))
         return F.when(F.size("tokens") >= k, F.transform(F.sequence(F.lit(0), F.size("tokens") - k), at)).otherwise(none)
 
-    rows = rows.select("doc", "tokens", F.inline(F.concat(*map(keys, sorted(counts)))))
+    rows = rows.select("doc", "tokens", F.inline(F.concat(*map(keys, sorted(sizes)))))
     same = F.slice("tokens", F.col("pos") + 1, F.size("item_tokens")) == F.col("item_tokens")
     return rows.join(heads, ["length", "key"]).where(same).select("doc", "item", F.col("n").alias("n_windows"), F.col("n").alias("n_item_windows"), "n_slots").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_broadcast: int = 64 << 20) -> DataFrame:
     """Rows (doc id, item id, n_windows, n_item_windows, n_slots) of documents that hold an item or a variant of it.
 
-    n_item_windows counts the windows with enough literals, 1 for an item that has none.
+    n_item_windows counts the windows with enough literals, 1 for an item that has none. max_broadcast is in bytes of the
+    benchmark's rows with their tokens, of windows and of short or scarce items each.
     """
     items = items_of(benchmark, item_col, item_text)
     theirs = item_windows(items)
-    if theirs.count() <= max_broadcast:
+    if theirs.agg(table_bytes("item_tokens")).first()[0] <= max_broadcast:
         theirs = F.broadcast(theirs)
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     ours = windows(docs, ["doc"], F.col("text"))

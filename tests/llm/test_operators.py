@@ -233,7 +233,7 @@ def test_slots_must_agree(spark):
     assert [x.doc_id for x in got] == [0]
 
 
-@pytest.mark.parametrize("max_broadcast", [2_000_000, 0])
+@pytest.mark.parametrize("max_broadcast", [64 << 20, 0])
 def test_copies_of_dense_and_short_items(spark, max_broadcast):
     dense, short, embedded, numbers = "Compute the mean of 3, 5, 8, 12, 15, 21, 34 and 55.", "What is the capital of France?", "Explain why the sky is blue on a clear day", "3 5 8 12 15 21 34 55 89 144"
     bench = spark.createDataFrame([(1, dense), (2, short), (3, embedded), (4, numbers), (5, None), (6, " ... "), (7, "Bo Ann went out to see the old mill with Tom")], "item_id long, text string")
@@ -330,6 +330,15 @@ def test_quality_rules(docs, plain, edge, empty):
     assert quality_rules.rate_lines(empty).count() == 0
 
 
+def test_boilerplate_lines(spark):
+    good = "We walked along the river until the rain had ended."
+    bad = ["Read our Privacy Policy before you go on with this page.", "© 2024 by the authors of this page and all of their friends.", "Alle Rechte vorbehalten, auch die der Übersetzung und des Druckes.", "Mehr steht in der Datenschutzerklärung auf einer anderen Seite.", "Voir la politique de confidentialité pour en savoir plus, merci.", "Tous droits réservés pour tous les pays, y compris la France.", "Lea nuestra política de privacidad antes de seguir con la lectura.", "Suscríbete para recibir las noticias de cada semana por correo."]
+    near = ["Ihre Rechte blieben ihr alle vorbehalten, sagte man im Dorf.", "La politique de la ville est confiée à un nouveau conseil.", "La política de la isla nunca fue privada para los vecinos."]
+    rows = [(k, f"{good}\n{line}") for k, line in enumerate(bad + near)]
+    got = by_id(quality_rules.rate_lines(spark.createDataFrame(rows, "doc_id long, text string")), "clean_text")
+    assert got == {k: (good if k < len(bad) else t,) for k, t in rows}
+
+
 @pytest.mark.parametrize("bits", [61, 3])
 def test_repeated_words_with_colliding_hashes(spark, monkeypatch, bits):
     """3 bits of hash, so that other windows lie between equal ones; then positions that don't fit."""
