@@ -9,6 +9,8 @@ input other than id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,14 @@ from .common import SPACE, SPACES, given, read, words
 
 #: Symbols of the base rules.
 SYMBOLS = "#*$%&|<>"
-BOILERPLATE = (
-    r"(?i)(all rights reserved|cookie (policy|settings)|privacy policy|terms of (use|service)|licensed under the|"
-    r"released under the|subscribe to our|sign up for|click here|share (this|on)|javascript (is|must be)|^\s*©)"
-)
+#: Phrases of notices, menus and appeals in English, German, French and Spanish; a dot stands for a letter with an accent.
+PHRASES = [
+    r"all rights reserved|cookie (policy|settings)|privacy policy|terms of (use|service)|licensed under the|released under the|subscribe to our|sign up for|click here|share (this|on)|javascript (is|must be)",
+    r"alle rechte vorbehalten|datenschutz(erkl.rung|hinweise)|nutzungsbedingungen|cookie-(richtlinie|einstellungen)|newsletter abonnieren|hier klicken|klicken sie hier",
+    r"tous droits r.serv.s|politique de (confidentialit|cookies)|mentions l.gales|conditions (g.n.rales )?d.utilisation|abonnez-vous|cliquez ici|partager sur",
+    r"todos los derechos reservados|pol.tica de (privacidad|cookies)|aviso legal|t.rminos (de uso|y condiciones)|suscr.bete|haga? clic aqu|compartir en",
+]
+BOILERPLATE = rf"(?i)({'|'.join(PHRASES)}|^\s*©)"
 POSITION_BITS = 26
 MIN_WORDS, MAX_REPEATED, MIN_KEPT = 50, 50, 60
 
@@ -46,27 +52,25 @@ def repeated_words(w: Column, h: Column) -> Column:
         p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
         return (at(w, p) == at(w, q)) & (at(w, p + 1) == at(w, q + 1)) & (at(w, p + 2) == at(w, q + 2))
 
-    def same(a: Column, b: Column) -> Column:
-        return near(a, b) & equal(a, b)
-
-    def mixed(k: Column) -> Column:
-        return F.exists(F.sequence(F.lit(0), F.size(k) - 1), lambda j: near(at(k, j), at(k, j + 1)) & ~equal(at(k, j), at(k, j + 1)))
-
-    def count(k: Column) -> Column:
-        m = F.size(k)
-        hit = F.filter(F.sequence(F.lit(0), m - 1), lambda j: F.coalesce(same(at(k, j), at(k, j + 1)), F.lit(False)) | F.coalesce((j > 0) & same(at(k, j), at(k, F.greatest(j - 1, F.lit(0)))), F.lit(False)))
-        starts = F.sort_array(F.transform(hit, lambda j: at(k, j).bitwiseAND(low)))
+    def ends(k: Column, hit: Column, pos: Callable[[Column], Column]) -> Column:
+        """Words covered by the windows at each j of hit and by their right neighbours."""
+        starts = F.sort_array(F.array_distinct(F.concat(F.transform(hit, lambda j: pos(at(k, j))), F.transform(hit, lambda j: pos(at(k, j + 1))))))
         return F.transform(F.array(starts), covered)[0]
 
+    def by_hash(k: Column) -> Column:
+        """Neighbours of equal hash are found in one walk; the rest looks at these only."""
+        hit = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda j: near(at(k, j), at(k, j + 1)))
+        mixed = lambda x: F.exists(x, lambda j: ~equal(at(k, j), at(k, j + 1)))
+        return F.transform(F.array(hit), lambda x: F.when(mixed(x), by_words()).otherwise(ends(k, x, lambda a: a.bitwiseAND(low))))[0]
+
     def window(i: Column) -> Column:
         parts = [at(w, i + j).alias(f"w{j}") for j in range(3)]
         return F.struct(F.xxhash64(at(h, i), at(h, i + 1), at(h, i + 2)).alias("h"), *parts, i.cast("long").alias("pos"))
 
     def counted_by_words(k: Column) -> Column:
         same = lambda a, b: (a["h"] == b["h"]) & (a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"])
-        hit = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda j: F.coalesce(same(at(k, j), at(k, j + 1)), F.lit(False)) | F.coalesce((j > 0) & same(at(k, j), at(k, F.greatest(j - 1, F.lit(0)))), F.lit(False)))
-        starts = F.sort_array(F.transform(hit, lambda j: at(k, j)["pos"]))
-        return F.transform(F.array(starts), covered)[0]
+        hit = F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda j: same(at(k, j), at(k, j + 1)))
+        return F.transform(F.array(hit), lambda x: ends(k, x, lambda a: a["pos"]))[0]
 
     def by_words() -> Column:
         found = F.array(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window)))
@@ -76,7 +80,7 @@ def repeated_words(w: Column, h: Column) -> Column:
         ahead = F.zip_with(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(F.lit(3).cast("long"), b - a))
         return F.when(F.size(p) == 0, F.lit(0).cast("long")).otherwise(F.aggregate(ahead, F.lit(3).cast("long"), lambda s, x: s + x))
 
-    found = F.transform(F.array(keys), lambda k: F.when(mixed(k), by_words()).otherwise(count(k)))[0]
+    found = F.transform(F.array(keys), by_hash)[0]
     found = F.when(n > 1 << POSITION_BITS, by_words()).otherwise(found)
     return F.coalesce(found, F.lit(0).cast("long"))
 
@@ -100,7 +104,10 @@ def line_passes(line: Column) -> Column:
 
 
 def rate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, clean_text (passing lines), the base figures, base_failed and kept."""
+    """Per document: id, clean_text (passing lines, repeated ones too), the base figures, base_failed and kept.
+
+    What is kept is judged by distinct passing lines, so that a line that is said again and again saves no document.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = given(docs.select(F.col(id_col).alias("id"), text.alias("t")), ["id", "t"], w=words(F.col("t")), lines=F.filter(F.split("t", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
     rows = given(rows, ["id", "t", "w", "lines"], h=F.transform("w", lambda x: F.xxhash64(x)), good=F.filter("lines", line_passes))
