@@ -15,7 +15,9 @@ from chainloom import schemas
 from chainloom.functions.hexes import digits, selector, to_index, to_u64, to_u256, topic
 
 #: A number or truth value of a key. Texts hold no bare quotes, so it can't stand inside one.
-BARE = r'("[A-Za-z0-9]+"\s*:\s*)(?:-?[0-9][-+.0-9eE]*|true|false)(?=\s*[,}])'
+BARE = r'("%s[A-Za-z0-9]+"\s*:\s*)(?:-?[0-9][-+.0-9eE]*|true|false)(?=\s*[,}])'
+#: Keys of a trace that have bare numbers.
+TRACE_NUMBERS = "transactionPosition|subtraces|blockNumber"
 
 
 def text(c: Column) -> Column:
@@ -23,9 +25,10 @@ def text(c: Column) -> Column:
     return F.when(c.isNull() | c.rlike(r"^[\[{]"), "").otherwise(c)
 
 
-def texts_only(payload: Column) -> Column:
-    """A payload of texts in which bare numbers and truth values are "", as they are no quantities."""
-    return F.when(payload.rlike(BARE), F.regexp_replace(payload, BARE, '$1""')).otherwise(payload)
+def texts_only(payload: Column, numbers: str = "") -> Column:
+    """A payload of texts in which bare numbers and truth values are "", as they are no quantities; keys of `numbers` keep theirs."""
+    bare = BARE % (f'(?!(?:{numbers})")' if numbers else "")
+    return F.when(payload.rlike(bare), F.regexp_replace(payload, bare, '$1""')).otherwise(payload)
 
 
 def parsed(raw: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def parsed(raw: DataFrame) -> DataFrame:
     arrays = {"receipts": schemas.RAW_RECEIPT, "logs": schemas.RAW_LOG, "traces": schemas.RAW_TRACE}
     rows = raw.where("error is null and block is not null").select(
         F.col("chain_id").cast("bigint").alias("chain_id"), F.from_json(texts_only(F.col("block")), schemas.RAW_BLOCK).alias("b"),
-        *[F.from_json(F.col(k) if k == "traces" else texts_only(F.col(k)), T.ArrayType(v)).alias(k) for k, v in arrays.items()],
+        *[F.from_json(texts_only(F.col(k), TRACE_NUMBERS if k == "traces" else ""), T.ArrayType(v)).alias(k) for k, v in arrays.items()],
     )
     rows = rows.where("b.number is not null")
     from_receipts = F.flatten(F.transform("receipts", lambda r: F.coalesce(r["logs"], F.array().cast(T.ArrayType(schemas.RAW_LOG)))))

@@ -417,3 +417,14 @@ def test_balances_below_zero_stay(spark):
     rows = [("erc20", 1, "0xT", "0xa", "0xb", f"{5:064x}", f"{0:064x}"), ("erc20", 1, "0xT", "0xb", "0xc", f"{5:064x}", f"{0:064x}")]
     moved = spark.createDataFrame(rows, "token_type string, chain_id long, token_address string, from_address string, to_address string, amount string, token_id string")
     assert {r.owner: r.balance and int(r.balance, 16) for r in tokens.balances(moved, hide_zero=True).collect()} == {"0xa": None, "0xc": 5}
+
+
+def test_bare_values_in_traces(spark):
+    """Numbers and truth values where a text belongs are no texts; counts and positions stay numbers."""
+    block = {"number": "0x5", "hash": "0xb5", "timestamp": "0x10"}
+    rows = [{"action": {"callType": 7, "from": True, "to": "0xB", "gas": "0x10", "value": 3}, "result": {"gasUsed": "0x1", "output": -1.5e3}, "transactionHash": 3, "transactionPosition": 4, "subtraces": 2, "traceAddress": [0, 12], "type": "call", "error": False}]
+    raw = spark.createDataFrame([(1, 5, json.dumps(block), None, None, json.dumps(rows), None), (1, 6, json.dumps(block | {"number": "0x6"}), None, None, None, None)], schemas.RAW)
+    (x,) = normalize.traces(raw).collect()
+    assert (x.call_type, x.from_address, x.to_address, x.output, x.transaction_hash, x.error, x.type) == ("", "", "0xB", "", "", "", "call")
+    assert (x.transaction_index, x.subtraces, x.trace_address, x.gas, x.gas_used) == (4, 2, [0, 12], 16, 1)
+    assert int(x.value, 16) == 0
