@@ -53,7 +53,7 @@ rated AS (
   SELECT doc_id, line, len(regexp_split_to_array(bare, '[\x20\x09-\x0D]+')) AS n_words, length(bare) AS n,
     {count_of(r"#*$%&|<>{}\[\]\\^~=_@", "bare")} AS symbols, {count_of("!", "bare")} AS shouts, {count_of("|»›•·", "bare")} AS separators,
     regexp_matches(bare, '[.!?…:;,)\]"''”»](\r|\x{{85}}|\x{{2028}}|\x{{2029}})?$') AS ended,
-    regexp_matches(bare, '(?i)(all rights reserved|cookie (policy|settings)|privacy policy|terms of (use|service)|licensed under the|released under the|subscribe to our|sign up for|click here|share (this|on)|javascript (is|must be)|alle rechte vorbehalten|datenschutz(erkl.rung|hinweise)|nutzungsbedingungen|cookie-(richtlinie|einstellungen)|newsletter abonnieren|hier klicken|klicken sie hier|tous droits r.serv.s|politique de (confidentialit|cookies)|mentions l.gales|conditions (g.n.rales )?d.utilisation|abonnez-vous|cliquez ici|partager sur|todos los derechos reservados|pol.tica de (privacidad|cookies)|aviso legal|t.rminos (de uso|y condiciones)|suscr.bete|haga? clic aqu|compartir en|^\s*©)') AS boilerplate
+    regexp_matches(bare, '(?i)(^\s*©|(^|[^a-z])(all rights reserved|cookie (policy|settings)|privacy policy|terms of (use|service)|licensed under the|released under the|subscribe to our|sign up for|click here|share (this|on)|javascript (is|must be)|alle rechte vorbehalten|datenschutz(erkl.rung|hinweise)|nutzungsbedingungen|cookie-(richtlinie|einstellungen)|newsletter abonnieren|hier klicken|klicken sie hier|tous droits r.serv.s|politique de (confidentialit|cookies)|mentions l.gales|conditions (g.n.rales )?d.utilisation|abonnez-vous|cliquez ici|partager sur|todos los derechos reservados|pol.tica de (privacidad|cookies)|aviso legal|t.rminos (de uso|y condiciones)|suscr.bete|haga? clic aqu|compartir en))') AS boilerplate
   FROM worded),
 passing AS (
   SELECT DISTINCT doc_id, line FROM rated

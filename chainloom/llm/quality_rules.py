@@ -25,7 +25,7 @@ PHRASES = [
     r"tous droits r.serv.s|politique de (confidentialit|cookies)|mentions l.gales|conditions (g.n.rales )?d.utilisation|abonnez-vous|cliquez ici|partager sur",
     r"todos los derechos reservados|pol.tica de (privacidad|cookies)|aviso legal|t.rminos (de uso|y condiciones)|suscr.bete|haga? clic aqu|compartir en",
 ]
-BOILERPLATE = rf"(?i)({'|'.join(PHRASES)}|^\s*©)"
+BOILERPLATE = rf"(?i)(^\s*©|(^|[^a-z])({'|'.join(PHRASES)}))"
 POSITION_BITS = 26
 MIN_WORDS, MAX_REPEATED, MIN_KEPT = 50, 50, 60
 
