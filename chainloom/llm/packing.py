@@ -70,8 +70,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
         kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([coder.encode(text.as_py()).astype("<u4"), end])
+            for doc_id, found in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1))):
+                ids = np.concatenate([found.astype("<u4"), end])
                 ends = [*range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip([0, *ends], ends))]
             if rows:
