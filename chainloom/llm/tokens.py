@@ -29,7 +29,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: What BYTE_PATTERN is for ASCII texts; its \s and white space of Unicode are the same there.
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: Bytes of texts that are cut together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def byte_letters() -> dict[int, str]:
