@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, read, written
+from .common import lean, read, small_batches, written
 from .tokens import encoder
 
 CAPACITY, OPEN_BINS, GROUP_ROWS = 1024, 32_768, 40_000
@@ -80,6 +80,12 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES)
 
 
+def cut_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """cut as a written table."""
+    with small_batches(docs.sparkSession):
+        return written(cut(docs, tokenizer, end_id))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """pieces (a written table) with sequence_id and offset."""
 
@@ -102,4 +108,4 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = read(spark, sf_dir, "documents")
-    return pack(written(cut(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)))
+    return pack(cut_table(docs, public_tokenizers.path("byte_bpe_50k.json"), 2))

@@ -33,6 +33,8 @@ from .common import lean, read
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["other", *KINDS, "secret", "id"]
 MAX_TOKENS, MAX_CHARS, REGION, N_WEIGHTS, N_FEATURES = 9, 120, 160, 4096, 16
+#: Texts whose masked forms are held as Python strings at once.
+MASKED_ROWS = 500
 LOCAL = "".join(map(chr, range(128)))
 LOCAL = "".join(c for c in LOCAL if c.isalnum() or c in "._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -348,19 +350,21 @@ def masked(docs: DataFrame, weights: np.ndarray | None = None, text_col: str = "
     """docs with each span of its text replaced by its kind in angle brackets; columns and their order stay."""
     weights = model() if weights is None else weights
 
-    @F.pandas_udf("string")
-    def mask(texts):
-        def one(text):
-            if text is None or not HINT.search(text):
-                return text
-            out, at = [], 0
-            for kind, s, e in sorted(found_spans(text, weights)[1], key=lambda x: (x[1], -x[2])):
-                if e > at:
-                    out += [text[at : max(s, at)], f"<{kind}>" if s >= at else ""]
-                    at = e
-            return "".join([*out, text[at:]])
-
-        return texts.map(one)
+    def one(text):
+        if text is None or not HINT.search(text):
+            return text
+        out, at = [], 0
+        for kind, s, e in sorted(found_spans(text, weights)[1], key=lambda x: (x[1], -x[2])):
+            if e > at:
+                out += [text[at : max(s, at)], f"<{kind}>" if s >= at else ""]
+                at = e
+        return "".join([*out, text[at:]])
+
+    @F.arrow_udf("string")
+    @lean
+    def mask(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.concat_arrays([pa.array([one(t.as_py()) for t in texts[k : k + MASKED_ROWS]], texts.type) for k in range(0, max(1, len(texts)), MASKED_ROWS)])
 
     return docs.withColumn(text_col, mask(text_col))
 

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,10 +149,12 @@ def scored(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: st
 def accepted(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows whose text scores at least threshold; columns and their order stay, nothing is shuffled."""
 
-    @F.pandas_udf("boolean")
-    def good(texts):
-        x = np.array([statistics(t) for t in texts], float).reshape(len(texts), N_STATISTICS)
-        return pd.Series(forest.score(x) >= threshold)
+    @F.arrow_udf("boolean")
+    @lean
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = np.array([statistics(t.as_py()) for t in texts], float).reshape(len(texts), N_STATISTICS)
+            yield pa.array(forest.score(x) >= threshold)
 
     return docs.where(good(text_col))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.llm import decontaminate, jaccard_join, packing, pii, quality_model
-from chainloom.llm.common import bounded, read, written
+from chainloom.llm.common import bounded, read, small_batches, written
 from chainloom.ship import ship
 
 SHINGLE, SIMILARITY = 5, 80
@@ -26,13 +26,16 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts."""
-    return quality_model.accepted(docs, quality_model.train(docs, read(spark, sf_dir, "labels")))
+    with small_batches(spark):
+        forest = quality_model.train(docs, read(spark, sf_dir, "labels"))
+    return quality_model.accepted(docs, forest)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by word shingles, the one with the least doc_id."""
-    groups = jaccard_join.linked(docs, SHINGLE, SIMILARITY)
-    return without(docs, groups.where("component_id <> doc_id").select("doc_id"))
+    with small_batches(spark):
+        groups = jaccard_join.linked(docs, SHINGLE, SIMILARITY)
+        return without(docs, groups.where("component_id <> doc_id").select("doc_id"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(written(packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)))
+    return packing.pack(packing.cut_table(docs, public_tokenizers.path("byte_bpe_50k.json"), 2))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages), ("personal_data", personal_data), ("packing", pack)]
