@@ -292,8 +292,12 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, order: Ord
         return emitted(found(), ["a", "b"])
 
     pairs = written(pairs)
-    owners = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / SLICE).alias("slices")))
-    texts = packed_texts(docs, written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+    if not pairs.limit(1).count():
+        return pairs
+    ends = pairs.select(F.col("a").alias("id"), F.lit(1).alias("n")).union(pairs.select("b", F.lit(0)))
+    ends = written(ends.groupBy("id").agg(F.ceil(F.sum("n") / SLICE).alias("slices")))
+    owners = ends.where("slices > 0").select(F.col("id").alias("a"), "slices")
+    texts = packed_texts(docs, ends.select("id"))
     of = lambda side: texts.select(F.col("id").alias(side), "packed")
     theirs = pairs.join(of("b"), "b").join(bounded(owners), "a").select("a", F.expr("pmod(xxhash64(b), slices)").alias("slice"), "b", "packed")
     mine = owners.join(of("a"), "a").select("a", F.explode(F.expr("sequence(0L, slices - 1)")).alias("slice"), F.lit(None).cast("long").alias("b"), "packed")
@@ -397,10 +401,10 @@ def met(rest: DataFrame, sets: DataFrame, percent: int, count_shared: bool = Tru
     return found.groupBy("a", "b", "small", "large").agg(F.sum("weight").alias("n_shared")).where(can_reach(percent)).select("a", "b").distinct()
 
 
-def link_counts(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
+def link_counts(docs: DataFrame, groups: DataFrame, own: DataFrame, n: int, percent: int, order: Order) -> DataFrame:
     """id and n_links, the number of other sets that a node of groups (node, component) links with, a written table.
 
-    A component is cut into blocks by its counted n-grams; each two blocks meet in a task. sizes: id, size.
+    A component is cut into blocks by its counted n-grams; each two blocks meet in a task. own: id and size of sets that differ.
     """
 
     @lean
@@ -425,11 +429,12 @@ def link_counts(docs: DataFrame, groups: DataFrame, sizes: DataFrame, n: int, pe
 
         return emitted(found(), ["id", "n_links"])
 
-    nodes = written(sizes.join(bounded(groups.withColumnRenamed("node", "id")), "id"))
-    blocks = F.greatest(F.ceil(F.sum("size") / BLOCK_GRAMS), F.ceil(F.count("*") / BLOCK)).alias("blocks")
+    nodes = own.join(bounded(groups.withColumnRenamed("node", "id")), "id").groupBy("id")
+    nodes = written(nodes.agg(F.min("component").alias("component"), F.sum("size").alias("size"), F.count("*").alias("n")))
+    blocks = F.greatest(F.ceil(F.sum("size") / BLOCK_GRAMS), F.ceil(F.sum("n") / BLOCK)).alias("blocks")
     blocks = written(nodes.groupBy("component").agg(blocks))
-    texts = packed_texts(docs, written(nodes.select("id").distinct()))
-    placed = nodes.select("id", "component").distinct().join(bounded(blocks), "component").withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
+    texts = packed_texts(docs, nodes.select("id"))
+    placed = nodes.select("id", "component").join(bounded(blocks), "component").withColumn("block", F.expr("pmod(xxhash64(id), blocks)"))
     placed = placed.join(texts, "id").withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     placed = placed.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "packed")
     return written(dealt(placed, ["component", "low", "high"]).mapInArrow(rows, "id long, n_links long").groupBy("id").agg(F.sum("n_links").alias("n_links")))
@@ -454,18 +459,16 @@ def grouped(docs: DataFrame, own: DataFrame, n: int, percent: int, order: Order,
 
     star = places.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     star = star.alias("p").join(of.alias("y"), F.col("p.b") == F.col("y.id")).join(of.alias("x"), (F.col("p.a") == F.col("x.id")) & can_link("x", "y", percent)).select("a", "b")
-    star = written(written(star).distinct())  # right after the join, distinct would keep frequent owners from being split
-    links = check(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    groups = components(links)
+    star = written(star)  # ids that repeat with other sets may repeat pairs; distinct would keep frequent owners from being split
+    groups = components(check(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
     more = check(apart(star, groups))
     if more.limit(1).count():
-        links = links.union(more)
-        groups = components(links)
+        groups = components(more, known=groups)
 
     rest = places.where("n > 2 and id <> low").join(bounded(groups), F.col("id") == F.col("node"), "left").select("gram", "id", "class", F.coalesce("component", "id").alias("component"))
     last = check(met(written(rest), of, percent, count_shared))
     if last.limit(1).count():
-        groups = components(links.union(last))
+        groups = components(last, known=groups)
     return groups
 
 
@@ -483,8 +486,7 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id
     out = out.join(bounded(groups), F.col("own") == F.col("node"), "left")
     columns = [F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("component", "own").alias("component_id")]
     if count_links:
-        sizes = own.select("id", "size").distinct()
-        counted = link_counts(docs, groups, sizes, n, percent, order).withColumnRenamed("id", "counted")
+        counted = link_counts(docs, groups, own.select("id", "size"), n, percent, order).withColumnRenamed("id", "counted")
         out = out.join(bounded(counted), F.col("own") == F.col("counted"), "left")
         columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.select(*columns)
