@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, read, small_batches, written
-from .tokens import encoder
+from .tokens import KEPT, encoder
 
 CAPACITY, OPEN_BINS, GROUP_ROWS = 1024, 32_768, 40_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -60,12 +60,12 @@ class OpenBins:
         return found
 
 
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of every document's pieces."""
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT) -> DataFrame:
+    """doc_id, piece, start, length and ids_crc32 of every document's pieces. kept: bound of what encoders keep."""
 
     @lean
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, limit=kept)
         end = np.array([end_id], "<u4")
         kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
@@ -80,10 +80,10 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES)
 
 
-def cut_table(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def cut_table(docs: DataFrame, tokenizer: str, end_id: int, kept: int = KEPT) -> DataFrame:
     """cut as a written table."""
     with small_batches(docs.sparkSession):
-        return written(cut(docs, tokenizer, end_id))
+        return written(cut(docs, tokenizer, end_id, CAPACITY, "doc_id", "text", kept))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from .common import keep
+
 #: Unicode white space, and the splitting patterns of the two public vocabularies.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: str.split() also splits at these, which are no white space in Unicode.
@@ -164,12 +166,10 @@ class Encoder:
                     yield self.encode(cut.texts[k].as_py())
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+#: Parts, and pieces that follow no space, that an encoder keeps. Fewer take less memory and more time; ids are the same.
+KEPT = 400_000
 
 
-def encoder(path: str, specials: bool = True) -> Encoder:
-    """One encoder a process and vocabulary; Python workers serve many tasks."""
-    key = (path, specials)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, specials=specials)
-    return _encoders[key]
+def encoder(path: str, specials: bool = True, limit: int = KEPT) -> Encoder:
+    """One encoder a process and vocabulary, for the tasks of one function that a Python worker serves."""
+    return keep(Encoder, path, limit, specials)

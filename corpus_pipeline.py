@@ -17,6 +17,8 @@ from chainloom.llm.common import bounded, read, small_batches, written
 from chainloom.ship import ship
 
 SHINGLE, SIMILARITY = 5, 80
+#: Of what encoders keep in the last stage; the executors' Java heap is at its limit after the stages before.
+KEPT = 150_000
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    return packing.pack(packing.cut_table(docs, public_tokenizers.path("byte_bpe_50k.json"), 2))
+    return packing.pack(packing.cut_table(docs, public_tokenizers.path("byte_bpe_50k.json"), 2, KEPT))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_passages", benchmark_passages), ("personal_data", personal_data), ("packing", pack)]

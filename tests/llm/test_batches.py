@@ -1,9 +1,12 @@
 """What Python workers get at once of long tables, and that the session's own bound stays."""
 
+import gc
+import weakref
+
 import pyarrow as pa
 import pytest
-from chainloom.llm import packing, pii
-from chainloom.llm.common import BATCH_BYTES, small_batches
+from chainloom.llm import packing, pii, tokens
+from chainloom.llm.common import BATCH_BYTES, lean, small_batches
 from pyspark.sql import functions as F
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -56,3 +59,27 @@ def test_masked_texts_are_put_together_in_order(spark, long_texts):
     text = F.when(F.col("id") % 7 > 0, F.concat(F.lit("mail u"), "id", F.lit("@example.org now")))
     got = pii.masked(spark.range(0, n, 1, 1).select("id", text.alias("text"))).collect()
     assert [(x.id, x.text) for x in got] == [(k, "mail <email> now" if k % 7 else None) for k in range(n)]
+
+
+def test_an_encoder_goes_when_a_task_of_another_function_begins():
+    """Workers serve all stages: an encoder holds up to 400,000 parts, which no other stage needs."""
+    import public_tokenizers
+
+    path, found = public_tokenizers.path("byte_bpe_50k.json"), []
+
+    @lean
+    def coded(batches):
+        for _ in batches:
+            found.append(weakref.ref(tokens.encoder(path)))
+            yield
+
+    @lean
+    def other(batches):
+        yield from batches
+
+    for rows in (coded, coded):
+        assert list(rows([1, 2])) == [None, None]
+    assert len({id(r()) for r in found}) == 1 and found[0]() is not None
+    assert list(other([1])) == [1]
+    gc.collect()
+    assert found[0]() is None
