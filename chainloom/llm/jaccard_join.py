@@ -39,21 +39,45 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, bounded, lean, read, runs, utf8, written
+from .common import LOWER, bounded, lean, read, runs, small_batches, utf8, word_hashes, written
 from .components import components
 
 HOT_ROWS, HOT_LIMIT, CHUNK = 64, 100_000, 750_000
 SKETCH = 8  # longs
 #: Sets and n-grams of a block of sets, members that an owner meets in one task, and members of a block of a bucket.
 BLOCK, BLOCK_GRAMS, SLICE, BUCKET = 1024, 400_000, 256, 256
+#: Words of more bytes are hashed one by one. Bytes and texts whose n-grams are made at once.
+LONG_WORD, TOGETHER, TOGETHER_TEXTS = 64, 1 << 17, 512
 PACKED = "id long, packed binary"
 
 
-def grams(words: list[bytes], n: int, hashes: WordHashes) -> np.ndarray:
-    """The distinct n-grams of a word sequence, sorted; the highest bit is set, so that ranks of frequent ones stay below."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(runs(hashes.of(words), min(n, len(words))) | np.uint64(1 << 63))
+def grams(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of each text, sorted, a text after the other, and their bounds: one more than texts.
+
+    The highest bit is set, so that ranks of frequent ones stay below. Words of all texts are hashed at once; the sums
+    behind these hashes are weak on long words, so those are hashed one by one.
+    """
+    joined = b" ".join(texts).translate(LOWER)
+    starts, ends, hashes = word_hashes(joined)
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(joined[starts[k] : ends[k]])
+    first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))  # the words before each text
+    words = np.diff(first)
+    at = np.zeros(len(hashes), np.uint64)  # the n-gram that starts at a word, or the whole of a text of fewer words
+    at[: max(len(hashes) - n + 1, 0)] = runs(hashes, n)
+    for k in range(1, n):
+        short = first[:-1][words == k]
+        if len(short):
+            at[short] = runs(hashes, k)[short]
+    counts = np.where(words < n, np.minimum(words, 1), words - n + 1)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    found = at[np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], counts)] | np.uint64(1 << 63)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        found[a:b].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[bounds[:-1][counts > 0]] = True
+    return found[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
 class Order:
@@ -67,11 +91,21 @@ class Order:
         if not len(s) or not len(self.known):
             return s
         k = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        return np.sort(np.where(self.known[k] == s, self.rank[k], s))
-
-
-def lower_words(text: str | None) -> list[bytes]:
-    return utf8(text).translate(LOWER).split()
+        hot = self.known[k] == s
+        return np.concatenate([np.sort(self.rank[k[hot]]), s[~hot]]) if hot.any() else s
+
+
+def together(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Neighbouring texts, lists of about TOGETHER bytes and at most TOGETHER_TEXTS of them."""
+    held, size = [], 0
+    for text in texts:
+        held.append(utf8(text.as_py()))
+        size += len(held[-1])
+        if size >= TOGETHER or len(held) >= TOGETHER_TEXTS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def frequent(docs: DataFrame, n: int) -> DataFrame:
@@ -82,7 +116,7 @@ def frequent(docs: DataFrame, n: int) -> DataFrame:
 
     @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def counted():
             found, times = np.unique(np.concatenate(held), return_counts=True)
@@ -90,8 +124,8 @@ def frequent(docs: DataFrame, n: int) -> DataFrame:
             return pa.record_batch([pa.array(found[many].view(np.int64)), pa.array(times[many])], names=["gram", "n"])
 
         for b in batches:
-            for text in b.column(0):
-                held.append(grams(lower_words(text.as_py()), n, hashes))
+            for texts in together(b.column(0)):
+                held.append(grams(texts, n)[0])
                 size += len(held[-1])
                 if size >= CHUNK:
                     yield counted()
@@ -113,16 +147,18 @@ def sketches(docs: DataFrame, n: int, keys: Callable[[np.ndarray], np.ndarray])
 
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            sizes, digests, bits, found = [], [], [], [np.zeros(0, np.int64)]
-            for text in b.column(1):
-                s = grams(lower_words(text.as_py()), n, hashes)
-                sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bits.append(np.packbits(np.bincount((s & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64))
-                found.append(keys(s).view(np.int64))
-            bits = np.array(bits, np.int64).reshape(-1, SKETCH)
+            sizes, digests, bits, found = [], [], [np.zeros((0, SKETCH), np.int64)], [np.zeros(0, np.int64)]
+            for texts in together(b.column(1)):
+                flat, bounds = grams(texts, n)
+                sets = [flat[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                sizes += map(len, sets)
+                digests += [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                of = np.repeat(np.arange(len(sets)), np.diff(bounds)) * (64 * SKETCH) + (flat & np.uint64(64 * SKETCH - 1)).astype(np.int64)
+                parity = np.bincount(of, minlength=len(sets) * 64 * SKETCH).astype(np.uint8) & 1
+                bits.append(np.packbits(parity).view(np.int64).reshape(-1, SKETCH))
+                found += [keys(s).astype(np.int64) for s in sets]  # copies, else they hold the sets until the batch ends
+            bits = np.concatenate(bits)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(e) for e in found]).astype(np.int32)), pa.array(np.concatenate(found)))
             yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(bits[:, j].copy()) for j in range(SKETCH)), lists], names=["id", "size", "digest", *(f"s{j}" for j in range(SKETCH)), "keys"])
 
@@ -255,8 +291,8 @@ def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def set_reader(n: int, order: Order) -> Callable[[bytes], np.ndarray]:
     """The ordered set of a compressed text."""
-    hashes, unpack = WordHashes(), zstandard.ZstdDecompressor()
-    return lambda packed: order.of(grams(unpack.decompress(packed).translate(LOWER).split(), n, hashes))
+    unpack = zstandard.ZstdDecompressor()
+    return lambda packed: order.of(grams([unpack.decompress(packed)], n)[0])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, order: Order, links_of: Callable = tree_links) -> DataFrame:
@@ -493,4 +529,5 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, id_col: str = "doc_id
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(read(spark, sf_dir, "documents"), count_links=True)
+    with small_batches(spark):  # what is left to run after it has no Python
+        return linked(read(spark, sf_dir, "documents"), count_links=True)

@@ -5,7 +5,7 @@ import weakref
 
 import pyarrow as pa
 import pytest
-from chainloom.llm import packing, pii, tokens
+from chainloom.llm import jaccard_join, packing, pii, tokens
 from chainloom.llm.common import BATCH_BYTES, lean, small_batches
 from pyspark.sql import functions as F
 
@@ -38,6 +38,14 @@ def test_texts_to_be_packed_come_in_small_batches(spark, long_texts, monkeypatch
     assert max(x.size for x in found) <= 1.1 * BATCH_BYTES
 
 
+def test_texts_to_be_joined_come_in_small_batches(spark, long_texts, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "read", lambda *_: long_texts)
+    monkeypatch.setattr(jaccard_join, "linked", lambda docs, **_: sizes(docs).collect())
+    found = jaccard_join.op9_jaccard_join(spark, "")
+    assert sum(x.n for x in found) == 3000
+    assert max(x.size for x in found) <= 1.1 * BATCH_BYTES
+
+
 @pytest.mark.parametrize("own", [None, "32m"])
 def test_the_sessions_bound_returns(spark, own):
     usual = spark.conf.get(KEY)

@@ -8,6 +8,7 @@ from collections import defaultdict
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from chainloom.llm import common, components, decontaminate, html_text, jaccard_join, packing, pii, quality_model, quality_rules, substring_dedup, token_files, tokens, warc
 from chainloom.llm.common import shared_dir, written
@@ -475,6 +476,54 @@ def test_jaccard_random(spark, monkeypatch, seed, block):
         assert got == brute.jaccard(rows, n, percent)
 
 
+@pytest.mark.parametrize("together", [1, 40, 1 << 17])
+def test_grams_of_texts_at_once(monkeypatch, together):
+    """However texts are put together, each has its own distinct n-grams, and none crosses two texts."""
+    monkeypatch.setattr(jaccard_join, "TOGETHER", together)
+    q = random.Random(5)
+    texts = [None, "", " \n", "a", "a ", " A b", "a b c", "a b c d", "a b c d a b c d a", "\xa0 \x1c x\x85y \xc9", "x" * 70 + " y z " + "x" * 70, None]
+    texts += [" ".join(q.choice("abcDE") for _ in range(q.randint(0, 9))) for _ in range(200)]
+    seen, n_sets = {}, 0
+    for n in (1, 2, 4):
+        for texts_at_once in jaccard_join.together(pa.array(texts)):
+            flat, bounds = jaccard_join.grams(texts_at_once, n)
+            assert len(bounds) == len(texts_at_once) + 1 and bounds[-1] == len(flat)
+            for text, x, y in zip(texts_at_once, bounds, bounds[1:]):
+                w = text.translate(jaccard_join.LOWER).split()
+                want = {tuple(w[k : k + n]) for k in range(max(len(w) - n, 0) + 1)} - {()}
+                s = flat[x:y]
+                assert len(s) == len(want) and (s[1:] > s[:-1]).all() and (s >> np.uint64(63) == 1).all()
+                assert seen.setdefault(frozenset(want), s.tobytes()) == s.tobytes()
+                n_sets += 1
+    assert n_sets == 3 * len(texts) and len(set(seen.values())) == len(seen)
+
+
+def test_words_are_not_hashed_one_by_one(monkeypatch):
+    """That took most of the join's CPU seconds where a corpus has many distinct words."""
+    calls = []
+    one = jaccard_join.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard_join.xxhash, "xxh3_64_intdigest", lambda word: calls.append(word) or one(word))
+    table = pa.record_batch([pa.array([1]), pa.array([" ".join(f"w{k}" for k in range(60_000)) + " " + "x" * 100])], names=["id", "text"])
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, rows, _):
+            return list(rows(iter([table])))
+
+    found = jaccard_join.sketches(Docs(), 4, lambda s: s)
+    assert found[0].column("size").to_pylist() == [59_998] and calls == [b"x" * 100]
+
+
+def test_long_words_of_equal_sums():
+    """The signs of a Thue-Morse word and of its opposite cancel in sums over powers of any odd base; the words still differ."""
+    signs = [bin(k).count("1") % 2 for k in range(4096)]
+    a, b = (bytes(97 + (s ^ flip) for s in signs) for flip in (0, 1))
+    assert common.text_hashes(a)[0] == common.text_hashes(b)[0]
+    assert jaccard_join.grams([a], 4)[0][0] != jaccard_join.grams([b], 4)[0][0]
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     text = " ".join(f"x{k}" for k in range(40))
     rows = [(1, text), (1, text), (None, text), (2, text + " end"), (3, "a b c d e"), (3, text + " fin"), (None, None), (4, "a b c d e"), (5, "a b c d e f")]
