@@ -3,12 +3,13 @@
 import json
 import random
 import threading
+from functools import reduce
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from chainloom import schemas
 from chainloom.functions import abi, hexes, keccak
-from chainloom.operators import integrity, latest, normalize, tokens
+from chainloom.operators import bloom_index, integrity, latest, normalize, tokens
 from chainloom.plans import routes
 from chainloom.plans.query_spec import FieldError, QuerySpec, aliases, allowed, answer, envelope, kind_of, parse, validate
 from chainloom.sources import rpc, staging
@@ -101,6 +102,24 @@ def test_blooms(spark):
     assert {x.block_number: x.logs_bloom for x in got.collect()} == {k: f"0x{v:0512x}" for k, v in want.items()}
 
 
+def test_keccak_of_many():
+    r = random.Random(2)
+    messages = [r.randbytes(n) for n in [*range(300), 0, 135, 136, 137, 32, 32]]
+    assert [bytes(h) for h in keccak.keccak256_all(messages)] == [keccak.keccak256(m) for m in messages]
+    assert keccak.keccak256_all([]).shape == (0, 32)
+
+
+def test_blooms_are_made_in_one_exchange(spark):
+    schema = "chain_id long, block_number long, address string, topic_0 string, topic_1 string, topic_2 string, topic_3 string"
+    rows = [(1, 1, None, "0x", "0xAb", "0xab", ""), (1, 2, "", "0xabc", "ab", "0xab\n", None), (1, 3, "0xab", "0xzz", "", "", ""), (None, None, "0xab", "", "", "", "")]
+    got = keccak.block_blooms(spark.createDataFrame(rows, schema))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # a digit was looked up in a map that was built anew for each of 512 digits of a block
+    assert plan.count("Exchange ") == 1 and "Join" not in plan and "transform(" not in plan and "map_from_entries" not in plan
+    bits = lambda *values: f"0x{reduce(lambda v, b: v | 1 << b, sum((bloom_index.bits_of(x) for x in values), []), 0):0512x}"
+    assert {x.block_number: x.logs_bloom for x in got.collect()} == {1: bits("0x", "0xab"), 3: bits("0xab"), None: bits("0xab")}
+
+
 def test_hex(spark):
     values = [None, "", "0x0", "0xzz", "0x", hex(2**63 - 1), hex(2**63), hex(2**64 - 1), hex(2**64), hex(2**256 - 1), hex(2**256), "0x000000000000000000001"]
     h = F.col("h")
