@@ -41,7 +41,8 @@ def write(logs: DataFrame, headers: DataFrame, path: str, span: int = SPAN) -> N
     numbers = logs.sparkSession.read.parquet(f"{path}/logs").select("chain_id", "span", "block_number").distinct()
     blooms = headers.select(F.col("chain_id").alias("c"), F.col("block_number").alias("n"), "logs_bloom")
     of_all = numbers.join(blooms, (F.col("chain_id") == F.col("c")) & (F.col("block_number") == F.col("n")), "left").drop("c", "n")
-    of_all.repartitionByRange("chain_id", "block_number").sortWithinPartitions("chain_id", "block_number").write.parquet(f"{path}/blooms")
+    # dealt by span, since ranges would be sampled and all blooms be computed twice for it
+    of_all.repartition("chain_id", "span").sortWithinPartitions("chain_id", "block_number").write.parquet(f"{path}/blooms")
 
 
 def events(spark: SparkSession, path: str, chain_id: int, **values: str) -> DataFrame:
