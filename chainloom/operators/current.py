@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainloom.operators.latest import DELETED, VERSION
-from chainloom.scratch import written
+from chainloom.scratch import dropped, freed, written
 
 
 def folders(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
@@ -51,13 +51,16 @@ def merge(path: str, batch: DataFrame, keys: list[str], version: Iterable[str] =
     fresh = written(best(batch, *keys).withColumn("bucket", slot))
     touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())  # at most one a bucket
     if not touched:
+        dropped(fresh)
         return []
     old = [held[b] for b in touched if held[b]]
     rows = fresh.unionByName(_stored(spark, [f"{path}/{f}" for f in old]).withColumn("bucket", slot), allowMissingColumns=True) if old else fresh
     data = f"data/{uuid.uuid4().hex}"
-    best(rows.repartition("bucket"), "bucket", *keys).write.partitionBy("bucket").parquet(f"{path}/{data}")
+    with freed(spark):
+        best(rows.repartition("bucket"), "bucket", *keys).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/{data}")
     now = held | {b: f"{data}/bucket={b}" for b in touched}
     spark.createDataFrame(list(now.items()), "bucket int, folder string").coalesce(1).write.parquet(f"{path}/commits/commit={commit + 1}")
+    dropped(fresh)
     return touched
 
 

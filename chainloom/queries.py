@@ -95,10 +95,11 @@ def final_tx(blocks, transactions, logs):
 @query("SELECT block_number, transaction_index, hash, value FROM transactions")
 def current_tx(spark, sf_dir):
     """The final transactions out of a kept table, into which their versions came in three batches of no order."""
-    path, rows = shared_dir(spark), view.tx_versions(spark, sf_dir)
+    path, rows = shared_dir(spark), view.line_items(spark, sf_dir)
+    sender = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     for k in range(3):
-        current.merge(path, rows.where(F.crc32(F.col("from_address")) % 3 == k), view.TX_KEY, view.VERSION, buckets=16)
-    return current.read(spark, path).select("block_number", "transaction_index", "hash", "value")
+        current.merge(path, rows.where(F.crc32(sender) % 3 == k), view.LINE, view.VERSION, buckets=16)
+    return current.read(spark, path).select(*view.tx_columns()).select("block_number", "transaction_index", "hash", "value")
 
 
 @query("SELECT chain_id, block_number, tx_count FROM tx_counts")
