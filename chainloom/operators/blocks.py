@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,22 @@ def assembled(blocks: DataFrame, **children: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(blocks: DataFrame, **children: DataFrame) -> DataFrame:
+    """As `assembled`, by ranges of (chain_id, block_number) and in their order, for what is written so.
+
+    The rows of all tables go through one exchange as they are given; what is wider and can be made of them is better made
+    afterwards. A child's rows are ordered by its columns, from the first on; columns of the key aren't repeated in it.
+    """
+    tables = {"block": blocks, **{name: df.dropna(subset=KEY) for name, df in children.items()}}
+    items = {name: F.struct(*[c for c in df.columns if c not in KEY]) for name, df in tables.items()}
+    kinds = {name: df.select(items[name].alias("x")).schema["x"].dataType for name, df in tables.items()}
+    missing = {name: F.lit(None).cast(kind) for name, kind in kinds.items()}
+    rows = reduce(DataFrame.unionByName, [df.select(*KEY, *[(items if k == name else missing)[k].alias(k) for k in tables]) for name, df in tables.items()])
+    lists = [F.collect_list("block").alias("block"), *[F.sort_array(F.collect_list(name)).alias(name) for name in children]]
+    grouped = rows.repartitionByRange(*KEY).groupBy(*KEY).agg(*lists)
+    return grouped.select(*KEY, F.explode("block").alias("block"), *children).sortWithinPartitions(*KEY)  # numbers may repeat among headers
+
+
 def exploded(nested: DataFrame, name: str) -> DataFrame:
     """The rows of one kind out of assembled blocks."""
     if name == "blocks":

@@ -26,6 +26,12 @@ def latest(df: DataFrame, keys: Iterable[str], version: Iterable[str | Column] =
     return best.where(~F.coalesce(F.col(deleted).cast("boolean"), F.lit(False))) if deleted else best
 
 
+def latest_in(versions: str, key: str, deleted: str = DELETED) -> Column:
+    """Of an array column of versions in ascending order, key first, the last of each key that isn't a tombstone."""
+    last = lambda x, k: ~F.coalesce(F.get(versions, k + 1)[key].eqNullSafe(x[key]) & (k + 1 < F.size(versions)), F.lit(False))
+    return F.filter(versions, lambda x, k: last(x, k) & ~F.coalesce(x[deleted].cast("boolean"), F.lit(False)))
+
+
 def delete_insert(old: DataFrame, new: DataFrame, at: Column) -> DataFrame:
     """Tombstones of old rows and the rows that replace them, `op_seq` 0 and 1; inserts are a microsecond later."""
     tombs = old.withColumn(DELETED, F.lit(1).cast("tinyint")).withColumn(VERSION, at).withColumn("op_seq", F.lit(0))

@@ -6,11 +6,15 @@ reach the scans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.functions.hexes import EMPTY_BLOOM
-from chainloom.operators.latest import latest
+from chainloom.operators.blocks import dealt
+from chainloom.operators.integrity import KEY
+from chainloom.operators.latest import latest, latest_in
 
 VERSION = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 LINE = ["l_orderkey", "l_linenumber"]
@@ -20,34 +24,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 101st number is missing, every 97th has another parent; what a header states of its transactions is o_custkey % 7."""
-    n = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(n % 101 != 50).select(
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 101 != 50)
+
+
+def block_columns(c: Callable[[str], Column] = F.col) -> list[Column]:
+    """The columns of a header, of its order."""
+    n = c("o_orderkey")
+    return [
         F.lit(1).cast("bigint").alias("chain_id"), n.alias("block_number"), F.md5(n.cast("string")).alias("hash"),
         F.when(n % 97 == 0, F.md5((-n - 7).cast("string"))).otherwise(F.md5((n - 1).cast("string"))).alias("parent_hash"),
-        F.col("o_orderdate").alias("block_timestamp"), F.concat(F.lit("m"), F.col("o_custkey").cast("string")).alias("miner"),
-        (F.col("o_custkey") % 7).alias("transaction_count"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("gas_used"),
+        c("o_orderdate").alias("block_timestamp"), F.concat(F.lit("m"), c("o_custkey").cast("string")).alias("miner"),
+        (c("o_custkey") % 7).alias("transaction_count"), F.round(c("o_totalprice") * 100).cast("bigint").alias("gas_used"),
         F.when(n % 5 == 0, EMPTY_BLOOM).when(n % 5 == 1, "").otherwise(F.concat(F.lit("0x"), F.repeat(F.md5(n.cast("string")), 16))).alias("logs_bloom"),
-    )
+    ]
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 101st number is missing, every 97th has another parent; what a header states of its transactions is o_custkey % 7."""
+    return _orders(spark, sf_dir).select(*block_columns())
 
 
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as they are, but for what `tx_columns` doesn't need; returned ones are tombstones.
+    """Line items with the columns that versions need; returned ones are tombstones.
 
-    Versions are compared in this form: it is a quarter of what is made of it, and all of it goes through shuffles.
+    Versions are compared in this form: what is made of it is several times as wide, and all of it goes through shuffles.
     """
     return table(spark, sf_dir, "lineitem").select(*LINE, *VERSION, (F.col("l_returnflag") == "R").alias("is_deleted"))
 
 
-def tx_columns() -> list[Column]:
+def tx_columns(c: Callable[[str], Column] = F.col) -> list[Column]:
     """The columns of a transaction, of its line item."""
-    name = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    name = F.concat_ws(":", c("l_orderkey").cast("string"), c("l_linenumber").cast("string"))
     return [
-        F.lit(1).cast("bigint").alias("chain_id"), F.col("l_orderkey").alias("block_number"), F.col("l_linenumber").cast("bigint").alias("transaction_index"), F.md5(name).alias("hash"),
-        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from_address"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to_address"),
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("value"), F.col("l_quantity").cast("bigint").alias("gas"),
-        F.concat(F.lit("0x"), F.md5(F.col("l_partkey").cast("string"))).alias("data"),
+        F.lit(1).cast("bigint").alias("chain_id"), c("l_orderkey").alias("block_number"), c("l_linenumber").cast("bigint").alias("transaction_index"), F.md5(name).alias("hash"),
+        F.concat(F.lit("s"), c("l_suppkey").cast("string")).alias("from_address"), F.concat(F.lit("p"), c("l_partkey").cast("string")).alias("to_address"),
+        F.round(c("l_extendedprice") * 100).cast("bigint").alias("value"), c("l_quantity").cast("bigint").alias("gas"),
+        F.concat(F.lit("0x"), F.md5(c("l_partkey").cast("string"))).alias("data"),
     ]
 
 
@@ -55,14 +68,40 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(line_items(spark, sf_dir), LINE, VERSION).select(*tx_columns())
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where(F.col("event_id") % 401 != 6)
+
+
+def log_columns(c: Callable[[str], Column] = F.col) -> list[Column]:
+    """The columns of a log, of its event."""
+    e = c("event_id")
+    number = F.floor(e / 8).cast("bigint")
+    return [
+        F.lit(1).cast("bigint").alias("chain_id"), number.alias("block_number"), c("ts").alias("block_timestamp"),
+        F.md5(F.concat_ws(":", number.cast("string"), (F.floor((e % 8) / 2)).cast("string"))).alias("transaction_hash"), (e % 8).alias("log_index"), c("event_type").alias("address"), F.md5(c("event_type")).alias("topic_0"),
+        F.concat(F.lit("u"), c("user_id").cast("string")).alias("topic_1"), c("props").alias("data"), F.round(c("value") * 100).cast("bigint").alias("amount"), c("user_id").alias("user_id"),
+    ]
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight events a block; one in 401 is lost, so some log indexes have gaps."""
-    e = F.col("event_id")
-    number = F.floor(e / 8).cast("bigint")
-    return table(spark, sf_dir, "events").where(e % 401 != 6).select(
-        F.lit(1).cast("bigint").alias("chain_id"), number.alias("block_number"), F.col("ts").alias("block_timestamp"),
-        F.md5(F.concat_ws(":", number.cast("string"), (F.floor((e % 8) / 2)).cast("string"))).alias("transaction_hash"), (e % 8).alias("log_index"), F.col("event_type").alias("address"), F.md5("event_type").alias("topic_0"),
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("topic_1"), F.col("props").alias("data"), F.round(F.col("value") * 100).cast("bigint").alias("amount"), F.col("user_id"),
+    return _events(spark, sf_dir).select(*log_columns())
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their transactions and logs, by ranges of their numbers: `assembled` of the views.
+
+    Orders, line items and events are brought together as they are, and become what the views make of them in their block.
+    """
+    place = lambda number: (F.lit(1).cast("bigint").alias("chain_id"), number.cast("bigint").alias("block_number"))
+    headers = _orders(spark, sf_dir).select(*place(F.col("o_orderkey")), "o_custkey", "o_totalprice", "o_orderdate")
+    lines = line_items(spark, sf_dir).select(*place(F.col("l_orderkey")), "l_linenumber", *VERSION, "is_deleted")
+    events = _events(spark, sf_dir).select(*place(F.floor(F.col("event_id") / 8)), "event_id", "ts", "user_id", "event_type", "value", "props")
+    rows = dealt(headers, transactions=lines, logs=events)
+    own = lambda x, key: lambda name: F.col("block_number") if name == key else x[name]
+    return rows.withColumn("transactions", latest_in("transactions", "l_linenumber")).select(
+        *KEY, F.struct(*block_columns(own(F.col("block"), "o_orderkey"))).alias("block"),
+        F.transform("transactions", lambda x: F.struct(*tx_columns(own(x, "l_orderkey")))).alias("transactions"), F.transform("logs", lambda x: F.struct(*log_columns(lambda name: x[name]))).alias("logs"),
     )
 
 

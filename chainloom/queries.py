@@ -235,14 +235,12 @@ AT = "2024-01-01 00:00:00"
 
 
 @query("SELECT block_number, transaction_index, hash, from_address, to_address, value, gas, data FROM transactions WHERE block_number IN (SELECT block_number FROM blocks)")
-@views
-def staging_roundtrip(blocks, transactions, logs):
+def staging_roundtrip(spark, sf_dir):
     """All blocks as staged files, and their transactions read back."""
-    nested = nesting.assembled(blocks, transactions=transactions, logs=logs)
+    nested, path = view.nested(spark, sf_dir), shared_dir(spark)
     child = lambda k: nested.schema[k].dataType.elementType
-    path = shared_dir(blocks.sparkSession)
-    staged_sink.write(staging.encoded(nested), path, gaps="allow")
-    back = staging.decoded(staged_sink.committed(blocks.sparkSession, path), nested.schema["block"].dataType, transactions=child("transactions"), logs=child("logs"))
+    staged_sink.write(staging.encoded(nested), path, gaps="allow", dealt=True)
+    back = staging.decoded(staged_sink.committed(spark, path), nested.schema["block"].dataType, transactions=child("transactions"), logs=child("logs"))
     return nesting.exploded(back, "transactions").select("block_number", "transaction_index", "hash", "from_address", "to_address", "value", "gas", "data")
 
 

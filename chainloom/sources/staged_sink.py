@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from chainloom.schemas import STAGED
+from chainloom.scratch import freed
 from chainloom.sources.staging import StagingError, scan, surviving
 
 MANIFEST = "file string, chain_id bigint, start_block bigint, end_block bigint, n_blocks bigint, bytes bigint, text_bytes bigint, sha256 string, write string"
@@ -216,14 +217,20 @@ class ChainStaged(DataSource):
         return Writer(self.options, schema)
 
 
-def write(staged: DataFrame, uri: str, gaps: str = "fail", max_file_bytes: int = MAX_FILE_BYTES, name: str | None = None) -> DataFrame:
+def write(staged: DataFrame, uri: str, gaps: str = "fail", max_file_bytes: int = MAX_FILE_BYTES, name: str | None = None, dealt: bool = False) -> DataFrame:
     """Write staged rows below uri and return its manifest. A write of the same name replaces nothing that is read: it fails
-    if blocks repeat within it, and its manifest takes the place of the earlier one."""
+    if blocks repeat within it, and its manifest takes the place of the earlier one.
+
+    dealt: rows come by ranges of chain and number and in their order (`blocks.dealt`), so their texts need no exchange;
+    if they don't, the checks within and between files fail the write.
+    """
     staged.sparkSession.dataSource.register(ChainStaged)
     columns = [c.split(" ")[0] for c in STAGED.split(", ")]
-    rows = staged.select(columns).repartitionByRange("chain_id", "block_number").sortWithinPartitions("chain_id", "block_number")
+    rows = staged.select(columns)
+    rows = rows if dealt else rows.repartitionByRange("chain_id", "block_number").sortWithinPartitions("chain_id", "block_number")
     options = {"path": uri, "gaps": gaps, "max_file_bytes": str(max_file_bytes)} | ({"write": name} if name else {})
-    rows.write.format("chain_staged").options(**options).mode("append").save()
+    with freed(staged.sparkSession):
+        rows.write.format("chain_staged").options(**options).mode("append").save()
     return manifest(staged.sparkSession, uri)
 
 

@@ -4,10 +4,13 @@ import re
 import time
 from pathlib import Path
 
+import pytest
 from chainloom import queries
-from chainloom.operators import current
+from chainloom.operators import blocks as nesting
+from chainloom.operators import current, latest
 from chainloom.plans import chainview as view
 from chainloom.scratch import shared_dir, written
+from chainloom.sources import staged_sink, staging
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +53,52 @@ def test_versions_are_kept_as_line_items(spark):
     assert "md5(" not in plan[plan.index("Window") :]
     stored = spark.read.parquet(queries.current_tx(spark, SF).inputFiles()[0])
     assert "l_suppkey" in stored.columns and "hash" not in stored.columns
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_dealt_is_assembled_by_ranges_in_one_exchange(spark):
+    blocks = spark.createDataFrame([(1, n, f"h{n}") for n in (1, 2, 3, 3, 9)] + [(2, 1, "x"), (None, 1, "y"), (1, None, "z")], "chain_id long, block_number long, hash string")
+    txs = spark.createDataFrame([(1, 3, 2, "b"), (1, 3, 1, "a"), (1, 2, 5, None), (1, 7, 1, "lost"), (2, 1, 1, "c"), (1, None, 1, "lost"), (None, 1, 1, "lost")], "chain_id long, block_number long, transaction_index long, hash string")
+    got = nesting.dealt(blocks, transactions=txs)
+    assert exchanges(got) == 1
+    plain = lambda rows: sorted((str(r.chain_id), str(r.block_number), r.block.hash, [(t.transaction_index, t.hash) for t in r.transactions]) for r in rows)
+    assert plain(got.collect()) == plain(nesting.assembled(blocks, transactions=txs).collect())
+    numbers = [(r.chain_id or 0, r.block_number or 0) for r in got.collect()]
+    assert numbers == sorted(numbers)
+
+
+def test_nested_is_assembled_of_the_views(spark):
+    want = nesting.assembled(view.blocks(spark, SF), transactions=view.transactions(spark, SF), logs=view.logs(spark, SF))
+    got = view.nested(spark, SF)
+    assert exchanges(got) == 1 and exchanges(want) > 3
+    cols = lambda df, at: [f.name for f in (df.schema[at].dataType.elementType if at != "block" else df.schema[at].dataType).fields]
+    for at in ("block", "transactions", "logs"):
+        assert sorted(cols(got, at)) == sorted(cols(want, at))
+    same = lambda df: df.select("block_number", "block.*", *[F.to_json(F.transform(k, lambda x: F.struct(*[x[c] for c in sorted(cols(got, k))]))).alias(f"{k}_json") for k in ("transactions", "logs")]).drop("chain_id")  # noqa: E731, B023
+    assert sorted(map(str, same(got).collect())) == sorted(map(str, same(want).collect()))
+
+
+def test_latest_in(spark):
+    rows = spark.createDataFrame([([(1, 1, "a", False), (1, 2, "b", None), (2, 1, "c", True), (None, 1, "d", False), (None, 2, "e", False), (3, 5, "f", False), (3, 6, "g", True)],), ([],), (None,)], "v array<struct<k:int, at:int, x:string, is_deleted:boolean>>")
+    found = [r.f for r in rows.select(F.sort_array("v").alias("v")).select(F.expr("v").alias("v")).withColumn("f", latest.latest_in("v", "k")).collect()]
+    assert [None if f is None else [x.x for x in f] for f in found] == [["e", "b"], [], None]
+
+
+def test_dealt_rows_are_staged_without_another_exchange(spark, tmp_path):
+    nested = view.nested(spark, SF)
+    files = staged_sink.write(staging.encoded(nested), f"file://{tmp_path}/a", gaps="allow", dealt=True)
+    back = staged_sink.committed(spark, f"file://{tmp_path}/a")
+    assert back.count() == nested.count() == files.agg(F.sum("n_blocks")).first()[0]
+    mixed = staging.encoded(nested).repartition(3, "block_hash")
+    with pytest.raises(Exception, match="after"):
+        staged_sink.write(mixed, f"file://{tmp_path}/b", gaps="allow", dealt=True)
+    assert staged_sink.manifest(spark, f"file://{tmp_path}/b").count() == 0
+
+
+def test_round_trip_shuffles_no_texts(spark, monkeypatch):
+    wide = []
+    monkeypatch.setattr(nesting, "assembled", lambda *a, **k: wide.append(a))
+    assert queries.staging_roundtrip(spark, SF).count() and not wide
