@@ -16,7 +16,7 @@ from chainloom.operators import bloom_index, current, forks, integrity, latest,
 from chainloom.plans import chainview as view
 from chainloom.plans import routes, search_index
 from chainloom.plans.query_spec import QuerySpec, answer, search
-from chainloom.scratch import shared_dir
+from chainloom.scratch import freed, shared_dir
 from chainloom.sources import staged_sink, staging
 from chainloom.streaming.publish import materialised, messages, opened, replacement
 
@@ -264,13 +264,12 @@ def staged_footers(blocks, transactions, logs):
 
 
 @query("SELECT block_number, log_index, address, topic_0, topic_1, data, 0 AS is_deleted FROM logs WHERE block_number IN (SELECT block_number FROM blocks)")
-@views
-def message_roundtrip(blocks, transactions, logs):
+def message_roundtrip(spark, sf_dir):
     """All blocks as written messages, opened again."""
-    nested = nesting.assembled(blocks, transactions=transactions, logs=logs)
-    path = shared_dir(blocks.sparkSession)
-    messages(nested, F.lit(AT).cast("timestamp"), compress_bytes=4096).write.parquet(path)
-    rows = materialised(opened(blocks.sparkSession.read.parquet(path), nested.schema), "logs")
+    nested, path = view.nested(spark, sf_dir), shared_dir(spark)
+    with freed(spark):
+        messages(nested, F.lit(AT).cast("timestamp"), compress_bytes=4096).write.option("compression", "zstd").parquet(path)
+    rows = materialised(opened(spark.read.parquet(path), nested.schema), "logs")
     return rows.select("block_number", "log_index", "address", "topic_0", "topic_1", "data", F.col("is_deleted").cast("int").alias("is_deleted"))
 
 

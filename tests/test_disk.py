@@ -98,7 +98,7 @@ def test_dealt_rows_are_staged_without_another_exchange(spark, tmp_path):
     assert staged_sink.manifest(spark, f"file://{tmp_path}/b").count() == 0
 
 
-def test_round_trip_shuffles_no_texts(spark, monkeypatch):
+def test_round_trips_shuffle_no_texts(spark, monkeypatch):
     wide = []
     monkeypatch.setattr(nesting, "assembled", lambda *a, **k: wide.append(a))
-    assert queries.staging_roundtrip(spark, SF).count() and not wide
+    assert queries.staging_roundtrip(spark, SF).count() and queries.message_roundtrip(spark, SF).count() and not wide
