@@ -15,6 +15,7 @@ from chainloom.functions.hexes import EMPTY_BLOOM
 from chainloom.operators.blocks import dealt
 from chainloom.operators.integrity import KEY
 from chainloom.operators.latest import latest, latest_in
+from chainloom.scratch import written
 
 VERSION = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 LINE = ["l_orderkey", "l_linenumber"]
@@ -64,8 +65,10 @@ def tx_columns(c: Callable[[str], Column] = F.col) -> list[Column]:
     ]
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest(line_items(spark, sf_dir), LINE, VERSION).select(*tx_columns())
+def transactions(spark: SparkSession, sf_dir: str, kept: bool = False) -> DataFrame:
+    """The final transactions; kept: their line items are chosen once and written, for what reads them many times."""
+    lines = latest(line_items(spark, sf_dir), LINE, VERSION)
+    return (written(lines) if kept else lines).select(*tx_columns())
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.plans.query_spec import kind_of
+from chainloom.scratch import freed
 
 ROW_GROUP_BYTES, KEYS_A_GROUP = 16 << 20, 200_000
 ENTRY = "key string, chain_id bigint, type string, block_number bigint, hash string"
@@ -23,23 +24,31 @@ FINDS = {"block": ["block"], "hash": ["block", "transaction", "event_signature"]
 def entries(blocks: DataFrame, transactions: DataFrame, logs: DataFrame) -> DataFrame:
     """The entries of the tables, each scanned once; missing and empty keys have none."""
 
-    def of(df: DataFrame, hash_: str, **keys: str) -> DataFrame:
-        made = F.array(*[F.struct(F.lit(kind).alias("type"), F.expr(key).alias("key")) for kind, key in keys.items()])
+    def of(df: DataFrame, hash_: str, *keys: tuple[str, str]) -> DataFrame:
+        made = F.array(*[F.struct(F.lit(kind).alias("type"), F.expr(key).alias("key")) for kind, key in keys])
         return df.select("chain_id", "block_number", F.col(hash_).alias("hash"), F.inline(made))
 
-    numbers = blocks.select("chain_id", "block_number", "hash", F.lit("block").alias("type"), F.explode(F.array(F.col("block_number").cast("string"), F.col("hash"))).alias("key"))
-    calls = of(transactions, "hash", transaction="hash", function_signature="function_selector", contract="contract_address")
-    parties = transactions.select("chain_id", "block_number", "hash", F.lit("address").alias("type"), F.explode(F.array_distinct(F.array("from_address", "to_address"))).alias("key"))
-    rows = numbers.unionByName(calls).unionByName(parties).unionByName(of(logs, "transaction_hash", event_signature="topic_0"))
+    numbers = of(blocks, "hash", ("block", "CAST(block_number AS STRING)"), ("block", "hash"))
+    parties = ("address", "from_address"), ("address", "CASE WHEN NOT from_address <=> to_address THEN to_address END")  # once where both are one
+    calls = of(transactions, "hash", ("transaction", "hash"), ("function_signature", "function_selector"), ("contract", "contract_address"), *parties)
+    rows = numbers.unionByName(calls).unionByName(of(logs, "transaction_hash", ("event_signature", "topic_0")))
     return rows.where("key <> ''").select("key", "chain_id", "type", "block_number", "hash")
 
 
-def add(path: str, found: DataFrame, batch: int, replaced: DataFrame | None = None) -> None:
-    """Add entries as a batch; replaced: chain_id and block_number of blocks whose earlier entries no longer hold."""
+def add(path: str, found: DataFrame, batch: int, replaced: DataFrame | None = None, slices: int = 1) -> None:
+    """Add entries as a batch; replaced: chain_id and block_number of blocks whose earlier entries no longer hold.
+
+    slices: entries are sorted in so many parts (up to 16, by the first hex digit of a key), one after the other. Each scans
+    `found` again, and its exchange has gone from the disk when the next begins.
+    """
     order = ["key", "chain_id", "block_number", "hash"]
-    clustered = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(KEYS_A_GROUP), "parquet.block.size": str(ROW_GROUP_BYTES)}
-    clustered.write.mode("overwrite").options(**options).parquet(f"{path}/entries/batch={int(batch)}")
+    digit, digits = F.substring("key", 3, 1), "0123456789abcdef"
+    options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(KEYS_A_GROUP), "parquet.block.size": str(ROW_GROUP_BYTES), "compression": "zstd"}
+    for k in range(slices):
+        part = found.where(digit.isin(*digits[16 * k // slices : 16 * (k + 1) // slices])) if k else found.where(~digit.isin(*digits[16 // slices :])) if slices > 1 else found
+        clustered = part.repartitionByRange(*order).sortWithinPartitions(*order)
+        with freed(found.sparkSession):
+            clustered.write.mode("append" if k else "overwrite").options(**options).parquet(f"{path}/entries/batch={int(batch)}")
     spark = found.sparkSession
     mark = spark.range(1).select(F.lit(None).cast("bigint").alias("chain_id"), F.lit(None).cast("bigint").alias("block_number"))
     marks = mark if replaced is None else mark.unionByName(replaced.select("chain_id", "block_number").distinct())

@@ -469,11 +469,10 @@ def _hexed(blocks, transactions, logs):
     UNION ALL SELECT 'address', 'contract', block_number, tx FROM t WHERE block_number % 50 = 0 AND from_address = 's7'
     UNION ALL SELECT 'address', 'address', block_number, tx FROM t WHERE from_address = 's7' OR to_address = 's7'"""
 )
-@views
-def search_indexed(blocks, transactions, logs):
+def search_indexed(spark, sf_dir):
     """All tables indexed, and a text of each kind looked up."""
-    spark, path = blocks.sparkSession, shared_dir(blocks.sparkSession)
-    search_index.add(path, search_index.entries(*_hexed(blocks, transactions, logs)), 1)
+    path, tables = shared_dir(spark), (view.blocks(spark, sf_dir), view.transactions(spark, sf_dir, kept=True), view.logs(spark, sf_dir))
+    search_index.add(path, search_index.entries(*_hexed(*tables)), 1, slices=4)
     asked = {"number": "321", "hash": _hash("104:6"), "topic": _hash("click"), "selector": "0x" + hashlib.md5(b"77").hexdigest()[:8], "address": _address("s7")}
     rows = [search_index.find(spark, path, text, 1).withColumn("asked", F.lit(name)).drop("chain_id") for name, text in asked.items()]
     return reduce(DataFrame.unionByName, rows)

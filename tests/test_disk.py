@@ -9,6 +9,7 @@ from chainloom import queries
 from chainloom.operators import blocks as nesting
 from chainloom.operators import current, latest
 from chainloom.plans import chainview as view
+from chainloom.plans import search_index
 from chainloom.scratch import shared_dir, written
 from chainloom.sources import staged_sink, staging
 from pyspark.sql import functions as F
@@ -102,3 +103,24 @@ def test_round_trips_shuffle_no_texts(spark, monkeypatch):
     wide = []
     monkeypatch.setattr(nesting, "assembled", lambda *a, **k: wide.append(a))
     assert queries.staging_roundtrip(spark, SF).count() and queries.message_roundtrip(spark, SF).count() and not wide
+
+
+def test_entries_scan_transactions_once_and_in_slices(spark, tmp_path, monkeypatch):
+    tables = queries._hexed(view.blocks(spark, SF), view.transactions(spark, SF), view.logs(spark, SF))
+    found = search_index.entries(*tables)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+    both = spark.createDataFrame([(1, 5, "0xh", "0xa", "0xa", "", None), (1, 6, "0xi", None, "0xA", "0x", "0xB"), (1, 7, "0xj", "0xb", None, "0x1", "q")], "chain_id long, block_number long, hash string, from_address string, to_address string, function_selector string, contract_address string")
+    none = spark.createDataFrame([], "chain_id long, block_number long, hash string, transaction_hash string, topic_0 string")
+    own = search_index.entries(none, both, none)
+    assert sorted((r.key, r.hash) for r in own.where("type = 'address'").collect()) == [("0xA", "0xi"), ("0xa", "0xh"), ("0xb", "0xj")]
+    written_rows = {}
+    for n in (1, 4, 16):
+        search_index.add(f"file://{tmp_path}/{n}", found.unionByName(own), 1, slices=n)
+        search_index.add(f"file://{tmp_path}/{n}", found.unionByName(own), 1, slices=n)  # a batch that is written again
+        written_rows[n] = sorted(map(tuple, spark.read.schema(search_index.ENTRY).parquet(f"file://{tmp_path}/{n}/entries/batch=1").collect()))
+    assert written_rows[1] == written_rows[4] == written_rows[16] == sorted(map(tuple, found.unionByName(own).collect()))
+    sliced = []
+    monkeypatch.setattr(search_index, "add", lambda *a, slices=1, **k: sliced.append(slices))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        queries.search_indexed(spark, SF).count()
+    assert sliced == [4]
