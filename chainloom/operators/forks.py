@@ -3,7 +3,8 @@
 Several headers may have one number. The canonical chain is that of the best header of a chain, of the greatest number and
 then the least hash (or of a given head), and its ancestors by parent hash. Both questions are answered by pointer
 doubling, so the rounds grow with the logarithm of the longest branch: in round k every header knows its 2^k-th ancestor.
-Rounds are written tables, each two joins on (chain, hash); nothing passes through one task.
+Headers are numbered and linked once (`linked`), so rounds hold pairs of ids instead of hashes; each is a written table of two
+joins, and takes the place of the one before on the disk. Nothing passes through one task.
 
 Repeated headers count once. A header without number or hash is left out. Hashes are those of one chain; a branch whose
 parents aren't stored has no ancestor. Parent hashes that form a circle end as branches without an ancestor.
@@ -15,56 +16,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.operators.integrity import CHAIN, NUMBER
-from chainloom.scratch import written
+from chainloom.scratch import dropped, written
 
 NODE = [CHAIN, "hash"]
 
 
-def heads(headers: DataFrame) -> DataFrame:
-    """chain_id and hash of the best header of each chain."""
-    best = headers.groupBy(CHAIN).agg(F.min_by("hash", F.struct((-F.col(NUMBER)).alias("n"), "hash")).alias("hash"))
-    return best.select(*NODE)
+def linked(headers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Headers as written tables: chain_id, hash, block_number, parent_hash and id, a row a header, and links: id and up, the
+    parent's id, where it is stored and has the number before."""
+    own = headers.where(F.col("hash").isNotNull() & F.col(NUMBER).isNotNull()).select(CHAIN, "hash", NUMBER, "parent_hash").dropDuplicates(NODE)
+    nodes = written(own.withColumn("id", F.monotonically_increasing_id()))
+    parents = nodes.select(CHAIN, F.col("hash").alias("parent_hash"), (F.col(NUMBER) + 1).alias(NUMBER), F.col("id").alias("up"))
+    return nodes, written(nodes.select(CHAIN, "parent_hash", NUMBER, "id").join(parents, [CHAIN, "parent_hash", NUMBER]).select("id", "up"))
 
 
-def linked(headers: DataFrame) -> DataFrame:
-    """chain_id, hash, block_number and up: the parent, if it is stored and has the number before."""
-    own = headers.where(F.col("hash").isNotNull() & F.col(NUMBER).isNotNull()).select(CHAIN, "hash", NUMBER, "parent_hash").dropDuplicates(NODE)
-    parents = own.select(CHAIN, F.col("hash").alias("parent_hash"), (F.col(NUMBER) + 1).alias(NUMBER), F.col("hash").alias("up"))
-    return own.join(parents, [CHAIN, "parent_hash", NUMBER], "left").select(CHAIN, "hash", NUMBER, "up")
+def heads(nodes: DataFrame) -> DataFrame:
+    """id of the best header of each chain."""
+    return nodes.groupBy(CHAIN).agg(F.min_by("id", F.struct((-F.col(NUMBER)).alias("n"), "hash")).alias("id")).select("id")
 
 
 def doubled(jumps: DataFrame) -> DataFrame:
-    """Jumps (chain_id, hash, up) twice as far; those that would leave the chain are gone."""
-    far = jumps.select(CHAIN, F.col("hash").alias("up"), F.col("up").alias("far"))
-    return jumps.join(far, [CHAIN, "up"]).select(CHAIN, "hash", F.col("far").alias("up"))
+    """Jumps (id, up) twice as far; those that would leave the chain are gone."""
+    return jumps.join(jumps.select(F.col("id").alias("up"), F.col("up").alias("far")), "up").select("id", F.col("far").alias("up"))
+
 
+def canonical(headers: DataFrame, head: DataFrame | None = None, forest: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """chain_id, block_number, hash of the canonical chain, a written table; head: chain_id and hash, else the best header.
 
-def canonical(headers: DataFrame, head: DataFrame | None = None) -> DataFrame:
-    """chain_id, block_number, hash of the canonical chain, a written table; head: chain_id and hash, else the best header."""
-    nodes = written(linked(headers))
-    jumps = written(nodes.where("up is not null").select(*NODE, "up"))
-    found = written((heads(nodes) if head is None else head.select(*NODE).join(nodes, NODE, "left_semi")).distinct())
+    forest: what `linked` made of the headers, for callers that ask more than once; it is left as it is.
+    """
+    nodes, links = forest or linked(headers)
+    jumps, found = links, written(heads(nodes) if head is None else nodes.join(head.select(*NODE).distinct(), NODE, "left_semi").select("id"))
     while not jumps.isEmpty():  # all ancestors at a distance below 2^k are found before round k
-        found = written(found.union(found.join(jumps, NODE).select(CHAIN, F.col("up").alias("hash"))))
-        jumps = written(doubled(jumps))
-    return written(nodes.join(found, NODE, "left_semi").select(CHAIN, NUMBER, "hash"))
-
-
-def orphans(headers: DataFrame, chain: DataFrame) -> DataFrame:
-    """chain_id, block_number and hash of headers off the chain, with the last canonical ancestor (null if there is none)."""
-    nodes = linked(headers)
-    off = written(nodes.join(chain.select(*NODE), NODE, "left_anti"))
-    on = chain.select(CHAIN, F.col("hash").alias("up"), F.lit(True).alias("ends"))
-    now = written(off.where("up is not null").join(on, [CHAIN, "up"], "left").select(*NODE, "up", F.coalesce("ends", F.lit(False)).alias("ends")))
-    depth, rounds = off.count(), 0
+        more, far = written(found.union(found.join(jumps, "id").select(F.col("up").alias("id")))), written(doubled(jumps))
+        dropped(found, *([] if jumps is links else [jumps]))
+        found, jumps = more, far
+    chain = written(nodes.join(found, "id", "left_semi").select(CHAIN, NUMBER, "hash"))
+    dropped(found, *([nodes, links] if forest is None else []))
+    return chain
+
+
+def orphans(headers: DataFrame, chain: DataFrame, forest: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """chain_id, block_number and hash of headers off the chain, with the last canonical ancestor (null if there is none), a written table."""
+    nodes, links = forest or linked(headers)
+    on = written(nodes.join(chain.select(*NODE), NODE, "left_semi").select("id"))
+    ends = on.select(F.col("id").alias("up"), F.lit(True).alias("ends"))
+    now = written(links.join(on, "id", "left_anti").join(ends, "up", "left").select("id", "up", F.coalesce("ends", F.lit(False)).alias("ends")))
+    depth, rounds = nodes.count() - on.count(), 0
     while 1 << rounds <= depth and not now.where("not ends").isEmpty():
-        far = now.select(CHAIN, F.col("hash").alias("up"), F.col("up").alias("far"), F.col("ends").alias("far_ends"))
-        open_ = now.where("not ends").join(far, [CHAIN, "up"]).select(*NODE, F.col("far").alias("up"), F.col("far_ends").alias("ends"))
-        now = written(now.where("ends").union(open_))  # a jump that leaves the stored headers is gone
-        rounds += 1
-    ancestor = now.where("ends").select(*NODE, F.col("up").alias("ancestor_hash"))
-    numbers = chain.select(CHAIN, F.col("hash").alias("ancestor_hash"), F.col(NUMBER).alias("ancestor"))
-    return off.select(CHAIN, NUMBER, "hash").join(ancestor.join(numbers, [CHAIN, "ancestor_hash"]), NODE, "left").select(CHAIN, NUMBER, "hash", "ancestor", "ancestor_hash")
+        far = now.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("ends").alias("far_ends"))
+        open_ = now.where("not ends").join(far, "up").select("id", F.col("far").alias("up"), F.col("far_ends").alias("ends"))
+        more = written(now.where("ends").union(open_))  # a jump that leaves the stored headers is gone
+        dropped(now)
+        now, rounds = more, rounds + 1
+    names = nodes.join(on, "id", "left_semi").select(F.col("id").alias("up"), F.col(NUMBER).alias("ancestor"), F.col("hash").alias("ancestor_hash"))
+    ancestor = now.where("ends").join(names, "up").select("id", "ancestor", "ancestor_hash")
+    off = written(nodes.join(on, "id", "left_anti").join(ancestor, "id", "left").select(CHAIN, NUMBER, "hash", "ancestor", "ancestor_hash"))
+    dropped(now, on, *([nodes, links] if forest is None else []))
+    return off
 
 
 def branches(off: DataFrame) -> DataFrame:

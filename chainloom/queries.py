@@ -16,7 +16,7 @@ from chainloom.operators import bloom_index, current, forks, integrity, latest,
 from chainloom.plans import chainview as view
 from chainloom.plans import routes, search_index
 from chainloom.plans.query_spec import QuerySpec, answer, search
-from chainloom.scratch import freed, shared_dir
+from chainloom.scratch import dropped, freed, shared_dir
 from chainloom.sources import staged_sink, staging
 from chainloom.streaming.publish import materialised, messages, opened, replacement
 
@@ -193,7 +193,10 @@ def fork_choice(spark, sf_dir):
 @query(view.HEADERS + "SELECT * FROM orphans")
 def fork_orphans(spark, sf_dir):
     headers = view.headers(spark, sf_dir)
-    return forks.orphans(headers, forks.canonical(headers))
+    forest = forks.linked(headers)
+    off = forks.orphans(headers, forks.canonical(headers, forest=forest), forest)
+    dropped(*forest)
+    return off
 
 
 @query(view.HEADERS + "SELECT chain_id, ancestor, count(*) AS n_orphans, min(block_number) AS start_block, max(block_number) AS end_block FROM orphans GROUP BY chain_id, ancestor")

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from chainloom import queries
 from chainloom.operators import blocks as nesting
-from chainloom.operators import current, latest
+from chainloom.operators import current, forks, latest
 from chainloom.plans import chainview as view
 from chainloom.plans import search_index
 from chainloom.scratch import shared_dir, written
@@ -124,3 +124,20 @@ def test_entries_scan_transactions_once_and_in_slices(spark, tmp_path, monkeypat
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         queries.search_indexed(spark, SF).count()
     assert sliced == [4]
+
+
+def test_rounds_of_forks_hold_ids_and_give_their_tables_back(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(forks, "written", lambda df: made.append(written(df)) or made[-1])
+    headers = view.headers(spark, SF)
+    chain = forks.canonical(headers)
+    found = forks.orphans(headers, chain)
+    assert len(made) > 10 and not any({"up", "hash"} <= {*t.columns} for t in made)
+    held = {t._chainloom_path: spark.read.parquet(t._chainloom_path).count() for t in made}
+    assert {p for p, n in held.items() if n} == {chain._chainloom_path, found._chainloom_path}
+    assert held[chain._chainloom_path] + held[found._chainloom_path] == headers.select("chain_id", "hash").distinct().count()
+    forest = forks.linked(headers)
+    n = [t.count() for t in forest]
+    shared = forks.canonical(headers, forest=forest)
+    assert sorted(map(tuple, forks.orphans(headers, shared, forest).collect())) == sorted(map(tuple, found.collect()))
+    assert [t.count() for t in forest] == n and all(n)
